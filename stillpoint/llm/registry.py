@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from stillpoint.llm import line_dedup
+from stillpoint.llm import line_dedup, packing, topk, word_bpe
 
 
 def queries() -> dict:
     return {
+        "op2_bpe_encode_decode": word_bpe.op2_bpe_encode_decode,
+        "op3_exact_top_k": topk.op3_exact_top_k,
         "op8_line_dedup": line_dedup.op8_line_dedup,
+        "op10_best_fit_packing": packing.op10_best_fit_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**line_dedup.ORACLE}
+    return {**line_dedup.ORACLE, **topk.ORACLE}
