@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stillpoint.llm import language, line_dedup, packing, quality, topk, toxicity, word_bpe
+from stillpoint.llm import fingerprints, language, line_dedup, packing, quality, topk, toxicity, word_bpe
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_language_id": language.op4_language_id,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_quality": quality.op6_quality,
+        "op7_fingerprints": fingerprints.op7_fingerprints,
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
     }
