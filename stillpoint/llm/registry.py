@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from stillpoint.llm import fingerprints, language, line_dedup, packing, quality, topk, toxicity, word_bpe
+from stillpoint.llm import fingerprints, jaccard, language, line_dedup, packing, quality, topk, toxicity, word_bpe
 
 
 def queries() -> dict:
     return {
+        "op1_ngram_jaccard_join": jaccard.op1_ngram_jaccard_join,
         "op2_bpe_encode_decode": word_bpe.op2_bpe_encode_decode,
         "op3_exact_top_k": topk.op3_exact_top_k,
         "op4_language_id": language.op4_language_id,
