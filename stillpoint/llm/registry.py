@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stillpoint.llm import fingerprints, jaccard, language, line_dedup, packing, quality, topk, toxicity, word_bpe
+from stillpoint.llm import fingerprints, jaccard, language, line_dedup, packing, quality, suffix_dedup, topk, toxicity, word_bpe
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_quality": quality.op6_quality,
         "op7_fingerprints": fingerprints.op7_fingerprints,
         "op8_line_dedup": line_dedup.op8_line_dedup,
+        "op9_suffix_array_dedup": suffix_dedup.op9_suffix_array_dedup,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
     }
 
