@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stillpoint.queries import selection  # noqa: F401
+from stillpoint.queries import retrieval, selection  # noqa: F401
 from stillpoint.queries.base import REGISTRY
 
 
