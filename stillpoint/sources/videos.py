@@ -81,8 +81,10 @@ def normalise_rows(rows: DataFrame, base: str) -> DataFrame:
     path = tidy_path(F.when(raw.startswith("/"), raw).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), raw)))
     given = F.when(is_object, F.coalesce(_truthy(p, "video_id"), _truthy(p, "id")))
     meta = F.when(is_object, F.try_variant_get(p, "$.metadata", "variant"))
-    own = F.try_variant_get(meta, "$", "map<string,variant>")
-    own = F.when(meta.isNull() | F.is_variant_null(meta), F.from_json(F.lit("{}"), "map<string,variant>")).when(own.isNull(), F.from_json(fail("metadata must be an object"), "map<string,variant>")).otherwise(own)
+    none = meta.isNull() | F.is_variant_null(meta)
+    wrong = ~none & ~F.schema_of_variant(meta).startswith("OBJECT")
+    meta = F.when(none, F.parse_json(F.lit("{}"))).when(wrong, F.parse_json(fail("metadata must be an object"))).otherwise(meta)
+    own = F.variant_get(meta, "$", "map<string,variant>")
     more = F.map_filter(F.try_variant_get(F.when(is_object, p).otherwise(F.parse_json(F.lit("{}"))), "$", "map<string,variant>"), lambda k, _: ~k.isin(list(OWN_KEYS)))
     merged = F.map_concat(F.map_filter(own, lambda k, _: ~F.array_contains(F.map_keys(more), k)), more)
     return rows.select("video_ord", F.coalesce(given, video_id(path, base)).alias("video_id"), path.alias("path"), F.to_json(merged).alias("metadata"))
