@@ -17,7 +17,7 @@ OWN_KEYS = ("id", "video_id", "path", "video_path", "metadata")
 
 
 def fail(message: str, *parts: Column) -> Column:
-    return F.raise_error(F.concat(F.lit(message), *parts))
+    return F.raise_error(F.concat(F.lit(message), *parts)).cast("string")
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
