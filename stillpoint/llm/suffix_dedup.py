@@ -188,56 +188,60 @@ def _send(batches: Iterator[pa.RecordBatch], length: int, k: int, buckets: int)
             yield pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 5, kinds)], names=["bucket", "chunk", "sizes", "body", "least"])
 
 
-def shard_transform(text: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shard_transform(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Suffix order, Burrows-Wheeler transform and last-to-first mapping of one shard.
 
-    ``text`` holds strings, each followed by a 0; the end of an earlier string sorts before
-    that of a later one. Orders of 1, 3, 6, 12, ... symbols are joined until all differ.
+    ``text`` holds strings, each followed by a 0, and is read as a circle. Orders of 7, 14,
+    28, ... symbols are joined until they cover ``depth`` symbols or all suffixes differ.
     """
-    n, m = len(text), len(sizes)
-    rank = text.astype("i8") + m
-    rank[np.cumsum(sizes + 1) - 1] = np.arange(m)
-    depth, base = 1, m + 257
+    n = len(text)
+    key = text.astype("i8")
+    for j in range(1, 7):
+        key = (key << 8) | np.roll(text, -j)
+    covered = 7
     while True:
-        steps = 3 if depth == 1 and base**3 < TOP else 2
-        key = rank.copy()
-        for j in range(1, steps):
-            key = key * base + np.roll(rank, -j * depth)
         order = np.argsort(key)
         key = key[order]
         new = np.r_[0, np.cumsum(key[1:] != key[:-1])]
         rank = np.empty(n, "i8")
         rank[order] = new
-        depth, base = depth * steps, n + 1
-        if new[-1] == n - 1:
+        if covered >= depth or new[-1] == n - 1:
             break
+        key = rank * (n + 1) + np.roll(rank, -covered)
+        covered *= 2
+    place = np.empty(n, "i8")
+    place[order] = np.arange(n)
     before = order - 1
     before[before < 0] = n - 1
-    return order, text[before], rank[before]
+    return order, text[before], place[before]
 
 
 def merge_transforms(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Merge the transforms of shards by interleave refinement to ``depth`` symbols.
 
-    Returns, in merged order, the place of each suffix in the shards' own orders one after
-    another, and the number of its interval of common prefixes of ``depth`` symbols.
+    A round passes the interleave stably through the transform, two symbols at a time. An
+    interval of one suffix can only have intervals of one suffix before it, so such
+    suffixes leave the interleave as soon as they are alone. Returns, in merged order, the
+    place of each remaining suffix in the shards' own orders one after another, and the
+    number of its interval of common prefixes of ``depth`` symbols.
     """
     offset = np.cumsum([0, *[len(o) for o, _, _ in shards]])
+    kind = "i4" if offset[-1] < 1 << 31 else "i8"
     symbols = np.concatenate([b for _, b, _ in shards])
-    first = np.concatenate([lf + o for (_, _, lf), o in zip(shards, offset)]).astype("i4" if offset[-1] < 1 << 31 else "i8")
-    n = len(symbols)
-    ends = np.sort(first[symbols == 0])  # suffixes that begin with an end, shard after shard
-    place, block = np.arange(n, dtype=first.dtype), np.zeros(n, "i4" if n < 1 << 31 else "i8")
-    for _ in range(depth):
-        symbol = symbols[place]
+    first = np.concatenate([(lf + o).astype(kind) for (_, _, lf), o in zip(shards, offset)])
+    place, block = np.arange(len(symbols), dtype=kind), np.zeros(len(symbols), kind)
+    steps = [(symbols, first)] * (depth % 2)
+    if depth > 1:
+        steps += [((symbols[first].astype("u2") << np.uint16(8)) | symbols, first[first])] * (depth // 2)
+    for symbol_of, to in steps:
+        symbol = symbol_of[place]
         order = np.argsort(symbol, kind="stable")
-        symbol, block, place = symbol[order], block[order], first[place[order]]
-        border = np.empty(n, bool)
-        border[0] = True
-        np.not_equal(block[1:], block[:-1], out=border[1:])
-        border[1:] |= symbol[1:] != symbol[:-1]
-        place[: len(ends)], border[: len(ends)] = ends, True  # no end equals another
-        block = np.cumsum(border, dtype=block.dtype)
+        symbol, block, place = symbol[order], block[order], to[place[order]]
+        border = np.ones(len(place) + 1, bool)
+        border[1:-1] = (block[1:] != block[:-1]) | (symbol[1:] != symbol[:-1])
+        shared = ~(border[:-1] & border[1:])
+        block = np.cumsum(border[:-1], dtype=kind)[shared]
+        place = place[shared]
     return place, block
 
 
@@ -247,24 +251,26 @@ def seen_before(strings: list[bytes], least: np.ndarray, length: int, shard: int
     sizes = np.array([len(s) for s in strings], "i8")
     cuts = np.flatnonzero(np.diff(np.cumsum(sizes + 1) // shard)) + 1
     shards, dids, home, base = [], [], [], 0
+    kind = "i4" if int(sizes.sum()) + len(sizes) < 1 << 31 else "i8"
     for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(strings)]):
         own = sizes[lo:hi]
         text = np.frombuffer(b"\xff".join(strings[lo:hi]) + b"\xff", "u1") + np.uint8(1)  # ends become 0
-        order, transform, mapping = shard_transform(text, own)
+        order, transform, mapping = shard_transform(text, length)
         string = np.repeat(np.arange(hi - lo), own + 1)
         rest = np.repeat(np.cumsum(own + 1), own + 1) - 1 - np.arange(len(text))
         shards.append((order, transform, mapping))
         dids.append(np.where(rest >= length, least[lo:hi][string], TOP)[order])
-        home.append(order + base)
+        home.append((order + base).astype(kind))
         base += len(text)
+    counts = np.maximum(0, sizes - length + 1)
+    smallest = np.repeat(np.where(counts > 0, least, TOP), sizes + 1)  # of a string that is alone: its own
     place, block = merge_transforms(shards, length)
-    at = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-    did = np.concatenate(dids)[place]
-    smallest = np.repeat(np.minimum.reduceat(did, at), np.diff(np.r_[at, len(block)]))
-    by_text = np.full(len(place), TOP)
-    by_text[np.concatenate(home)[place]] = smallest
+    if len(place):
+        at = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+        of_block = np.minimum.reduceat(np.concatenate(dids)[place], at)
+        smallest[np.concatenate(home)[place]] = np.repeat(of_block, np.diff(np.r_[at, len(block)]))
     starts = np.cumsum(sizes + 1) - (sizes + 1)
-    return [by_text[s : s + max(0, n - length + 1)] for s, n in zip(starts, sizes)]
+    return [smallest[s : s + n] for s, n in zip(starts, counts)]
 
 
 def _judge(batches: Iterator[pa.RecordBatch], length: int, shard: int) -> Iterator[pa.RecordBatch]:
@@ -347,7 +353,7 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int, k: int, buckets: int, a
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, k: int = 16, chunk_bytes: int = 4 << 20, bucket_bytes: int = 12 << 20,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, k: int = 16, chunk_bytes: int = 2 << 20, bucket_bytes: int = 4 << 20,
     shard_bytes: int = 1 << 18, as_text: bool = False,
 ) -> DataFrame:
     """Remove every byte covered by a ``length``-byte string that also starts in a document
