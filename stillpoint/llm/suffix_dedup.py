@@ -86,13 +86,17 @@ class Runs:
                 packed = np.minimum(packed[: len(packed) - (w - span)], packed[w - span :])
             place = (low - (packed & low)).astype("i8")
             ends = np.cumsum(self.sizes)
-            owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
-            inside = np.arange(len(place)) + length <= ends[owner[: len(place)]]
-            new = np.r_[True, (place[1:] != place[:-1]) | (owner[1 : len(place)] != owner[: len(place) - 1])] & inside
-            self.first = np.flatnonzero(new)
+            new = np.empty(len(place), bool)
+            new[0] = True
+            np.not_equal(place[1:], place[:-1], out=new[1:])
+            new[(starts := ends - self.sizes)[starts < len(place)]] = True  # no run reaches into the next document
+            first = np.flatnonzero(new)
+            doc = np.searchsorted(ends, first, side="right")
             # a run ends before the next one, or where the strings inside the document do
-            self.count = np.minimum(np.r_[self.first[1:], len(place)], ends[owner[self.first]] - length + 1) - self.first
-            self.minimiser, self.doc = grams[place[self.first]], owner[self.first]
+            count = np.minimum(np.r_[first[1:], len(place)], ends[doc] - length + 1) - first
+            some = count > 0
+            self.first, self.count, self.doc = first[some], count[some], doc[some]
+            self.minimiser = grams[place[self.first]]
         self.keys, self.of_key = np.unique(self.minimiser, return_inverse=True)
 
     @staticmethod
@@ -191,23 +195,30 @@ def _send(batches: Iterator[pa.RecordBatch], length: int, k: int, buckets: int)
 def shard_transform(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Suffix order, Burrows-Wheeler transform and last-to-first mapping of one shard.
 
-    ``text`` holds strings, each followed by a 0, and is read as a circle. Orders of 7, 14,
-    28, ... symbols are joined until they cover ``depth`` symbols or all suffixes differ.
+    ``text`` holds strings, each followed by a 0, and is read as a circle. Suffixes are
+    ordered by 7 symbols; then those that are not yet alone are ordered within their group
+    by the order of the suffix 7, 14, 28, ... symbols on, until ``depth`` is covered.
     """
     n = len(text)
     key = text.astype("i8")
     for j in range(1, 7):
         key = (key << 8) | np.roll(text, -j)
-    covered = 7
+    order, slots, rank = np.argsort(key), np.arange(n), np.empty(n, "i8")
+    members, key, covered = order, key[order], 7
     while True:
-        order = np.argsort(key)
-        key = key[order]
-        new = np.r_[0, np.cumsum(key[1:] != key[:-1])]
-        rank = np.empty(n, "i8")
-        rank[order] = new
-        if covered >= depth or new[-1] == n - 1:
+        border = np.r_[True, key[1:] != key[:-1], True]
+        group = slots[np.maximum.accumulate(np.where(border[:-1], np.arange(len(slots)), 0))]
+        rank[members] = group  # the first slot of a suffix's group
+        if covered >= depth:
             break
-        key = rank * (n + 1) + np.roll(rank, -covered)
+        shared = ~(border[:-1] & border[1:])
+        members, slots = members[shared], slots[shared]
+        if not len(members):
+            break
+        key = rank[members] * n + rank[(members + covered) % n]
+        turn = np.argsort(key)
+        members, key = members[turn], key[turn]
+        order[slots] = members
         covered *= 2
     place = np.empty(n, "i8")
     place[order] = np.arange(n)
