@@ -144,8 +144,8 @@ def dedup_lines(
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = packed_rows(docs, id_col, text_col)
-    edges = rows.select("did").approxQuantile("did", [i / batches for i in range(1, batches)], 0.001) if batches > 1 else []
-    edges = sorted({int(x) for x in edges})
+    edges = rows.agg(F.percentile_approx("did", [i / batches for i in range(1, batches)], 1000)).first()[0] if batches > 1 else []
+    edges = sorted(set(edges or []))
     number = sum((F.when(F.col("did") > e, 1).otherwise(0) for e in edges), F.lit(0))
     lines_path, drops_path = new_path(spark, "lines"), new_path(spark, "line-drops")
     (

@@ -209,7 +209,7 @@ def worst(logits: np.ndarray, text: np.ndarray) -> np.ndarray:
     return np.maximum.reduceat(logits, np.flatnonzero(np.r_[True, text[1:] != text[:-1]])) if len(text) else logits
 
 
-def train(texts: list[str], labels: np.ndarray, prior: float, epochs: int = 7, batch: int = 256) -> tuple[dict, float, float]:
+def train(texts: list[str], labels: np.ndarray, prior: float, epochs: int = 7, most: int = 256) -> tuple[dict, float, float]:
     """Parameters, and slope and offset of the calibration. ``prior`` is the share of
     label 1 among all rows that could be learned from; the loss is weighted to it."""
     rng = np.random.default_rng(3)
@@ -224,6 +224,7 @@ def train(texts: list[str], labels: np.ndarray, prior: float, epochs: int = 7, b
     text, start, size = windows(counts)
     begin = (np.cumsum(counts) - counts)[text] + start
     aside = rng.random(len(labels)) < 0.2  # for the calibration
+    batch = min(most, max(16, len(labels) // 20))
     balance = np.where(labels == 1, 0.5 / (labels == 1).mean(), 0.5 / (labels == 0).mean())
     for epoch in range(epochs):
         if epoch:
