@@ -27,6 +27,8 @@ from stillpoint.llm.wordgrams import WORDS, WordTable, grams, sums, word_ids
 WORD_BITS, GRAM_BITS, LOW, HIGH = 14, 15, 3, 5
 WORD_DIM, GRAM_DIM, HIDDEN, ATTENTION = 8, 8, 8, 8
 WINDOW, STRIDE = 48, 32
+#: Words whose n-grams are computed at a time in training.
+BLOCK = 20_000
 #: Share of words whose own vector stays in a training step; weight decay.
 KEPT, DECAY = 0.3, 0.1
 
@@ -106,6 +108,26 @@ def pool(p: dict, states: np.ndarray, mask: np.ndarray):
     return context @ p["out_w"] + p["out_b"][0], hidden, weight, context
 
 
+def gram_table(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of each word, word after word, and their number for each word."""
+    parts = list(grams(words, LOW, HIGH, GRAM_BITS))
+    total = sum(c for _, c in parts)
+    out = np.empty(int(total.sum()), "i4")
+    fill = np.cumsum(total) - total  # where each word's next grams go
+    for ids, c in parts:
+        out[np.repeat(fill - np.cumsum(c) + c, c) + np.arange(len(ids))] = ids
+        fill = fill + c
+    return out, total
+
+
+def all_rows(p: dict, words: list[str]) -> np.ndarray:
+    """``word_rows`` of a whole vocabulary, a block at a time."""
+    out = np.empty((len(words), 6 * HIDDEN), "f4")
+    for i in range(0, len(words), BLOCK):
+        out[i : i + BLOCK] = word_rows(p, words[i : i + BLOCK])
+    return out
+
+
 class Trainer:
     """Adam over the network's parameters; words of the sample are rows of a table."""
 
@@ -116,11 +138,9 @@ class Trainer:
         self.t = 0
         self.rng = np.random.default_rng(seed + 1)
         self.word_of = word_ids(vocabulary, WORD_BITS) if vocabulary else np.empty(0, "i8")
-        parts = list(grams(vocabulary, LOW, HIGH, GRAM_BITS)) if vocabulary else []
-        owner = np.concatenate([np.repeat(np.arange(len(c)), c) for _, c in parts] or [np.empty(0, "i8")])
-        ids = np.concatenate([i for i, _ in parts] or [np.empty(0, "i8")])
-        order = np.argsort(owner, kind="stable")
-        self.gram_of, self.gram_n = ids[order], np.bincount(owner, minlength=len(vocabulary))
+        tables = [gram_table(vocabulary[i : i + BLOCK]) for i in range(0, len(vocabulary), BLOCK)]
+        self.gram_of = np.concatenate([t for t, _ in tables] or [np.empty(0, "i4")])
+        self.gram_n = np.concatenate([c for _, c in tables] or [np.empty(0, "i8")])
         self.gram_at = np.cumsum(self.gram_n) - self.gram_n
 
     def inputs(self, places: np.ndarray) -> np.ndarray:
@@ -228,8 +248,9 @@ def train(texts: list[str], labels: np.ndarray, prior: float, epochs: int = 7, m
     balance = np.where(labels == 1, 0.5 / (labels == 1).mean(), 0.5 / (labels == 0).mean())
     for epoch in range(epochs):
         if epoch:
-            rows = np.concatenate([word_rows(trainer.p, vocabulary[i : i + 50_000]) for i in range(0, len(vocabulary), 50_000)])
+            rows = all_rows(trainer.p, vocabulary)
             value = window_logits(trainer.p, rows, places, counts)[0] + rng.normal(size=len(text)) * 0.05
+            del rows
         else:
             value = rng.normal(size=len(text))
         order = np.lexsort((-value, text))
@@ -242,7 +263,7 @@ def train(texts: list[str], labels: np.ndarray, prior: float, epochs: int = 7, m
             steps = np.arange(size[part].max())[:, None]
             mask = (steps < size[part]).astype("f4")
             trainer.step(places[np.minimum(begin[part] + steps, len(places) - 1)], mask, labels[text[part]].astype("f4"), balance[text[part]].astype("f4"), rate)
-    rows = np.concatenate([word_rows(trainer.p, vocabulary[i : i + 50_000]) for i in range(0, len(vocabulary), 50_000)])
+    rows = all_rows(trainer.p, vocabulary)
     top = worst(*window_logits(trainer.p, rows, places, counts))
     weights = np.where(labels == 1, prior / (labels == 1).mean(), (1 - prior) / (labels == 0).mean())
     if len(set(labels[aside])) < 2:
@@ -285,7 +306,7 @@ def _score(batches: Iterator[pa.RecordBatch], model, threshold: float, clean: bo
 
 
 def fit_toxicity(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 2500, modulus: int = 4, remainder: int = 2
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 1500, modulus: int = 4, remainder: int = 2
 ) -> tuple[dict, float, float]:
     """Train on at most ``per_class`` labelled rows of each class; held-out ids, and labels
     other than 0 and 1, are not used. An id with several labels counts with its largest."""
