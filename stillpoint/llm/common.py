@@ -41,6 +41,14 @@ def staged(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> Da
     return spark.read.schema(spark.read.parquet(path).schema if partition_by else df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts are long: Arrow batches of Spark's default of 10,000 rows of them would fill a
+    Python worker. A smaller size that the session has is kept."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared root through the Hadoop file system."""
     hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -29,7 +29,7 @@ from stillpoint.llm.wordgrams import WORDS
 
 PRIME = np.uint64(0x100000001B3)
 MIX = np.uint64(0xD6E8FEB86659FD93)
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 
 
 class WordHashes(dict):

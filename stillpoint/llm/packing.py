@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from stillpoint.llm.common import order_id, staged
 
 #: Chunks that a worker remembers; beyond it the memory is emptied.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 
 PIECE_SCHEMA = "did long, piece int, start long, length long, ids_crc32 long"
 

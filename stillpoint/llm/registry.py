@@ -3,10 +3,19 @@
 from __future__ import annotations
 
 from stillpoint.llm import fingerprints, jaccard, language, line_dedup, packing, quality, suffix_dedup, topk, toxicity, word_bpe
+from stillpoint.llm.common import bounded_batches
+
+
+def _bounded(query):
+    def run(spark, sf_dir):
+        bounded_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
 
 
 def queries() -> dict:
-    return {
+    found = {
         "op1_ngram_jaccard_join": jaccard.op1_ngram_jaccard_join,
         "op2_bpe_encode_decode": word_bpe.op2_bpe_encode_decode,
         "op3_exact_top_k": topk.op3_exact_top_k,
@@ -18,6 +27,7 @@ def queries() -> dict:
         "op9_suffix_array_dedup": suffix_dedup.op9_suffix_array_dedup,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
     }
+    return {name: _bounded(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:

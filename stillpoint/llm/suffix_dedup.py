@@ -292,7 +292,7 @@ def _judge(batches: Iterator[pa.RecordBatch], length: int, shard: int) -> Iterat
         places: dict[bytes, int] = {}
         least: list[int] = []
         sent = []
-        for row in table.to_pylist():
+        for row in (r for part in table.to_batches(max_chunksize=16) for r in part.to_pylist()):
             sizes, own = np.frombuffer(row["sizes"], "<i4"), np.frombuffer(row["least"], "<i8").tolist()
             body = unpacker.decompress(row["body"], max_output_size=int(sizes.sum()))
             ends = np.cumsum(sizes).tolist()
@@ -306,7 +306,7 @@ def _judge(batches: Iterator[pa.RecordBatch], length: int, shard: int) -> Iterat
                 at.append(j)
             sent.append((row["chunk"], row["bucket"], at, own))
         strings = list(places)
-        places = {}
+        del places, table
         smallest = seen_before(strings, np.array(least, "i8"), length, shard)
         counts = np.array([len(s) for s in smallest])
         flat, start = np.concatenate(smallest), np.cumsum(counts) - counts
@@ -364,7 +364,7 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int, k: int, buckets: int, a
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, k: int = 16, chunk_bytes: int = 2 << 20, bucket_bytes: int = 4 << 20,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, k: int = 16, chunk_bytes: int = 1 << 20, bucket_bytes: int = 2 << 20,
     shard_bytes: int = 1 << 18, as_text: bool = False,
 ) -> DataFrame:
     """Remove every byte covered by a ``length``-byte string that also starts in a document

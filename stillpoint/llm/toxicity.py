@@ -291,13 +291,14 @@ def scores(p: dict, slope: float, offset: float, table: WordTable, texts: list[s
     return 1 / (1 + np.exp(-np.clip(slope * worst(logits, text).astype("f8") + offset, -500, 500)))
 
 
-def _score(batches: Iterator[pa.RecordBatch], model, threshold: float, clean: bool) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], model, threshold: float, clean: bool, text_col: str = "") -> Iterator[pa.RecordBatch]:
     p, slope, offset = model.value
     table = WordTable(lambda words: word_rows(p, words))
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
-            score = scores(p, slope, offset, table, [t or "" for t in part.column("txt").to_pylist()])
+            texts = part.column("row").field(text_col) if clean else part.column("txt")
+            score = scores(p, slope, offset, table, [t or "" for t in texts.to_pylist()])
             if clean:
                 kept = part.filter(pa.array(score < threshold))
                 yield pa.record_batch([kept.column("row")], names=["row"])
@@ -341,8 +342,8 @@ def score_toxicity(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_c
 def drop_toxic(docs: DataFrame, model: tuple, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose score is under ``threshold``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).cast("string").alias("txt"))
-    return rows.mapInArrow(lambda it: _score(it, shared, threshold, True), rows.select("row").schema).select("row.*")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.mapInArrow(lambda it: _score(it, shared, threshold, True, text_col), rows.schema).select("row.*")
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
