@@ -98,7 +98,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], width: int, trees: int, depth: in
         offsets = np.cumsum([0, *map(len, keys)])
         flat = np.concatenate(keys) if keys else np.empty(0, "i8")
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
-        yield pa.record_batch([batch.column("did"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), lists], names=["did", "n", "h1", "h2", "keys"])
+        yield pa.record_batch([batch.column("did"), batch.column("rid"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), lists], names=["did", "rid", "n", "h1", "h2", "keys"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -106,7 +106,7 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
         for lo in range(0, batch.num_rows, 512):
             part = batch.slice(lo, 512)
             grams = [shingles(t or "", width).tobytes() for t in part.column("txt").to_pylist()]
-            yield pa.record_batch([*[part.column(c) for c in ("did", "weight", "grp", "blocks", "own")], pa.array(grams, pa.binary())], names=["did", "weight", "grp", "blocks", "own", "grams"])
+            yield pa.record_batch([*[part.column(c) for c in ("rid", "weight", "grp", "blocks", "own")], pa.array(grams, pa.binary())], names=["rid", "weight", "grp", "blocks", "own", "grams"])
 
 
 def overlaps(sets: list[np.ndarray], first: int, same: bool) -> np.ndarray:
@@ -193,7 +193,7 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         own = np.asarray(table.column("own"))
         order = np.argsort(own != i, kind="stable")
-        ids, weight = np.asarray(table.column("did"))[order], np.asarray(table.column("weight"))[order]
+        ids, weight = np.asarray(table.column("rid"))[order], np.asarray(table.column("weight"))[order]
         raw = table.column("grams").to_pylist()
         sets = [np.frombuffer(raw[k], "u8") for k in order]
         same = i == j
@@ -207,7 +207,7 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
         if not same:
             near, ra, rb = np.r_[near, links.T @ weight[:first].astype("i8")], np.r_[ra, rb], None
         has = near > 0
-        yield pa.record_batch([pa.array(ids[has]), pa.array(near[has], pa.int64()), pa.array(ra[has])], names=["did", "links", "root"])
+        yield pa.record_batch([pa.array(ids[has]), pa.array(near[has], pa.int64()), pa.array(ra[has])], names=["rid", "links", "root"])
 
 
 def near_duplicates(
@@ -223,14 +223,28 @@ def near_duplicates(
 
     Words are runs of word characters in lower case. A text with fewer than ``width`` words
     is one gram. A null or empty text, or one without words, has no links and is a class of
-    its own. Rows that share an id count as one node of the graph. A null id counts as the
-    largest id. An empty table gives an empty result. Other columns are not read.
+    its own. Rows are linked by their texts only: rows that share an id may be of different
+    classes. A null id counts as the largest id. An empty table gives an empty result. Other
+    columns are not read.
     """
-    depth = forest_depth(threshold, trees, deepest, recall)
     rows = docs.select(order_id(id_col).alias("did"), F.col(text_col).cast("string").alias("txt"))
-    sketch = staged(rows.mapInArrow(lambda it: _sketch(it, width, trees, depth), "did long, n long, h1 long, h2 long, keys array<long>"), "sketch")
+    rows = staged(rows.withColumn("rid", F.monotonically_increasing_id()), "rows")
+    return _classified(rows, width, threshold, trees, deepest, recall, block).select("did", "class_id", "n_links")
+
+
+def _classified(
+    rows: DataFrame, width: int = 5, threshold: float = 0.8, trees: int = 32, deepest: int = 10, recall: float = 0.9999, block: int = 2048
+) -> DataFrame:
+    """``did``, ``rid``, ``class_id``, ``n_links`` and ``first_rid`` of each of the ``rows``
+    (``did``, ``rid``, ``txt``), a table whose ``rid`` is fixed and no two rows share.
+
+    ``first_rid`` is the row of the class with the smallest id, of several the one with the
+    smallest ``rid``. Equal sets are a node, named by such a row of theirs."""
+    depth = forest_depth(threshold, trees, deepest, recall)
+    sketch = staged(rows.mapInArrow(lambda it: _sketch(it, width, trees, depth), "did long, rid long, n long, h1 long, h2 long, keys array<long>"), "sketch")
     some = sketch.filter("n > 0")
-    classes = staged(some.groupBy("h1", "h2").agg(F.min_by("keys", "did").alias("keys"), F.min("did").alias("rep"), F.count(F.lit(1)).alias("weight")), "classes")
+    classes = some.groupBy("h1", "h2").agg(F.min_by(F.struct("did", "rid", "keys"), F.struct("did", "rid")).alias("r"), F.count(F.lit(1)).alias("weight"))
+    classes = staged(classes.select("h1", "h2", F.col("r.did").alias("least_did"), F.col("r.rid").alias("rep"), F.col("r.keys").alias("keys"), "weight"), "classes")
 
     # the tries: who shares a prefix with whom
     keyed = classes.select("rep", F.explode("keys").alias("key"))
@@ -241,32 +255,44 @@ def near_duplicates(
     sizes = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     members = members.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     members = members.join(classes.select(F.col("rep").alias("node"), "weight"), "node")
-    members = staged(members.select(F.col("node").alias("did"), "weight", F.col("root").alias("grp"), "blocks", "own"), "members")
+    members = staged(members.select(F.col("node").alias("rid"), "weight", F.col("root").alias("grp"), "blocks", "own"), "members")
 
     # verification of every pair of a group, by pairs of blocks
-    sets = rows.join(members, "did").select("did", "weight", "grp", "blocks", "own", "txt")
-    sets = sets.mapInArrow(lambda it: _sets(it, width), "did long, weight long, grp long, blocks int, own int, grams binary")
+    sets = rows.select("rid", "txt").join(members, "rid").select("rid", "weight", "grp", "blocks", "own", "txt")
+    sets = sets.mapInArrow(lambda it: _sets(it, width), "rid long, weight long, grp long, blocks int, own int, grams binary")
     partner = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("p")
-    pairs = sets.select("did", "weight", "grp", "own", "grams", partner)
-    pairs = pairs.select("did", "weight", "grp", "own", "grams", F.least("own", "p").alias("i"), F.greatest("own", "p").alias("j"))
-    dealt = pairs.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "did")
-    found = staged(dealt.mapInArrow(lambda it: _verify(it, threshold), "did long, links long, root long"), "links")
-
-    links = found.groupBy("did").agg(F.sum("links").alias("links"))
-    roots = connected_components(found.select(F.col("did").alias("a"), F.col("root").alias("b")))
-    reps = classes.select("h1", "h2", "rep", "weight")
-    reps = reps.join(links.withColumnRenamed("did", "rep"), "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    reps = reps.select("h1", "h2", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    out = sketch.select("did", "n", "h1", "h2").join(reps, ["h1", "h2"], "left")
+    pairs = sets.select("rid", "weight", "grp", "own", "grams", partner)
+    pairs = pairs.select("rid", "weight", "grp", "own", "grams", F.least("own", "p").alias("i"), F.greatest("own", "p").alias("j"))
+    dealt = pairs.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "rid")
+    found = staged(dealt.mapInArrow(lambda it: _verify(it, threshold), "rid long, links long, root long"), "links")
+
+    links = found.groupBy("rid").agg(F.sum("links").alias("links")).withColumnRenamed("rid", "rep")
+    roots = connected_components(found.select(F.col("rid").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
+    reps = classes.select("h1", "h2", "rep", "least_did", "weight").join(links, "rep", "left").join(roots, "rep", "left")
+    linked_reps = reps.filter("links is not null").select(F.coalesce("root", "rep").alias("root"), F.struct(F.col("least_did").alias("did"), F.col("rep").alias("rid")).alias("one"))
+    firsts = linked_reps.groupBy("root").agg(F.min("one").alias("first"))
+    reps = reps.withColumn("root", F.coalesce("root", "rep")).join(firsts, "root", "left")
+    reps = reps.select(
+        "h1", "h2", F.coalesce("first.did", "least_did").alias("class_id"), F.coalesce("first.rid", "rep").alias("first_rid"),
+        (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
+    )
+    out = sketch.select("did", "rid", "n", "h1", "h2").join(reps, ["h1", "h2"], "left")
     alone = F.col("n") == 0
-    return out.select("did", F.when(alone, F.col("did")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"))
+    return out.select(
+        "did", "rid", F.when(alone, F.col("did")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"),
+        F.when(alone, F.col("rid")).otherwise(F.col("first_rid")).alias("first_rid"),
+    )
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its class, with all their columns."""
-    gone = staged(near_duplicates(docs, id_col, text_col, **options).filter("class_id <> did").select("did").distinct(), "near-duplicates")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), order_id(id_col).alias("did"))
-    return rows.join(gone, "did", "left_anti").select("row.*")
+    """One row of each class of ``docs``, the one with the smallest id, with all its columns.
+    Rows are judged each by itself, whatever other rows share its id; of several rows of a
+    class with the smallest id, null ids included, one stays."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = staged(docs.select(row, order_id(id_col).alias("did"), F.monotonically_increasing_id().alias("rid")), "rows")
+    texts = rows.select("did", F.col("row")[text_col].cast("string").alias("txt"), "rid")
+    gone = staged(_classified(texts, **options).filter("rid <> first_rid").select("rid"), "near-duplicates")
+    return rows.join(gone, "rid", "left_anti").select("row.*")
 
 
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -106,6 +106,32 @@ def test_jaccard_many_near_copies(spark):
     assert all((r.class_id, r.n_links) == ((0, 89) if r.did < 90 else (r.did, 0)) for r in got)
 
 
+def test_jaccard_decides_by_row(spark):
+    rng = random.Random(12)
+    a, b, c, d, e, f = (prose(rng, 60).split() for _ in range(6))
+    text = " ".join
+    rows = [
+        (1, text(a)), (None, text(a)), (None, text(b)), (None, text(c)), (None, text(c)),  # a copy, a unique one, copies of each other
+        (5, text(d)), (5, text(d)), (5, text(e)), (6, text([*d[:-1], "other"])), (7, text([*d[:-1], "again"])),  # repeated rows with near copies
+        (8, text(f)), (8, text([*f[:-1], "near"])), (None, None), (None, ""),
+    ]
+    sets = [set(jaccard.shingles(t or "", 5).tolist()) for _, t in rows]
+    near = [[bool(x) and i != j and len(x & y) >= 0.8 * len(x | y) for j, y in enumerate(sets)] for i, x in enumerate(sets)]
+    group = list(range(len(rows)))
+    for i, j in itertools.product(range(len(rows)), repeat=2):
+        if near[i][j]:
+            group = [group[i] if g == group[j] else g for g in group]
+    ids = [LAST if i is None else i for i, _ in rows]
+    least = {g: min(i for i, h in zip(ids, group) if h == g) for g in group}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for block in (2048, 1):
+        got = sorted((r.did, r.class_id, r.n_links) for r in jaccard.near_duplicates(df, block=block).collect())
+        assert got == sorted((i, least[g], sum(n)) for i, g, n in zip(ids, group, near))
+    kept = sorted((LAST if r.doc_id is None else r.doc_id, r.text or "") for r in jaccard.drop_near_duplicates(df).collect())
+    assert len(kept) == len(set(group))
+    assert [k for k in kept if k[0] != 8] == sorted([(1, text(a)), (LAST, text(b)), (LAST, text(c)), (5, text(d)), (5, text(e)), (LAST, ""), (LAST, "")])
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(40)] + [(100 + rng.randrange(50), 100 + rng.randrange(50)) for _ in range(30)] + [(7, 7)]
