@@ -1,34 +1,5 @@
-"""Connected components of an edge table, by alternating stars."""
+"""Connected components of an edge table."""
 
-from __future__ import annotations
+from stillpoint.functions.components import connected_components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from stillpoint.llm.common import staged
-
-
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(``a``, ``b``) edges to (``node``, ``root``) rows, the root being the smallest node.
-
-    Every round hangs each node's larger neighbours, then its smaller ones, on the smallest
-    neighbour, until nothing changes; a round costs a few shuffles of the edges, none of
-    them gathers a node's neighbours, and its result is a table in the shared folder.
-    Nodes without an edge to another node don't appear.
-    """
-    now = staged(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = None
-    for _ in range(most_rounds):
-        # larger neighbours of each node go to its smallest neighbour, itself included
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        # smaller neighbours of each node, and the node, go to the smallest of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        now = staged(small.filter("a <> b").distinct(), "edges")
-        new = now.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-        if new == mark:
-            break
-        mark = new
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+__all__ = ["connected_components"]

@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stillpoint.functions.links import runs
 from stillpoint.llm.common import packed_rows, staged
-from stillpoint.llm.jaccard import runs
 
 MIX = np.uint64(0xD6E8FEB86659FD93)
 TOP = np.iinfo("i8").max

@@ -6,9 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stillpoint.functions.components import connected_components
+from stillpoint.functions.links import candidate_groups, verified
 from stillpoint.functions.tables import written
 from stillpoint.operators.search import terms
 
@@ -73,13 +76,19 @@ def _band_keys(frames: Iterator[pd.DataFrame], bands: int, rows: int) -> Iterato
             yield pd.DataFrame({"item_id": np.repeat(part["item_id"].to_numpy(), bands), "band": np.tile(np.arange(bands, dtype="i4"), len(part)), "key": np.concatenate(keys)})
 
 
-def duplicate_groups(items: DataFrame, threshold: float = 0.8, width: int = 5, bands: int = 32, rows: int = 6) -> DataFrame:
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.set_column(batch.schema.get_field_index("grams"), "grams", pa.array([np.asarray(g.values, "i8").tobytes() for g in batch.column("grams")], pa.binary()))
+
+
+def duplicate_groups(items: DataFrame, threshold: float = 0.8, width: int = 5, bands: int = 32, rows: int = 6, block: int = 2048) -> DataFrame:
     """Group of each item: the smallest item it is linked with, exactly or nearly.
 
-    Texts with equal normal form are one. The others meet in MinHash bands, each with the
-    smallest member of its band, and every such link is verified by exact Jaccard over
-    word n-grams; links are followed until groups don't change. A band is never paired
-    with itself, and none is dropped."""
+    Texts with equal normal form are one. The others meet in MinHash bands; items that
+    share a band, directly or through others, are a candidate group, and every pair of a
+    candidate group is verified by exact Jaccard over word n-grams, large ones by pairs of
+    blocks of about ``block`` items. Groups are what verified links connect; no band is
+    dropped, and a pair never becomes a row."""
     exact = written(exact_groups(items), "exact")
     reps = items.join(exact.filter("item_id = group_id").select("item_id"), "item_id", "left_semi")
     def hashed(w: Column) -> Column:
@@ -90,23 +99,11 @@ def duplicate_groups(items: DataFrame, threshold: float = 0.8, width: int = 5, b
     grams = F.transform(F.array(terms(F.col("text"))), hashed)[0]
     sets = written(reps.select("item_id", F.array_distinct(grams).alias("grams")).filter("grams is not null"), "grams")
     keyed = written(sets.mapInPandas(lambda it: _band_keys(it, bands, rows), "item_id long, band int, key long"), "bands")
-    links, leaders = None, keyed
-    while True:  # members that a band's smallest doesn't cover meet again among themselves
-        least = leaders.groupBy("band", "key").agg(F.min("item_id").alias("b"), F.max("item_id").alias("last")).filter("b <> last").drop("last")
-        pairs = leaders.join(least, ["band", "key"]).filter("item_id <> b")
-        tested = pairs.select(F.col("item_id").alias("a"), "b").distinct()
-        tested = tested.join(sets.select(F.col("item_id").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("item_id").alias("b"), F.col("grams").alias("gb")), "b")
-        both = F.size(F.array_intersect("ga", "gb"))
-        sure = written(tested.filter(both >= threshold * (F.size("ga") + F.size("gb") - both)).select("a", "b"), "links")
-        links = sure if links is None else links.unionByName(sure)
-        leaders = written(pairs.join(sure.select(F.col("a").alias("item_id"), "b"), ["item_id", "b"], "left_anti").select("item_id", "band", "key"), "bands")
-        if leaders.isEmpty():
-            break
-    groups = exact.select("item_id", "group_id")
-    while True:
-        near = links.join(groups.withColumnsRenamed({"item_id": "a", "group_id": "ga"}), "a").join(groups.withColumnsRenamed({"item_id": "b", "group_id": "gb"}), "b").filter("ga <> gb")
-        moves = written(near.select(F.greatest("ga", "gb").alias("group_id"), F.least("ga", "gb").alias("to")).groupBy("group_id").agg(F.min("to").alias("to")), "moves")
-        if moves.isEmpty():
-            break
-        groups = written(groups.join(moves, "group_id", "left").select("item_id", F.coalesce("to", "group_id").alias("group_id")), "groups")
-    return groups
+    met = keyed.groupBy("band", "key").agg(F.min("item_id").alias("b"), F.max("item_id").alias("last")).filter("b <> last").drop("last")
+    edges = keyed.join(met, ["band", "key"]).filter("item_id <> b").select(F.col("item_id").alias("a"), "b")
+    members = written(candidate_groups(edges, block), "members")
+    candidates = sets.select(F.col("item_id").alias("rid"), "grams").join(members, "rid").select("rid", F.lit(1).cast("long").alias("weight"), "grp", "blocks", "own", "grams")
+    candidates = candidates.mapInArrow(_packed, "rid long, weight long, grp long, blocks int, own int, grams binary")
+    links = verified(candidates, threshold).select(F.col("rid").alias("a"), F.col("root").alias("b"))
+    roots = connected_components(links).select(F.col("node").alias("group_id"), "root")
+    return exact.join(roots, "group_id", "left").select("item_id", F.coalesce("root", "group_id").alias("group_id"))

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from stillpoint.operators import corpus
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -58,3 +59,17 @@ def test_duplicate_groups_by_brute_force(spark):
                 group = {k: low if g == high else g for k, g in group.items()}
     got = {r.item_id: r.group_id for r in entry.queries()["duplicate_groups"](spark, SF).collect()}
     assert got == group
+
+
+def test_duplicate_groups_through_a_middle_member(spark):
+    """a ~ x and x ~ y, but not a ~ y: x isn't the smallest of any band that it shares with both."""
+    rows = []
+    for k in range(20):
+        words = [f"w{k}x{i}" for i in range(210)]
+        x = words[:-22] + [f"t{k}x{i}" for i in range(22)]
+        y = [f"h{k}x{i}" for i in range(22)] + x[22:]
+        rows += [(3 * k + n, " ".join(w)) for n, w in enumerate((words, x, y))]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    for block in (2048, 1):
+        got = {r.item_id: r.group_id for r in corpus.duplicate_groups(items, bands=8, rows=1, block=block).collect()}
+        assert got == {i: i - i % 3 for i, _ in rows}
