@@ -14,6 +14,10 @@ depth; places where neighbours first differ are the common-prefix borders, and a
 ``length`` rounds the intervals between borders are the repeated strings. The suffixes of
 the shards are never sorted together.
 
+A minimiser of more run bytes than a bucket has (a passage's edge in many contexts) is no
+bucket: its strings are dealt one by one, by a hash of the whole string, and compared by
+themselves.
+
 Documents travel as compressed chunks. A chunk sends each of its distinct runs once, with
 the smallest id that has it, and gets back one bit a string: whether a smaller id has that
 string. A passage in a third of all documents is one run a chunk.
@@ -63,9 +67,10 @@ def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
 
 class Runs:
     """The runs of a chunk: for each its first string, its number of strings, its
-    minimiser and its document's place. ``keys`` are the distinct minimisers."""
+    minimiser and its document's place. ``keys`` are the distinct minimisers; with ``loads``
+    those are the bytes of the distinct runs of each."""
 
-    def __init__(self, row: dict, length: int, k: int):
+    def __init__(self, row: dict, length: int, k: int, loads: bool = False):
         self.dids, self.sizes = np.frombuffer(row["dids"], "<i8"), np.frombuffer(row["sizes"], "<i8")
         self.body = zstandard.ZstdDecompressor().decompress(row["body"], max_output_size=max(1, int(self.sizes.sum())))
         self.length = length
@@ -98,6 +103,14 @@ class Runs:
             self.first, self.count, self.doc = first[some], count[some], doc[some]
             self.minimiser = grams[place[self.first]]
         self.keys, self.of_key = np.unique(self.minimiser, return_inverse=True)
+        self.loads = np.zeros(len(self.keys), "<i4")
+        if loads and len(self.keys):
+            size, code = self.count + length - 1, self.count.astype("u8")
+            for j in [*range(0, 2 * length - k, k), 2 * length]:  # k-byte strings that cover a run
+                code = (code ^ grams[self.first + np.minimum(j, size - k)]) * MIX
+                code ^= code >> np.uint64(32)
+            one = np.unique(code, return_index=True)[1]
+            self.loads = np.bincount(self.of_key[one], size[one], len(self.keys)).astype("<i4")
 
     @staticmethod
     def _hashes(text: np.ndarray, k: int) -> np.ndarray:
@@ -116,16 +129,46 @@ class Runs:
         number = (self.keys % np.uint64(buckets)).astype("i8")
         return np.argsort(number, kind="stable"), np.searchsorted(np.sort(number), np.arange(buckets + 1))
 
+    def marked(self, masks: list[dict], which: str, buckets: int) -> np.ndarray:
+        """The keys that the masks mark."""
+        order, border = self.by_bucket(buckets)
+        seen = np.zeros(len(self.keys), bool)
+        for m in masks:
+            part = order[border[m["bucket"]] : border[m["bucket"] + 1]]
+            seen[part] = np.unpackbits(np.frombuffer(m[which], "u1"), count=len(part)).astype(bool)
+        return seen
+
+    def hot(self, masks: list[dict], buckets: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The strings of runs with hot minimisers.
+
+        Returns the strings' places and for each the number of its distinct string; the
+        distinct strings, in order of their parts, with the border of each part, and the
+        smallest id of each."""
+        run = np.flatnonzero(self.marked(masks, "hot", buckets)[self.of_key]) if len(self.keys) else np.empty(0, "i8")
+        c = self.count[run]
+        at = np.repeat(self.first[run] - np.cumsum(c) + c, c) + np.arange(c.sum())
+        if not len(at):
+            return at, at, np.empty(0, f"S{self.length}"), np.zeros(parts + 1, "i8"), at
+        text = np.frombuffer(self.body, "u1")
+        taken = np.empty((len(at), self.length), "u1")
+        for lo in range(0, len(at), 1 << 16):
+            taken[lo : lo + (1 << 16)] = text[at[lo : lo + (1 << 16), None] + np.arange(self.length)]
+        strings, one, which = np.unique(taken.view(f"S{self.length}")[:, 0], return_index=True, return_inverse=True)
+        part = (self._hashes(text, self.length)[at[one]] % np.uint64(parts)).astype("i8")
+        order = np.argsort(part, kind="stable")
+        place = np.empty(len(order), "i8")
+        place[order] = np.arange(len(order))
+        which = place[which]
+        least = np.full(len(strings), TOP)
+        np.minimum.at(least, which, np.repeat(self.dids[self.doc[run]], c))
+        return at, which, strings[order], np.searchsorted(part[order], np.arange(parts + 1)), least
+
     def candidates(self, masks: list[dict], buckets: int) -> tuple[np.ndarray, list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
         """Runs whose minimiser other documents have, and the distinct strings of them.
 
         Returns the runs; by bucket the distinct strings in order; by run its bucket and
         the place of its string there; by bucket and string (flat) the smallest id."""
-        order, border = self.by_bucket(buckets)
-        seen = np.zeros(len(self.keys), bool)
-        for m in masks:
-            part = order[border[m["bucket"]] : border[m["bucket"] + 1]]
-            seen[part] = np.unpackbits(np.frombuffer(m["mask"], "u1"), count=len(part)).astype(bool)
+        seen = self.marked(masks, "mask", buckets)
         own = np.flatnonzero(seen[self.of_key]) if len(self.keys) else np.empty(0, "i8")
         bucket = (self.minimiser[own] % np.uint64(buckets)).astype("i8")
         strings: list[list[bytes]] = [[] for _ in range(buckets)]
@@ -152,28 +195,33 @@ def _keys(batches: Iterator[pa.RecordBatch], length: int, k: int, buckets: int)
     them two documents of the chunk have."""
     for batch in batches:
         for row in batch.to_pylist():
-            r = Runs(row, length, k)
+            r = Runs(row, length, k, loads=True)
             order, border = r.by_bucket(buckets)
             lo, hi = np.full(len(r.keys), TOP), np.full(len(r.keys), -TOP)
             np.minimum.at(lo, r.of_key, r.dids[r.doc])
             np.maximum.at(hi, r.of_key, r.dids[r.doc])
-            keys, many = r.keys[order], (lo < hi)[order]
-            out = [(b, row["chunk"], keys[s:e].tobytes(), np.packbits(many[s:e]).tobytes()) for b, (s, e) in enumerate(zip(border[:-1], border[1:])) if e > s]
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 4, kinds)], names=["bucket", "chunk", "keys", "flags"])
+            keys, many, loads = r.keys[order], (lo < hi)[order], r.loads[order]
+            out = [(b, row["chunk"], keys[s:e].tobytes(), np.packbits(many[s:e]).tobytes(), loads[s:e].tobytes()) for b, (s, e) in enumerate(zip(border[:-1], border[1:])) if e > s]
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 5, kinds)], names=["bucket", "chunk", "keys", "flags", "loads"])
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each chunk and bucket a mask of the minimisers that two documents have."""
+def _repeated(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """For each chunk and bucket a mask of the minimisers that two documents have, and one
+    of those among them that have more than ``most`` bytes of runs, with their bytes."""
     for table in runs(batches, ["bucket"]):
         sent = [np.frombuffer(x, "u8") for x in table.column("keys").to_pylist()]
         flags = [np.unpackbits(np.frombuffer(f, "u1"), count=len(s)) for f, s in zip(table.column("flags").to_pylist(), sent)]
         keys, where, count = np.unique(np.concatenate(sent), return_inverse=True, return_counts=True)
         many = (count > 1) | (np.bincount(where, np.concatenate(flags), len(keys)) > 0)
-        hits = np.split(many[where], np.cumsum([len(s) for s in sent])[:-1])
-        some = [i for i, h in enumerate(hits) if h.any()]
-        masks = [np.packbits(hits[i]).tobytes() for i in some]
-        yield pa.record_batch([table.column(c).combine_chunks().take(pa.array(some, pa.int64())) for c in ("chunk", "bucket")] + [pa.array(masks, pa.binary())], names=["chunk", "bucket", "mask"])
+        loads = np.concatenate([np.frombuffer(x, "<i4") for x in table.column("loads").to_pylist()])
+        large = many & (np.bincount(where, loads, len(keys)) > most)
+        cuts = np.cumsum([len(s) for s in sent])[:-1]
+        hits, hot, loads = np.split((many & ~large)[where], cuts), np.split(large[where], cuts), np.split(loads, cuts)
+        some = [i for i, (h, g) in enumerate(zip(hits, hot)) if h.any() or g.any()]
+        masks = [[np.packbits(h[i]).tobytes() for i in some] for h in (hits, hot)]
+        hot_bytes = [int(loads[i][hot[i]].sum()) for i in some]
+        yield pa.record_batch([table.column(c).combine_chunks().take(pa.array(some, pa.int64())) for c in ("chunk", "bucket")] + [pa.array(m, pa.binary()) for m in masks] + [pa.array(hot_bytes, pa.int64())], names=["chunk", "bucket", "mask", "hot", "hot_bytes"])
 
 
 def _send(batches: Iterator[pa.RecordBatch], length: int, k: int, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -192,6 +240,29 @@ def _send(batches: Iterator[pa.RecordBatch], length: int, k: int, buckets: int)
             yield pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 5, kinds)], names=["bucket", "chunk", "sizes", "body", "least"])
 
 
+def _send_hot(batches: Iterator[pa.RecordBatch], length: int, k: int, buckets: int, parts: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            _, _, strings, border, least = Runs(row, length, k).hot(row["masks"], buckets, parts)
+            some = np.flatnonzero(np.diff(border))
+            sent = [(strings[s:e].tobytes(), least[s:e].astype("<i8").tobytes()) for s, e in zip(border[some], border[some + 1])]
+            columns = [pa.array(some, pa.int64()), pa.array([row["chunk"]] * len(some), pa.int64()), *[pa.array([x[j] for x in sent], pa.binary()) for j in (0, 1)]]
+            yield pa.record_batch(columns, names=["bucket", "chunk", "strings", "least"])
+
+
+def _judge_hot(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """For each chunk of a part one bit for each of its strings: whether a smaller id than
+    the chunk's smallest has it."""
+    for table in runs(batches, ["bucket"]):
+        own = [np.frombuffer(x, "<i8") for x in table.column("least").to_pylist()]
+        strings = np.frombuffer(b"".join(table.column("strings").to_pylist()), f"S{length}")
+        one, which = np.unique(strings, return_inverse=True)
+        flat, smallest = np.concatenate(own), np.full(len(one), TOP)
+        np.minimum.at(smallest, which, flat)
+        bits = [np.packbits(b).tobytes() for b in np.split(smallest[which] < flat, np.cumsum([len(x) for x in own])[:-1])]
+        yield pa.record_batch([*[table.column(c).combine_chunks() for c in ("chunk", "bucket")], pa.array(bits, pa.binary())], names=["chunk", "bucket", "bits"])
+
+
 def shard_transform(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Suffix order, Burrows-Wheeler transform and last-to-first mapping of one shard.
 
@@ -327,7 +398,7 @@ def spread(flags: np.ndarray, length: int) -> np.ndarray:
     return np.cumsum(edge)[: len(flags)] > 0
 
 
-def _cut(batches: Iterator[pa.RecordBatch], length: int, k: int, buckets: int, as_text: bool) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], length: int, k: int, buckets: int, parts: int, as_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
             r = Runs(row, length, k)
@@ -346,6 +417,14 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int, k: int, buckets: int, a
                     # an id above the chunk's smallest for this run has all of it from that one
                     later = r.dids[r.doc[run]] > np.array(least[b])[string]
                     flags[np.repeat(r.first[run], c) + inner] = bits[np.repeat(start[string], c) + inner] | np.repeat(later, c)
+            if row["hot_bits"]:
+                at, which, _, border, least = r.hot(row["masks"], buckets, parts)
+                before = np.zeros(len(least), bool)
+                for reply in row["hot_bits"]:
+                    s, e = border[reply["bucket"]], border[reply["bucket"] + 1]
+                    before[s:e] = np.unpackbits(np.frombuffer(reply["bits"], "u1"), count=int(e - s)).astype(bool)
+                doc = np.searchsorted(np.cumsum(r.sizes), at, side="right")
+                flags[at] = before[which] | (r.dids[doc] > least[which])
             gone = spread(flags, length)
             ends = np.cumsum(r.sizes)
             kept, n_removed, n_spans, sha = [], [], [], []
@@ -388,16 +467,28 @@ def remove_repeats(
     def by_bucket(df: DataFrame) -> DataFrame:
         return df.repartition("bucket").sortWithinPartitions("bucket", "chunk")
 
-    keys = chunks.mapInArrow(lambda it: _keys(it, length, k, buckets), "bucket long, chunk long, keys binary, flags binary")
-    masks = staged(by_bucket(keys).mapInArrow(_repeated, "chunk long, bucket long, mask binary"), "masks")
-    masks = masks.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "mask")).alias("masks"))
+    keys = chunks.mapInArrow(lambda it: _keys(it, length, k, buckets), "bucket long, chunk long, keys binary, flags binary, loads binary")
+    masks = staged(by_bucket(keys).mapInArrow(lambda it: _repeated(it, bucket_bytes), "chunk long, bucket long, mask binary, hot binary, hot_bytes long"), "masks")
+    # a run of hot bytes has at most length - k + 1 strings
+    hot_bytes = masks.agg(F.sum("hot_bytes")).first()[0] or 0
+    parts = math.ceil(hot_bytes * length * (length - k + 1) / (2 * length - k) / bucket_bytes)
+    with_hot = masks.filter("hot_bytes > 0").select("chunk").distinct()
+    masks = masks.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "mask", "hot")).alias("masks"))
     sent = chunks.select("chunk", "dids", "sizes", "body").join(masks, "chunk")
     sent = sent.mapInArrow(lambda it: _send(it, length, k, buckets), "bucket long, chunk long, sizes binary, body binary, least binary")
     bits = staged(by_bucket(sent).mapInArrow(lambda it: _judge(it, length, shard_bytes), "chunk long, bucket long, bits binary"), "bits")
     bits = bits.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("bits"))
-    told = chunks.select("chunk", "dids", "sizes", "body", "rest").join(masks.join(bits, "chunk"), "chunk", "left")
+    replies = masks.join(bits, "chunk", "left")
+    if parts:
+        hot = chunks.select("chunk", "dids", "sizes", "body").join(masks.join(with_hot, "chunk"), "chunk")
+        hot = hot.mapInArrow(lambda it: _send_hot(it, length, k, buckets, parts), "bucket long, chunk long, strings binary, least binary")
+        hot = staged(by_bucket(hot).mapInArrow(lambda it: _judge_hot(it, length), "chunk long, bucket long, bits binary"), "hot-bits")
+        replies = replies.join(hot.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("hot_bits")), "chunk", "left")
+    else:
+        replies = replies.withColumn("hot_bits", F.lit(None).cast("array<struct<bucket:bigint,bits:binary>>"))
+    told = chunks.select("chunk", "dids", "sizes", "body", "rest").join(replies, "chunk", "left")
     schema = T.StructType([rows.schema["row"], *T.StructType.fromDDL(f"kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").fields])
-    return told.mapInArrow(lambda it: _cut(it, length, k, buckets, as_text), schema)
+    return told.mapInArrow(lambda it: _cut(it, length, k, buckets, parts, as_text), schema)
 
 
 def op9_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:

@@ -370,6 +370,23 @@ def test_repeats(odd, empty, sizes):
     assert suffix_dedup.remove_repeats(empty, as_text=True).count() == 0
 
 
+def test_repeats_with_a_hot_minimiser(spark):
+    """A shared passage in many contexts: no task judges more strings than its share."""
+    import glob
+
+    rng = random.Random(21)
+    passage = prose(rng, 12)
+    pairs = [(i, f"{prose(rng, 12)} {rng.random()} {passage}{rng.random()} {prose(rng, 12)}") for i in range(600)]
+    pairs += [(1000 + i, pairs[i][1][20:]) for i in range(0, 600, 60)] + [(1000, pairs[7][1])]
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(glob.glob(f"{folder}/*bits-*"))
+    rows = suffix_dedup.remove_repeats(spark.createDataFrame(pairs, "doc_id long, text string").repartition(3), chunk_bytes=8000, bucket_bytes=4000, shard_bytes=1000).collect()
+    assert sorted((r.row.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows) == brute_repeats(pairs, 50)
+    for path in set(glob.glob(f"{folder}/*bits-*")) - before:
+        judged = spark.read.parquet(path).groupBy("bucket").agg(F.sum(F.length("bits")).alias("n")).agg(F.max("n")).first()[0]
+        assert judged * 8 < 2500  # strings of a bucket; before, 600 contexts of one minimiser were one bucket
+
+
 @pytest.mark.parametrize("length", [50, 51])
 def test_merged_transforms(length):
     rng = np.random.default_rng(1)
