@@ -2,33 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from stillpoint.functions.tables import written
+from stillpoint.functions.tables import discard, kept, new_path, scratch
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(``a``, ``b``) edges to (``node``, ``root``) rows, the root being the smallest node.
 
     Every round hangs each node's larger neighbours, then its smaller ones, on the smallest
-    neighbour, until nothing changes; a round costs a few shuffles of the edges, none of
-    them gathers a node's neighbours, and its result is a table in the shared folder.
-    Nodes without an edge to another node don't appear.
+    neighbour, until nothing changes, however many rounds that takes (about the logarithm
+    of the longest path). A round costs a few shuffles of the edges, none of them gathers
+    a node's neighbours, and its result is a table in the shared folder; the table before
+    it is deleted. Nodes without an edge to another node don't appear.
     """
-    now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = None
-    for _ in range(most_rounds):
-        # larger neighbours of each node go to its smallest neighbour, itself included
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        # smaller neighbours of each node, and the node, go to the smallest of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        now = written(small.filter("a <> b").distinct(), "edges")
-        new = now.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-        if new == mark:
-            break
-        mark = new
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    spark = edges.sparkSession
+
+    def round_of(df: DataFrame) -> tuple[DataFrame, str, tuple]:
+        """Write a round's edges; count and checksum tell whether it changed them."""
+        seen, path = Observation(), new_path(spark, "edges")
+        df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")).write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path), path, (seen.get["n"], seen.get["sum"])
+
+    paths: list[str] = []
+    with scratch(spark):
+        try:
+            now, path, mark = round_of(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+            paths.append(path)
+            while mark[0]:
+                # larger neighbours of each node go to its smallest neighbour, itself included
+                both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+                least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+                large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+                # smaller neighbours of each node, and the node, go to the smallest of them
+                least = large.groupBy("a").agg(F.min("b").alias("m"))
+                small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+                now, path, new = round_of(small.filter("a <> b").distinct())
+                paths.append(path)
+                discard(spark, paths.pop(0))
+                if new == mark:
+                    break
+                mark = new
+            return kept(now.select(F.col("a").alias("node"), F.col("b").alias("root")), "components")
+        finally:
+            for path in paths:
+                discard(spark, path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,12 +53,12 @@ def overlaps(sets: list[np.ndarray], first: int, same: bool) -> np.ndarray:
     return inter + inter.T if same else inter
 
 
-def linked(sets: list[np.ndarray], ids: np.ndarray, first: int, same: bool, threshold: float) -> np.ndarray:
+def similarities(sets: list[np.ndarray], first: int, same: bool) -> np.ndarray:
+    """Jaccard similarity of the first ``first`` sets with the others."""
     inter = overlaps(sets, first, same)
-    size = np.array([len(s) for s in sets], "f4")
+    size = np.array([len(s) for s in sets], "f8")
     other = slice(0, first) if same else slice(first, None)
-    union = size[:first, None] + size[None, other] - inter
-    return (inter + 1e-4 >= threshold * union) & (ids[:first, None] != ids[None, other])
+    return inter / (size[:first, None] + size[None, other] - inter)
 
 
 def spanning(links: np.ndarray, a: np.ndarray, b: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +92,12 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held)
 
 
-def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+LINKS = "rid long, links long, root long, met long, mass array<double>"
+#: (similarities) -> for each of several depths the chance that a pair has met by it.
+Chances = Callable[[np.ndarray], np.ndarray]
+
+
+def _verify(batches: Iterator[pa.RecordBatch], threshold: float, chances: Chances | None) -> Iterator[pa.RecordBatch]:
     for table in runs(batches, ["grp", "i", "j"]):
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         own = np.asarray(table.column("own"))
@@ -104,29 +109,48 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
         first = len(sets) if same else int((own == i).sum())
         if first == 0 or (not same and first == len(sets)) or len(sets) < 2:
             continue
-        links = linked(sets, ids, first, same, threshold)
         other = slice(0, first) if same else slice(first, None)
+        alike = similarities(sets, first, same)
+        links = (alike >= threshold - 1e-9) & (ids[:first, None] != ids[None, other])
         ra, rb = spanning(links, ids[:first], ids[other], same)
-        near = links @ weight[other].astype("i8")
+        near, met = links @ weight[other].astype("i8"), links.sum(1)
         if not same:
-            near, ra, rb = np.r_[near, links.T @ weight[:first].astype("i8")], np.r_[ra, rb], None
-        has = near > 0
-        yield pa.record_batch([pa.array(ids[has]), pa.array(near[has], pa.int64()), pa.array(ra[has])], names=["rid", "links", "root"])
-
-
-def candidate_groups(edges: DataFrame, block: int) -> DataFrame:
+            near, met = np.r_[near, links.T @ weight[:first].astype("i8")], np.r_[met, links.sum(0)]
+            ra = np.r_[ra, rb]
+        has = met > 0
+        columns = [pa.array(ids[has]), pa.array(near[has], pa.int64()), pa.array(ra[has]), pa.array(met[has], pa.int64())]
+        a, b = np.nonzero(links)
+        mass = []
+        for inverse in 1 / chances(alike[a, b]) if chances else []:
+            total = np.bincount(a, inverse, first)
+            mass.append((total if same else np.r_[total, np.bincount(b, inverse, len(sets) - first)])[has])
+        lists = pa.array(np.stack(mass, axis=1).tolist() if mass else [[]] * int(has.sum()), pa.list_(pa.float64()))
+        yield pa.record_batch([*columns, lists], names=["rid", "links", "root", "met", "mass"])
+
+
+def blocked(groups: DataFrame, loads: DataFrame, block: int, block_grams: int) -> DataFrame:
+    """(``node``, ``root``) rows of groups, roots included, to rows of ``candidate_groups``.
+    A block has about ``block`` sets and ``block_grams`` grams in all; ``loads`` has the
+    number of grams ``n`` of each set ``rid``."""
+    members = groups.select(F.col("node").alias("rid"), F.col("root").alias("grp")).join(loads.select("rid", "n"), "rid")
+    count, grams = F.count(F.lit(1)) / block, F.sum("n") / block_grams
+    sizes = members.groupBy("grp").agg(F.ceil(F.greatest(count, grams)).cast("int").alias("blocks"))
+    members = members.join(sizes, "grp").withColumn("own", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    return members.select("rid", "grp", "blocks", "own")
+
+
+def candidate_groups(edges: DataFrame, loads: DataFrame, block: int, block_grams: int = 4_000_000) -> DataFrame:
     """(``a``, ``b``) edges of sets that met to rows of each set ``rid``: its group ``grp``,
-    the number of ``blocks`` of about ``block`` sets of the group, and its ``own`` block."""
+    the number of ``blocks`` of the group, and its ``own`` block."""
     groups = connected_components(edges)
-    members = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
-    sizes = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    members = members.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    return members.select(F.col("node").alias("rid"), F.col("root").alias("grp"), "blocks", "own")
+    return blocked(groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()), loads, block, block_grams)
 
 
-def verified(sets: DataFrame, threshold: float) -> DataFrame:
+def verified(sets: DataFrame, threshold: float, chances: Chances | None = None) -> DataFrame:
     """Every pair of sets of a group verified, by pairs of blocks: for a block pair and a
-    set with links its number of ``links``, weighted, and the smallest ``root`` they reach.
+    set with links its number of ``links``, weighted, and of linked sets (``met``), and the
+    smallest ``root`` they reach. With ``chances``, ``mass`` has for each depth the sum over
+    the linked sets of 1 / the chance to have met them.
 
     ``sets`` has the columns of ``candidate_groups``, ``weight`` and ``grams``, the distinct
     64-bit hashes of the set as bytes."""
@@ -134,4 +158,4 @@ def verified(sets: DataFrame, threshold: float) -> DataFrame:
     pairs = sets.select("rid", "weight", "grp", "own", "grams", partner)
     pairs = pairs.select("rid", "weight", "grp", "own", "grams", F.least("own", "p").alias("i"), F.greatest("own", "p").alias("j"))
     dealt = pairs.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "rid")
-    return written(dealt.mapInArrow(lambda it: _verify(it, threshold), "rid long, links long, root long"), "links")
+    return written(dealt.mapInArrow(lambda it: _verify(it, threshold, chances), LINKS), "links")

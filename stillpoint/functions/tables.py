@@ -4,18 +4,68 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_OPEN: list[list[str]] = []
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` below ``spark.checkpoint.dir`` and read it back. Only a session that
-    names no such folder (unit tests) gets a temporary one."""
-    spark = df.sparkSession
+
+def shared_root(spark: SparkSession) -> str:
+    """Folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Only a local session that names none (unit tests) gets a temporary folder, which is
+    recorded in the session; on a cluster the setting is required."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="stillpoint-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def new_path(spark: SparkSession, tag: str) -> str:
+    return f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared root through the Hadoop file system."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables ``written`` inside are deleted at the end, also after an error; a result that
+    is to outlive them is ``kept``."""
+    paths: list[str] = []
+    _OPEN.append(paths)
+    try:
+        yield
+    finally:
+        _OPEN.pop()
+        for path in paths:
+            discard(spark, path)
+
+
+def _write(df: DataFrame, tag: str, scope: int) -> DataFrame:
+    spark = df.sparkSession
+    path = new_path(spark, tag)
+    if len(_OPEN) >= scope:
+        _OPEN[-scope].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: the lineage is cut at a table
+    that outlives any executor."""
+    return _write(df, tag, 1)
+
+
+def kept(df: DataFrame, tag: str) -> DataFrame:
+    """As ``written``, for the result of a ``scratch`` block: the table stays."""
+    return _write(df, tag, 2)

@@ -81,7 +81,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.set_column(batch.schema.get_field_index("grams"), "grams", pa.array([np.asarray(g.values, "i8").tobytes() for g in batch.column("grams")], pa.binary()))
 
 
-def duplicate_groups(items: DataFrame, threshold: float = 0.8, width: int = 5, bands: int = 32, rows: int = 6, block: int = 2048) -> DataFrame:
+def duplicate_groups(items: DataFrame, threshold: float = 0.8, width: int = 5, bands: int = 32, rows: int = 6, block: int = 256) -> DataFrame:
     """Group of each item: the smallest item it is linked with, exactly or nearly.
 
     Texts with equal normal form are one. The others meet in MinHash bands; items that
@@ -101,7 +101,7 @@ def duplicate_groups(items: DataFrame, threshold: float = 0.8, width: int = 5, b
     keyed = written(sets.mapInPandas(lambda it: _band_keys(it, bands, rows), "item_id long, band int, key long"), "bands")
     met = keyed.groupBy("band", "key").agg(F.min("item_id").alias("b"), F.max("item_id").alias("last")).filter("b <> last").drop("last")
     edges = keyed.join(met, ["band", "key"]).filter("item_id <> b").select(F.col("item_id").alias("a"), "b")
-    members = written(candidate_groups(edges, block), "members")
+    members = written(candidate_groups(edges, sets.select(F.col("item_id").alias("rid"), F.size("grams").alias("n")), block), "members")
     candidates = sets.select(F.col("item_id").alias("rid"), "grams").join(members, "rid").select("rid", F.lit(1).cast("long").alias("weight"), "grp", "blocks", "own", "grams")
     candidates = candidates.mapInArrow(_packed, "rid long, weight long, grp long, blocks int, own int, grams binary")
     links = verified(candidates, threshold).select(F.col("rid").alias("a"), F.col("root").alias("b"))
