@@ -1,44 +1,20 @@
-"""Shared helpers: the shared working folder, staged tables, block sizes."""
+"""Shared helpers: staged tables, batch sizes, ids and texts of rows."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-HELD_LAST = (1 << 63) - 1
-
+from stillpoint.functions.tables import discard, new_path, written
 
-def shared_root(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``.
+__all__ = ["bounded_batches", "discard", "held_out", "new_path", "order_id", "packed_rows", "staged"]
 
-    Only where the session names none (unit tests in local mode) a temporary folder
-    is taken and recorded in the session.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="stillpoint-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
+HELD_LAST = (1 << 63) - 1
 
 
-def staged(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage at a table
-    that outlives any executor."""
-    spark = df.sparkSession
-    path = new_path(spark, tag)
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(spark.read.parquet(path).schema if partition_by else df.schema).parquet(path)
+def staged(df: DataFrame, tag: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back."""
+    return written(df, tag)
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -49,12 +25,6 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared root through the Hadoop file system."""
-    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
-
-
 def order_id(column: str) -> Column:
     """A document id for ordering; a null id sorts after every other one."""
     return F.coalesce(F.col(column).cast("long"), F.lit(HELD_LAST))
@@ -70,15 +40,6 @@ def packed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def with_text(docs: DataFrame, rows: DataFrame, text_col: str, text: Column) -> DataFrame:
-    """Unpack ``row`` with the text column replaced."""
-    return rows.select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
-
-
 def held_out(id_col: str, modulus: int, remainder: int) -> Column:
     """True for rows whose crc32 of the id as text leaves ``remainder``."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
-
-
-def texts_of(batch: pa.RecordBatch, name: str) -> list[str]:
-    return [t or "" for t in batch.column(name).to_pylist()]

@@ -143,11 +143,29 @@ def test_components(spark):
     assert got == {n: r for n, r in root.items() if n != r}
 
 
-def test_forest_depth():
-    depth = jaccard.forest_depth(0.8, 32, 10, 0.9999)
-    assert 1 - (1 - 0.8**depth) ** 32 >= 0.9999 > 1 - (1 - 0.8 ** (depth + 1)) ** 32
+def test_prefix_lengths():
+    levels = jaccard.prefix_lengths(0.8, 32, 10, 0.9999)
+    assert levels == [10, 8, 6]
+    assert jaccard.meeting_chance(0.8, 6, 32) >= 0.9999 > jaccard.meeting_chance(0.8, 7, 32)
+    assert jaccard.prefix_lengths(0.8, 32, 10, 0.9) == [10]
     with pytest.raises(ValueError):
-        jaccard.forest_depth(0.1, 2, 5, 0.999)
+        jaccard.prefix_lengths(0.1, 2, 5, 0.999)
+
+
+def test_tries_in_order():
+    """The longest prefix shared with a neighbour is the longest shared with any row of the task."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    rows = sorted((int(t), rng.integers(0, 3, 5).astype(">u2").tobytes(), int(r)) for r, t in enumerate(rng.integers(0, 2, 300)))
+    rows += [(7, np.array([9, 9, 9, 9, k], ">u2").tobytes(), 1000 + k) for k in (1, 2)] + [(8, bytes(10), 2000), (9, bytes(10), 2001), (10, bytes(10), 2002)]
+    for size in (1, 7, 1000):
+        batches = [pa.record_batch([pa.array(c) for c in zip(*rows[i : i + size])], names=["tree", "label", "rid"]) for i in range(0, len(rows), size)]
+        got = {r["rid"]: r["matched"] for b in jaccard._matched(iter(batches), 2, 5) for r in b.to_pylist()}
+        shared = lambda x, y: 0 if x[0] != y[0] else next((k for k in range(5) if x[1][2 * k : 2 * k + 2] != y[1][2 * k : 2 * k + 2]), 5)
+        want = {x[2]: max(shared(x, y) for y in rows if y is not x) for x in rows}
+        want[rows[0][2]] = want[rows[-1][2]] = 5  # borders of the task
+        assert got == {r: m for r, m in want.items() if m >= 2}
 
 
 def library(path):
