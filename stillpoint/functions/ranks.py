@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Priorities of sources and of decisions.
 SOURCES = {"scene": 3, "seed": 2, "periodic": 1}
 REVIEWS = {"accepted": 3, "pending": 2, "rejected": 0}
 

@@ -31,10 +31,27 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared root through the Hadoop file system."""
+def _file_system(spark: SparkSession, path: str):
     hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+    return hpath, hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder through the Hadoop file system."""
+    hpath, fs = _file_system(spark, path)
+    fs.delete(hpath, True)
+
+
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """Rename a folder through the Hadoop file system."""
+    hpath, fs = _file_system(spark, path)
+    if not fs.rename(hpath, _file_system(spark, to)[0]):
+        raise OSError(f"cannot move {path} to {to}")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    hpath, fs = _file_system(spark, path)
+    return fs.exists(hpath)
 
 
 @contextmanager

@@ -5,18 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stillpoint.functions.ids import millis
-from stillpoint.functions.ranks import SOURCES, best_first, source_priority
+from stillpoint.functions.ranks import best_first, source_priority
+from stillpoint.functions.spans import SECONDS
 
-#: Islands of more events than this are folded by a streaming helper.
-DENSE = 1000
-#: Seconds of a video that one task orders at most.
-SPAN = 86_400.0
 #: Room for the events of one source in the order of a union.
 LANE = 1 << 40
 
@@ -96,60 +93,44 @@ def _islands(events: DataFrame, spacing: float, span: float) -> DataFrame:
     return inner.withColumn("_own", own).join(whole, ["video_ord", "_span"]).withColumn("_island", F.col("_before") + F.col("_own")).drop("_span", "_last", "_own", "_before")
 
 
-def _fold(islands: DataFrame, spacing: float, columns: list[str]) -> DataFrame:
-    """Fold each island inside the engine; the state is the last kept event."""
-    prio, score = source_priority(F.col("source")), F.coalesce("score", F.lit(0.0))
-    event = F.struct("t", "ord", prio.alias("prio"), score.alias("rank_score"), F.struct(*columns).alias("row"))
-    lists = islands.groupBy("video_ord", "_island").agg(F.array_sort(F.collect_list(event)).alias("events"))
-    first, rest = F.col("events")[0], F.slice("events", 2, F.greatest(F.size("events") - 1, F.lit(0)))
-    state = F.struct(F.slice(F.transform("events", lambda e: e["row"]), 1, 0).alias("done"), first.alias("last"))
-
-    def step(s: Column, e: Column) -> Column:
-        last = s["last"]
-        far = e["t"] - last["t"] >= spacing
-        better = (e["prio"] > last["prio"]) | ((e["prio"] == last["prio"]) & (e["rank_score"] > last["rank_score"]))
-        done = F.when(far, F.array_append(s["done"], last["row"])).otherwise(s["done"])
-        return F.struct(done.alias("done"), F.when(far | better, e).otherwise(last).alias("last"))
-
-    kept = F.aggregate(rest, state, step, lambda s: F.array_append(s["done"], s["last"]["row"]))
-    return lists.select(F.inline(kept))
-
-
-def _stream(frames: Iterator[pd.DataFrame], spacing: float) -> Iterator[pd.DataFrame]:
-    """The same fold over rows sorted by island and time, one event held at a time."""
-    key = held = rank = None
-    for frame in frames:
-        out = []
-        for i, (k, t, p, s) in enumerate(zip(zip(frame["video_ord"], frame["_island"]), frame["t"], frame["source"].map(SOURCES).fillna(0), frame["score"].fillna(0.0))):
-            if k != key or t - held["t"] >= spacing:
-                if held is not None:
-                    out.append(held)
-                key, held, rank = k, frame.iloc[i], (p, s)
-            elif (p, s) > rank:
-                held, rank = frame.iloc[i], (p, s)
-        if out:
-            yield pd.DataFrame(out, columns=frame.columns)
+def _fold(batches: Iterator[pa.RecordBatch], spacing: float) -> Iterator[pa.RecordBatch]:
+    """Kept events of rows sorted by island and time. What is held between batches is the
+    last kept event alone."""
+    held = key = last = rank = None
+    for batch in batches:
+        kept, at = [], -1  # place of the last kept event, -1 while it is ``held``
+        columns = [batch.column(c).to_pylist() for c in ("video_ord", "_island", "t", "_priority", "_score")]
+        for i, (video, island, t, priority, score) in enumerate(zip(*columns)):
+            if (video, island) != key or t - last >= spacing:
+                if at >= 0:
+                    kept.append(at)
+                elif held is not None:
+                    yield held
+                key, last, rank, at = (video, island), t, (priority, score), i
+            elif (priority, score) > rank:
+                last, rank, at = t, (priority, score), i
+        if kept:
+            yield batch.take(pa.array(kept))
+        if at >= 0:
+            held = batch.slice(at, 1)
     if held is not None:
-        yield pd.DataFrame([held])
+        yield held
 
 
-def spacing_merge(events: DataFrame, spacing: float, dense: int = DENSE, span: float = SPAN) -> DataFrame:
+def spacing_merge(events: DataFrame, spacing: float, span: float = SECONDS) -> DataFrame:
     """Keep events at least ``spacing`` apart: by ascending time, an event near the last
     kept one replaces it if it ranks strictly higher, and is dropped otherwise.
 
     Only the last kept event can be near, and a gap of ``spacing`` between neighbours of
     the input always starts a new kept event, so the stretches between such gaps are
-    folded apart from each other.
+    folded apart from each other, each as a sorted stream of which one event is held.
     """
     if spacing == 0:
         return events
-    columns = events.columns
     islands = _islands(events, spacing, span)
-    sized = islands.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy("video_ord", "_island")))
-    few = _fold(sized.filter(F.col("_size") <= dense), spacing, columns)
-    many = sized.filter(F.col("_size") > dense).drop("_size").repartition("video_ord", "_island").sortWithinPartitions("video_ord", "_island", "t", "ord")
-    streamed = many.mapInPandas(lambda it: _stream(it, spacing), many.schema)
-    return few.unionByName(streamed.select(*columns))
+    ranked = islands.withColumn("_priority", source_priority(F.col("source"))).withColumn("_score", F.coalesce("score", F.lit(0.0)))
+    dealt = ranked.repartition("video_ord", "_island").sortWithinPartitions("video_ord", "_island", "t", "ord")
+    return dealt.mapInArrow(lambda it: _fold(it, spacing), dealt.schema).select(*events.columns)
 
 
 def candidate_cap(events: DataFrame, most: int | None) -> DataFrame:

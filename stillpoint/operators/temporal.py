@@ -1,70 +1,104 @@
-"""Time within a video: nearest segments, neighbours, slices and ordered chains."""
+"""Time within a video: nearest segments, neighbours, slices and ordered chains.
+
+A video may be long, so none of these orders a whole one in a task: times are taken in
+spans, and what a span needs of the others is carried by one row a span."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from stillpoint.functions.spans import SECONDS, running_count
+
+
+def _span(t: Column, span: float) -> Column:
+    return F.floor(t / span)
+
 
-def nearest_segment(frames: DataFrame, segments: DataFrame) -> DataFrame:
+def nearest_segment(frames: DataFrame, segments: DataFrame, span: float = SECONDS) -> DataFrame:
     """For each frame (video_id, frame_id, t) the segment (video_id, segment_id, t) of its
-    video at the least distance, the earlier on ties; none if the video has none.
+    video at the least distance, on ties the earlier, then the smaller id; none if the
+    video has none. Segments without a time take no part, frames without one have none.
 
     Both kinds are ordered together and the last segment before and the first after are
-    filled in, so no range join is needed."""
-    f = frames.select("video_id", "t", "frame_id", F.lit(None).cast("struct<t:double,segment_id:long>").alias("seg"))
-    s = segments.select("video_id", "t", F.lit(None).cast(frames.schema["frame_id"].dataType).alias("frame_id"), F.struct(F.col("t").cast("double").alias("t"), F.col("segment_id").cast("long").alias("segment_id")).alias("seg"))
-    kind = F.col("seg").isNull()
-    order = Window.partitionBy("video_id").orderBy("t", kind, F.col("seg.segment_id"))
-    back = Window.partitionBy("video_id").orderBy(F.desc("t"), kind, F.col("seg.segment_id").desc())
-    both = f.unionByName(s).withColumn("before", F.last("seg", ignorenulls=True).over(order)).withColumn("after", F.last("seg", ignorenulls=True).over(back))
-    # of equal times before a frame the smallest id counts
-    early = F.col("t") - F.col("before.t")
-    late = F.col("after.t") - F.col("t")
-    best = F.when(F.col("after").isNull() | (early <= late), F.col("before")).otherwise(F.col("after"))
-    out = both.filter("frame_id is not null").withColumn("best", best)
-    return out.select("video_id", "frame_id", "t", F.col("best.segment_id").alias("segment_id"), F.abs(F.col("best.t") - F.col("t")).alias("distance"))
-
-
-def neighbors(hits: DataFrame, frames: DataFrame, n: int) -> DataFrame:
-    """Each hit (video_id, frame_id) expanded to the ±n nearest frames of its video."""
-    place = Window.partitionBy("video_id").orderBy("t", "frame_id")
-    placed = frames.select("video_id", "frame_id", "t", F.row_number().over(place).alias("_n"))
-    around = hits.join(placed.drop("t"), ["video_id", "frame_id"]).select("video_id", F.explode(F.sequence(F.col("_n") - n, F.col("_n") + n)).alias("_n")).distinct()
-    return placed.join(around, ["video_id", "_n"]).select("video_id", "frame_id", "t")
-
-
-def temporal_slice(frames: DataFrame, part: str, share: float = 0.25, anchors: DataFrame | None = None) -> DataFrame:
+    running extremes, first inside a span and then over spans, so no range join is needed."""
+    seg = F.struct(F.col("t").cast("double").alias("t"), (-F.col("segment_id")).cast("long").alias("back"))
+    ahead = F.struct(F.col("t").cast("double").alias("t"), F.col("segment_id").cast("long").alias("id"))
+    f = frames.select("video_id", "t", "frame_id", F.lit(None).cast("struct<t:double,back:long>").alias("before"), F.lit(None).cast("struct<t:double,id:long>").alias("after"))
+    s = segments.filter("t is not null").select("video_id", "t", F.lit(None).cast(frames.schema["frame_id"].dataType).alias("frame_id"), seg.alias("before"), ahead.alias("after"))
+    both = f.unionByName(s).withColumn("_span", _span(F.col("t"), span))
+    spans = both.groupBy("video_id", "_span").agg(F.max("before").alias("_last"), F.min("after").alias("_first"))
+    order = Window.partitionBy("video_id").orderBy("_span")  # one row a span
+    spans = spans.select(
+        "video_id", "_span", F.max("_last").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"),
+        F.min("_first").over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_later"),
+    )
+    up = F.max("before").over(Window.partitionBy("video_id", "_span").orderBy("t"))
+    down = F.min("after").over(Window.partitionBy("video_id", "_span").orderBy(F.desc("t")))
+    placed = both.withColumn("before", up).withColumn("after", down).filter("frame_id is not null").join(spans, ["video_id", "_span"], "left")
+    placed = placed.withColumn("before", F.coalesce("before", "_earlier")).withColumn("after", F.coalesce("after", "_later"))
+    early, late = F.col("t") - F.col("before.t"), F.col("after.t") - F.col("t")
+    first = F.col("after").isNull() | (early <= late)
+    return placed.select("video_id", "frame_id", "t", F.when(first, -F.col("before.back")).otherwise(F.col("after.id")).alias("segment_id"), F.when(first, early).otherwise(late).alias("distance"))
+
+
+def neighbors(hits: DataFrame, frames: DataFrame, n: int, span: float = SECONDS) -> DataFrame:
+    """Each hit (video_id, frame_id) expanded to the ±n nearest frames of its video by
+    position, each frame once. Hits that are no frame, and frames without a time, are left out."""
+    order = [F.col("t"), F.col("frame_id")]
+    numbered = running_count(frames.select("video_id", "frame_id", "t"), "video_id", _span(F.col("t"), span), order, F.lit(True), "_n", "_all").drop("_all")
+    around = hits.select("video_id", "frame_id").distinct().join(numbered.drop("t"), ["video_id", "frame_id"])
+    around = around.select("video_id", F.explode(F.sequence(F.col("_n") - n, F.col("_n") + n)).alias("_n")).distinct()
+    return numbered.join(around, ["video_id", "_n"]).select("video_id", "frame_id", "t")
+
+
+def temporal_slice(frames: DataFrame, part: str, share: float = 0.25, anchors: DataFrame | None = None, span: float = SECONDS) -> DataFrame:
     """The ``first`` or ``last`` share of a video's frames, or those ``after`` its anchor
-    (video_id, anchor_t)."""
+    (video_id, anchor_t). A share counts the frames before a frame among all others of its
+    video, as a percent rank; frames of equal time and id stand together, those without a
+    time take no part."""
     if part == "after":
         return frames.join(anchors.select("video_id", "anchor_t"), "video_id").filter(F.col("t") > F.col("anchor_t")).drop("anchor_t")
-    ties = (F.asc, F.asc) if part == "first" else (F.desc, F.desc)
-    order = Window.partitionBy("video_id").orderBy(ties[0]("t"), ties[1]("frame_id"))
-    return frames.withColumn("_p", F.percent_rank().over(order)).filter(F.col("_p") <= share).drop("_p")
+    if part not in ("first", "last"):
+        raise ValueError(f"unknown part: {part}")
+    turn = F.asc if part == "first" else F.desc
+    up = _span(F.col("t"), span)
+    tied = frames.groupBy("video_id", "t", "frame_id").agg(F.count(F.lit(1)).alias("_tied"))
+    rows = frames.join(tied, ["video_id", "t", "frame_id"])
+    rows = running_count(rows, "video_id", up if part == "first" else -up, [turn("t"), turn("frame_id")], F.lit(True), "_n", "_all")
+    # a running count ends with the last of equals, a rank begins with their first
+    rank = F.col("_n") - F.col("_tied")
+    return rows.filter(rank <= F.lit(share) * (F.col("_all") - 1)).select(*frames.columns)
 
 
 def sequences(hits: DataFrame, steps: list[str], gap: float) -> DataFrame:
     """For each video the best chain of hits (video_id, step, t, frame_id, score): one for
-    each step, strictly later than the one before and by at most ``gap``.
+    each step, strictly later than the one before and by at most ``gap``. Ties of the total
+    go to the chain of smaller ids.
 
     Each step keeps the best chain that ends in each hit: the best predecessor is the
-    maximum over a range window of the chains of the step before, so no pair is made."""
-    chains = hits.filter(F.col("step") == steps[0]).select("video_id", "t", "frame_id", "score", F.col("score").alias("total"), F.array("frame_id").alias("chain"))
+    maximum over a range window of the chains of the step before, so no pair is made. The
+    window works in spans as long as the gap; a chain is seen by its span and the next."""
+    reach = round(gap * 1_000_000)
+    if reach < 1:
+        raise ValueError("gap must be positive")
+    micros = F.round(F.col("t") * 1_000_000).cast("long")
+    at_span = F.floor(F.col("_at") / reach)
+    chains = hits.filter(F.col("step") == steps[0]).select("video_id", "t", "frame_id", F.col("score").alias("total"), F.array("frame_id").alias("chain"))
     for step in steps[1:]:
         now = hits.filter(F.col("step") == step).select("video_id", "t", "frame_id", "score", F.lit(None).cast("struct<total:double,back:long,chain:array<long>>").alias("best"))
+        now = now.withColumn("_at", micros).withColumn("_span", at_span)
         then = chains.select("video_id", "t", F.lit(None).cast("long").alias("frame_id"), F.lit(None).cast("double").alias("score"),
                              F.struct(F.col("total"), (-F.element_at("chain", -1)).alias("back"), F.col("chain")).alias("best"))
-        micros = F.round(F.col("t") * 1_000_000).cast("long")
-        before = Window.partitionBy("video_id").orderBy("_at").rangeBetween(-round(gap * 1_000_000), -1)
-        both = now.unionByName(then).withColumn("_at", micros).withColumn("prior", F.max("best").over(before))
-        found = both.filter("frame_id is not null and prior is not null")
-        chains = found.select("video_id", "t", "frame_id", "score", (F.col("prior.total") + F.col("score")).alias("total"), F.array_append("prior.chain", F.col("frame_id")).alias("chain"))
-    best = Window.partitionBy("video_id").orderBy(F.desc("total"), "chain")
-    return chains.withColumn("_n", F.row_number().over(best)).filter("_n = 1").select("video_id", "total", "chain")
+        then = then.withColumn("_at", micros).withColumn("_span", F.explode(F.array(at_span, at_span + 1)))
+        before = Window.partitionBy("video_id", "_span").orderBy("_at").rangeBetween(-reach, -1)
+        found = now.unionByName(then).withColumn("prior", F.max("best").over(before)).filter("frame_id is not null and prior is not null")
+        chains = found.select("video_id", "t", "frame_id", (F.col("prior.total") + F.col("score")).alias("total"), F.array_append("prior.chain", F.col("frame_id")).alias("chain"))
+    best = chains.groupBy("video_id").agg(F.min(F.struct((-F.col("total")).alias("less"), F.col("chain"))).alias("b"))
+    return best.select("video_id", (-F.col("b.less")).alias("total"), F.col("b.chain").alias("chain"))
 
 
 def union_all(*frames: DataFrame) -> DataFrame:

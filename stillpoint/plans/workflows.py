@@ -1,13 +1,25 @@
-"""Whole jobs: plan, prepare, finalize, run."""
+"""Whole jobs: plan, prepare, finalize, run.
+
+``plan``, ``prepare``, ``finalize`` and ``run`` are the transformations. The jobs around
+them read a video source or a manifest, check it, write the manifests in order and count.
+Decoding stays outside: what video tools said of the videos comes as tables, and the
+frames that they are to read and write are worklists.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stillpoint.functions.tables import exists, written
 from stillpoint.operators import events as ev
 from stillpoint.operators import review as rv
 from stillpoint.options import ReviewOptions, SelectionOptions
+from stillpoint.sources import manifests as mf
+from stillpoint.sources import probes as pr
+from stillpoint.sources import videos as vs
 
 
 def plan(videos: DataFrame, scenes: DataFrame, options: SelectionOptions) -> DataFrame:
@@ -34,3 +46,65 @@ def finalize(candidates: DataFrame, root: str, options: ReviewOptions) -> DataFr
 
 def run(videos: DataFrame, scenes: DataFrame, root: str, selection: SelectionOptions, review: ReviewOptions, earlier: DataFrame | None = None) -> DataFrame:
     return finalize(prepare(videos, scenes, f"{root}/candidates", selection, earlier), f"{root}/keyframes", review)
+
+
+@dataclass(frozen=True)
+class JobResult:
+    """What a job left: the paths of its manifests, its counts, and the images still to be
+    made (``worklist``; for candidates with the times to try and the image quality)."""
+
+    candidates_manifest: str
+    keyframes_manifest: str | None
+    candidate_count: int
+    keyframe_count: int
+    worklist: DataFrame
+
+
+def extraction_worklist(rows: DataFrame, files: DataFrame, options: SelectionOptions) -> DataFrame:
+    """Reading attempts of the candidates whose image is absent, or of all if ``overwrite``."""
+    missing = rv.worklist(rows, files, overwrite=options.overwrite).select("video_path", "image_path", F.col("timestamp_seconds").alias("t"))
+    return ev.read_attempts(missing).withColumn("quality", F.lit(options.image_quality))
+
+
+def export_worklist(rows: DataFrame, files: DataFrame, options: ReviewOptions) -> DataFrame:
+    """Copies from candidate to keyframe images that are absent, or all if ``overwrite``."""
+    return rv.worklist(rows, files, overwrite=options.overwrite).select("source_image", "image_path")
+
+
+def prepare_job(
+    spark: SparkSession, source: str, out: str, files: DataFrame, probes: DataFrame, logs: DataFrame, options: SelectionOptions, recursive: bool = True
+) -> JobResult:
+    """Load and check a video source, plan candidates, carry the decisions of the manifest
+    that an earlier run left below ``out``, and replace it.
+
+    ``files`` (path) lists what exists, ``probes`` (path, payload) and ``logs`` (path, text)
+    are what video tools said; a video without them has no duration and no scenes. Videos
+    that don't exist are an error before anything is planned."""
+    manifest = f"{out.rstrip('/')}/manifests/candidate_keyframes.jsonl"
+    videos = written(vs.load_videos(spark, source, recursive), "videos")
+    vs.require_videos(videos, files)
+    one = probes.groupBy("path").agg(F.first("payload", ignorenulls=True).alias("payload"))
+    timed = pr.parse_probe(videos.select("video_ord", "video_id", "path").join(one, "path", "left"))
+    lines = pr.split_log(videos.join(logs, "path").select("video_ord", "video_id", "text"))
+    scenes = pr.parse_scene_log(lines).withColumn("source", F.lit("scene"))
+    earlier = mf.read_candidates(spark, manifest) if exists(spark, manifest) else None
+    rows = written(prepare(timed.join(videos.select("video_ord", "path"), "video_ord"), scenes, f"{out.rstrip('/')}/candidates", options, earlier), "candidates")
+    n = mf.write_manifest(rows, mf.CANDIDATE_KEYS, manifest, mf.CANDIDATE_ORDER)
+    return JobResult(manifest, None, n, 0, extraction_worklist(rows, files, options))
+
+
+def finalize_job(spark: SparkSession, manifest: str, out: str, files: DataFrame, options: ReviewOptions) -> JobResult:
+    """Read a reviewed candidate manifest strictly, select keyframes and replace the keyframe
+    manifest below ``out``."""
+    target = f"{out.rstrip('/')}/manifests/keyframes.jsonl"
+    candidates = written(mf.read_candidates(spark, manifest), "candidates")
+    rows = written(finalize(candidates, f"{out.rstrip('/')}/keyframes", options), "keyframes")
+    n = mf.write_manifest(rows, mf.KEYFRAME_KEYS, target, mf.KEYFRAME_ORDER)
+    return JobResult(manifest, target, candidates.count(), n, export_worklist(rows, files, options))
+
+
+def run_job(
+    spark: SparkSession, source: str, out: str, files: DataFrame, probes: DataFrame, logs: DataFrame, selection: SelectionOptions, review: ReviewOptions, recursive: bool = True
+) -> JobResult:
+    """Prepare, then finalize what was prepared."""
+    return finalize_job(spark, prepare_job(spark, source, out, files, probes, logs, selection, recursive).candidates_manifest, out, files, review)

@@ -19,14 +19,13 @@ def _items(spark, d):
 
 
 def _queries(spark, d):
-    """The first words of each benchmark text."""
-    words = F.slice(F.split("text", " "), 1, 2)
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("text"))
+    """The whole benchmark texts."""
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 TERMS = r"list_filter(string_split_regex(lower(coalesce({}, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 POST = f"post AS (SELECT term, item_id, count(*) AS tf FROM (SELECT doc_id AS item_id, unnest({TERMS.format('text')}) AS term FROM documents) GROUP BY term, item_id)"
-QT = f"""q0 AS (SELECT item_id AS query_id, array_to_string(list_slice(string_split(text, ' '), 1, 2), ' ') AS qtext FROM benchmark),
+QT = f"""q0 AS (SELECT item_id AS query_id, text AS qtext FROM benchmark),
 qt AS (SELECT query_id, len(ts) AS n_terms, unnest(ts) AS term FROM (SELECT query_id, list_distinct({TERMS.format('qtext')}) AS ts FROM q0))"""
 EXACT = f"{POST}, {QT}, hit AS (SELECT query_id, item_id, CAST(sum(tf) AS BIGINT) AS score FROM post JOIN qt USING (term) GROUP BY query_id, item_id HAVING count(*) = any_value(n_terms))"
 
@@ -122,12 +121,12 @@ def index_filter(spark, d):
 def _length_hits(spark, d):
     """A second index: the same pairs, scored by the length of the item."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.col("n_chars").cast("double").alias("score"))
-    return _hits(spark, d).drop("score").join(docs, "item_id").filter("item_id % 2 = 0").select("query_id", "item_id", "score")
+    return _hits(spark, d).drop("score").join(docs, "item_id").select("query_id", "item_id", "score")
 
 
 FAN = f"""{EXACT}, l AS (
   SELECT query_id, item_id, CAST(score AS DOUBLE) AS score, 'text' AS signal FROM hit
-  UNION ALL SELECT query_id, item_id, CAST(n_chars AS DOUBLE), 'size' FROM hit JOIN documents ON doc_id = item_id WHERE item_id % 2 = 0
+  UNION ALL SELECT query_id, item_id, CAST(n_chars AS DOUBLE), 'size' FROM hit JOIN documents ON doc_id = item_id
 ), n AS (
   SELECT query_id, item_id, signal, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1.0 END AS score
   FROM l WINDOW w AS (PARTITION BY query_id, signal)
@@ -207,12 +206,12 @@ def nearest_segment(spark, d):
 @query(
     "neighbors",
     f"""WITH {EV}, p AS (SELECT video_id, ord AS frame_id, t, row_number() OVER (PARTITION BY video_id ORDER BY t, ord) AS n FROM ev),
-h AS (SELECT DISTINCT p.video_id, p.n + i AS n FROM p, (SELECT unnest([-2, -1, 0, 1, 2]) AS i) WHERE p.frame_id % 97 = 0)
+h AS (SELECT DISTINCT p.video_id, p.n + i AS n FROM p, (SELECT unnest([-2, -1, 0, 1, 2]) AS i) WHERE p.frame_id % 50 = 0)
 SELECT video_id, frame_id, t FROM p JOIN h USING (video_id, n)""",
 )
 def neighbors(spark, d):
     frames = events(spark, d).select("video_id", F.col("ord").alias("frame_id"), "t")
-    return te.neighbors(frames.filter("frame_id % 97 = 0"), frames, 2)
+    return te.neighbors(frames.filter("frame_id % 50 = 0"), frames, 2)
 
 
 SLICE = "SELECT video_id, frame_id, t, '{0}' AS part FROM (SELECT *, percent_rank() OVER (PARTITION BY video_id ORDER BY t {1}, frame_id {1}) AS p FROM f) WHERE p <= 0.25"

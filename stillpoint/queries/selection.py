@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 
 from stillpoint.functions.ids import video_id
 from stillpoint.functions.ranks import review_priority
+from stillpoint.functions.spans import placed
+from stillpoint.functions.tables import new_path
 from stillpoint.operators import events as ev
 from stillpoint.operators import review as rv
 from stillpoint.options import ReviewOptions, SelectionOptions
 from stillpoint.plans import workflows as wf
+from stillpoint.plans.requests import checked_requests
 from stillpoint.queries.base import CAND, CID, DPRIO, EV, KID, PRIO, STEP, VID, candidates, events, query, table, videos
 from stillpoint.sources import manifests as mf
 from stillpoint.sources import probes as pr
@@ -247,15 +250,8 @@ def run_summary(spark, d):
 
 @query("output_order", f"WITH {EV}, {CAND}, {KEPT.format('cand')} SELECT candidate_id, ord, CAST(row_number() OVER (ORDER BY video_id, t, ord) AS INTEGER) AS place FROM k")
 def output_order(spark, d):
-    from pyspark.sql.window import Window
-
     rows = rv.keyframe_cap(rv.review_filter(candidates(spark, d)), 5)
-    ranged = rows.repartitionByRange("video_id", "timestamp_seconds", "ord").withColumn("_p", F.spark_partition_id())
-    own = Window.partitionBy("_p").orderBy("video_id", "timestamp_seconds", "ord")
-    sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
-    before = sizes.withColumn("_b", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row a partition
-    placed = ranged.withColumn("_n", F.row_number().over(own)).join(before, "_p")
-    return placed.select("candidate_id", "ord", (F.col("_n") + F.col("_b")).cast("int").alias("place"))
+    return placed(rows, mf.KEYFRAME_ORDER, "place").select("candidate_id", "ord", (F.col("place") + 1).cast("int").alias("place"))
 
 
 RUN = f"""WITH RECURSIVE {PLAN}, {PREPARED.replace("'/out/candidates/'", "'/out/candidates/'")}, {KEPT.format('c')} {KEYFRAME} FROM k"""
@@ -375,7 +371,61 @@ def keyframe_manifest(spark, d):
     return _sorted(mf.parse_keyframes(lines)).select("keyframe_id", "candidate_id", "timestamp_seconds", "image_path", "score", "metadata", "ord")
 
 
-@query("manifest_write", f"WITH {EV}, {CAND} SELECT ord, json_object('candidate_id', candidate_id, 'video_id', video_id, 'source', source, 'score', CASE WHEN ord % 2 = 0 THEN CAST(ord AS INTEGER) END, 'decision', decision, 'metadata', json(metadata)) AS value FROM cand")
+@query("manifest_write", f"WITH {EV}, {CAND} SELECT row_number() OVER (ORDER BY video_ord, t, ord) AS line_no, json_object('candidate_id', candidate_id, 'video_id', video_id, 'source', source, 'score', CASE WHEN ord % 2 = 0 THEN CAST(ord AS INTEGER) END, 'decision', decision, 'metadata', json(metadata)) AS line FROM cand")
 def manifest_write(spark, d):
+    """Write the manifest, then read its lines back."""
     rows = candidates(spark, d).withColumn("score", F.when(F.col("ord") % 2 == 0, F.col("ord")))
-    return mf.json_lines(rows, ["candidate_id", "video_id", "source", "score", "decision", "metadata"]).select("ord", "value")
+    path = new_path(spark, "manifest.jsonl")
+    mf.write_manifest(rows, ["candidate_id", "video_id", "source", "score", "decision", "metadata"], path, mf.CANDIDATE_ORDER)
+    return vs.numbered_lines(spark, path)
+
+
+FILES = "'/m/' || regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') || CASE page_id % 4 WHEN 0 THEN '.mp4' WHEN 1 THEN '.MkV' WHEN 2 THEN '/x.webm' ELSE '.txt' END"
+
+
+@query(
+    "discover_videos",
+    f"""WITH f AS (SELECT page_id, {FILES} AS path FROM pages), v AS (SELECT path, substr(path, 4) AS relative FROM f WHERE page_id % 4 <> 3)
+SELECT row_number() OVER (ORDER BY string_split(path, '/')) - 1 AS video_ord, path, '{{"relative_path":"' || relative || '"}}' AS metadata FROM v""",
+)
+def discover_videos(spark, d):
+    """The addresses of pages as a listing of files."""
+    bare = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
+    kind = F.col("page_id") % 4
+    end = F.when(kind == 0, ".mp4").when(kind == 1, ".MkV").when(kind == 2, "/x.webm").otherwise(".txt")
+    files = table(spark, d, "pages").select(F.concat(F.lit("/m/"), bare, end).alias("path"))
+    return vs.listed_videos(files, "/m").select("video_ord", "path", "metadata")
+
+
+@query(
+    "source_dispatch",
+    f"""WITH f AS (SELECT page_id, page_id % 5 = 4 AS is_directory, {FILES.replace("'.mp4'", "'.JSONL'").replace("'.MkV'", "'.json'")} AS source FROM pages)
+SELECT page_id, CASE WHEN is_directory THEN 'directory' WHEN lower(source) LIKE '%.jsonl' THEN 'jsonl' WHEN lower(source) LIKE '%.json' THEN 'json' END AS kind FROM f""",
+)
+def source_dispatch(spark, d):
+    bare = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
+    kind = F.col("page_id") % 4
+    end = F.when(kind == 0, ".JSONL").when(kind == 1, ".json").when(kind == 2, "/x.webm").otherwise(".txt")
+    sources = table(spark, d, "pages").select("page_id", F.concat(F.lit("/m/"), bare, end).alias("source"), (F.col("page_id") % 5 == 4).alias("is_directory"))
+    return vs.source_kinds(sources).select("page_id", "kind")
+
+
+@query(
+    "job_options",
+    """WITH r AS (SELECT l_orderkey, l_linenumber, l_discount * 11 AS scene_threshold, l_quantity - 3 AS interval, l_tax * 100 - 1 AS spacing,
+  CASE WHEN l_linenumber = 7 THEN NULL ELSE l_linenumber - 1 END AS max_candidates, l_partkey % 11 AS image_quality,
+  CASE l_returnflag WHEN 'A' THEN ' Accept ' WHEN 'R' THEN 'reject' WHEN 'N' THEN CASE l_linestatus WHEN 'O' THEN 'ACCEPT' ELSE 'later' END END AS pending,
+  CASE WHEN l_suppkey % 3 > 0 THEN l_suppkey % 3 - 1 END AS max_keyframes FROM lineitem)
+SELECT l_orderkey, l_linenumber, lower(trim(pending)) AS policy, CASE WHEN NOT scene_threshold BETWEEN 0 AND 1 THEN 'scene_threshold' WHEN interval <= 0 THEN 'interval' WHEN spacing < 0 THEN 'spacing'
+  WHEN max_candidates <= 0 THEN 'max_candidates' WHEN image_quality <= 0 THEN 'image_quality' WHEN lower(trim(pending)) NOT IN ('accept', 'reject') THEN 'pending' WHEN max_keyframes <= 0 THEN 'max_keyframes' END AS problem FROM r""",
+)
+def job_options(spark, d):
+    """Lines of orders as job requests."""
+    flag, status = F.col("l_returnflag"), F.col("l_linestatus")
+    pending = F.when(flag == "A", " Accept ").when(flag == "R", "reject").when(flag == "N", F.when(status == "O", "ACCEPT").otherwise("later"))
+    requests = table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", (F.col("l_discount") * 11).alias("scene_threshold"), (F.col("l_quantity") - 3).alias("interval"), (F.col("l_tax") * 100 - 1).alias("spacing"),
+        F.when(F.col("l_linenumber") != 7, F.col("l_linenumber") - 1).alias("max_candidates"), (F.col("l_partkey") % 11).alias("image_quality"), pending.alias("pending"),
+        F.when(F.col("l_suppkey") % 3 > 0, F.col("l_suppkey") % 3 - 1).alias("max_keyframes"),
+    )
+    return checked_requests(requests).select("l_orderkey", "l_linenumber", "policy", "problem")

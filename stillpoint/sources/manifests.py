@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from stillpoint.functions.tables import discard, move
 from stillpoint.schemas import DECISIONS
-from stillpoint.sources.videos import fail
+from stillpoint.sources.videos import fail, numbered_lines
 
 
 def _rows(lines: DataFrame) -> DataFrame:
@@ -57,7 +60,28 @@ def json_lines(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}).alias("value"), *[c for c in ("video_ord", "ord") if c in rows.columns])
 
 
-def write_manifest(rows: DataFrame, keys: list[str], path: str, order: list[str]) -> None:
-    """Overwrite ``path`` with JSON Lines in the given global order."""
-    lines = json_lines(rows.orderBy(*order), keys)
-    lines.select("value").write.mode("overwrite").text(path)
+#: Output orders: prepared candidates by input video, keyframes by video id; then by time.
+CANDIDATE_ORDER = ["video_ord", "timestamp_seconds", "ord"]
+KEYFRAME_ORDER = ["video_id", "timestamp_seconds", "ord"]
+
+
+def write_manifest(rows: DataFrame, keys: list[str], path: str, order: list[str]) -> int:
+    """Replace ``path`` by JSON Lines in the given global order; returns the number of rows,
+    counted while they are written. The new lines are whole before the old ones go, so
+    ``rows`` may come from the manifest that they replace."""
+    spark, seen = rows.sparkSession, Observation()
+    fresh = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    json_lines(rows.orderBy(*order), keys).select("value").observe(seen, F.count(F.lit(1)).alias("n")).write.text(fresh)
+    discard(spark, path)
+    move(spark, fresh, path)
+    return seen.get["n"]
+
+
+def read_candidates(spark: SparkSession, path: str) -> DataFrame:
+    """The candidate manifest at ``path``, strictly; ``ord`` is the number of its line."""
+    return parse_candidates(numbered_lines(spark, path))
+
+
+def read_keyframes(spark: SparkSession, path: str) -> DataFrame:
+    """The keyframe manifest at ``path``, strictly; ``ord`` is the number of its line."""
+    return parse_keyframes(numbered_lines(spark, path))

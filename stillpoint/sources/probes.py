@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from stillpoint.functions.spans import LINES, running_count
 from stillpoint.operators.events import scene_dedupe
 from stillpoint.sources.videos import fail
 
-# The patterns of the tool's own log lines.
-FRAME = r"frame:\s*(\d+)\s+pts:\s*(-?\d+)\s+pts_time:\s*([-+0-9.eE]+)"
-SCORE = r"lavfi\.scene_score=([-+0-9.eE]+)"
-SHOWINFO = r"showinfo.*pts_time:\s*([-+0-9.eE]+)"
 # Line ends as Python's splitlines has them.
 LINE_END = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]"
 
@@ -31,18 +27,27 @@ def split_log(texts: DataFrame) -> DataFrame:
     return texts.select("video_ord", "video_id", F.posexplode(F.split("text", LINE_END)).alias("line_no", "line"))
 
 
-def parse_scene_log(lines: DataFrame) -> DataFrame:
+def _number_after(key: str) -> Column:
+    """The number that stands after ``key`` in a line; null if there is none."""
+    rest = F.ltrim(F.substring_index("line", key, -1))
+    return F.when(F.contains("line", F.lit(key)), F.substring_index(rest, " ", 1).try_cast("double"))
+
+
+def parse_scene_log(lines: DataFrame, span: int = LINES) -> DataFrame:
     """Scenes of (video_ord, video_id, line_no, line): a frame line opens a scene, the last
     score line before the next frame is its score; showinfo times stand in for videos
-    without any frame line. One scene a millisecond."""
-    group = lambda pattern, g: F.nullif(F.regexp_extract("line", pattern, g), F.lit(""))
-    marked = lines.select("video_ord", "video_id", "line_no", group(FRAME, 3).alias("frame"), group(SCORE, 1).alias("mark"), group(SHOWINFO, 1).alias("info"))
-    marked = marked.filter("frame is not null or mark is not null or info is not null")
-    so_far = Window.partitionBy("video_ord").orderBy("line_no")
-    marked = marked.withColumn("scene", F.count("frame").over(so_far)).withColumn("any", F.count("frame").over(Window.partitionBy("video_ord")))
+    without any frame line. One scene a millisecond. Logs are numbered by spans of lines."""
+    time = _number_after("pts_time:")
+    opens = F.col("line").rlike(r"\bframe: *\d") & F.contains("line", F.lit("pts:")) & time.isNotNull()
+    scores = ~opens & _number_after("lavfi.scene_score=").isNotNull()
+    shows = ~opens & F.contains("line", F.lit("showinfo")) & time.isNotNull()
+    marked = lines.select(
+        "video_ord", "video_id", "line_no", F.when(opens, time).alias("frame"), F.when(scores, _number_after("lavfi.scene_score=")).alias("mark"), F.when(shows, time).alias("info")
+    ).filter("frame is not null or mark is not null or info is not null")
+    marked = running_count(marked, "video_ord", F.floor(F.col("line_no") / span), [F.col("line_no")], F.col("frame").isNotNull(), "scene", "frames")
     framed = marked.filter("scene > 0").groupBy("video_ord", "video_id", "scene").agg(
-        F.max("frame").cast("double").alias("t"), F.max_by(F.col("mark").cast("double"), F.when(F.col("frame").isNull() & F.col("mark").isNotNull(), F.col("line_no"))).alias("score"), F.min("line_no").cast("long").alias("ord")
+        F.max("frame").alias("t"), F.max_by("mark", F.when(F.col("mark").isNotNull(), F.col("line_no"))).alias("score"), F.min("line_no").cast("long").alias("ord")
     )
-    shown = marked.filter("any = 0 and info is not null")
-    shown = shown.select("video_ord", "video_id", F.col("info").cast("double").alias("t"), F.lit(None).cast("double").alias("score"), F.col("line_no").cast("long").alias("ord"))
+    shown = marked.filter("frames = 0 and info is not null")
+    shown = shown.select("video_ord", "video_id", F.col("info").alias("t"), F.lit(None).cast("double").alias("score"), F.col("line_no").cast("long").alias("ord"))
     return scene_dedupe(framed.select("video_ord", "video_id", "t", "score", "ord").unionByName(shown))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stillpoint.functions.ids import tidy_path, video_id
+from stillpoint.functions.spans import placed
 from stillpoint.schemas import VIDEO_SUFFIXES
 
 OWN_KEYS = ("id", "video_id", "path", "video_path", "metadata")
@@ -21,27 +22,35 @@ def fail(message: str, *parts: Column) -> Column:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of one text file with their number from 1, in file order."""
-    raw = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"), F.spark_partition_id().alias("part"))
-    sizes = raw.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.withColumn("before", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))  # one row a file split
-    return raw.join(before, "part").select((F.coalesce("before", F.lit(0)) + F.col("at") - F.col("part").cast("long") * (1 << 33) + 1).alias("line_no"), "line")
+    """Lines of a text file, or of the ordered files of a folder that Spark wrote, with their
+    number from 1, in order."""
+    file, start = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    raw = spark.read.text(path).select(file.alias("file"), start.alias("start"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    sizes = raw.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    ahead = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)  # one row a split of a file
+    before = sizes.select("file", "start", "first", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    return raw.join(before, ["file", "start"]).select((F.col("before") + F.col("at") - F.col("first") + 1).alias("line_no"), "line")
+
+
+def listed_videos(files: DataFrame, root: str) -> DataFrame:
+    """Video records of the files (column ``path``) below ``root`` with a video suffix in
+    any case, in path order, folder by folder."""
+    base = root.removeprefix("file://").rstrip("/") + "/"
+    plain = F.regexp_replace("path", "^file:(//)?(?=/)", "")
+    found = files.select(plain.alias("path")).filter(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(list(VIDEO_SUFFIXES)))
+    numbered = placed(found.withColumn("_order", F.split("path", "/")), ["_order"], "video_ord")
+    relative = F.when(F.startswith("path", F.lit(base)), F.substring("path", F.lit(len(base) + 1), F.length("path"))).otherwise(F.col("path"))
+    return numbered.select(
+        F.col("video_ord").cast("long").alias("video_ord"), video_id(F.col("path"), base).alias("video_id"), "path", F.to_json(F.struct(relative.alias("relative_path"))).alias("metadata")
+    )
 
 
 def discover_videos(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
-    """Files with a video suffix (in any case), in path order; contents are not read.
+    """``listed_videos`` of a folder; contents are not read.
 
     Spark's file listing leaves out names that begin with ``_`` or ``.`` and empty files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root).select("path")
-    plain = F.regexp_replace("path", "^file:(//)?(?=/)", "")
-    base = root.removeprefix("file://").rstrip("/") + "/"
-    found = files.select(plain.alias("path")).filter(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(list(VIDEO_SUFFIXES)))
-    found = found.withColumn("relative", F.replace("path", F.lit(base), F.lit("")))
-    order = Window.orderBy(F.split("path", "/"))  # one row a file of the listing
-    return found.select(
-        (F.row_number().over(order) - 1).cast("long").alias("video_ord"), video_id(F.col("path"), base).alias("video_id"), "path",
-        F.to_json(F.struct(F.col("relative").alias("relative_path"))).alias("metadata"),
-    )
+    return listed_videos(files, root)
 
 
 def parse_jsonl(lines: DataFrame, name: str = "manifest") -> DataFrame:
@@ -104,6 +113,13 @@ def video_paths(videos: DataFrame) -> DataFrame:
     return videos.select("path")
 
 
+def source_kinds(sources: DataFrame) -> DataFrame:
+    """``kind`` of each source (``source``, ``is_directory``): ``directory``, or ``jsonl`` or
+    ``json`` by suffix in any case; null if it can't be read."""
+    suffix = F.lower(F.regexp_extract("source", r"\.([^./]+)$", 1))
+    return sources.withColumn("kind", F.when(F.col("is_directory"), "directory").when(suffix.isin("jsonl", "json"), suffix))
+
+
 def source_kind(source: str, is_directory: bool) -> str:
     """``directory``, ``jsonl`` or ``json`` by suffix, in any case."""
     if is_directory:

@@ -42,10 +42,9 @@ MERGES = [
 ]
 
 
-@pytest.mark.parametrize("dense", [0, 1000])
 @pytest.mark.parametrize("rows,want", MERGES)
-def test_spacing_merge(spark, rows, want, dense):
-    assert times(ev.spacing_merge(ev.nonnegative_events(make(spark, rows)), 2.0, dense=dense)) == want
+def test_spacing_merge(spark, rows, want):
+    assert times(ev.spacing_merge(ev.nonnegative_events(make(spark, rows)), 2.0)) == want
 
 
 def test_spacing_zero_keeps_all(spark):
@@ -65,8 +64,8 @@ def scan(rows, spacing):
     return sorted((k[0], k[1]) for k in kept)
 
 
-@pytest.mark.parametrize("dense,span", [(1000, 86_400.0), (3, 7.0)])
-def test_spacing_merge_random(spark, dense, span):
+@pytest.mark.parametrize("span,rows_a_batch", [(86_400.0, 10_000), (7.0, 2)])
+def test_spacing_merge_random(spark, span, rows_a_batch):
     rng = random.Random(4)
     frames, want = None, {}
     for video in range(12):
@@ -74,9 +73,14 @@ def test_spacing_merge_random(spark, dense, span):
         want[video] = scan(rows, 2.0)
         one = make(spark, rows, video)
         frames = one if frames is None else frames.unionByName(one)
-    out = ev.spacing_merge(frames, 2.0, dense=dense, span=span)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_a_batch)
+    try:
+        out = ev.spacing_merge(frames, 2.0, span=span).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
     got = {}
-    for r in out.collect():
+    for r in out:
         got.setdefault(r.video_ord, []).append((r.t, r.source))
     assert {v: sorted(x) for v, x in got.items()} == want
 
