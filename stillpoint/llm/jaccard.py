@@ -243,7 +243,8 @@ def _links(classes: DataFrame, rows: DataFrame, width: int, threshold: float, tr
     ordered = tries.repartitionByRange("tree", "label", "rid").sortWithinPartitions("tree", "label", "rid")
     tries = staged(ordered.mapInArrow(lambda it: _matched(it, levels[-1], deepest), "tree int, label binary, rid long, matched int"), "tries")
     some = staged(tries.select("rid").distinct(), "met")
-    texts = rows.join(classes.select(F.col("rep").alias("rid"), "weight", "n", "sign").join(some, "rid"), "rid").select("rid", "weight", "n", "sign", "txt")
+    # the texts meet ids alone, a table that is often small enough for a broadcast join
+    texts = rows.select("rid", "txt").join(some, "rid").join(classes.select(F.col("rep").alias("rid"), "weight", "n", "sign").join(some, "rid"), "rid")
     sets = staged(texts.mapInArrow(lambda it: _sets(it, width), "rid long, weight long, n long, sign binary, grams binary"), "sets")
 
     def chances(similarity: np.ndarray) -> np.ndarray:
@@ -305,14 +306,17 @@ def near_duplicates(
 
 
 def _classified(
-    rows: DataFrame, width: int = 5, threshold: float = 0.8, trees: int = 32, deepest: int = 10, recall: float = 0.9999, screen: float = 0.65, block: int = 256
-) -> DataFrame:
+    rows: DataFrame, width: int = 5, threshold: float = 0.8, trees: int = 32, deepest: int = 10, recall: float = 0.9999, screen: float = 0.65, block: int = 256,
+    only: DataFrame | None = None,
+) -> DataFrame:
     """``did``, ``rid``, ``class_id``, ``n_links`` and ``first_rid`` of each of the ``rows``
-    (``did``, ``rid``, ``txt``), a table whose ``rid`` is fixed and no two rows share.
+    (``did``, ``rid``, ``txt``), a table whose ``rid`` is fixed and no two rows share. With
+    ``only`` (``rid``) the other rows take no part.
 
     ``first_rid`` is the row of the class with the smallest id, of several the one with the
     smallest ``rid``. Equal sets are a node, named by such a row of theirs."""
-    sketch = staged(rows.mapInArrow(lambda it: _sketch(it, width, trees * deepest), "did long, rid long, n long, h1 long, h2 long, sign binary"), "sketch")
+    sketch = rows.mapInArrow(lambda it: _sketch(it, width, trees * deepest), "did long, rid long, n long, h1 long, h2 long, sign binary")
+    sketch = staged(sketch if only is None else sketch.join(only, "rid", "left_semi"), "sketch")
     some = sketch.filter("n > 0")
     classes = some.groupBy("h1", "h2").agg(F.min_by(F.struct("did", "rid", "n", "sign"), F.struct("did", "rid")).alias("r"), F.count(F.lit(1)).alias("weight"))
     classes = staged(classes.select("h1", "h2", F.col("r.did").alias("least_did"), F.col("r.rid").alias("rep"), F.col("r.n").alias("n"), F.col("r.sign").alias("sign"), "weight"), "classes")
@@ -336,6 +340,15 @@ def _classified(
     )
 
 
+def later_copies(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Those of the ``ids`` (``did``, each of one row of ``docs``) whose document is not the
+    first of its class among them. Other rows of ``docs`` take no part."""
+    rows = docs.select(order_id(id_col).alias("did"), F.col(text_col).cast("string").alias("txt")).withColumn("rid", F.col("did"))
+    with scratch(docs.sparkSession):
+        only = staged(ids.select(F.col("did").alias("rid")), "ids")
+        return kept(_classified(rows, only=only, **options).filter("rid <> first_rid").select("did"), "later-copies")
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of each class of ``docs``, the one with the smallest id, with all its columns.
     Rows are judged each by itself, whatever other rows share its id; of several rows of a

@@ -7,7 +7,8 @@ the term frequency is relative to all n-grams of the text. A logit is linear in
 counts, so each distinct word contributes a fixed row that is computed once per worker.
 
 Document frequencies cover every learnable document. The classifier is fitted on a sample
-of at most ``per_language`` documents of each language, taken by hash of the id.
+of at most ``per_language`` documents and ``language_chars`` characters of each language,
+taken by hash of the id.
 """
 
 from __future__ import annotations
@@ -142,42 +143,74 @@ def _predict(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatc
             yield pa.record_batch([part.column("did"), part.column("held_out"), pa.array(lang, pa.string()), pa.array(score)], names=["did", "held_out", "lang_pred", "score"])
 
 
-def identify_language(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 600, modulus: int = 4, remainder: int = 2
-) -> DataFrame:
-    """Predict the language of every whole text.
+def fitting_sample(learnable: DataFrame, per_language: int, language_chars: int, salts: int = 64) -> DataFrame:
+    """(``did``, ``txt``, ``lang``) rows, of each language the first by hash of the id: at
+    most ``per_language`` of them, and no more characters than ``language_chars`` beyond the
+    first. Rows without an id take no part; rows that share id and text are one.
 
-    Returns ``did``, ``held_out``, ``lang_pred``, ``score`` (the calibrated probability of
-    the predicted language), one row for each input row.
+    Ranks are taken in two steps, inside a salt of a language and then over what is left,
+    so that a frequent language is no single task; the texts join the chosen keys last."""
+    keys = learnable.filter("id_known").select("lang", "did", F.xxhash64("txt").alias("h"), F.length("txt").alias("n"))
+    keys = keys.groupBy("lang", "did", "h").agg(F.max("n").alias("n")).withColumn("turn", F.xxhash64("did"))
+    order = [F.col("turn"), F.col("did"), F.col("h")]
+    part = Window.partitionBy("lang", F.pmod("turn", F.lit(salts))).orderBy(*order)
+    some = keys.withColumn("r", F.row_number().over(part)).filter(F.col("r") <= per_language)
+    whole = Window.partitionBy("lang").orderBy(*order)
+    some = some.withColumn("r", F.row_number().over(whole)).filter(F.col("r") <= per_language)
+    some = some.withColumn("chars", F.sum("n").over(whole.rowsBetween(Window.unboundedPreceding, 0)))
+    chosen = some.filter((F.col("r") == 1) | (F.col("chars") <= language_chars)).select("lang", "did", "h")
+    rows = learnable.filter("id_known").select("lang", "did", F.xxhash64("txt").alias("h"), "txt")
+    rows = rows.join(F.broadcast(chosen), ["lang", "did", "h"], "left_semi")  # at most per_language keys a language
+    return rows.groupBy("lang", "did", "h").agg(F.first("txt").alias("txt")).select("did", "txt", "lang")
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, modulus: int, remainder: int, *more) -> DataFrame:
+    return docs.select(order_id(id_col).alias("did"), F.col(text_col).cast("string").alias("txt"), held_out(id_col, modulus, remainder).alias("held_out"), *more)
+
+
+def fit_language(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 600, language_chars: int = 6_000_000,
+    most_languages: int = 256, modulus: int = 4, remainder: int = 2,
+) -> tuple[list[str], np.ndarray, np.ndarray, float]:
+    """Languages, inverse document frequencies, weights and temperature.
 
     Rows with crc32(id as text) mod ``modulus`` = ``remainder`` are held out: nothing is
-    learned from them. A null text, or one without a letter, is ``und`` with score 0; so is
-    every text if no row has a language to learn from. Repeated rows count and are
-    predicted each; a null id counts as the largest and is never held out. An empty table
-    gives an empty result. Other columns are not read. Languages are assumed to be at most
-    a few hundred values.
-    """
-    spark = docs.sparkSession
-    rows = docs.select(
-        order_id(id_col).alias("did"), F.col(text_col).cast("string").alias("txt"), F.col(lang_col).cast("string").alias("lang"),
-        held_out(id_col, modulus, remainder).alias("held_out"),
-    )
+    learned from them, nor from rows without text or language. Document frequencies count
+    all others. The weights are fitted on their ``fitting_sample``, at most ``per_language``
+    rows and ``language_chars`` characters of a language; more than ``most_languages``
+    languages are an error."""
+    rows = _rows(docs, id_col, text_col, modulus, remainder, F.col(lang_col).cast("string").alias("lang"), F.col(id_col).isNotNull().alias("id_known"))
     learnable = rows.filter(~F.col("held_out") & F.col("txt").isNotNull() & F.col("lang").isNotNull())
+    if learnable.select("lang").distinct().limit(most_languages + 1).count() > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
     counted = learnable.select("txt").mapInArrow(_frequencies, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-    idf, n_docs = np.zeros(1 << BITS), 0
+    idf = np.zeros(1 << BITS)
     seen = {r["feature"]: r["n"] for r in counted.collect()}  # at most 2^BITS + 1 rows
     n_docs = seen.pop(-1, 0)
     for k, n in seen.items():
         idf[k] = np.log((1 + n_docs) / (1 + n)) + 0.1
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("did"), "did", "txt")
-    chosen = learnable.select("did", "lang", F.xxhash64("txt").alias("txt")).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_language)
-    ids = F.broadcast(chosen.select("did").distinct())  # at most per_language rows a language
-    sample = learnable.join(ids, "did", "left_semi").select("txt", "lang", "did").toPandas().sort_values(["did", "txt"])
+    sample = fitting_sample(learnable, per_language, language_chars).toPandas().sort_values(["did", "txt"])
     names = sorted(sample["lang"].unique())
     weights, temperature = fit(sample["txt"].tolist(), sample["lang"].map({n: i for i, n in enumerate(names)}).to_numpy(), len(names), idf)
-    model = spark.sparkContext.broadcast((names, idf, weights, temperature))
-    return rows.select("did", "txt", "held_out").mapInArrow(lambda it: _predict(it, model), "did long, held_out boolean, lang_pred string, score double")
+    return names, idf, weights, temperature
+
+
+def identify_language(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str = "text", modulus: int = 4, remainder: int = 2) -> DataFrame:
+    """Predict the language of every whole text with a model of ``fit_language``.
+
+    Returns ``did``, ``held_out``, ``lang_pred``, ``score`` (the calibrated probability of
+    the predicted language), one row for each input row.
+
+    A null text, or one without a letter (Unicode category L), is ``und`` with score 0; so
+    is every text if there was no language to learn from. Repeated rows are predicted each;
+    a null id counts as the largest and is never held out. An empty table gives an empty
+    result. Other columns are not read.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = _rows(docs, id_col, text_col, modulus, remainder)
+    return rows.select("did", "txt", "held_out").mapInArrow(lambda it: _predict(it, shared), "did long, held_out boolean, lang_pred string, score double")
 
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:
-    return identify_language(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumnRenamed("did", "doc_id")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return identify_language(docs, fit_language(docs)).withColumnRenamed("did", "doc_id")

@@ -6,7 +6,7 @@ together cover all of it; each window is read in both directions, pooled by atte
 scored, and the text's score is that of its worst window, calibrated.
 
 The network is trained in numpy, on the driver, on a bounded sample of labelled rows (at
-most ``per_class`` of each class, taken by hash of the id). A label belongs to a text, not
+most ``per_class`` rows of each class, and so many characters, taken by hash of the id). A label belongs to a text, not
 to a window: each pass scores all windows of the sample and learns from each text's worst
 ones. Scoring runs where the texts lie; what a word adds to the gates is computed once
 for each distinct word of a worker.
@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from stillpoint.llm.common import held_out, order_id
 from stillpoint.llm.wordgrams import WORDS, WordTable, grams, sums, word_ids
@@ -307,10 +308,15 @@ def _score(batches: Iterator[pa.RecordBatch], model, threshold: float, clean: bo
 
 
 def fit_toxicity(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 1500, modulus: int = 4, remainder: int = 2
-) -> tuple[dict, float, float]:
-    """Train on at most ``per_class`` labelled rows of each class; held-out ids, and labels
-    other than 0 and 1, are not used. An id with several labels counts with its largest."""
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 1500,
+    class_chars: int = 8_000_000, modulus: int = 4, remainder: int = 2,
+) -> tuple[dict, float, float]:
+    """Train on labelled rows: of each class the first by hash of the id, at most
+    ``per_class`` rows and, beyond the first, ``class_chars`` characters.
+
+    Held-out ids, null ids and labels other than 0 and 1, null ones included, are not used.
+    An id with several labels counts with its largest, one with several texts with one of
+    them (the least by hash). Without both labels every text will get the prior."""
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col, modulus, remainder))
     known = known.groupBy(F.col(id_col).cast("long").alias("did")).agg(F.max(label_col).cast("int").alias("label"))
     sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
@@ -318,7 +324,10 @@ def fit_toxicity(
     parts = [known.filter(F.col("label") == c).orderBy(*turn).limit(per_class) for c in (0, 1)]
     ids = F.broadcast(parts[0].unionByName(parts[1]))  # at most 2 * per_class rows
     rows = docs.select(F.col(id_col).cast("long").alias("did"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("txt"))
-    sample = rows.join(ids, "did").toPandas().sort_values(["did", "txt"])
+    rows = rows.join(ids, "did").groupBy("did", "label").agg(F.min_by("txt", F.xxhash64("txt")).alias("txt"))
+    order = Window.partitionBy("label").orderBy(*turn)  # at most per_class rows
+    rows = rows.withColumn("r", F.row_number().over(order)).withColumn("chars", F.sum(F.length("txt")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    sample = rows.filter((F.col("r") == 1) | (F.col("chars") <= class_chars)).select("did", "txt", "label").toPandas().sort_values("did")
     prior = sizes.get(1, 0) / max(1, sum(sizes.values()))
     return train(sample["txt"].tolist(), sample["label"].to_numpy(), prior)
 
@@ -340,7 +349,11 @@ def score_toxicity(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_c
 
 
 def drop_toxic(docs: DataFrame, model: tuple, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose score is under ``threshold``."""
+    """The rows of ``docs``, with all their columns, whose score is under ``threshold``.
+
+    Each row is judged by its own text, whatever its id: repeated rows go or stay together.
+    A null or empty text is one empty window and has a score like any other. An empty table
+    gives an empty result with the same columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     return rows.mapInArrow(lambda it: _score(it, shared, threshold, True, text_col), rows.schema).select("row.*")

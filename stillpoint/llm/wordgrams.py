@@ -8,7 +8,8 @@ import numpy as np
 import regex
 
 WORDS = regex.compile(r"\w+")
-LETTERS = regex.compile(r"[^\W\d_]+")
+#: Runs that begin with a letter; marks belong to the letter before them.
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
