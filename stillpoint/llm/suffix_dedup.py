@@ -20,7 +20,10 @@ themselves.
 
 Documents travel as compressed chunks. A chunk sends each of its distinct runs once, with
 the smallest id that has it, and gets back one bit a string: whether a smaller id has that
-string. A passage in a third of all documents is one run a chunk.
+string. A passage in a third of all documents is one run a chunk. Chunks grow with the
+number of buckets, from ``chunk_bytes`` to ``chunk_most``, so that their messages (one for
+each bucket that they have runs of) don't become many and small; minimisers are looked for
+in blocks, so that a chunk's size costs little memory.
 """
 
 from __future__ import annotations
@@ -38,31 +41,52 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stillpoint.functions.links import runs
+from stillpoint.functions.tables import kept, scratch
 from stillpoint.llm.common import packed_rows, staged
 
 MIX = np.uint64(0xD6E8FEB86659FD93)
 TOP = np.iinfo("i8").max
+#: Documents of a chunk, however short.
+MOST_TEXTS = 20_000
 CHUNK_SCHEMA = "chunk long, dids binary, sizes binary, body binary, rest binary, n_bytes long"
 
 
+#: Strings whose minimisers are looked for at a time.
+BLOCK = 1 << 20
+#: Bits of a packed minimiser that hold the place inside a block (as complement).
+PLACE_BITS = 24
+
+
 def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Pack documents into chunks of about ``most`` bytes of text."""
-    packer, part, made = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId(), 0
+    """Pack documents into chunks of about ``most`` bytes of text, across batches."""
+    packer, part, made = zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId(), 0
+    texts: list[bytes] = []
+    dids: list[int] = []
+    rest: list[pa.RecordBatch] = []
+    held = 0
+
+    def chunk() -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rest[0].schema) as out:
+            for rows in rest:
+                out.write_batch(rows)
+        columns = [np.array(dids, "<i8").tobytes(), np.array([len(t) for t in texts], "<i8").tobytes(), packer.compress(b"".join(texts)), packer.compress(sink.getvalue().to_pybytes())]
+        return pa.record_batch([pa.array([(part << 32) + made], pa.int64()), *[pa.array([c], pa.binary()) for c in columns], pa.array([held], pa.int64())], names=["chunk", "dids", "sizes", "body", "rest", "n_bytes"])
+
     for batch in batches:
-        texts = [t.encode("utf-8", "surrogatepass") for t in batch.column("txt").to_pylist()]
-        dids, lo, held = np.asarray(batch.column("did")), 0, 0
-        for hi, text in enumerate(texts, 1):
-            held += len(text)
-            if held < most and hi < len(texts):
-                continue
-            sink = pa.BufferOutputStream()
-            rest = pa.record_batch([batch.column("row").slice(lo, hi - lo)], names=["row"])
-            with pa.ipc.new_stream(sink, rest.schema) as out:
-                out.write_batch(rest)
-            sizes = np.array([len(t) for t in texts[lo:hi]], "<i8")
-            columns = [dids[lo:hi].astype("<i8").tobytes(), sizes.tobytes(), packer.compress(b"".join(texts[lo:hi])), packer.compress(sink.getvalue().to_pybytes())]
-            yield pa.record_batch([pa.array([(part << 32) + made], pa.int64()), *[pa.array([c], pa.binary()) for c in columns], pa.array([held], pa.int64())], names=["chunk", "dids", "sizes", "body", "rest", "n_bytes"])
-            lo, held, made = hi, 0, made + 1
+        rows, ids, lo = pa.record_batch([batch.column("row")], names=["row"]), batch.column("did").to_pylist(), 0
+        for hi, text in enumerate(batch.column("txt").to_pylist(), 1):
+            texts.append(text.encode("utf-8", "surrogatepass"))
+            dids.append(ids[hi - 1])
+            held += len(texts[-1])
+            if held >= most or len(texts) >= MOST_TEXTS:
+                rest.append(rows.slice(lo, hi - lo))
+                yield chunk()
+                texts, dids, rest, held, lo, made = [], [], [], 0, hi, made + 1
+        if lo < batch.num_rows:
+            rest.append(rows.slice(lo))
+    if texts:
+        yield chunk()
 
 
 class Runs:
@@ -74,43 +98,53 @@ class Runs:
         self.dids, self.sizes = np.frombuffer(row["dids"], "<i8"), np.frombuffer(row["sizes"], "<i8")
         self.body = zstandard.ZstdDecompressor().decompress(row["body"], max_output_size=max(1, int(self.sizes.sum())))
         self.length = length
-        text = np.frombuffer(self.body, "u1")
-        n, w = len(text), length - k + 1
-        self.first = self.count = self.doc = np.empty(0, "i8")
-        self.minimiser = np.empty(0, "u8")
-        if n >= length:
-            grams = self._hashes(text, k)
-            bits = max(24, n.bit_length())
-            low = np.uint64((1 << bits) - 1)
-            packed = (grams & ~low) | (low - np.arange(len(grams), dtype="u8"))
-            span = 1
-            while span * 2 <= w:
-                packed = np.minimum(packed[:-span], packed[span:])
-                span *= 2
-            if span < w:
-                packed = np.minimum(packed[: len(packed) - (w - span)], packed[w - span :])
-            place = (low - (packed & low)).astype("i8")
-            ends = np.cumsum(self.sizes)
-            new = np.empty(len(place), bool)
-            new[0] = True
-            np.not_equal(place[1:], place[:-1], out=new[1:])
-            new[(starts := ends - self.sizes)[starts < len(place)]] = True  # no run reaches into the next document
-            first = np.flatnonzero(new)
-            doc = np.searchsorted(ends, first, side="right")
-            # a run ends before the next one, or where the strings inside the document do
-            count = np.minimum(np.r_[first[1:], len(place)], ends[doc] - length + 1) - first
-            some = count > 0
-            self.first, self.count, self.doc = first[some], count[some], doc[some]
-            self.minimiser = grams[place[self.first]]
+        text, ends = np.frombuffer(self.body, "u1"), np.cumsum(self.sizes)
+        parts = [self._block(text, ends, lo, length, k, loads) for lo in range(0, len(text) - length + 1, BLOCK)]
+        empty = np.empty(0, "i8")
+        self.first, self.count, self.doc, self.minimiser, code = (np.concatenate(c) for c in zip(*parts)) if parts else (empty, empty, empty, empty.view("u8"), empty.view("u8"))
         self.keys, self.of_key = np.unique(self.minimiser, return_inverse=True)
         self.loads = np.zeros(len(self.keys), "<i4")
         if loads and len(self.keys):
-            size, code = self.count + length - 1, self.count.astype("u8")
+            one = np.unique(code, return_index=True)[1]
+            self.loads = np.bincount(self.of_key[one], (self.count + length - 1)[one], len(self.keys)).astype("<i4")
+
+    def _block(self, text: np.ndarray, ends: np.ndarray, lo: int, length: int, k: int, loads: bool) -> tuple[np.ndarray, ...]:
+        """Runs that begin among the BLOCK strings from ``lo``: first string, number of
+        strings, document, minimiser, and with ``loads`` a hash of the run."""
+        w, strings = length - k + 1, len(text) - length + 1
+        hi = min(lo + BLOCK, strings)
+        base, last = max(0, lo - 1), min(hi + w, strings)  # a run has at most w strings
+        grams = self._hashes(text[base : last + 2 * length], k)
+        low = np.uint64((1 << PLACE_BITS) - 1)
+        packed = grams[: last - base + w - 1]
+        packed = (packed & ~low) | (low - np.arange(len(packed), dtype="u8"))
+        span = 1
+        while span * 2 <= w:
+            packed = np.minimum(packed[:-span], packed[span:])
+            span *= 2
+        if span < w:
+            packed = np.minimum(packed[: len(packed) - (w - span)], packed[w - span :])
+        place = (low - (packed & low)).astype("i8")
+        new = np.empty(len(place), bool)
+        new[0] = lo == 0
+        np.not_equal(place[1:], place[:-1], out=new[1:])
+        starts = np.r_[0, ends[:-1]]
+        new[starts[(starts >= lo) & (starts < last)] - base] = True  # no run reaches into the next document
+        first = np.flatnonzero(new)
+        count = np.diff(np.r_[first, last - base])
+        first, count = first[first + base < hi], count[first + base < hi]
+        doc = np.searchsorted(ends, first + base, side="right")
+        # a run ends before the next one, or where the strings inside the document do
+        count = np.minimum(count, ends[doc] - length + 1 - (first + base))
+        some = count > 0
+        first, count, doc = first[some], count[some], doc[some]
+        code = count.astype("u8")
+        if loads:
+            size = count + length - 1
             for j in [*range(0, 2 * length - k, k), 2 * length]:  # k-byte strings that cover a run
-                code = (code ^ grams[self.first + np.minimum(j, size - k)]) * MIX
+                code = (code ^ grams[first + np.minimum(j, size - k)]) * MIX
                 code ^= code >> np.uint64(32)
-            one = np.unique(code, return_index=True)[1]
-            self.loads = np.bincount(self.of_key[one], size[one], len(self.keys)).astype("<i4")
+        return first + base, count, doc, grams[place[first]], code
 
     @staticmethod
     def _hashes(text: np.ndarray, k: int) -> np.ndarray:
@@ -225,7 +259,7 @@ def _repeated(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Recor
 
 
 def _send(batches: Iterator[pa.RecordBatch], length: int, k: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    packer = zstandard.ZstdCompressor(level=3)
+    packer = zstandard.ZstdCompressor(level=1)
     for batch in batches:
         for row in batch.to_pylist():
             if not row["masks"]:
@@ -443,8 +477,8 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int, k: int, buckets: int, p
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, k: int = 16, chunk_bytes: int = 1 << 20, bucket_bytes: int = 2 << 20,
-    shard_bytes: int = 1 << 18, as_text: bool = False,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, k: int = 16, chunk_bytes: int = 1 << 20, chunk_most: int = 8 << 20,
+    bucket_bytes: int = 2 << 20, shard_bytes: int = 1 << 18, as_text: bool = False,
 ) -> DataFrame:
     """Remove every byte covered by a ``length``-byte string that also starts in a document
     with a smaller id. Overlaps count, and strings are judged on the input.
@@ -460,9 +494,11 @@ def remove_repeats(
     """
     rest = [c for c in docs.columns if c != text_col]
     rows = packed_rows(docs, id_col, text_col).withColumn("row", F.struct(*[F.col("row")[c].alias(c) for c in rest]))
-    chunks = staged(rows.mapInArrow(lambda it: _chunks(it, chunk_bytes), CHUNK_SCHEMA), "chunks")
-    total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
+    total = rows.agg(F.sum(F.octet_length("txt"))).first()[0] or 0
     buckets = max(8, math.ceil(total / bucket_bytes))
+    # a chunk has a message for each bucket: chunks grow with the number of buckets
+    size = min(max(chunk_bytes, buckets << 10), max(chunk_bytes, chunk_most))
+    chunks = staged(rows.mapInArrow(lambda it: _chunks(it, size), CHUNK_SCHEMA), "chunks")
 
     def by_bucket(df: DataFrame) -> DataFrame:
         return df.repartition("bucket").sortWithinPartitions("bucket", "chunk")
@@ -492,5 +528,6 @@ def remove_repeats(
 
 
 def op9_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
-    out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select(F.col("row.doc_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    with scratch(spark):
+        out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+        return kept(out.select(F.col("row.doc_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256"), "repeats")

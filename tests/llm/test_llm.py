@@ -401,7 +401,7 @@ def brute_repeats(pairs, length):
     return sorted(out)
 
 
-@pytest.mark.parametrize("sizes", [{}, {"chunk_bytes": 3000, "bucket_bytes": 8000, "shard_bytes": 500}])
+@pytest.mark.parametrize("sizes", [{}, {"chunk_bytes": 3000, "chunk_most": 3000, "bucket_bytes": 8000, "shard_bytes": 500}])
 def test_repeats(odd, empty, sizes):
     rows = suffix_dedup.remove_repeats(odd, **sizes).collect()
     got = sorted((LAST if r.row.doc_id is None else r.row.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows)
@@ -419,13 +419,42 @@ def test_repeats_with_a_hot_minimiser(spark):
     pairs += [(1000 + i, pairs[i][1][20:]) for i in range(0, 600, 60)] + [(1000, pairs[7][1])]
     folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
     before = set(glob.glob(f"{folder}/*bits-*"))
-    rows = suffix_dedup.remove_repeats(spark.createDataFrame(pairs, "doc_id long, text string").repartition(3), chunk_bytes=8000, bucket_bytes=4000, shard_bytes=1000).collect()
+    rows = suffix_dedup.remove_repeats(spark.createDataFrame(pairs, "doc_id long, text string").repartition(3), chunk_bytes=8000, chunk_most=8000, bucket_bytes=4000, shard_bytes=1000).collect()
     assert sorted((r.row.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows) == brute_repeats(pairs, 50)
     for path in set(glob.glob(f"{folder}/*bits-*")) - before:
         judged = spark.read.parquet(path).groupBy("bucket").agg(F.sum(F.length("bits")).alias("n")).agg(F.max("n")).first()[0]
         assert judged * 8 < 2500  # strings of a bucket; before, 600 contexts of one minimiser were one bucket
 
 
+def test_runs_don_t_depend_on_blocks(spark):
+    """Minimisers of a chunk are the same whatever blocks it is looked through in."""
+    import zstandard
+
+    rng = np.random.default_rng(6)
+    texts = [bytes(rng.integers(97, 100, n).astype("u1")) for n in (400, 0, 49, 50, 51, 1000, 3, 700)]
+    row = {"dids": np.arange(8, dtype="<i8").tobytes(), "sizes": np.array([len(t) for t in texts], "<i8").tobytes(), "body": zstandard.compress(b"".join(texts))}
+    found, block = [], suffix_dedup.BLOCK
+    try:
+        for suffix_dedup.BLOCK in (1 << 20, 1, 64, 333):
+            r = suffix_dedup.Runs(row, 50, 16, loads=True)
+            found.append([x.tolist() for x in (r.first, r.count, r.doc, r.minimiser, r.loads)])
+    finally:
+        suffix_dedup.BLOCK = block
+    assert all(f == found[0] for f in found)
+    assert sum(found[0][1]) == sum(max(0, len(t) - 49) for t in texts)
+
+
+def test_repeats_with_a_passage_in_every_document(spark):
+    rng = random.Random(31)
+    passage = prose(rng, 20)
+    pairs = [(i, f"{prose(rng, 6)}{passage}{prose(rng, 6)}") for i in range(150)] + [(LAST, passage), (3, passage), (200, ""), (201, None)]
+    df = spark.createDataFrame([(None if i == LAST else i, t) for i, t in pairs], "doc_id long, text string").repartition(4)
+    want = brute_repeats([(i, t or "") for i, t in pairs], 50)
+    for sizes in ({}, {"chunk_bytes": 2000, "bucket_bytes": 3000, "shard_bytes": 700, "chunk_most": 2000}):
+        rows = suffix_dedup.remove_repeats(df, **sizes).collect()
+        assert sorted((LAST if r.row.doc_id is None else r.row.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows) == want
+
+
 @pytest.mark.parametrize("length", [50, 51])
 def test_merged_transforms(length):
     rng = np.random.default_rng(1)
