@@ -15,8 +15,8 @@ A chosen k-gram is one long: its hash above, the complement of its position belo
 that the least long of a window is the least hash at its rightmost place. Nothing is
 exploded: every step maps the arrays of one row.
 
-The next document in descending id comes from a window over ranges of ids of about
-``part_bytes`` of text each. The borders of the ranges are ids of the table, and a row at
+The next document in descending id comes from a window over ranges of ids, cut by bytes
+of text. The borders of the ranges are ids of the table, and a row at
 a border is also a guest of the range above, so the text is shuffled once and no range
 needs another. A document's own k-grams are chosen after that shuffle and before the
 window, once for itself and for the document that it follows.
@@ -39,10 +39,12 @@ PLACES = (1 << PLACE_BITS) - 1
 #: Scripts written without spaces, as names of the pattern language.
 UNSPACED = "".join(rf"\p{{Is{name}}}" for name in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"))
 UNIT = rf"[{UNSPACED}]|[^\s{UNSPACED}]{{1,8}}"
+#: Ranges for each task: ranges are dealt to tasks by hash, and several even that out.
+SHARE = 8
 #: Borders of ranges are taken at this many times as many quantiles as there are ranges.
-FINE = 4
-#: More ranges than this would make the borders a large literal; ranges are longer instead.
-MOST_PARTS = 20_000
+FINE = 2
+#: With more tasks than this the borders would be a large literal; ranges are longer instead.
+MOST_TASKS = 20_000
 
 
 def shared_units(k: int, w: int) -> int:
@@ -120,14 +122,15 @@ def winnow(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
 
 
 def range_borders(rows: DataFrame, part_bytes: int, parts: int | None = None) -> list[int]:
-    """Ascending ids of the table that cut it into ranges of about ``part_bytes`` of ``txt``
-    (or of an even share for ``parts``), the largest id last. Repeats of an id stay in one
-    range."""
+    """Ascending ids of the table that cut it into ranges of even shares of ``txt``, the
+    largest id last: ``parts`` of them, or so many that a task's share of ranges has about
+    ``part_bytes``, or less if tasks would be fewer than the session's partitions. Repeats
+    of an id stay in one range."""
     total, top = rows.agg(F.sum(F.octet_length("txt")), F.max("did")).first()
     if top is None:
         return [0]
     least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = parts or min(max(least, math.ceil(total / part_bytes)), max(least, MOST_PARTS))
+    parts = parts or SHARE * min(max(least, math.ceil(total / part_bytes)), max(least, MOST_TASKS))
     if parts == 1:
         return [top]
     quantiles = rows.agg(F.percentile_approx("did", [i / (FINE * parts) for i in range(1, FINE * parts)], 10 * FINE * parts)).first()[0]
@@ -167,7 +170,7 @@ def with_next(rows: DataFrame, edges: list[int], added: dict[str, Column]) -> Da
     here = F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("guest")))
     both = F.concat(here, F.array(F.struct(guest_of.alias("part"), F.lit(True).alias("guest"))))
     dealt = placed.select("did", "txt", F.inline(F.when(at_border, both).otherwise(here)).alias("part", "guest"))
-    dealt = dealt.repartition(len(edges), "part").select("*", *[c.alias(name) for name, c in added.items()])
+    dealt = dealt.repartition(max(1, math.ceil(len(edges) / SHARE)), "part").select("*", *[c.alias(name) for name, c in added.items()])
     # guests come from the range below; in range 0 the guest is the first row of all
     order = Window.partitionBy("part").orderBy("guest", F.desc("did"), "txt")
     out = dealt.withColumn("next", F.lead(F.struct("txt", *added)).over(order))
