@@ -143,13 +143,14 @@ def _predict(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatc
             yield pa.record_batch([part.column("did"), part.column("held_out"), pa.array(lang, pa.string()), pa.array(score)], names=["did", "held_out", "lang_pred", "score"])
 
 
-def fitting_sample(learnable: DataFrame, per_language: int, language_chars: int, salts: int = 64) -> DataFrame:
+def fitting_sample(learnable: DataFrame, per_language: int, language_chars: int, salts: int = 16) -> DataFrame:
     """(``did``, ``txt``, ``lang``) rows, of each language the first by hash of the id: at
     most ``per_language`` of them, and no more characters than ``language_chars`` beyond the
     first. Rows without an id take no part; rows that share id and text are one.
 
     Ranks are taken in two steps, inside a salt of a language and then over what is left,
-    so that a frequent language is no single task; the texts join the chosen keys last."""
+    so that no task has more than ``salts`` times ``per_language`` keys of a language in the
+    last step, however frequent it is; the texts join the chosen keys at the end."""
     keys = learnable.filter("id_known").select("lang", "did", F.xxhash64("txt").alias("h"), F.length("txt").alias("n"))
     keys = keys.groupBy("lang", "did", "h").agg(F.max("n").alias("n")).withColumn("turn", F.xxhash64("did"))
     order = [F.col("turn"), F.col("did"), F.col("h")]
