@@ -126,6 +126,7 @@ class SortedRuns:
     def close(self) -> None:
         for name in [n for level in self.levels for n in level]:
             self._drop(name)
+        discard(self.spark, self.root)
 
 
 def dedup_lines(
@@ -154,20 +155,23 @@ def dedup_lines(
     )
     lines = spark.read.schema("did long, h1 long, h2 long, batch int").parquet(lines_path)
     runs = SortedRuns(spark, fanout, buckets)
-    for b in range(len(edges) + 1):
-        own = lines.filter(F.col("batch") == b).select("did", *HASH)
-        keys = own.groupBy(*HASH).agg(F.min("did").alias("first"))
-        fresh_path = f"{runs.root}/fresh-{b}"
-        runs.unseen(keys).write.parquet(fresh_path)
-        fresh = spark.read.schema("h1 long, h2 long, first long").parquet(fresh_path)
-        (
-            own.join(fresh, HASH, "left").filter(F.col("first").isNull() | (F.col("first") < F.col("did")))
-            .select("did", *HASH).write.mode("append").parquet(drops_path)
-        )
-        if b < len(edges):
-            runs.add(fresh)
-        discard(spark, fresh_path)
-    runs.close()
+    try:
+        for b in range(len(edges) + 1):
+            own = lines.filter(F.col("batch") == b).select("did", *HASH)
+            keys = own.groupBy(*HASH).agg(F.min("did").alias("first"))
+            fresh_path = f"{runs.root}/fresh-{b}"
+            runs.unseen(keys).write.parquet(fresh_path)
+            fresh = spark.read.schema("h1 long, h2 long, first long").parquet(fresh_path)
+            (
+                own.join(fresh, HASH, "left").filter(F.col("first").isNull() | (F.col("first") < F.col("did")))
+                .select("did", *HASH).write.mode("append").parquet(drops_path)
+            )
+            if b < len(edges):
+                runs.add(fresh)
+            discard(spark, fresh_path)
+    finally:  # a failing batch leaves no tables either
+        runs.close()
+        discard(spark, lines_path)
     drops = spark.read.schema("did long, h1 long, h2 long").parquet(drops_path)
     drops = drops.groupBy("did").agg(F.collect_list(F.struct(*HASH)).alias("drops"))
     joined = rows.join(drops, "did", "left").select("row", "txt", "drops")

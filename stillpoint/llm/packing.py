@@ -26,6 +26,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stillpoint.functions.tables import kept, scratch
 from stillpoint.llm.common import order_id, staged
 
 #: Chunks that a worker remembers; beyond it the memory is emptied.
@@ -184,17 +185,18 @@ def pack_documents(
     """
     documents, attention = documents or tokens, attention or tokens * tokens
     rows = docs.select(order_id(id_col).alias("did"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("txt"))
-    pieces = staged(rows.mapInArrow(lambda it: _pieces(it, tokenizer, tokens, end_id), PIECE_SCHEMA), "pieces")
-    shards = max(1, math.ceil(pieces.count() / shard_pieces))
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "did", "piece"], ascending=[False, True, True], kind="stable")
-        bins, pdf["offset"] = pack(pdf["length"].to_numpy(), tokens, documents, attention, weights, score)
-        pdf["sequence_id"] = bins * shards + pdf["shard"]
-        return pdf[["did", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
-
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("did", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(shards)))
-    return dealt.groupBy("shard").applyInPandas(one, PIECE_SCHEMA + ", sequence_id long, offset long")
+    with scratch(docs.sparkSession):
+        pieces = staged(rows.mapInArrow(lambda it: _pieces(it, tokenizer, tokens, end_id), PIECE_SCHEMA), "pieces")
+        shards = max(1, math.ceil(pieces.count() / shard_pieces))
+
+        def one(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(["length", "did", "piece"], ascending=[False, True, True], kind="stable")
+            bins, pdf["offset"] = pack(pdf["length"].to_numpy(), tokens, documents, attention, weights, score)
+            pdf["sequence_id"] = bins * shards + pdf["shard"]
+            return pdf[["did", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
+
+        dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("did", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(shards)))
+        return kept(dealt.groupBy("shard").applyInPandas(one, PIECE_SCHEMA + ", sequence_id long, offset long"), "packed")
 
 
 def byte_vocabulary() -> str:

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stillpoint.functions.tables import kept, scratch
 from stillpoint.llm.common import held_out, order_id, staged
 
 STATISTICS = [
@@ -122,16 +123,17 @@ def classify_quality(
     spark = docs.sparkSession
     rows = docs.select(order_id(id_col).alias("did"), F.col(text_col).cast("string").alias("txt"), held_out(id_col, modulus, remainder).alias("held_out"))
     schema = "did long, held_out boolean, " + ", ".join(f"{c} double" for c in STATISTICS)
-    measured = staged(rows.mapInArrow(_statistics, schema), "quality-statistics")
-    known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
-    known = known.groupBy(F.col(id_col).cast("long").alias("did")).agg(F.min(label_col).cast("int").alias("label"))
-    learn = measured.filter(~F.col("held_out")).join(known, "did").select(*STATISTICS, "label")
-    moments = np.zeros((2, len(STATISTICS) + 1, len(STATISTICS) + 1))
-    summed = learn.mapInArrow(_moments, "c long, i long, j long, v double").groupBy("c", "i", "j").agg(F.sum("v").alias("v"))
-    for r in summed.collect():  # a fixed number of rows
-        moments[r["c"], r["i"], r["j"]] = r["v"]
-    model = spark.sparkContext.broadcast(Discriminant(moments, pooled, identity))
-    return measured.mapInArrow(lambda it: _score(it, model, threshold), "did long, held_out boolean, score double, predicted int")
+    with scratch(spark):
+        measured = staged(rows.mapInArrow(_statistics, schema), "quality-statistics")
+        known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
+        known = known.groupBy(F.col(id_col).cast("long").alias("did")).agg(F.min(label_col).cast("int").alias("label"))
+        learn = measured.filter(~F.col("held_out")).join(known, "did").select(*STATISTICS, "label")
+        moments = np.zeros((2, len(STATISTICS) + 1, len(STATISTICS) + 1))
+        summed = learn.mapInArrow(_moments, "c long, i long, j long, v double").groupBy("c", "i", "j").agg(F.sum("v").alias("v"))
+        for r in summed.collect():  # a fixed number of rows
+            moments[r["c"], r["i"], r["j"]] = r["v"]
+        model = spark.sparkContext.broadcast(Discriminant(moments, pooled, identity))
+        return kept(measured.mapInArrow(lambda it: _score(it, model, threshold), "did long, held_out boolean, score double, predicted int"), "quality")
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:
