@@ -48,11 +48,19 @@ def text_exact(spark, d):
 
 @query(
     "text_fuzzy",
-    f"""WITH {POST}, {QT}, near AS (
-  SELECT q.term AS q, v.term, CAST(q.term <> v.term AS INTEGER) AS dist FROM (SELECT DISTINCT term FROM qt) q
-  JOIN (SELECT DISTINCT term FROM post) v ON abs(length(q.term) - length(v.term)) <= 1
-  WHERE len(list_filter(range(0, greatest(length(q.term), length(v.term))), lambda i: left(q.term, i) = left(v.term, i) AND (
-    substr(q.term, i + 2) = substr(v.term, i + 2) OR substr(q.term, i + 2) = substr(v.term, i + 1) OR substr(q.term, i + 1) = substr(v.term, i + 2)))) > 0
+    # terms within distance 1 have the first or the last half of the shorter one in common
+    f"""WITH {POST}, {QT}, qk AS (
+  SELECT term, d, length(term) + d AS n, left(term, m // 2) AS head, right(term, m - m // 2) AS tail FROM (
+    SELECT term, d, least(length(term), length(term) + d) AS m FROM (SELECT DISTINCT term FROM qt), (SELECT unnest([-1, 0, 1]) AS d))
+), vk AS (
+  SELECT term, d, length(term) AS n, left(term, m // 2) AS head, right(term, m - m // 2) AS tail FROM (
+    SELECT term, d, least(length(term), length(term) - d) AS m FROM (SELECT DISTINCT term FROM post), (SELECT unnest([-1, 0, 1]) AS d))
+), half AS (
+  SELECT qk.term AS q, vk.term AS v FROM qk JOIN vk USING (d, n, head) UNION SELECT qk.term, vk.term FROM qk JOIN vk USING (d, n, tail)
+), near AS (
+  SELECT q, v AS term, CAST(q <> v AS INTEGER) AS dist FROM half
+  WHERE len(list_filter(range(0, greatest(length(q), length(v))), lambda i: left(q, i) = left(v, i) AND (
+    substr(q, i + 2) = substr(v, i + 2) OR substr(q, i + 2) = substr(v, i + 1) OR substr(q, i + 1) = substr(v, i + 2)))) > 0
 ), best AS (
   SELECT query_id, item_id, qt.term AS q, max(tf / (1 + dist)) AS s, any_value(n_terms) AS n_terms FROM qt JOIN near ON near.q = qt.term JOIN post ON post.term = near.term GROUP BY query_id, item_id, qt.term
 )
