@@ -477,7 +477,7 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int, k: int, buckets: int, p
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, k: int = 16, chunk_bytes: int = 1 << 20, chunk_most: int = 8 << 20,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, k: int = 20, chunk_bytes: int = 1 << 20, chunk_most: int = 8 << 20,
     bucket_bytes: int = 2 << 20, shard_bytes: int = 1 << 18, as_text: bool = False,
 ) -> DataFrame:
     """Remove every byte covered by a ``length``-byte string that also starts in a document
