@@ -5,18 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stillpoint.functions.tables import discard, new_path, written
+from stillpoint.functions.tables import discard, new_path
+from stillpoint.functions.tables import written as staged
 
 __all__ = ["bounded_batches", "discard", "held_out", "new_path", "order_id", "packed_rows", "staged"]
 
 HELD_LAST = (1 << 63) - 1
 
 
-def staged(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back."""
-    return written(df, tag)
-
-
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Texts are long: Arrow batches of Spark's default of 10,000 rows of them would fill a
     Python worker. A smaller size that the session has is kept."""

@@ -340,13 +340,11 @@ def _classified(
     )
 
 
-def later_copies(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Those of the ``ids`` (``did``, each of one row of ``docs``) whose document is not the
-    first of its class among them. Other rows of ``docs`` take no part."""
-    rows = docs.select(order_id(id_col).alias("did"), F.col(text_col).cast("string").alias("txt")).withColumn("rid", F.col("did"))
-    with scratch(docs.sparkSession):
-        only = staged(ids.select(F.col("did").alias("rid")), "ids")
-        return kept(_classified(rows, only=only, **options).filter("rid <> first_rid").select("did"), "later-copies")
+def later_rows(rows: DataFrame, only: DataFrame, **options) -> DataFrame:
+    """``rid`` of those ``rows`` (``did``, ``rid``, ``txt``) that are not the first of their
+    class among the rows that ``only`` (``rid``) names; no two of those share a ``rid``."""
+    with scratch(rows.sparkSession):
+        return kept(_classified(rows, only=staged(only, "only"), **options).filter("rid <> first_rid").select("rid"), "later-rows")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -14,6 +14,7 @@ for each distinct word of a worker.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -234,11 +235,14 @@ def train(texts: list[str], labels: np.ndarray, prior: float, epochs: int = 7, m
     """Parameters, and slope and offset of the calibration. ``prior`` is the share of
     label 1 among all rows that could be learned from; the loss is weighted to it."""
     rng = np.random.default_rng(3)
-    split = [words_of(t) for t in texts]
-    counts = np.array([len(w) for w in split])
-    vocabulary = list(dict.fromkeys(w for ws in split for w in ws))
-    place = {w: i for i, w in enumerate(vocabulary)}
-    places = np.fromiter((place[w] for ws in split for w in ws), "i8", int(counts.sum()))
+    place: dict[str, int] = {}
+    counts, flat = [], array("i")  # words as numbers: the words of all texts are never held at once
+    for text in texts:
+        own = words_of(text)
+        counts.append(len(own))
+        flat.extend([place.setdefault(w, len(place)) for w in own])
+    counts, places, vocabulary = np.array(counts), np.array(flat, "i8"), list(place)
+    del place, flat
     trainer = Trainer(vocabulary)
     if not vocabulary or len(set(labels)) < 2:
         return trainer.p, 0.0, float(np.log((prior + 1e-3) / (1 - prior + 1e-3)))
