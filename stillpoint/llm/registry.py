@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stillpoint.llm import fingerprints, jaccard, language, line_dedup, packing, quality, suffix_dedup, topk, toxicity, word_bpe
+from stillpoint.llm import compression, fingerprints, jaccard, language, line_dedup, packing, periodic, quality, resampling, suffix_dedup, topk, toxicity, word_bpe
 from stillpoint.llm.common import bounded_batches
 
 
@@ -26,9 +26,12 @@ def queries() -> dict:
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_suffix_array_dedup": suffix_dedup.op9_suffix_array_dedup,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
+        "op11_importance_resampling": resampling.op11_importance_resampling,
+        "op12_quality_rules": compression.op12_quality_rules,
+        "op13_periodic_runs": periodic.op13_periodic_runs,
     }
     return {name: _bounded(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**line_dedup.ORACLE, **topk.ORACLE}
+    return {**line_dedup.ORACLE, **topk.ORACLE, **resampling.ORACLE}
