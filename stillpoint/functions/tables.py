@@ -6,10 +6,12 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-_OPEN: list[list[str]] = []
+#: Tables of the open ``scratch`` blocks of this thread, innermost last.
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("open scratch blocks", default=())
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -49,6 +51,34 @@ def move(spark: SparkSession, path: str, to: str) -> None:
         raise OSError(f"cannot move {path} to {to}")
 
 
+def point(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file in one step: readers see the old text or the new one."""
+    fresh, fs = _file_system(spark, f"{path}.{uuid.uuid4().hex}")
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    out = fs.create(fresh, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    over = gateway.new_array(rename, 1)
+    over[0] = rename.OVERWRITE
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    files.rename(fs.makeQualified(fresh), fs.makeQualified(_file_system(spark, path)[0]), over)
+
+
+def pointed(spark: SparkSession, path: str) -> str | None:
+    """The text that ``point`` left at ``path``, if any."""
+    hpath, fs = _file_system(spark, path)
+    if not fs.exists(hpath):
+        return None
+    stream = fs.open(hpath)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     hpath, fs = _file_system(spark, path)
     return fs.exists(hpath)
@@ -59,11 +89,11 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables ``written`` inside are deleted at the end, also after an error; a result that
     is to outlive them is ``kept``."""
     paths: list[str] = []
-    _OPEN.append(paths)
+    outer = _OPEN.set((*_OPEN.get(), paths))
     try:
         yield
     finally:
-        _OPEN.pop()
+        _OPEN.reset(outer)
         for path in paths:
             discard(spark, path)
 
@@ -71,8 +101,8 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 def _write(df: DataFrame, tag: str, scope: int) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, tag)
-    if len(_OPEN) >= scope:
-        _OPEN[-scope].append(path)
+    if len(blocks := _OPEN.get()) >= scope:
+        blocks[-scope].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -19,8 +19,8 @@ LANE = 1 << 40
 
 
 def scene_filter(frames: DataFrame, threshold: float = 0.35) -> DataFrame:
-    """Frames whose score is strictly above the threshold."""
-    return frames.filter(F.col("score") > threshold)
+    """Frames whose score is strictly above the threshold; one that is no number isn't."""
+    return frames.filter((F.col("score") > threshold) & ~F.isnan("score"))
 
 
 def nonnegative_events(events: DataFrame) -> DataFrame:

@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from stillpoint.functions.tables import exists, written
+from stillpoint.functions.tables import kept, scratch, written
 from stillpoint.operators import events as ev
 from stillpoint.operators import review as rv
 from stillpoint.options import ReviewOptions, SelectionOptions
@@ -23,10 +23,13 @@ from stillpoint.sources import videos as vs
 
 
 def plan(videos: DataFrame, scenes: DataFrame, options: SelectionOptions) -> DataFrame:
-    """Planned events of ``videos`` (video_ord, video_id, duration): seeds, scenes above the
-    threshold and periodic events, merged under the spacing and capped. Each record is
-    planned apart, also if two share a video id."""
-    found = ev.scene_dedupe(ev.scene_filter(scenes, options.scene_threshold))
+    """Planned events of ``videos`` (video_ord, video_id, duration): seeds, scenes and
+    periodic events, merged under the spacing and capped. Each record is planned apart,
+    also if two share a video id.
+
+    Scenes are planned as they were found, those without a score included: the threshold
+    is applied where frames are scored, by the detector or by ``scene_filter``."""
+    found = ev.scene_dedupe(scenes)
     regular = ev.periodic_events(videos, options.interval).unionByName(ev.tail_events(videos, options.interval))
     both = ev.event_union(ev.seed_events(videos), found.select("video_ord", "video_id", "t", "source", "score", "ord"), regular)
     return ev.candidate_cap(ev.spacing_merge(ev.nonnegative_events(both), options.spacing), options.max_candidates)
@@ -78,18 +81,24 @@ def prepare_job(
     that an earlier run left below ``out``, and replace it.
 
     ``files`` (path) lists what exists, ``probes`` (path, payload) and ``logs`` (path, text)
-    are what video tools said; a video without them has no duration and no scenes. Videos
-    that don't exist are an error before anything is planned."""
+    are what video tools said; a video without them has no duration and no scenes. Several
+    logs of a path (what a tool wrote to its outputs) are read in the order of their
+    ``part``; two of one part, or two unlike payloads of a path, are an error, as are
+    videos that don't exist, before anything is planned."""
     manifest = f"{out.rstrip('/')}/manifests/candidate_keyframes.jsonl"
-    videos = written(vs.load_videos(spark, source, recursive), "videos")
-    vs.require_videos(videos, files)
-    one = probes.groupBy("path").agg(F.first("payload", ignorenulls=True).alias("payload"))
-    timed = pr.parse_probe(videos.select("video_ord", "video_id", "path").join(one, "path", "left"))
-    lines = pr.split_log(videos.join(logs, "path").select("video_ord", "video_id", "text"))
-    scenes = pr.parse_scene_log(lines).withColumn("source", F.lit("scene"))
-    earlier = mf.read_candidates(spark, manifest) if exists(spark, manifest) else None
-    rows = written(prepare(timed.join(videos.select("video_ord", "path"), "video_ord"), scenes, f"{out.rstrip('/')}/candidates", options, earlier), "candidates")
-    n = mf.write_manifest(rows, mf.CANDIDATE_KEYS, manifest, mf.CANDIDATE_ORDER)
+    logs = logs if "part" in logs.columns else logs.withColumn("part", F.lit(0))
+    with scratch(spark):
+        videos = written(vs.load_videos(spark, source, recursive), "videos")
+        vs.require_videos(videos, files)
+        twice = logs.groupBy("path", "part").count().filter("count > 1").limit(1).collect()
+        if twice:
+            raise ValueError(f"{twice[0]['path']}: two logs of part {twice[0]['part']}")
+        timed = pr.parse_probe(videos.select("video_ord", "video_id", "path").join(pr.one_payload(probes), "path", "left"))
+        lines = pr.split_log(videos.join(logs, "path").select("video_ord", "video_id", "part", "text"))
+        scenes = pr.parse_scene_log(lines).withColumn("source", F.lit("scene"))
+        earlier = mf.read_candidates(spark, manifest) if mf.current(spark, manifest) else None
+        rows = kept(prepare(timed.join(videos.select("video_ord", "path"), "video_ord"), scenes, f"{out.rstrip('/')}/candidates", options, earlier), "candidates")
+        n = mf.write_manifest(rows, mf.CANDIDATE_KEYS, manifest, mf.CANDIDATE_ORDER)
     return JobResult(manifest, None, n, 0, extraction_worklist(rows, files, options))
 
 
@@ -97,10 +106,12 @@ def finalize_job(spark: SparkSession, manifest: str, out: str, files: DataFrame,
     """Read a reviewed candidate manifest strictly, select keyframes and replace the keyframe
     manifest below ``out``."""
     target = f"{out.rstrip('/')}/manifests/keyframes.jsonl"
-    candidates = written(mf.read_candidates(spark, manifest), "candidates")
-    rows = written(finalize(candidates, f"{out.rstrip('/')}/keyframes", options), "keyframes")
-    n = mf.write_manifest(rows, mf.KEYFRAME_KEYS, target, mf.KEYFRAME_ORDER)
-    return JobResult(manifest, target, candidates.count(), n, export_worklist(rows, files, options))
+    seen = Observation()
+    with scratch(spark):
+        candidates = written(mf.read_candidates(spark, manifest).observe(seen, F.count(F.lit(1)).alias("n")), "candidates")
+        rows = kept(finalize(candidates, f"{out.rstrip('/')}/keyframes", options), "keyframes")
+        n = mf.write_manifest(rows, mf.KEYFRAME_KEYS, target, mf.KEYFRAME_ORDER)
+    return JobResult(manifest, target, seen.get["n"], n, export_worklist(rows, files, options))
 
 
 def run_job(

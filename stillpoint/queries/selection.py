@@ -147,7 +147,7 @@ PLAN = f"{EV}, {VID}, {UNION}, {merged('u', 'm')}, p AS ({CAPPED.format('m')})"
 
 
 def _plan_inputs(spark, d):
-    return videos(spark, d), events(spark, d).filter("source = 'scene'")
+    return videos(spark, d), ev.scene_filter(events(spark, d).filter("source = 'scene'"), OPTIONS.scene_threshold)
 
 
 @query("plan", f"WITH RECURSIVE {PLAN} SELECT * FROM p")
@@ -155,6 +155,16 @@ def plan(spark, d):
     return wf.plan(*_plan_inputs(spark, d), OPTIONS)
 
 
+UNSCORED = f"{EV.replace('value / 500 AS score', 'CASE WHEN event_id % 2 = 0 THEN value / 500 END AS score')}"
+
+
+@query("plan_as_found", f"WITH RECURSIVE {PLAN.replace(EV, UNSCORED).replace('score > 0.35', 'true')} SELECT * FROM p")
+def plan_as_found(spark, d):
+    """Scenes of a log without scores for half of them, as a detector's own threshold left them."""
+    found = events(spark, d).filter("source = 'scene'").withColumn("score", F.when(F.col("ord") % 2 == 0, F.col("score")))
+    return wf.plan(videos(spark, d), found, OPTIONS)
+
+
 def _earlier(spark, d):
     """An earlier manifest: even events decided by id, later rows winning."""
     rows = wf.prepare(*_plan_inputs(spark, d), "/out/candidates", OPTIONS).filter("ord % 2 = 0")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from stillpoint.functions.tables import discard, move
+from stillpoint.functions.tables import discard, exists, move, point, pointed
 from stillpoint.schemas import DECISIONS
 from stillpoint.sources.videos import fail, numbered_lines
 
@@ -65,23 +65,56 @@ CANDIDATE_ORDER = ["video_ord", "timestamp_seconds", "ord"]
 KEYFRAME_ORDER = ["video_id", "timestamp_seconds", "ord"]
 
 
+def _pointer(path: str) -> str:
+    return f"{path.rstrip('/')}.current"
+
+
+def current(spark: SparkSession, path: str) -> str | None:
+    """The folder that holds the manifest of ``path``: the version that its pointer names
+    while a version is put in place, else ``path`` itself; None if there is neither."""
+    named = pointed(spark, _pointer(path))
+    if named and exists(spark, named):
+        return named
+    return path if exists(spark, path) else None
+
+
+def settle(spark: SparkSession, path: str) -> None:
+    """Put the version that the pointer names in place, also one that an earlier writer
+    left behind. At every step ``current`` finds a whole manifest: the version until it has
+    been moved, then ``path``."""
+    named = pointed(spark, _pointer(path))
+    if named and exists(spark, named):
+        discard(spark, path)
+        move(spark, named, path)
+    if named:
+        discard(spark, _pointer(path))
+
+
 def write_manifest(rows: DataFrame, keys: list[str], path: str, order: list[str]) -> int:
     """Replace ``path`` by JSON Lines in the given global order; returns the number of rows,
-    counted while they are written. The new lines are whole before the old ones go, so
-    ``rows`` may come from the manifest that they replace."""
+    counted while they are written.
+
+    A version is a folder of its own. It becomes the manifest when a pointer to it appears,
+    in one rename; only then do the old lines go. So ``rows`` may come from the manifest
+    that they replace, and a writer that dies leaves the old manifest or the new one."""
     spark, seen = rows.sparkSession, Observation()
     fresh = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    json_lines(rows.orderBy(*order), keys).select("value").observe(seen, F.count(F.lit(1)).alias("n")).write.text(fresh)
-    discard(spark, path)
-    move(spark, fresh, path)
+    try:
+        json_lines(rows.orderBy(*order), keys).select("value").observe(seen, F.count(F.lit(1)).alias("n")).write.text(fresh)
+    except BaseException:
+        discard(spark, fresh)
+        raise
+    settle(spark, path)
+    point(spark, _pointer(path), fresh)
+    settle(spark, path)
     return seen.get["n"]
 
 
 def read_candidates(spark: SparkSession, path: str) -> DataFrame:
     """The candidate manifest at ``path``, strictly; ``ord`` is the number of its line."""
-    return parse_candidates(numbered_lines(spark, path))
+    return parse_candidates(numbered_lines(spark, current(spark, path) or path))
 
 
 def read_keyframes(spark: SparkSession, path: str) -> DataFrame:
     """The keyframe manifest at ``path``, strictly; ``ord`` is the number of its line."""
-    return parse_keyframes(numbered_lines(spark, path))
+    return parse_keyframes(numbered_lines(spark, current(spark, path) or path))

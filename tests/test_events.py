@@ -22,6 +22,11 @@ def times(df):
     return [(r.t, r.source) for r in df.orderBy("video_ord", "t", "ord").collect()]
 
 
+def test_threshold(spark):
+    frames = make(spark, [(1, "scene", 0.35), (2, "scene", 0.36), (3, "scene", None), (4, "scene", float("nan")), (5, "scene", float("inf"))])
+    assert [t for t, _ in times(ev.scene_filter(frames))] == [2.0, 5.0]
+
+
 @pytest.mark.parametrize(
     "duration,interval,want",
     [(65, 20, [20, 40, 60]), (75, 20, [20, 40, 60, 74]), (60, 20, [20, 40, 60]), (10, 20, [9]), (1.0, 20, []), (0.5, 20, []), (0.3, 0.1, [0.1, 0.2]), (None, 20, []), (0, 20, []), (-1, 20, [])],

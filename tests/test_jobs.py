@@ -42,12 +42,14 @@ def test_prepare_review_finalize(spark, folder):
     assert done.candidate_count == len(rows) == 7 and done.keyframe_count == 0 and done.keyframes_manifest is None
     # input order of the videos, then time
     assert [(r["video_path"][-5:], r["timestamp_seconds"], r["source"]) for r in rows] == [
-        ("x.MOV", 0.0, "seed"), ("x.MOV", 20.0, "periodic"), ("x.MOV", 30.5, "scene"), ("x.MOV", 40.0, "periodic"), ("x.MOV", 60.0, "periodic"), ("b.mp4", 0.0, "seed"), ("b.mp4", 7.0, "scene"),
+        ("x.MOV", 0.0, "seed"), ("x.MOV", 20.0, "periodic"), ("x.MOV", 30.5, "scene"), ("x.MOV", 41.0, "scene"), ("x.MOV", 60.0, "periodic"), ("b.mp4", 0.0, "seed"), ("b.mp4", 7.0, "scene"),
     ]
     assert all(list(r) == mf.CANDIDATE_KEYS and r["decision"] == "pending" for r in rows)
     work = done.worklist.collect()
     assert {w.attempt_t for w in work if w.image_path == rows[2]["image_path"]} == {30.5, 30.25, 30.0, 29.5} and {w.quality for w in work} == {2}
 
+    # the detector's threshold was its own: the scene of score 0.2 is planned
+    assert [r["score"] for r in rows if r["source"] == "scene"] == [0.9, 0.2, 0.5]
     # a person decides; the next run carries the decisions and asks only for what is absent
     rows[2]["decision"], rows[3]["decision"] = "accepted", "rejected"
     for part in (folder / "out/manifests/candidate_keyframes.jsonl").iterdir():
@@ -72,6 +74,33 @@ def test_prepare_review_finalize(spark, folder):
     assert mf.read_keyframes(spark, whole.keyframes_manifest).count() == 1
 
 
+def test_scenes_without_a_score_reach_the_manifest(spark, folder):
+    files, probes, logs = tools(spark, folder)
+    a, b = (r.path for r in files.collect())
+    shown = "[Parsed_showinfo_2] n: 0 pts_time:33.25 pos:9\n[Parsed_showinfo_2] n: 1 pts_time:3.5"
+    logs = spark.createDataFrame([(a, 1, shown), (b, 2, "lavfi.scene_score=0.5"), (b, 1, "frame:0 pts:1 pts_time:7.0\nframe:1 pts:2 pts_time:9.5")], "path string, part int, text string")
+    done = wf.run_job(spark, f"{folder}/videos", f"{folder}/out", files, probes, logs, SelectionOptions(), ReviewOptions())
+    kept = [(r["video_path"][-5:], r["timestamp_seconds"], r["score"]) for r in manifest(folder / "out/manifests/keyframes.jsonl") if r["source"] == "scene"]
+    # the parts of b's log are read in their order: its score belongs to the last frame of part 1
+    assert kept == [("x.MOV", 3.5, None), ("x.MOV", 33.25, None), ("b.mp4", 7.0, None), ("b.mp4", 9.5, 0.5)]
+    assert done.candidate_count == 9
+    with pytest.raises(ValueError):
+        wf.prepare_job(spark, f"{folder}/videos", f"{folder}/out", files, probes, logs.drop("part"), SelectionOptions())
+    with pytest.raises(Exception):
+        unlike = probes.unionByName(spark.createDataFrame([(a, '{"format":{"duration":"66"}}')], probes.schema))
+        wf.prepare_job(spark, f"{folder}/videos", f"{folder}/out", files, unlike, logs, SelectionOptions())
+
+
+def test_jobs_leave_only_what_their_results_read(spark, folder):
+    import os
+
+    files, probes, logs = tools(spark, folder)
+    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    wf.run_job(spark, f"{folder}/videos", f"{folder}/out", files, probes, logs, SelectionOptions(), ReviewOptions())
+    assert sorted(x.split("-")[0] for x in set(os.listdir(root)) - before) == ["candidates", "keyframes"]
+
+
 def test_missing_video_is_an_error(spark, folder):
     files, probes, logs = tools(spark, folder)
     with pytest.raises(FileNotFoundError):
@@ -88,6 +117,61 @@ def test_a_failed_write_leaves_the_manifest(spark, folder):
     assert manifest(folder / "m.jsonl") == [{"candidate_id": "a"}, {"candidate_id": "b"}]
 
 
+@pytest.mark.parametrize("dies_in", ["point", "discard", "move", "discard pointer"])
+def test_a_writer_that_dies_leaves_a_whole_manifest(spark, folder, monkeypatch, dies_in):
+    path = f"{folder}/m.jsonl"
+    row = {"candidate_id": "c", "video_id": "v", "video_path": "p", "timestamp_seconds": 1.0, "image_path": "i", "source": "scene", "score": None, "decision": "pending", "metadata": "{}"}
+    kinds = "candidate_id string, video_id string, video_path string, timestamp_seconds double, image_path string, source string, score double, decision string, metadata string, ord long"
+    make = lambda names: spark.createDataFrame([tuple({**row, "candidate_id": n}.values()) + (k,) for k, n in enumerate(names)], kinds)
+    read = lambda: [r.candidate_id for r in mf.read_candidates(spark, path).orderBy("ord").collect()]
+    mf.write_manifest(make("ab"), mf.CANDIDATE_KEYS, path, ["ord"])
+
+    def die(real, when):
+        def run(spark, at, *rest):
+            if when(at):
+                raise RuntimeError("the driver dies")
+            return real(spark, at, *rest)
+
+        return run
+
+    with monkeypatch.context() as m:
+        step, pointer = dies_in.split()[0], dies_in.endswith("pointer")
+        m.setattr(mf, step, die(getattr(mf, step), lambda at: at.endswith(".current") == (pointer or step == "point")))
+        with pytest.raises(RuntimeError):
+            mf.write_manifest(make("xyz"), mf.CANDIDATE_KEYS, path, ["ord"])
+    assert read() == (["a", "b"] if dies_in == "point" else ["x", "y", "z"])
+    # the next writer settles what was left and may read what it replaces
+    assert mf.write_manifest(mf.read_candidates(spark, path).filter("candidate_id <> 'x'"), mf.CANDIDATE_KEYS, path, ["ord"]) == 2
+    assert read() == (["a", "b"] if dies_in == "point" else ["y", "z"])
+    assert not (folder / "m.jsonl.current").exists()
+
+
+def test_threads_have_their_own_scratch(spark):
+    import threading
+
+    from stillpoint.functions.tables import scratch, written
+
+    inside, outside, problems = threading.Event(), threading.Event(), []
+
+    def other():
+        try:
+            with scratch(spark):
+                inside.set()
+                outside.wait(60)
+                assert written(spark.range(3), "theirs").count() == 3
+        except Exception as e:  # noqa: BLE001
+            problems.append(e)
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    inside.wait(60)
+    with scratch(spark):
+        mine = written(spark.range(5), "mine")
+        outside.set()
+        thread.join()
+        assert mine.count() == 5 and not problems
+
+
 def test_requests(spark):
     nan, inf = float("nan"), float("inf")
     good = (0.35, 20.0, 2.0, 120, 2, " Reject ", None)

@@ -86,9 +86,27 @@ def test_probe(spark):
         pr.parse_probe(spark.createDataFrame([(1, "v", '{"format":{"duration":"inf"}}')], "video_ord long, video_id string, payload string")).collect()
 
 
+@pytest.mark.parametrize("payload", ["not json", "[1]", " ", '"x"', '{"format":5}', '{"format":null}', '{"format":{"duration":"abc"}}', '{"format":{"duration":[1]}}'])
+def test_broken_probe_is_an_error(spark, payload):
+    with pytest.raises(Exception):
+        pr.parse_probe(spark.createDataFrame([(1, "v", payload)], "video_ord long, video_id string, payload string")).collect()
+
+
+def test_probe_without_a_duration(spark):
+    given = ['{"format":{}}', '{"format":{"duration":null}}', '{"format":{"duration":7}}', '{"streams":[]}']
+    df = spark.createDataFrame([(i, "v", p) for i, p in enumerate(given)], "video_ord long, video_id string, payload string")
+    assert [r.duration for r in pr.parse_probe(df).orderBy("video_ord").collect()] == [None, None, 7.0, None]
+
+
 A, B = "frame:0 pts:100 pts_time:4.0", "frame:1 pts:200 pts_time:8.0"
 
 
+def test_a_number_that_is_none_is_an_error(spark):
+    texts = spark.createDataFrame([(1, "v", "frame:0 pts:1 pts_time:1e")], "video_ord long, video_id string, text string")
+    with pytest.raises(Exception):
+        pr.parse_scene_log(pr.split_log(texts)).collect()
+
+
 @pytest.mark.parametrize(
     "log,want",
     [
@@ -97,6 +115,12 @@ A, B = "frame:0 pts:100 pts_time:4.0", "frame:1 pts:200 pts_time:8.0"
         (["lavfi.scene_score=0.9", "frame:0 pts:1 pts_time:1.0"], [(1.0, None)]),
         (["frame:0 pts:1 pts_time:1.0", "lavfi.scene_score=0.4", "lavfi.scene_score=0.6"], [(1.0, 0.6)]),
         (["showinfo x pts_time:3.5", "showinfo x pts_time:2.5"], [(2.5, None), (3.5, None)]),
+        (["frame: 3  pts:\t-7\tpts_time: 1.5\tpos:3", "x lavfi.scene_score=0.5,"], [(1.5, 0.5)]),
+        (["frame:0 pts:1 pts_time:1.0", "lavfi.scene_score=nan"], [(1.0, None)]),
+        (["frame:0 pts:1 pts_time:1.5e1;pts_time:2.0"], [(15.0, None)]),
+        (["subframe:0\u2003pts:1 pts_time:+.5"], [(0.5, None)]),
+        (["frame:0 pts_time:1.0 pts:1", "frame: pts:1 pts_time:1.0"], []),
+        (["showinfo pts_time:1.0 pts_time:2.0x lavfi.scene_score=0.3"], [(2.0, None)]),
     ],
 )
 def test_scene_log(spark, log, want):
