@@ -15,10 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-def terms(text: Column) -> Column:
-    """Lower-cased runs of letters and digits."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+from stillpoint.functions.tables import written
+from stillpoint.operators.postings import Segment, document_frequency, matches, query_terms, segment_of, terms, text_index
 
 
 def top_k(hits: DataFrame, k: int, by: str = "score") -> DataFrame:
@@ -27,56 +25,32 @@ def top_k(hits: DataFrame, k: int, by: str = "score") -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def text_index(items: DataFrame) -> DataFrame:
-    """Postings ``term, item_id, tf``."""
-    words = items.select("item_id", F.explode(terms(F.col("text"))).alias("term"))
-    return words.groupBy("term", "item_id").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def document_frequency(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-
+def _segments(index) -> list[Segment]:
+    """Of a stored index, or of a table of postings."""
+    return [segment_of(index)] if isinstance(index, DataFrame) else index.segments()
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """``query_id, term, n_terms``: the distinct terms of each query and their number."""
-    own = queries.select("query_id", F.array_distinct(terms(F.col("text"))).alias("ts"))
-    return own.select("query_id", F.size("ts").alias("n_terms"), F.explode("ts").alias("term"))
 
-
-def text_exact(postings: DataFrame, queries: DataFrame, items: DataFrame | None = None) -> DataFrame:
+def text_exact(index, queries: DataFrame, items: DataFrame | None = None) -> DataFrame:
     """Items that hold every distinct term of a query; the score is the sum of their term
-    frequencies. With ``items``, ``phrase`` tells whether the query occurs as it is."""
-    met = postings.join(query_terms(queries), "term").groupBy("query_id", "item_id")
-    hits = met.agg(F.sum("tf").alias("score"), F.count(F.lit(1)).alias("n"), F.first("n_terms").alias("n_terms")).filter("n = n_terms").drop("n", "n_terms")
+    frequencies. With ``items``, ``phrase`` tells whether the query occurs as it is.
+
+    ``index`` is a ``TextStore`` or a table of postings. The hits are written before their
+    texts are met, so that Spark knows how few they are."""
+    hits = matches(_segments(index), queries, 0).withColumn("score", F.col("score").cast("long"))
     if items is None:
         return hits
-    texts = items.select("item_id", F.lower("text").alias("_text"))
+    hits = written(hits, "hits")
+    texts = items.join(hits.select("item_id").distinct(), "item_id", "left_semi").select("item_id", F.lower("text").alias("_text"))
     asked = queries.select("query_id", F.lower("text").alias("_query"))
     return hits.join(texts, "item_id").join(asked, "query_id").withColumn("phrase", F.contains("_text", "_query")).drop("_text", "_query")
 
 
-def text_fuzzy(postings: DataFrame, queries: DataFrame, distance: int = 1) -> DataFrame:
+def text_fuzzy(index, queries: DataFrame, distance: int = 1) -> DataFrame:
     """Items that hold, for every distinct term of a query, a term within edit distance 1;
-    each term counts its best posting, tf / (1 + distance).
-
-    Terms meet through their deletion neighbourhoods: two terms within distance 1 share
-    one of the strings left by deleting at most one character. So no vocabulary is paired
-    with all queries."""
+    each term counts its best posting, tf / (1 + distance)."""
     if distance != 1:
         raise ValueError("edit distance 1 is supported")
-
-    def shortened(term: Column) -> Column:
-        cuts = F.transform(F.sequence(F.lit(1), F.length(term)), lambda i: F.concat(F.substring(term, F.lit(1), i - 1), F.substring(term, i + 1, F.length(term))))
-        return F.array_distinct(F.concat(F.array(term), cuts))
-
-    asked = query_terms(queries)
-    own = asked.select("term").distinct().select(F.col("term").alias("q"), F.explode(shortened(F.col("term"))).alias("key"))
-    words = postings.select("term").distinct().select("term", F.explode(shortened(F.col("term"))).alias("key"))
-    near = own.join(words, "key").select("q", "term").distinct().withColumn("d", F.levenshtein("q", "term")).filter(F.col("d") <= 1)
-    best = asked.withColumnRenamed("term", "q").join(near, "q").join(postings, "term")
-    best = best.groupBy("query_id", "item_id", "q").agg(F.max(F.col("tf") / (1 + F.col("d"))).alias("s"), F.first("n_terms").alias("n_terms"))
-    found = best.groupBy("query_id", "item_id").agg(F.sum("s").alias("score"), F.count(F.lit(1)).alias("n"), F.first("n_terms").alias("n_terms"))
-    return found.filter("n = n_terms").drop("n", "n_terms")
+    return matches(_segments(index), queries, 1)
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -6,12 +6,16 @@ and a video), events their times.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
+from stillpoint.functions.tables import kept, new_path, scratch
 from stillpoint.operators import corpus as co
 from stillpoint.operators import search as se
 from stillpoint.operators import temporal as te
 from stillpoint.queries.base import EV, events, query, table
+from stillpoint.sources.text_store import TextStore, co_located
 
 
 def _items(spark, d):
@@ -40,10 +44,32 @@ def term_frequency(spark, d):
     return se.document_frequency(se.text_index(_items(spark, d)))
 
 
+@contextmanager
+def _store(spark, d, items=None):
+    """The documents as a stored index, dropped at the end."""
+    store = TextStore.create(spark, new_path(spark, "text-index"), _items(spark, d) if items is None else items)
+    try:
+        with co_located(spark):
+            yield store
+    finally:
+        store.drop()
+
+
+@query("stored_index", f"WITH {POST}, d AS (SELECT term, count(*) AS df FROM post GROUP BY term) SELECT term, item_id, tf, df FROM post JOIN d USING (term)")
+def stored_index(spark, d):
+    """Half of the documents indexed, the others added in two steps, then merged."""
+    items = _items(spark, d)
+    with _store(spark, d, items.filter("item_id % 2 = 0")) as store, scratch(spark):
+        store.add(items.filter("item_id % 4 = 1"))
+        store.add(items.filter("item_id % 4 = 3"))
+        store.merge()
+        return kept(store.postings().join(store.frequencies(), "term"), "stored-index")
+
+
 @query("text_exact", f"WITH {EXACT} SELECT query_id, item_id, score, contains(lower(text), lower(qtext)) AS phrase FROM hit JOIN q0 USING (query_id) JOIN documents ON doc_id = item_id")
 def text_exact(spark, d):
-    items = _items(spark, d)
-    return se.text_exact(se.text_index(items), _queries(spark, d), items)
+    with _store(spark, d) as store, scratch(spark):
+        return kept(se.text_exact(store, _queries(spark, d), _items(spark, d)), "hits")
 
 
 @query(
@@ -67,7 +93,8 @@ def text_exact(spark, d):
 SELECT query_id, item_id, round(sum(s), 6) AS score FROM best GROUP BY query_id, item_id HAVING count(*) = any_value(n_terms)""",
 )
 def text_fuzzy(spark, d):
-    return se.text_fuzzy(se.text_index(_items(spark, d)), _queries(spark, d)).withColumn("score", F.round("score", 6))
+    with _store(spark, d) as store, scratch(spark):
+        return kept(se.text_fuzzy(store, _queries(spark, d)).withColumn("score", F.round("score", 6)), "hits")
 
 
 def _vectors(spark, d):
@@ -116,7 +143,8 @@ def clip_to_video(spark, d):
 
 
 def _hits(spark, d):
-    return se.text_exact(se.text_index(_items(spark, d)), _queries(spark, d)).withColumn("score", F.col("score").cast("double"))
+    with _store(spark, d) as store, scratch(spark):
+        return kept(se.text_exact(store, _queries(spark, d)).withColumn("score", F.col("score").cast("double")), "hits")
 
 
 @query("index_filter", f"WITH {EXACT} SELECT query_id, item_id, CAST(score AS DOUBLE) AS score FROM hit JOIN documents ON doc_id = item_id WHERE lang = 'en' AND n_chars > 500")
@@ -126,10 +154,14 @@ def index_filter(spark, d):
     return se.index_filter(_hits(spark, d), objects, se.has_object("en", 0.5) & (F.col("n_chars") > 500))
 
 
-def _length_hits(spark, d):
+def _length_hits(spark, d, hits):
     """A second index: the same pairs, scored by the length of the item."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.col("n_chars").cast("double").alias("score"))
-    return _hits(spark, d).drop("score").join(docs, "item_id").select("query_id", "item_id", "score")
+    return hits.drop("score").join(docs, "item_id").select("query_id", "item_id", "score")
+
+
+def _fan(spark, d, hits):
+    return se.fan_out(text=hits, size=_length_hits(spark, d, hits))
 
 
 FAN = f"""{EXACT}, l AS (
@@ -146,12 +178,12 @@ RANKED = f"{FAN}, r AS ({TOP.format('(SELECT query_id, item_id, coalesce(text, 0
 
 @query("fanout_combine", f"WITH {FAN} SELECT query_id, item_id, round(text, 6) AS text, round(size, 6) AS size FROM fan")
 def fanout_combine(spark, d):
-    out = se.fan_out(text=_hits(spark, d), size=_length_hits(spark, d))
+    out = _fan(spark, d, _hits(spark, d))
     return out.select("query_id", "item_id", F.round("text", 6).alias("text"), F.round("size", 6).alias("size"))
 
 
-def _ranked(spark, d):
-    return se.weighted_rerank(se.fan_out(text=_hits(spark, d), size=_length_hits(spark, d)), {"text": 0.75, "size": 0.25}, 10)
+def _ranked(spark, d, hits=None):
+    return se.weighted_rerank(_fan(spark, d, hits or _hits(spark, d)), {"text": 0.75, "size": 0.25}, 10)
 
 
 @query("weighted_rerank", f"WITH {RANKED} SELECT query_id, item_id, rank, round(score, 6) AS score FROM top")
@@ -179,8 +211,9 @@ e AS (SELECT query_id, avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END) AS recall,
 SELECT count(*) AS n_queries, round(avg(recall), 6) AS recall_at_k, round(avg(coalesce(1 / first, 0)), 6) AS mrr FROM e""",
 )
 def retrieval_eval(spark, d):
-    truth = _hits(spark, d).join(_labels(spark, d).filter("relevant = 1"), "item_id", "left_semi")
-    out = se.retrieval_eval(_ranked(spark, d), truth, 5)
+    hits = _hits(spark, d)
+    truth = hits.join(_labels(spark, d).filter("relevant = 1"), "item_id", "left_semi")
+    out = se.retrieval_eval(_ranked(spark, d, hits), truth, 5)
     return out.select("n_queries", F.round("recall_at_k", 6).alias("recall_at_k"), F.round("mrr", 6).alias("mrr"))
 
 
