@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from stillpoint.functions.components import connected_components
 from stillpoint.functions.tables import written
@@ -157,5 +159,118 @@ def verified(sets: DataFrame, threshold: float, chances: Chances | None = None)
     partner = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("p")
     pairs = sets.select("rid", "weight", "grp", "own", "grams", partner)
     pairs = pairs.select("rid", "weight", "grp", "own", "grams", F.least("own", "p").alias("i"), F.greatest("own", "p").alias("j"))
-    dealt = pairs.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "rid")
-    return written(dealt.mapInArrow(lambda it: _verify(it, threshold, chances), LINKS), "links")
+    return written(_checked(pairs, threshold, chances), "links")
+
+
+def _checked(pairs: DataFrame, threshold: float, chances: Chances | None) -> DataFrame:
+    """Every pair of the sets of block ``i`` with those of block ``j``; a set's ``own`` is one of them."""
+    dealt = pairs.select("rid", "weight", "grp", "own", "grams", "i", "j").repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "rid")
+    return dealt.mapInArrow(lambda it: _verify(it, threshold, chances), LINKS)
+
+
+#: Pivots that a group's members are compared with at a time, and how often at most.
+PIVOTS, ROUNDS = 8, 3
+SEEN = "rid long, near array<float>, links long, root long, met long, mass array<double>"
+
+
+def _to_pivots(batches: Iterator[pa.RecordBatch], threshold: float, chances: Chances | None) -> Iterator[pa.RecordBatch]:
+    """Members of a block with the pivots of their group: a row for each member with its
+    similarities, and one more for each further pivot that it is linked with."""
+    for table in runs(batches, ["grp", "own"]):
+        pivot = np.asarray(table.column("pivot"))
+        order = np.argsort(~pivot, kind="stable")
+        ids = np.asarray(table.column("rid"))[order]
+        raw = table.column("grams").to_pylist()
+        sets, first = [np.frombuffer(raw[k], "u8") for k in order], int(pivot.sum())
+        if first in (0, len(sets)):
+            continue
+        alike = similarities(sets, first, False).T
+        near = np.zeros((len(alike), PIVOTS), "f4")
+        near[:, :first] = alike
+        linked = (alike >= threshold - 1e-9) & (ids[first:, None] != ids[None, :first])
+        m, p = np.nonzero(linked)
+        rows, root = np.r_[np.arange(len(alike)), m], np.r_[ids[first:], ids[:first][p]]
+        met = np.r_[np.zeros(len(alike), "i8"), np.ones(len(m), "i8")]
+        mass = np.zeros((len(rows), 0))
+        if chances:
+            mass = np.concatenate([np.zeros((len(alike), len(chances(alike[:1, 0])))), (1 / chances(alike[m, p])).T])
+        columns = [ids[first:][rows], near[rows].tolist(), np.zeros(len(rows), "i8"), root, met, mass.tolist()]
+        kinds = [pa.int64(), pa.list_(pa.float32()), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64())]
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=["rid", "near", "links", "root", "met", "mass"])
+
+
+def _pivot_round(members: DataFrame, candidates: DataFrame, threshold: float, chances: Chances | None) -> DataFrame:
+    """Rows of ``_to_pivots`` of all ``members`` and pivots drawn from ``candidates`` (rid, grp)."""
+    drawn = F.row_number().over(Window.partitionBy("grp").orderBy(F.xxhash64("rid"), "rid"))
+    chosen = candidates.select("rid", "grp").withColumn("_n", drawn).filter(F.col("_n") <= PIVOTS).select("rid")
+    pivots = members.join(chosen, "rid").select("rid", "grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"), F.lit(True).alias("pivot"), "grams")
+    both = members.select("rid", "grp", "own", F.lit(False).alias("pivot"), "grams").unionByName(pivots)
+    dealt = both.repartition("grp", "own").sortWithinPartitions("grp", "own", F.desc("pivot"), "rid")
+    return written(dealt.mapInArrow(lambda it: _to_pivots(it, threshold, chances), SEEN), "pivots")
+
+
+def spanned(sets: DataFrame, threshold: float, chances: Chances | None = None, block: int = 1024) -> DataFrame:
+    """As many verified links as tell which sets of a group are connected, as rows of
+    ``verified`` without counts: a group of n near copies is shuffled a few times, not
+    n / ``block`` times.
+
+    The members of a group of several blocks first meet a few pivots of it. Those linked
+    with a pivot are settled with it; further pivots come from the others. A group whose
+    members are all connected is done: its other links tell nothing new. In any other group
+    every pair of members that aren't connected yet could still be linked. One minus the
+    Jaccard similarity is a metric, so members that differ by more than one minus the
+    threshold in their distance from any pivot aren't linked, nor are sets of too unlike
+    sizes. Blocks of settled classes and of the rest are compared pair by pair where these
+    bounds leave any room, each pair of blocks exactly.
+
+    ``sets`` has the columns of ``candidate_groups``, ``weight``, ``n`` and ``grams``."""
+    small = verified(sets.filter("blocks = 1"), threshold, chances)
+    large = written(sets.filter("blocks > 1"), "large")
+    if large.isEmpty():
+        return small
+    links, coordinates = [], []
+    candidates = large
+    for turn in range(ROUNDS):
+        seen = _pivot_round(large, candidates, threshold, chances)
+        links.append(seen.filter("rid <> root").drop("near"))
+        coordinates.append(seen.filter("rid = root").select("rid", F.col("near").alias(f"near{turn}")))
+        roots = connected_components(reduce(DataFrame.unionByName, links).select(F.col("rid").alias("a"), F.col("root").alias("b")))
+        named = large.select("rid", "grp").join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("rid", "grp", F.coalesce("root", "rid").alias("cls"), F.col("root").isNull().alias("alone"))
+        named = written(named, "named")
+        open_groups = named.groupBy("grp").agg(F.min("cls").alias("least"), F.max("cls").alias("most"), F.count_if("alone").alias("alone"))
+        open_groups = written(open_groups.filter("least <> most").select("grp", F.col("alone").alias("left")), "open")
+        if open_groups.filter(F.col("left") > block).isEmpty():
+            break
+        large = written(large.join(open_groups.select("grp"), "grp", "left_semi"), "large")
+        candidates = named.filter("alone").join(open_groups.filter("left > 0"), "grp", "left_semi")
+    if not open_groups.isEmpty():
+        rest = large.join(open_groups.select("grp"), "grp", "left_semi").join(named.select("rid", "cls"), "rid")
+        for part in coordinates:
+            rest = rest.join(part, "rid", "left")
+        links.append(_across(written(rest, "rest"), len(coordinates), threshold, chances, block))
+    return reduce(DataFrame.unionByName, links, small)
+
+
+def _across(rest: DataFrame, turns: int, threshold: float, chances: Chances | None, block: int) -> DataFrame:
+    """Links between members of different classes ``cls``. Large classes are blocks of their
+    own, the members of small ones share blocks."""
+    sizes = rest.groupBy("grp", "cls").agg(F.count(F.lit(1)).alias("size"))
+    pools = sizes.filter(F.col("size") < block // 2).groupBy("grp").agg(F.sum("size").alias("pool"))
+    rows = rest.join(sizes, ["grp", "cls"]).join(pools, "grp", "left")
+    own_class = F.when(F.col("size") >= block // 2, F.col("cls"))
+    blocks = F.ceil(F.when(own_class.isNotNull(), F.col("size")).otherwise(F.col("pool")) / block).cast("long")
+    rows = rows.withColumn("one", own_class).withColumn("own", F.xxhash64("grp", F.coalesce("one", F.lit(-1).cast("long")), F.pmod(F.xxhash64("rid"), blocks)))
+    rows = written(rows.drop("size", "pool", "blocks", "i", "j"), "blocks")
+    axes = [F.coalesce(F.col(f"near{t}")[k], F.lit(0.0).cast("float")) for t in range(turns) for k in range(PIVOTS)]
+    bounds = [f(x).alias(f"{f.__name__}{i}") for i, x in enumerate(axes) for f in (F.min, F.max)]
+    told = rows.groupBy("grp", "own", "one").agg(F.min("n").alias("n_low"), F.max("n").alias("n_high"), *bounds)
+    a, b = told.alias("a"), told.alias("b")
+    room = (F.col("a.n_high") >= F.col("b.n_low") * (threshold - 1e-9)) & (F.col("b.n_high") >= F.col("a.n_low") * (threshold - 1e-9))
+    for i in range(len(axes)):  # similarities to a pivot: bounds of floats, a little widened
+        for x, y in (("a", "b"), ("b", "a")):
+            room &= F.col(f"{x}.max{i}") + F.lit(1 - threshold + 1e-5) >= F.col(f"{y}.min{i}")
+    one_class = F.coalesce(F.col("a.one") == F.col("b.one"), F.lit(False))
+    pairs = a.join(b, "grp").filter((F.col("a.own") <= F.col("b.own")) & ~one_class & room)
+    pairs = pairs.select("grp", F.col("a.own").alias("i"), F.col("b.own").alias("j"))
+    sides = pairs.select("grp", F.col("i").alias("own"), "i", "j").unionByName(pairs.filter("i <> j").select("grp", F.col("j").alias("own"), "i", "j"))
+    return written(_checked(rows.join(sides, ["grp", "own"]), threshold, chances), "across")

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stillpoint.functions.components import connected_components
-from stillpoint.functions.links import candidate_groups, verified
-from stillpoint.functions.tables import written
+from stillpoint.functions.links import candidate_groups, spanned
+from stillpoint.functions.tables import kept, scratch, written
 from stillpoint.operators.search import terms
 
 
@@ -81,14 +81,19 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.set_column(batch.schema.get_field_index("grams"), "grams", pa.array([np.asarray(g.values, "i8").tobytes() for g in batch.column("grams")], pa.binary()))
 
 
-def duplicate_groups(items: DataFrame, threshold: float = 0.8, width: int = 5, bands: int = 32, rows: int = 6, block: int = 256) -> DataFrame:
+def duplicate_groups(items: DataFrame, threshold: float = 0.8, width: int = 5, bands: int = 32, rows: int = 6, block: int = 1024) -> DataFrame:
     """Group of each item: the smallest item it is linked with, exactly or nearly.
 
     Texts with equal normal form are one. The others meet in MinHash bands; items that
-    share a band, directly or through others, are a candidate group, and every pair of a
-    candidate group is verified by exact Jaccard over word n-grams, large ones by pairs of
-    blocks of about ``block`` items. Groups are what verified links connect; no band is
-    dropped, and a pair never becomes a row."""
+    share a band, directly or through others, are a candidate group. Groups are what links
+    of exact Jaccard over word n-grams connect: in a candidate group of at most about
+    ``block`` items every pair is verified, in a larger one every pair that isn't settled by
+    pivots (``spanned``). No band is dropped, and a pair never becomes a row."""
+    with scratch(items.sparkSession):
+        return kept(_grouped(items, threshold, width, bands, rows, block), "duplicate-groups")
+
+
+def _grouped(items: DataFrame, threshold: float, width: int, bands: int, rows: int, block: int) -> DataFrame:
     exact = written(exact_groups(items), "exact")
     reps = items.join(exact.filter("item_id = group_id").select("item_id"), "item_id", "left_semi")
     def hashed(w: Column) -> Column:
@@ -102,8 +107,9 @@ def duplicate_groups(items: DataFrame, threshold: float = 0.8, width: int = 5, b
     met = keyed.groupBy("band", "key").agg(F.min("item_id").alias("b"), F.max("item_id").alias("last")).filter("b <> last").drop("last")
     edges = keyed.join(met, ["band", "key"]).filter("item_id <> b").select(F.col("item_id").alias("a"), "b")
     members = written(candidate_groups(edges, sets.select(F.col("item_id").alias("rid"), F.size("grams").alias("n")), block), "members")
-    candidates = sets.select(F.col("item_id").alias("rid"), "grams").join(members, "rid").select("rid", F.lit(1).cast("long").alias("weight"), "grp", "blocks", "own", "grams")
-    candidates = candidates.mapInArrow(_packed, "rid long, weight long, grp long, blocks int, own int, grams binary")
-    links = verified(candidates, threshold).select(F.col("rid").alias("a"), F.col("root").alias("b"))
+    candidates = sets.select(F.col("item_id").alias("rid"), "grams").join(members, "rid")
+    candidates = candidates.select("rid", F.lit(1).cast("long").alias("weight"), "grp", "blocks", "own", F.size("grams").alias("n"), "grams")
+    candidates = candidates.mapInArrow(_packed, "rid long, weight long, grp long, blocks int, own int, n int, grams binary")
+    links = spanned(candidates, threshold, block=block).select(F.col("rid").alias("a"), F.col("root").alias("b"))
     roots = connected_components(links).select(F.col("node").alias("group_id"), "root")
     return exact.join(roots, "group_id", "left").select("item_id", F.coalesce("root", "group_id").alias("group_id"))
