@@ -152,6 +152,45 @@ def test_prefix_lengths():
         jaccard.prefix_lengths(0.1, 2, 5, 0.999)
 
 
+def test_links_between_classes_at_rest(spark):
+    """a ~ a' and b ~ b' at 0.98, all four at 0.808 and more: the close pairs rest at once,
+    so the links across are looked for by whole labels alone."""
+    rng = random.Random(12)
+    rows, sets = [], []
+    for q in range(150):
+        base = [f"q{q}w{i}" for i in range(400)]
+        other = base[:358] + [f"q{q}v{i}" for i in range(42)]  # 0.808
+        for words in (base, base[:396] + ["x"] * 4, other, other[:396] + ["y"] * 4):
+            rows.append((len(rows), " ".join(words)))
+    sets = [set(jaccard.shingles(t, 5).tolist()) for _, t in rows]
+    want = {}
+    for i in range(0, len(rows), 4):
+        for a in range(i, i + 4):
+            want[a] = sum(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for b in range(i, i + 4) if b != a)
+    rng.shuffle(rows)
+    got = {r.did: r.n_links for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[a] <= want[a] for a in want)
+    ends = sum(want.values())
+    assert ends == 150 * 12 and sum(got.values()) >= (jaccard.least_recall(0.8, 32, 10) - 0.01) * ends
+    assert 0.973 < jaccard.least_recall(0.8, 32, 10) < 0.974
+
+
+def test_classes_without_counts(spark):
+    """A group of many blocks: classes through pivots are those of all pairs."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for k in range(400):
+        words = list(base)
+        for _ in range(rng.randrange(5)):
+            words[rng.randrange(120)] = f"x{k}y{rng.randrange(10**6)}"
+        rows.append((k, " ".join(words)))
+    rows += [(400 + k, " ".join(f"z{k}a{i}" for i in range(50))) for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    firsts = {r.did for r in jaccard.near_duplicates(df).collect() if r.did == r.class_id}
+    assert {r.doc_id for r in jaccard.drop_near_duplicates(df, block=32).collect()} == firsts and 20 < len(firsts) < 60
+
+
 def test_tries_in_order():
     """The longest prefix shared with a neighbour is the longest shared with any row of the task."""
     import pyarrow as pa
