@@ -6,17 +6,15 @@ nature; they are broadcast only through Spark's own size check, never by force.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stillpoint.functions.tables import written
 from stillpoint.operators.postings import Segment, document_frequency, matches, query_terms, segment_of, terms, text_index
+from stillpoint.operators.vectors import HELD, top_hits, unit, video_scores
 
 
 def top_k(hits: DataFrame, k: int, by: str = "score") -> DataFrame:
@@ -53,85 +51,22 @@ def text_fuzzy(index, queries: DataFrame, distance: int = 1) -> DataFrame:
     return matches(_segments(index), queries, 1)
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
-def unit(rows: DataFrame, column: str = "vec") -> DataFrame:
-    """Vectors at length 1, as doubles. Null and empty vectors, those with a null or
-    non-finite component and those of length 0 have no direction: their rows go."""
-    vec = F.col(column).cast("array<double>")
-    norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda s, x: s + x * x))
-    sound = norm.isNotNull() & (norm > 0) & (norm < float("inf"))
-    return rows.withColumn(column, F.when(sound, F.transform(vec, lambda x: x / norm))).filter(F.col(column).isNotNull())
-
-
-def _lanes(items: DataFrame, queries: DataFrame, lanes: int | None) -> tuple[DataFrame, DataFrame]:
-    """Items in one of ``lanes`` each, by hash, and queries dealt to all of them."""
-    n = lanes or int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = queries.withColumn("_lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    return items.withColumn("_lane", F.pmod(F.xxhash64("item_id"), F.lit(n))), dealt
-
-
-def vector_scores(items: DataFrame, queries: DataFrame, lanes: int | None = None) -> DataFrame:
-    """Cosine of every query with every item. A stated set of queries against all items:
-    each query is dealt to every lane of items, items lie in one lane each."""
-    own, dealt = _lanes(unit(items), unit(queries.select("query_id", "vec")).withColumnRenamed("vec", "_q"), lanes)
-    return own.join(dealt, "_lane").withColumn("score", dot(F.col("vec"), F.col("_q"))).drop("vec", "_q", "_lane")
-
-
-def _packed(batches: Iterator[pa.RecordBatch], id_col: str, rows: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of at most ``rows`` vectors: ids and components as bytes, and their length."""
-    for batch in batches:
-        vecs = batch.column("vec")
-        sizes = np.diff(np.asarray(vecs.offsets))
-        for size in np.unique(sizes):
-            at = np.flatnonzero(sizes == size)
-            for lo in range(0, len(at), rows):
-                part = batch.take(pa.array(at[lo : lo + rows]))
-                flat = np.asarray(part.column("vec").flatten()).astype("<f8")
-                ids = np.asarray(part.column(id_col)).astype("<i8")
-                yield pa.record_batch([pa.array([ids.tobytes()], pa.binary()), pa.array([flat.tobytes()], pa.binary()), pa.array([int(size)], pa.int64())], names=["ids", "flat", "size"])
-
-
-def _best(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            items, asked = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["q_ids"], "<i8")
-            scores = np.frombuffer(row["q_flat"], "<f8").reshape(len(asked), -1) @ np.frombuffer(row["flat"], "<f8").reshape(len(items), -1).T
-            scores[asked[:, None] == items[None]] = -np.inf
-            edge = np.partition(scores, -k, axis=1)[:, -k] if k < len(items) else np.full(len(asked), -2.0)
-            q, i = np.nonzero((scores >= edge[:, None]) & (scores > -np.inf))
-            yield pa.record_batch([pa.array(asked[q]), pa.array(items[i]), pa.array(scores[q, i])], names=["query_id", "item_id", "score"])
-
-
-def vector_top_k(items: DataFrame, queries: DataFrame, k: int, lanes: int | None = None, block: int = 1000) -> DataFrame:
+def vector_top_k(items: DataFrame, queries: DataFrame, k: int, lanes: int | None = None, held: int = HELD, seen: Observation | None = None) -> DataFrame:
     """Exact cosine top-k over integer ids; a hit on the query's own id is left out.
-
-    Blocks of items meet blocks of queries by lane, each pair is one product of matrices
-    that keeps the k best of a query (and ties of the last), and the blocks are merged.
-    Vectors of different lengths don't compare."""
-    def packed(rows: DataFrame, name: str) -> DataFrame:
-        return unit(rows).select(F.col(name).cast("long").alias(name), "vec").mapInArrow(lambda it: _packed(it, name, block), "ids binary, flat binary, size long")
-
-    n = lanes or int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asked = packed(queries.select("query_id", "vec"), "query_id").withColumnsRenamed({"ids": "q_ids", "flat": "q_flat"})
-    asked = asked.withColumn("_lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    own = packed(items.select("item_id", "vec"), "item_id").withColumn("_lane", F.pmod(F.xxhash64("ids"), F.lit(n)))
-    met = own.join(asked, ["_lane", "size"]).select("ids", "flat", "q_ids", "q_flat")
-    return top_k(met.mapInArrow(lambda it: _best(it, k), "query_id long, item_id long, score double"), k)
+    Vectors of different lengths don't compare. ``seen`` observes ``pairs`` and ``skipped``."""
+    one = F.lit(0).alias("part")
+    return top_k(top_hits(items.select("item_id", "vec", one), queries.select("query_id", "vec", one), k, lanes, held, seen), k)
 
 
 def color_filter(items: DataFrame, color, column: str = "dominant_colors") -> DataFrame:
     return items.filter(F.array_contains(column, color))
 
 
-def color_search(items: DataFrame, queries: DataFrame, k: int, lanes: int | None = None) -> DataFrame:
-    """Top-k by vector among items that have the query's colour (column ``color``). Colours
-    are few, so a colour meets its queries lane by lane. A null colour has no items."""
-    own, dealt = _lanes(unit(items).withColumn("color", F.explode(F.array_distinct("dominant_colors"))), unit(queries.select("query_id", "vec", "color")).withColumnRenamed("vec", "_q"), lanes)
-    pairs = own.join(dealt, ["color", "_lane"]).filter("item_id <> query_id")
-    return top_k(pairs.select("query_id", "item_id", dot(F.col("vec"), F.col("_q")).alias("score")), k)
+def color_search(items: DataFrame, queries: DataFrame, k: int, lanes: int | None = None, held: int = HELD) -> DataFrame:
+    """Top-k by vector among items that have the query's colour (column ``color``). A task
+    has the items and queries of one colour. A null colour has no items."""
+    own = items.select("item_id", "vec", F.explode(F.array_distinct("dominant_colors")).alias("part")).filter("part is not null")
+    return top_k(top_hits(own, queries.filter("color is not null").select("query_id", "vec", F.col("color").alias("part")), k, lanes, held), k)
 
 
 def index_filter(hits: DataFrame, items: DataFrame, predicate: Column) -> DataFrame:
@@ -168,11 +103,10 @@ def feedback_rerank(hits: DataFrame, labels: DataFrame, plus: float, minus: floa
     return joined.withColumn("score", F.col("score") + change).drop("relevant").withColumn("rank", F.row_number().over(order))
 
 
-def clip_to_video(items: DataFrame, frames: DataFrame, k: int) -> DataFrame:
-    """Videos ranked by the sum over a clip's frames of the best match of each frame.
-    ``frames`` has ``clip_id, query_id, vec``; ``items`` has ``video_id`` too."""
-    scored = vector_scores(items, frames.select("query_id", "vec")).filter("item_id <> query_id").join(frames.select("query_id", "clip_id"), "query_id")
-    best = scored.groupBy("clip_id", "query_id", "video_id").agg(F.max("score").alias("best"))
+def clip_to_video(items: DataFrame, frames: DataFrame, k: int, lanes: int | None = None) -> DataFrame:
+    """Videos (an integer id) ranked by the sum over a clip's frames of the best match of
+    each frame. ``frames`` has ``clip_id, query_id, vec``; ``items`` has ``video_id`` too."""
+    best = video_scores(items, frames, lanes).join(frames.select("query_id", "clip_id"), "query_id")
     votes = best.groupBy("clip_id", "video_id").agg(F.sum("best").alias("score"))
     return top_k(votes.withColumnsRenamed({"clip_id": "query_id", "video_id": "item_id"}), k).withColumnsRenamed({"query_id": "clip_id", "item_id": "video_id"})
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stillpoint.functions.spans import SECONDS, running_count
+from stillpoint.functions.tables import kept, scratch, written
 
 
 def _span(t: Column, span: float) -> Column:
@@ -101,5 +102,73 @@ def sequences(hits: DataFrame, steps: list[str], gap: float) -> DataFrame:
     return best.select("video_id", (-F.col("b.less")).alias("total"), F.col("b.chain").alias("chain"))
 
 
+def query_sequences(hits: DataFrame, steps: DataFrame) -> DataFrame:
+    """For each query and video the best chain of hits, one for each of the query's steps.
+
+    ``steps`` has a row for each sub-event of a query: ``query_id``, ``step`` (1, 2, 3, …),
+    and ``gap``, the most seconds between a hit of this step and the one before (null: no
+    limit; of the first step it means nothing). ``hits`` has ``query_id, step, video_id, t,
+    frame_id, score``. A chain's times rise strictly; the highest sum of scores wins, ties go
+    to the chain whose ids are smaller from the first step on. Returns ``query_id, video_id,
+    total, chain``. Queries that lack a number of their steps have no chain.
+
+    A frontier holds the best chain that ends in each hit of the last step of every query;
+    a step extends it for all queries at once. The best predecessor of a hit is found
+    without pairs: time is cut into spans as long as the gap, so it lies in the hit's own
+    span, among the chains before the hit, or in the span before, among the chains from the
+    hit's time less the gap on. Both are running extremes of a span."""
+    spark = hits.sparkSession
+    reach = F.round(F.col("gap") * 1_000_000).cast("long")
+    asked = steps.select("query_id", "step", reach.alias("_reach")).filter("step = 1 or _reach is null or _reach > 0")
+    own = hits.select("query_id", "step", "video_id", "frame_id", F.round(F.col("t") * 1_000_000).cast("long").alias("at"), "score").filter("at is not null and score is not null")
+    key = ["query_id", "video_id"]
+    best = "struct<total:double,back:array<long>>"
+    with scratch(spark):
+        own = written(own.join(asked, ["query_id", "step"]), "step-hits")
+        lengths = steps.groupBy("query_id").agg(F.max("step").alias("_last"), F.count_distinct("step").alias("_n"), F.min("step").alias("_first"))
+        lengths = written(lengths.filter("_first = 1 and _n = _last").select("query_id", "_last"), "lengths")
+        most = lengths.agg(F.max("_last")).first()[0] or 0
+        first = own.filter("step = 1").select(*key, "at", F.struct(F.col("score").cast("double").alias("total"), F.array(-F.col("frame_id")).alias("back")).alias("best"))
+        frontier = written(first, "frontier")
+        done = [frontier.join(lengths.filter("_last = 1"), "query_id", "left_semi")]
+        span = F.when(F.col("_reach").isNull(), 0).otherwise(F.floor(F.col("_at") / F.col("_reach"))).cast("long")
+        for step in range(2, most + 1):
+            reaches = asked.filter(F.col("step") == step).select("query_id", "_reach")
+            chains = frontier.join(reaches, "query_id").select(*key, F.col("at").alias("_at"), "_reach", F.col("best"), F.lit(None).cast("long").alias("hit"), F.lit(None).cast("boolean").alias("later"))
+            # numbered, so that equal hits are told apart and come together again
+            now = written(own.filter(F.col("step") == step).withColumn("hit", F.monotonically_increasing_id()), "now")
+            none = F.lit(None).cast(best).alias("best")
+            before = now.select(*key, F.col("at").alias("_at"), "_reach", none, "hit", F.lit(False).alias("later"))
+            after = now.filter("_reach is not null").select(*key, (F.col("at") - F.col("_reach")).alias("_at"), "_reach", none, "hit", F.lit(True).alias("later"))
+            both = chains.unionByName(before).unionByName(after).withColumn("_span", span)
+            order = Window.partitionBy(*key, "_span").orderBy("_at")
+            up = F.max("best").over(order.rangeBetween(Window.unboundedPreceding, -1))
+            down = F.max("best").over(order.rangeBetween(0, Window.unboundedFollowing))
+            prior = both.select("hit", F.when(F.col("later"), down).otherwise(up).alias("prior")).filter("hit is not null and prior is not null")
+            prior = prior.groupBy("hit").agg(F.max("prior").alias("prior"))
+            longer = F.struct((F.col("prior.total") + F.col("score")).alias("total"), F.array_append("prior.back", -F.col("frame_id")).alias("back"))
+            frontier = written(now.join(prior, "hit").select(*key, "at", longer.alias("best")), "frontier")
+            done.append(frontier.join(lengths.filter(F.col("_last") == step), "query_id", "left_semi"))
+        chains = reduce(DataFrame.unionByName, done).groupBy(*key).agg(F.max("best").alias("best"))
+        return kept(chains.select(*key, F.col("best.total").alias("total"), F.transform("best.back", lambda x: -x).alias("chain")), "chains")
+
+
+def temporal_proximity(hits: DataFrame, frames: DataFrame, anchors: DataFrame, scale: float, span: float = SECONDS) -> DataFrame:
+    """A hit list of how near the frames of other hits are to a query's moments: 1 / (1 +
+    distance / ``scale``) from the nearest anchor (query_id, video_id, t) of the query in the
+    frame's video. ``frames`` has item_id, video_id and t. Hits without a frame, and frames
+    of videos without an anchor of the query, have no row.
+
+    Each query's videos are videos of their own to ``nearest_segment``, so the nearest
+    anchors are running extremes and no ranges are joined."""
+    own = F.to_json(F.struct(F.col("query_id"), F.col("video_id"))).alias("video_id")
+    asked = hits.select("query_id", "item_id").distinct().join(frames.select("item_id", "video_id", "t"), "item_id")
+    asked = asked.select(own, F.struct("query_id", "item_id").alias("frame_id"), "t")
+    moments = anchors.select(own, F.lit(0).cast("long").alias("segment_id"), "t")
+    near = nearest_segment(asked, moments, span).filter("distance is not null")
+    near = near.select("frame_id.query_id", "frame_id.item_id", (1 / (1 + F.col("distance") / F.lit(float(scale)))).alias("score"))
+    return near.groupBy("query_id", "item_id").agg(F.max("score").alias("score"))
+
+
 def union_all(*frames: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)

@@ -139,7 +139,7 @@ SELECT clip_id, video_id, round(score, 6) AS score FROM w QUALIFY row_number() O
 )
 def clip_to_video(spark, d):
     frames = _asked(spark, d).select((F.col("query_id") % 200).alias("clip_id"), "query_id", "vec")
-    return _rounded(se.clip_to_video(_vectors(spark, d).select("item_id", "vec", "video_id"), frames, 3).drop("rank"))
+    return _rounded(se.clip_to_video(_vectors(spark, d).select("item_id", "vec", "video_id"), frames, 3).drop("rank")).withColumn("video_id", F.col("video_id").cast("int"))
 
 
 def _hits(spark, d):
@@ -287,6 +287,78 @@ def sequences(spark, d):
     return te.sequences(hits, STEPS, GAP).select("video_id", F.round("total", 6).alias("total"))
 
 
+#: (query, step, event type, gap): queries of one to four sub-events.
+SUB_EVENTS = [
+    (1, 1, "view", None), (1, 2, "click", 43_200.0), (1, 3, "purchase", 43_200.0), (2, 1, "view", None), (2, 2, "purchase", 86_400.0), (3, 1, "signup", None), (3, 2, "view", 172_800.0),
+    (3, 3, "click", 86_400.0), (3, 4, "purchase", 259_200.0), (4, 1, "error", None), (5, 1, "signup", None), (5, 2, "error", None),
+]
+_SUB = ", ".join(f"({q}, {s}, '{e}', {'NULL' if g is None else int(g * 1e6)})" for q, s, e, g in SUB_EVENTS)
+
+
+@query(
+    "query_sequences",
+    f"""WITH RECURSIVE sub(query_id, step, event_type, gap) AS (SELECT * FROM (VALUES {_SUB}) s(a, b, c, d)),
+h AS (SELECT query_id, step, CAST(user_id AS VARCHAR) AS video_id, epoch_us(ts) AS us, gap, value / 500 AS score FROM events JOIN sub USING (event_type)),
+c AS (
+  SELECT query_id, video_id, step, us, max(score) AS total FROM h WHERE step = 1 GROUP BY ALL
+  UNION ALL SELECT h.query_id, h.video_id, h.step, h.us, max(c.total + h.score) FROM c JOIN h ON h.query_id = c.query_id AND h.video_id = c.video_id AND h.step = c.step + 1
+    AND h.us > c.us AND (h.gap IS NULL OR h.us - c.us <= h.gap) GROUP BY ALL
+), n AS (SELECT query_id, max(step) AS step FROM sub GROUP BY query_id)
+SELECT CAST(query_id AS BIGINT) AS query_id, video_id, round(max(total), 6) AS total FROM c JOIN n USING (query_id, step) GROUP BY query_id, video_id""",
+)
+def query_sequences(spark, d):
+    steps = spark.createDataFrame(SUB_EVENTS, "query_id long, step int, event_type string, gap double")
+    kinds = table(spark, d, "events").select(F.col("event_id").alias("frame_id"), "event_type")
+    found = events(spark, d).select("video_id", "t", F.col("ord").alias("frame_id"), "score").join(kinds, "frame_id")
+    hits = found.join(steps.select("query_id", "step", "event_type"), "event_type")
+    return te.query_sequences(hits, steps).select("query_id", "video_id", F.round("total", 6).alias("total"))
+
+
+def _signals(spark, d):
+    """Hit lists of three indexes over one query set: texts, vectors like the query's own,
+    and the nearness of either kind of hit to moments of the query. An event is the frame of
+    the document and of the vector of its id."""
+    text = _hits(spark, d)
+    vectors = _vectors(spark, d).select("item_id", "vec")
+    asked = _queries(spark, d).select("query_id").distinct().join(vectors.withColumnRenamed("item_id", "query_id"), "query_id")
+    like = se.vector_top_k(vectors, asked, 10).drop("rank")
+    frames = events(spark, d).select(F.col("ord").alias("item_id"), "video_id", "t")
+    moments = events(spark, d).filter("source = 'seed'").select((F.col("ord") % 20).alias("m"), "video_id", "t")
+    anchors = _queries(spark, d).select("query_id", (F.col("query_id") % 20).alias("m")).join(moments, "m")
+    both = text.select("query_id", "item_id").unionByName(like.select("query_id", "item_id"))
+    return se.fan_out(text=text, vector=like, time=te.temporal_proximity(both, frames, anchors, 3600.0))
+
+
+_ASKED = SIM.replace("q.vec_id % 50 = 0", "q.vec_id IN (SELECT item_id FROM benchmark)")
+SIGNALS = f"""{EXACT}, {EV}, {_ASKED}, near AS ({TOP.format('s')} QUALIFY rank <= 10), either AS (SELECT query_id, item_id FROM hit UNION SELECT query_id, item_id FROM near),
+dist AS (
+  SELECT query_id, item_id, 1 / (1 + min(abs(a.t - f.t)) / 3600) AS score FROM either JOIN ev f ON f.ord = item_id
+  JOIN ev a ON a.source = 'seed' AND a.video_id = f.video_id AND a.ord % 20 = query_id % 20 GROUP BY query_id, item_id
+), l AS (
+  SELECT query_id, item_id, CAST(score AS DOUBLE) AS score, 'text' AS signal FROM hit UNION ALL SELECT query_id, item_id, score, 'vector' FROM near UNION ALL SELECT query_id, item_id, score, 'time' FROM dist
+), n AS (
+  SELECT query_id, item_id, signal, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1.0 END AS score
+  FROM l WINDOW w AS (PARTITION BY query_id, signal)
+), fan AS (
+  SELECT query_id, item_id, max(score) FILTER (WHERE signal = 'text') AS text, max(score) FILTER (WHERE signal = 'vector') AS vector, max(score) FILTER (WHERE signal = 'time') AS time FROM n GROUP BY query_id, item_id
+)"""
+
+
+@query("signal_fusion", f"WITH {SIGNALS} SELECT query_id, item_id, round(text, 4) AS text, round(vector, 4) AS vector, round(time, 4) AS time FROM fan")
+def signal_fusion(spark, d):
+    return _signals(spark, d).select("query_id", "item_id", *[F.round(c, 4).alias(c) for c in ("text", "vector", "time")])
+
+
+@query(
+    "signal_rerank",
+    f"""WITH {SIGNALS}, w AS (SELECT query_id, item_id, round(coalesce(text, 0) * 0.5 + coalesce(vector, 0) * 0.3 + coalesce(time, 0) * 0.2, 9) AS score FROM fan)
+SELECT query_id, item_id, rank, round(score, 4) AS score FROM ({TOP.format('w')}) WHERE rank <= 5""",
+)
+def signal_rerank(spark, d):
+    ranked = se.weighted_rerank(_signals(spark, d), {"text": 0.5, "vector": 0.3, "time": 0.2}, 5)
+    return ranked.select("query_id", "item_id", "rank", F.round("score", 4).alias("score"))
+
+
 @query("object_counts", "SELECT event_id // 10 AS frame_id, event_type AS label, count(*) AS n FROM events GROUP BY ALL")
 def object_counts(spark, d):
     rows = table(spark, d, "events").groupBy(F.floor(F.col("event_id") / 10).alias("frame_id"))

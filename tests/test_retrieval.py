@@ -92,7 +92,7 @@ def test_vectors(spark):
     color = {i: set(c or []) for i, _, c in rows}
     asked = items.filter("item_id % 50 = 3 or item_id > 201").select(F.col("item_id").alias("query_id"), "vec", F.lit("red").alias("color"))
     for name, run, some in (
-        ("all", lambda: se.vector_top_k(items, asked, 5, lanes=3, block=16), lambda i: True),
+        ("all", lambda: se.vector_top_k(items, asked, 5, lanes=3, held=2), lambda i: True),
         ("red", lambda: se.color_search(items, asked, 5, lanes=3), lambda i: "red" in color[i]),
     ):
         got = {}
@@ -104,8 +104,77 @@ def test_vectors(spark):
             want[q] = [(k, i, -s) for k, (s, i) in enumerate(order, 1)]
         assert {q: sorted(x) for q, x in got.items()} == want, name
     assert se.vector_top_k(items.filter("false"), asked, 5).count() == 0 == se.vector_top_k(items, asked.filter("false"), 5).count()
-    pairs = se.vector_scores(items.select("item_id", "vec"), asked.select("query_id", "vec"), 3)
-    assert pairs.count() == 3 * len(good)
+    videos = items.select("item_id", "vec", (F.col("item_id") % 7).alias("video_id"))
+    clips = asked.select(F.lit(1).alias("clip_id"), "query_id", "vec")
+    want = {v: sum(max(float(good[q] @ good[i]) for i in good if i % 7 == v and i != q) for q in (3, 53, 103)) for v in range(7)}
+    got = [(r.rank, r.video_id, round(r.score, 9)) for r in se.clip_to_video(videos, clips, 4, lanes=3).orderBy("rank").collect()]
+    assert got == [(k, v, round(s, 9)) for k, (v, s) in enumerate(sorted(want.items(), key=lambda x: (-x[1], x[0]))[:4], 1)]
+
+
+def test_stretches_around_pivots_are_skipped_exactly(spark):
+    from pyspark.sql import Observation
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(20, 8)) * 4
+    vecs = np.concatenate([c + rng.normal(size=(60, 8)) * 0.2 for c in centres])
+    vecs = np.concatenate([vecs, vecs[:30]])  # ties
+    items = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vecs)], "item_id long, vec array<double>").repartition(5)
+    asked = items.filter("item_id % 50 = 0").withColumnRenamed("item_id", "query_id")
+    seen = Observation()
+    got = {}
+    for r in se.vector_top_k(items, asked, 10, lanes=2, held=9, seen=seen).collect():
+        got.setdefault(r.query_id, {})[r.rank] = r.item_id
+    units = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
+    for q in range(0, len(vecs), 50):
+        scores = np.einsum("j,ij->i", units[q], units)
+        scores[q] = -9
+        assert [got[q][k] for k in range(1, 11)] == np.lexsort((np.arange(len(vecs)), -np.round(scores, 12)))[:10].tolist()
+    pairs, skipped = seen.get["pairs"], seen.get["skipped"]
+    assert pairs == len(vecs) * len(got) and skipped > 0.5 * pairs
+
+
+def test_vector_tasks_hold_queries_only(spark):
+    """No row has two vectors, and a task's state doesn't grow with its items."""
+    items = spark.range(5_000).selectExpr("id AS item_id", "array(cos(id), sin(id), 1D) AS vec")
+    asked = items.filter("item_id % 50 = 0").withColumnRenamed("item_id", "query_id")
+    from stillpoint.operators import vectors as ve
+
+    rows = ve.dealt(items.selectExpr("item_id AS id", "vec", "0 AS part", "0 AS pivot", "0D AS far"), asked.selectExpr("query_id AS id", "vec", "0 AS part"), 4, 30)
+    assert rows.count() == 5_000 * 4 + 100 * 4 and set(rows.columns) == {"id", "vec", "part", "pivot", "far", "item", "size", "lane", "asks"}
+    held = rows.filter("not item").groupBy("lane", "asks").count().collect()
+    assert len(held) == 16 and max(r["count"] for r in held) < 60
+
+
+def test_query_sequences(spark):
+    rng = random.Random(7)
+    steps = [(1, 1, None), (1, 2, 3.0), (1, 3, 1.5), (2, 1, None), (3, 1, None), (3, 2, None), (4, 1, None), (4, 3, 2.0), (5, 2, 1.0), (6, 1, None), (6, 2, 0.0)]
+    asks = spark.createDataFrame(steps, "query_id long, step int, gap double")
+    gaps = {(q, s): g for q, s, g in steps}
+    rows = [(q, s, f"v{rng.randrange(2)}", rng.randrange(40) / 4, rng.randrange(60), rng.randrange(4) / 4) for q, s, _ in steps for _ in range(25)]
+    rows += [(1, 2, "v0", None, 5, 1.0), (1, 2, None, 1.0, 5, 1.0), (1, 2, "v0", 1.0, 5, None), (9, 1, "v0", 1.0, 1, 1.0), rows[0], rows[30]]
+    hits = spark.createDataFrame(rows, "query_id long, step int, video_id string, t double, frame_id long, score double")
+    want = {}
+    sound = [r for r in rows if r[3] is not None and r[5] is not None]
+    for q, n in ((1, 3), (2, 1), (3, 2)):
+        chains = [(v, t, x, (f,)) for w, s, v, t, f, x in sound if w == q and s == 1]
+        for step in range(2, n + 1):
+            gap = gaps[q, step]
+            chains = [(v, t, total + x, (*c, f)) for v, at, total, c in chains for w, s, u, t, f, x in sound if w == q and s == step and u == v and t > at and (gap is None or t - at <= gap)]
+        for v, _, total, c in chains:
+            old = want.get((q, v))
+            if old is None or (-total, c) < (-old[0], old[1]):
+                want[q, v] = (total, c)
+    got = {(r.query_id, r.video_id): (r.total, tuple(r.chain)) for r in te.query_sequences(hits, asks).collect()}
+    assert got == want and {q for q, _ in want} == {1, 2, 3}
+    assert te.query_sequences(hits.filter("false"), asks).count() == 0 == te.query_sequences(hits, asks.filter("false")).count()
+
+
+def test_temporal_proximity(spark):
+    hits = spark.createDataFrame([(1, 10), (1, 11), (1, 12), (2, 10), (1, 10), (1, 99)], "query_id long, item_id long")
+    frames = spark.createDataFrame([(10, "a", 5.0), (11, "a", 90_000.0), (12, "b", 1.0), (13, "a", 0.0)], "item_id long, video_id string, t double")
+    anchors = spark.createDataFrame([(1, "a", 8.0), (1, "a", 100_000.0), (2, "b", 1.0), (1, "c", 1.0)], "query_id long, video_id string, t double")
+    got = {(r.query_id, r.item_id): r.score for r in te.temporal_proximity(hits, frames, anchors, 3.0).collect()}
+    assert got == {(1, 10): 0.5, (1, 11): 1 / (1 + 10_000 / 3)}
 
 
 def test_text(spark):
