@@ -37,6 +37,26 @@ def answer_evidence(ranked: DataFrame, index: DataFrame, k: int) -> DataFrame:
                            F.array_join(F.transform("e", lambda x: F.coalesce(x["text"], F.lit(""))), "\n").alias("evidence"))
 
 
+def hit_evidence(ranked: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """A row for each of a question's top-k hits (query_id, item_id, rank): what the keyframe
+    index (``frame_id``, ``ocr_text``, ``detected_objects``, ``asr_window_id``, ``asr_text``)
+    knows of it. ``objects`` names each class once, in order, with the number of its objects.
+    Hits that the index lacks have nulls, and no objects."""
+    best = ranked.filter(F.col("rank") <= k).select("query_id", "rank", F.col("item_id").alias("frame_id"))
+    labels = F.array_sort(F.transform("detected_objects", lambda o: o["label"]))
+    counted = F.transform(F.array_distinct(labels), lambda x: F.concat(x, F.lit(" x "), F.size(F.filter(labels, lambda y: y == x)).cast("string")))
+    known = index.select("frame_id", "ocr_text", F.array_join(counted, ", ").alias("objects"), "asr_window_id", "asr_text")
+    return best.join(known, "frame_id", "left").withColumn("objects", F.coalesce("objects", F.lit(""))).withColumnRenamed("frame_id", "item_id")
+
+
+def question_evidence(hits: DataFrame) -> DataFrame:
+    """The rows of ``hit_evidence`` as one text a question, hit by hit in order of rank: its
+    text, its objects, its transcript. A question has at most k hits."""
+    told = F.concat_ws("\n", F.coalesce("ocr_text", F.lit("")), "objects", F.coalesce("asr_text", F.lit("")))
+    gathered = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", told.alias("told")))).alias("e"))
+    return gathered.select("query_id", F.size("e").alias("n_hits"), F.array_join(F.transform("e", lambda x: x["told"]), "\n").alias("evidence"))
+
+
 def corpus_profile(videos: DataFrame) -> DataFrame:
     """By topic and in total: videos, hours, shortest, longest, and 1 - keyframes / frames.
     ``videos`` has topic, duration, keyframes, frames; the total has a null topic."""

@@ -10,11 +10,13 @@ from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
+from stillpoint.functions.ids import keyframe_id, millis
 from stillpoint.functions.tables import kept, new_path, scratch
 from stillpoint.operators import corpus as co
 from stillpoint.operators import search as se
 from stillpoint.operators import temporal as te
-from stillpoint.queries.base import EV, events, query, table
+from stillpoint.queries.base import EV, KID, events, query, table
+from stillpoint.sources.index_store import KeyframeStore
 from stillpoint.sources.text_store import TextStore, co_located
 
 
@@ -379,6 +381,81 @@ def keyframe_index(spark, d):
     return co.keyframe_index(frames, turns, ocr=ocr, colors=colors)
 
 
+@contextmanager
+def _index(spark, d):
+    """The whole keyframe index of the scene events: an event's document, vector, colour and
+    ten further events as objects; the turns of a conversation are its video's transcript."""
+    frames = events(spark, d).filter("source = 'scene'")
+    store = KeyframeStore(spark, new_path(spark, "keyframe-index"))
+    try:
+        path = F.concat(F.lit("/out/keyframes/"), "video_id", F.lit("/"), keyframe_id(F.col("video_id"), F.col("t")), F.lit(".jpg"))
+        store.put("keyframes", frames.select(F.col("ord").alias("frame_id"), "video_id", millis(F.col("t")).alias("timestamp_ms"), path.alias("keyframe_path")))
+        vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("frame_id"), F.col("embedding").alias("clip_embedding"), F.array(F.concat(F.lit("c"), F.col("label").cast("string"))).alias("dominant_colors"))
+        store.put("embeddings", vectors)
+        store.put("colors", vectors)
+        store.put("texts", table(spark, d, "documents").select(F.col("doc_id").alias("frame_id"), F.col("text").alias("ocr_text")))
+        one = F.struct(F.col("event_type").alias("label"), (F.col("value") / 500).alias("score"))
+        store.put("objects", table(spark, d, "events").groupBy(F.floor(F.col("event_id") / 10).alias("frame_id")).agg(F.collect_list(one).alias("detected_objects")))
+        talk = table(spark, d, "conversations")
+        segments = talk.select(F.col("conv_id").cast("string").alias("video_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("segment_id"), (F.col("turn") * 21_600).cast("double").alias("t"), "text")
+        store.put_speech(frames.select("video_id", F.col("ord").alias("frame_id"), "t"), segments)
+        about = talk.groupBy(F.col("conv_id").cast("string").alias("video_id")).agg(F.concat(F.lit("turns:"), F.count(F.lit(1)).cast("string")).alias("source_metadata_ref"))
+        store.put("metadata", frames.select("video_id", F.col("ord").alias("frame_id")).join(about, "video_id"))
+        yield store
+    finally:
+        store.drop()
+
+
+INDEX = f"""{EV}, seg AS (SELECT CAST(conv_id AS VARCHAR) AS video_id, conv_id * 1000 + turn AS segment_id, CAST(turn * 21600 AS DOUBLE) AS st, text AS asr_text FROM conversations),
+asr AS (
+  SELECT ord AS frame_id, segment_id, asr_text FROM ev JOIN seg USING (video_id) WHERE source = 'scene'
+  QUALIFY row_number() OVER (PARTITION BY ord ORDER BY abs(st - t), st, segment_id) = 1
+), obj AS (
+  SELECT frame_id, string_agg(label || ' x ' || n, ', ' ORDER BY label) AS objects FROM (SELECT event_id // 10 AS frame_id, event_type AS label, CAST(count(*) AS VARCHAR) AS n FROM events GROUP BY ALL) GROUP BY frame_id
+), meta AS (SELECT CAST(conv_id AS VARCHAR) AS video_id, 'turns:' || count(*) AS ref FROM conversations GROUP BY conv_id),
+ix AS (
+  SELECT ev.ord AS frame_id, ev.video_id, CAST(round_even(ev.t * 1000, 0) AS BIGINT) AS timestamp_ms, '/out/keyframes/' || ev.video_id || '/' || {KID.replace('video_id', 'ev.video_id').replace('t * 1000', 'ev.t * 1000')} || '.jpg' AS keyframe_path,
+    e.embedding, d.text, CASE WHEN e.vec_id IS NOT NULL THEN 'c' || e.label END AS color, coalesce(obj.objects, '') AS objects, asr.segment_id, asr.asr_text, meta.ref
+  FROM ev LEFT JOIN embeddings e ON e.vec_id = ev.ord LEFT JOIN documents d ON d.doc_id = ev.ord LEFT JOIN obj ON obj.frame_id = ev.ord LEFT JOIN asr ON asr.frame_id = ev.ord LEFT JOIN meta ON meta.video_id = ev.video_id
+  WHERE ev.source = 'scene'
+)"""
+
+
+@query(
+    "keyframe_index_whole",
+    f"""WITH {INDEX} SELECT frame_id, video_id, timestamp_ms, keyframe_path, len(embedding) AS dims, round(CAST(embedding[1] AS DOUBLE), 6) AS first_component, md5(text) AS ocr, color,
+  objects, segment_id AS asr_window_id, md5(asr_text) AS asr, ref AS source_metadata_ref FROM ix""",
+)
+def keyframe_index_whole(spark, d):
+    with _index(spark, d) as store, scratch(spark):
+        rows = store.index()
+        told = co.hit_evidence(rows.select(F.lit(0).alias("query_id"), F.col("frame_id").alias("item_id"), F.lit(1).alias("rank")), rows, 1).select(F.col("item_id").alias("frame_id"), "objects")
+        size = F.when(F.col("clip_embedding").isNotNull(), F.size("clip_embedding").cast("long")).alias("dims")
+        out = rows.join(told, "frame_id").select(
+            "frame_id", "video_id", "timestamp_ms", "keyframe_path", size, F.round(F.col("clip_embedding")[0].cast("double"), 6).alias("first_component"), F.md5("ocr_text").alias("ocr"),
+            F.col("dominant_colors")[0].alias("color"), "objects", "asr_window_id", F.md5("asr_text").alias("asr"), "source_metadata_ref",
+        )
+        return kept(out, "index")
+
+
+#: For every question the scene events nearest to its own number, three of them.
+NEAREST = "SELECT item_id AS query_id, ord AS item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY abs(ord - item_id), ord) AS INTEGER) AS rank FROM benchmark JOIN ev ON source = 'scene' AND abs(ord - item_id) <= 20"
+
+
+@query(
+    "question_evidence",
+    f"""WITH {INDEX}, hits AS ({NEAREST} QUALIFY rank <= 3),
+e AS (SELECT query_id, rank, concat(coalesce(text, ''), chr(10), coalesce(objects, ''), chr(10), coalesce(asr_text, '')) AS told FROM hits LEFT JOIN ix ON frame_id = item_id)
+SELECT query_id, CAST(count(*) AS INTEGER) AS n_hits, md5(string_agg(told, chr(10) ORDER BY rank)) AS evidence FROM e GROUP BY query_id""",
+)
+def question_evidence(spark, d):
+    asked = _queries(spark, d).select("query_id", F.explode(F.sequence(F.col("query_id") - 20, F.col("query_id") + 20)).alias("item_id"))
+    frames = events(spark, d).filter("source = 'scene'").select(F.col("ord").alias("item_id"))
+    hits = asked.join(frames, "item_id").withColumn("score", -F.abs(F.col("item_id") - F.col("query_id")).cast("double"))
+    with _index(spark, d) as store, scratch(spark):
+        return kept(co.question_evidence(co.hit_evidence(se.top_k(hits, 3), store.index(), 3)).withColumn("evidence", F.md5("evidence")), "evidence")
+
+
 @query(
     "corpus_profile",
     f"""WITH {EV}, v AS (SELECT video_id, CAST(video_ord % 5 AS VARCHAR) AS topic, max(t) AS duration, count(*) FILTER (WHERE source = 'scene') AS keyframes, count(*) AS frames FROM ev GROUP BY ALL)
