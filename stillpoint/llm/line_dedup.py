@@ -28,6 +28,9 @@ from pyspark.sql import types as T
 from stillpoint.llm.common import discard, new_path, packed_rows
 
 HASH = ["h1", "h2"]
+#: A row: its id and a hash of its text, so that rows which share an id, or lack one, don't
+#: gather each other's lines. Ids alone are compared; a clash of hashes only joins two lists.
+ROW = ["did", "th"]
 
 
 def line_key(line: bytes) -> bytes:
@@ -45,17 +48,14 @@ def line_hash(line: bytes, min_chars: int) -> bytes | None:
 
 def _hash_lines(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, counts, found = [], [], []
-        for did, text in zip(batch.column("did").to_pylist(), batch.column("txt").to_pylist()):
+        counts, found = [], []
+        for text in batch.column("txt").to_pylist():
             own = {h for line in text.encode().split(b"\n") if (h := line_hash(line, min_chars)) is not None}
-            ids.append(did)
             counts.append(len(own))
             found.extend(own)
         both = np.frombuffer(b"".join(found), dtype="<i8").reshape(-1, 2)
-        yield pa.record_batch(
-            [pa.array(np.repeat(np.array(ids, "i8"), counts)), pa.array(both[:, 0]), pa.array(both[:, 1])],
-            names=["did", *HASH],
-        )
+        ids = [pa.array(np.repeat(np.asarray(batch.column(c)), counts)) for c in ROW]
+        yield pa.record_batch([*ids, pa.array(both[:, 0]), pa.array(both[:, 1])], names=[*ROW, *HASH])
 
 
 def _keep_lines(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
@@ -144,27 +144,27 @@ def dedup_lines(
     """
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = packed_rows(docs, id_col, text_col)
+    rows = packed_rows(docs, id_col, text_col).withColumn("th", F.hash("txt"))
     edges = rows.agg(F.percentile_approx("did", [i / batches for i in range(1, batches)], 1000)).first()[0] if batches > 1 else []
     edges = sorted(set(edges or []))
     number = sum((F.when(F.col("did") > e, 1).otherwise(0) for e in edges), F.lit(0))
     lines_path, drops_path = new_path(spark, "lines"), new_path(spark, "line-drops")
     (
-        rows.select("did", "txt").mapInArrow(lambda it: _hash_lines(it, min_chars), "did long, h1 long, h2 long")
+        rows.select(*ROW, "txt").mapInArrow(lambda it: _hash_lines(it, min_chars), "did long, th int, h1 long, h2 long")
         .withColumn("batch", number).write.partitionBy("batch").parquet(lines_path)
     )
-    lines = spark.read.schema("did long, h1 long, h2 long, batch int").parquet(lines_path)
+    lines = spark.read.schema("did long, th int, h1 long, h2 long, batch int").parquet(lines_path)
     runs = SortedRuns(spark, fanout, buckets)
     try:
         for b in range(len(edges) + 1):
-            own = lines.filter(F.col("batch") == b).select("did", *HASH)
+            own = lines.filter(F.col("batch") == b).select(*ROW, *HASH)
             keys = own.groupBy(*HASH).agg(F.min("did").alias("first"))
             fresh_path = f"{runs.root}/fresh-{b}"
             runs.unseen(keys).write.parquet(fresh_path)
             fresh = spark.read.schema("h1 long, h2 long, first long").parquet(fresh_path)
             (
                 own.join(fresh, HASH, "left").filter(F.col("first").isNull() | (F.col("first") < F.col("did")))
-                .select("did", *HASH).write.mode("append").parquet(drops_path)
+                .select(*ROW, *HASH).write.mode("append").parquet(drops_path)
             )
             if b < len(edges):
                 runs.add(fresh)
@@ -172,9 +172,10 @@ def dedup_lines(
     finally:  # a failing batch leaves no tables either
         runs.close()
         discard(spark, lines_path)
-    drops = spark.read.schema("did long, h1 long, h2 long").parquet(drops_path)
-    drops = drops.groupBy("did").agg(F.collect_list(F.struct(*HASH)).alias("drops"))
-    joined = rows.join(drops, "did", "left").select("row", "txt", "drops")
+    drops = spark.read.schema("did long, th int, h1 long, h2 long").parquet(drops_path)
+    # equal rows have equal lines: what they lose is listed once
+    drops = drops.groupBy(*ROW).agg(F.collect_set(F.struct(*HASH)).alias("drops"))
+    joined = rows.join(drops, ROW, "left").select("row", "txt", "drops")
     schema = T.StructType([rows.schema["row"], *T.StructType.fromDDL("kept string, n_lines long, n_dropped long, kept_sha256 string").fields])
     return joined.mapInArrow(lambda it: _keep_lines(it, min_chars), schema)
 

@@ -297,6 +297,30 @@ def test_pack_capacities_steer_the_choice():
         assert len(set(fewest)) <= len(set(even)) + 1 and all(lengths[fewest == b].sum() <= 100 for b in set(fewest))
 
 
+def test_lines_of_rows_without_ids_are_dropped_by_row(spark, monkeypatch):
+    """Rows that lack an id, or share one, don't gather each other's lines."""
+    listed = []
+    rows = [(None, "\n".join(f"line {i % 40} of the block {j}" for j in range(20)) + f"\nline of row {i}") for i in range(400)]
+    rows += [(1, "\n".join(f"line {i} of the block {j}" for i in range(40) for j in range(20)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def kept(frame):
+        class Seen:
+            def select(self, *columns):
+                out = frame.select(*columns)
+                listed.append(out.agg(F.sum(F.size(F.coalesce("drops", F.array()))), F.max(F.size(F.coalesce("drops", F.array())))).first())
+                return out
+
+        return Seen()
+
+    join = type(docs).join
+    monkeypatch.setattr(type(docs), "join", lambda self, other, on=None, how=None: kept(join(self, other, on, how)) if on == line_dedup.ROW else join(self, other, on, how))
+    got = line_dedup.dedup_lines(docs).collect()
+    assert sorted(r.n_dropped for r in got) == [0] + [20] * 400
+    total, most = listed[-1]
+    assert total == 400 * 20 and most == 20
+
+
 def test_top_k_of_repeated_ids(spark):
     """Each row of a repeated id is a candidate; as a query the id counts once, by its least vector."""
     rows = [(100, [1.0, 0.0]), (100, [0.5, 0.5]), (1, [0.25, 0.0]), (1, [0.75, 0.0]), (2, [0.0, 1.0]), (2, [0.0, 1.0])]
