@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -121,30 +122,37 @@ def winnow(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     return out.select("did", F.length("txt").cast("long").alias("n_chars"), "grams", fingerprint(F.col("grams")).alias("fingerprint"))
 
 
-def range_borders(rows: DataFrame, part_bytes: int, parts: int | None = None) -> list[int]:
-    """Ascending ids of the table that cut it into ranges of even shares of ``txt``, the
-    largest id last: ``parts`` of them, or so many that a task's share of ranges has about
-    ``part_bytes``, or less if tasks would be fewer than the session's partitions. Repeats
-    of an id stay in one range."""
-    total, top = rows.agg(F.sum(F.octet_length("txt")), F.max("did")).first()
+def range_borders(rows: DataFrame, part_bytes: int, parts: int | None = None) -> list[tuple[int, int]]:
+    """Ascending rows of the table, as (``did``, ``th``), that cut it into ranges of even
+    shares of ``txt``, the largest last: ``parts`` of them, or so many that a task's share
+    of ranges has about ``part_bytes``, or less if tasks would be fewer than the session's
+    partitions. An id that many rows share is cut by the hashes of their texts."""
+    total, top = rows.agg(F.sum(F.octet_length("txt")), F.max(F.struct("did", "th"))).first()
     if top is None:
-        return [0]
+        return [(0, 0)]
+    top = tuple(top)
     least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = parts or SHARE * min(max(least, math.ceil(total / part_bytes)), max(least, MOST_TASKS))
     if parts == 1:
         return [top]
     quantiles = rows.agg(F.percentile_approx("did", [i / (FINE * parts) for i in range(1, FINE * parts)], 10 * FINE * parts)).first()[0]
-    fine = sorted({*quantiles, top})
-    # bytes below each fine border, then a border whenever a share is full
-    sizes = rows.groupBy(_below(fine).alias("part")).agg(F.sum(F.octet_length("txt")).alias("n"))
-    size = dict(sizes.collect())  # at most FINE * parts rows
+    low, high = -(1 << 63), (1 << 63) - 1
+    fine = {(high, high)}
+    for edge, often in Counter(quantiles).items():
+        if often == 1:
+            fine.add((edge, high))
+        else:  # the id has several shares of the rows: cells of its hashes
+            fine |= {(edge - 1, high)} | {(edge, low + (j << 64) // often - 1) for j in range(1, often + 1)}
+    fine = sorted(fine)
+    # bytes and largest row of each cell, then a border whenever a share is full
+    cells = rows.groupBy(_below(fine).alias("part")).agg(F.sum(F.octet_length("txt")).alias("n"), F.max(F.struct("did", "th")).alias("last"))
     borders, held = [], 0
-    for k, edge in enumerate(fine):
-        held += size.get(k, 0)
-        if held >= total / parts:
-            borders.append(edge)
+    for cell in sorted(cells.collect()):  # at most 2 * FINE * parts rows
+        held += cell["n"]
+        if held >= total / parts or tuple(cell["last"]) == top:
+            borders.append(tuple(cell["last"]))
             held = 0
-    return borders if borders and borders[-1] == top else [*borders, top]
+    return borders
 
 
 def _array(values: list[int]) -> Column:
@@ -152,29 +160,34 @@ def _array(values: list[int]) -> Column:
     return F.from_json(F.lit(json.dumps(values)), "array<bigint>")
 
 
-def _below(edges: list[int]) -> Column:
-    """How many of the ascending edges lie below ``did``, by bisection."""
+def _below(edges: list[tuple[int, int]]) -> Column:
+    """How many of the ascending edges lie below (``did``, ``th``), by bisection."""
     steps = [1 << i for i in range(len(edges).bit_length() - 1, -1, -1)]
-    bounds = _array(edges)
-    move = lambda at, step: F.when(F.coalesce(F.get(bounds, at + step - 1), F.lit((1 << 63) - 1)) < F.col("did"), at + step).otherwise(at)
+    dids, hashes = (_array(list(x)) for x in zip(*edges))
+
+    def move(at: Column, step: Column) -> Column:
+        did, th = F.get(dids, at + step - 1), F.get(hashes, at + step - 1)
+        return F.when((did < F.col("did")) | ((did == F.col("did")) & (th < F.col("th"))), at + step).otherwise(at)
+
     return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), move)
 
 
-def with_next(rows: DataFrame, edges: list[int], added: dict[str, Column]) -> DataFrame:
-    """``rows`` (``did``, ``txt``) with the columns ``added`` and, as ``next``, the struct of
-    all but the id of the row that follows in descending ``did``; after the last comes the
-    first."""
+def with_next(rows: DataFrame, edges: list[tuple[int, int]], added: dict[str, Column]) -> DataFrame:
+    """``rows`` (``did``, ``th``, ``txt``) with the columns ``added`` and, as ``next``, the
+    struct of all but the id of the row that follows in descending (``did``, ``th``); after
+    the last comes the first."""
     placed = rows.withColumn("part", _below(edges))
-    at_border = F.get(_array(edges), F.col("part")) == F.col("did")
+    dids, hashes = (_array(list(x)) for x in zip(*edges))
+    at_border = (F.get(dids, F.col("part")) == F.col("did")) & (F.get(hashes, F.col("part")) == F.col("th"))
     guest_of = (F.col("part") + 1) % len(edges)
     here = F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("guest")))
     both = F.concat(here, F.array(F.struct(guest_of.alias("part"), F.lit(True).alias("guest"))))
-    dealt = placed.select("did", "txt", F.inline(F.when(at_border, both).otherwise(here)).alias("part", "guest"))
+    dealt = placed.select("did", "th", "txt", F.inline(F.when(at_border, both).otherwise(here)).alias("part", "guest"))
     dealt = dealt.repartition(max(1, math.ceil(len(edges) / SHARE)), "part").select("*", *[c.alias(name) for name, c in added.items()])
     # guests come from the range below; in range 0 the guest is the first row of all
-    order = Window.partitionBy("part").orderBy("guest", F.desc("did"), "txt")
+    order = Window.partitionBy("part").orderBy("guest", F.desc("did"), F.desc("th"))
     out = dealt.withColumn("next", F.lead(F.struct("txt", *added)).over(order))
-    return out.filter(~F.col("guest")).drop("part", "guest")
+    return out.filter(~F.col("guest")).drop("part", "guest", "th")
 
 
 def fingerprint_edits(
@@ -185,10 +198,10 @@ def fingerprint_edits(
     The edited text is the text whose last floor(n_chars / 2) code points are replaced by
     the first as many (or all) of the next document in descending id; after the last comes
     the first, so a single document is its own next. Rows that repeat an id follow each
-    other by text. Nulls, empty texts and tables as for ``winnow``.
+    other by descending hash of the text, by which a frequent id is many ranges. Nulls, empty texts and tables as for ``winnow``.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(order_id(id_col).alias("did"), text.alias("txt"))
+    rows = docs.select(order_id(id_col).alias("did"), text.alias("txt")).select("did", F.xxhash64("txt").alias("th"), "txt")
     rows = with_next(rows, range_borders(rows, part_bytes, parts), {"own": chosen_grams(F.col("txt"), k, w)})
     n, half = F.length("txt"), F.floor(F.length("txt") / 2).cast("int")
     edited = F.concat(F.substring(F.col("txt"), F.lit(1), n - half), F.substring(F.col("next.txt"), F.lit(1), half))

@@ -181,7 +181,7 @@ def alike(a, b):
 
 def test_fingerprints_by_a_plain_winnower(spark):
     docs = documents(spark)
-    pairs = sorted(((LAST if r.doc_id is None else r.doc_id, r.text or "") for r in docs.collect()), key=lambda p: (-p[0], p[1]))
+    pairs = sorted(((LAST if r.doc_id is None else r.doc_id, r.text or "") for r in docs.collect()), key=lambda p: (-p[0], -signed(xxhash.xxh64(p[1].encode(), seed=42).intdigest())))
     want = []
     for (i, a), (_, b) in zip(pairs, pairs[1:] + pairs[:1]):
         half = len(a) // 2
@@ -196,6 +196,20 @@ def test_fingerprints_by_a_plain_winnower(spark):
     assert sorted((r.did, r.n_chars, r.fingerprint) for r in fingerprints.winnow(docs).collect()) == sorted((w[0], w[1], w[3]) for w in want)
 
 
+def test_a_frequent_id_is_many_ranges(spark):
+    """Half of the rows lack an id: their ranges are cut by the hashes of their texts."""
+    rows = [(None if i % 2 else i, f"text {i} of many words, each its own {i * i}") for i in range(2_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    own = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("did"), F.xxhash64("text").alias("th"), F.col("text").alias("txt"))
+    edges = fingerprints.range_borders(own, 1 << 20, 40)
+    sizes = [r["count"] for r in own.groupBy(fingerprints._below(edges)).count().collect()]
+    assert 30 <= len(sizes) <= 80 and max(sizes) < 3 * 2_000 / 40
+    got = {(r.did, r.edited_sha256) for r in fingerprints.fingerprint_edits(docs, parts=40).collect()}
+    pairs = sorted(((LAST if i is None else i, t) for i, t in rows), key=lambda p: (-p[0], -signed(xxhash.xxh64(p[1].encode(), seed=42).intdigest())))
+    want = {(i, hashlib.sha256((a[: len(a) - len(a) // 2] + b[: len(a) // 2]).encode()).hexdigest()) for (i, a), (_, b) in zip(pairs, pairs[1:] + pairs[:1])}
+    assert got == want
+
+
 def test_fingerprints_keep_the_guarantee(spark):
     """Texts that share w + k - 1 units in a row share a chosen k-gram; a shared beginning of a
     short text, or one without spaces, is seen."""
