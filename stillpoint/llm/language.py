@@ -143,15 +143,17 @@ def _predict(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatc
             yield pa.record_batch([part.column("did"), part.column("held_out"), pa.array(lang, pa.string()), pa.array(score)], names=["did", "held_out", "lang_pred", "score"])
 
 
-def fitting_sample(learnable: DataFrame, per_language: int, language_chars: int, salts: int = 16) -> DataFrame:
+def fitting_sample(learnable: DataFrame, per_language: int, language_chars: int, salts: int = 16, longest: int | None = None) -> DataFrame:
     """(``did``, ``txt``, ``lang``) rows, of each language the first by hash of the id: at
     most ``per_language`` of them, and no more characters than ``language_chars`` beyond the
-    first. Rows without an id take no part; rows that share id and text are one.
+    first. Rows without an id, and texts of more than ``longest`` characters, take no part;
+    rows that share id and text are one.
 
     Ranks are taken in two steps, inside a salt of a language and then over what is left,
     so that no task has more than ``salts`` times ``per_language`` keys of a language in the
     last step, however frequent it is; the texts join the chosen keys at the end."""
     keys = learnable.filter("id_known").select("lang", "did", F.xxhash64("txt").alias("h"), F.length("txt").alias("n"))
+    keys = keys.filter(F.col("n") <= longest) if longest is not None else keys
     keys = keys.groupBy("lang", "did", "h").agg(F.max("n").alias("n")).withColumn("turn", F.xxhash64("did"))
     order = [F.col("turn"), F.col("did"), F.col("h")]
     part = Window.partitionBy("lang", F.pmod("turn", F.lit(salts))).orderBy(*order)
@@ -171,18 +173,20 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, modulus: int, remainder:
 
 def fit_language(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 600, language_chars: int = 6_000_000,
-    most_languages: int = 256, modulus: int = 4, remainder: int = 2,
+    most_languages: int = 256, most_chars: int = 24_000_000, modulus: int = 4, remainder: int = 2,
 ) -> tuple[list[str], np.ndarray, np.ndarray, float]:
     """Languages, inverse document frequencies, weights and temperature.
 
     Rows with crc32(id as text) mod ``modulus`` = ``remainder`` are held out: nothing is
     learned from them, nor from rows without text or language. Document frequencies count
     all others. The weights are fitted on their ``fitting_sample``, at most ``per_language``
-    rows and ``language_chars`` characters of a language; more than ``most_languages``
-    languages are an error."""
+    rows and ``language_chars`` characters of a language, and ``most_chars`` of all, shared
+    evenly: a text longer than its language's share isn't fitted on. More than
+    ``most_languages`` languages are an error."""
     rows = _rows(docs, id_col, text_col, modulus, remainder, F.col(lang_col).cast("string").alias("lang"), F.col(id_col).isNotNull().alias("id_known"))
     learnable = rows.filter(~F.col("held_out") & F.col("txt").isNotNull() & F.col("lang").isNotNull())
-    if learnable.select("lang").distinct().limit(most_languages + 1).count() > most_languages:
+    n_languages = learnable.select("lang").distinct().limit(most_languages + 1).count()
+    if n_languages > most_languages:
         raise ValueError(f"more than {most_languages} languages")
     counted = learnable.select("txt").mapInArrow(_frequencies, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
     idf = np.zeros(1 << BITS)
@@ -190,7 +194,8 @@ def fit_language(
     n_docs = seen.pop(-1, 0)
     for k, n in seen.items():
         idf[k] = np.log((1 + n_docs) / (1 + n)) + 0.1
-    sample = fitting_sample(learnable, per_language, language_chars).toPandas().sort_values(["did", "txt"])
+    share = most_chars // max(1, n_languages)
+    sample = fitting_sample(learnable, per_language, min(language_chars, share), longest=share).toPandas().sort_values(["did", "txt"])
     names = sorted(sample["lang"].unique())
     weights, temperature = fit(sample["txt"].tolist(), sample["lang"].map({n: i for i, n in enumerate(names)}).to_numpy(), len(names), idf)
     return names, idf, weights, temperature
