@@ -158,17 +158,19 @@ class Runs:
         out *= MIX
         return out ^ (out >> np.uint64(32))
 
-    def by_bucket(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-        """Order of the keys by bucket, and the border of each bucket in it."""
+    def by_bucket(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Order of the keys by bucket, the buckets that occur, and their borders in it."""
         number = (self.keys % np.uint64(buckets)).astype("i8")
-        return np.argsort(number, kind="stable"), np.searchsorted(np.sort(number), np.arange(buckets + 1))
+        order = np.argsort(number, kind="stable")
+        present, start = np.unique(number[order], return_index=True)
+        return order, present, np.r_[start, len(order)]
 
     def marked(self, masks: list[dict], which: str, buckets: int) -> np.ndarray:
         """The keys that the masks mark."""
-        order, border = self.by_bucket(buckets)
+        order, present, border = self.by_bucket(buckets)
         seen = np.zeros(len(self.keys), bool)
-        for m in masks:
-            part = order[border[m["bucket"]] : border[m["bucket"] + 1]]
+        for m, at in zip(masks, np.searchsorted(present, [m["bucket"] for m in masks]).tolist()):
+            part = order[border[at] : border[at + 1]]
             seen[part] = np.unpackbits(np.frombuffer(m[which], "u1"), count=len(part)).astype(bool)
         return seen
 
@@ -197,29 +199,34 @@ class Runs:
         np.minimum.at(least, which, np.repeat(self.dids[self.doc[run]], c))
         return at, which, strings[order], np.searchsorted(part[order], np.arange(parts + 1)), least
 
-    def candidates(self, masks: list[dict], buckets: int) -> tuple[np.ndarray, list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
+    def candidates(self, masks: list[dict], buckets: int) -> tuple[np.ndarray, dict[int, list[bytes]], np.ndarray, np.ndarray, dict[int, list[int]]]:
         """Runs whose minimiser other documents have, and the distinct strings of them.
 
-        Returns the runs; by bucket the distinct strings in order; by run its bucket and
-        the place of its string there; by bucket and string (flat) the smallest id."""
+        Returns the runs by bucket; for each bucket that occurs its distinct strings; by run
+        its bucket and the place of its string there; for each bucket and string the
+        smallest id."""
         seen = self.marked(masks, "mask", buckets)
         own = np.flatnonzero(seen[self.of_key]) if len(self.keys) else np.empty(0, "i8")
         bucket = (self.minimiser[own] % np.uint64(buckets)).astype("i8")
-        strings: list[list[bytes]] = [[] for _ in range(buckets)]
-        least: list[list[int]] = [[] for _ in range(buckets)]
-        places: list[dict[bytes, int]] = [{} for _ in range(buckets)]
+        order = np.argsort(bucket, kind="stable")
+        own, bucket = own[order], bucket[order]
+        strings: dict[int, list[bytes]] = {}
+        least: dict[int, list[int]] = {}
+        places: dict[bytes, int] = {}
         at = np.empty(len(own), "i8")
         body, extra = self.body, self.length - 1
         rows = zip(bucket.tolist(), self.first[own].tolist(), self.count[own].tolist(), self.dids[self.doc[own]].tolist())
         for i, (b, start, n, did) in enumerate(rows):
+            if b not in strings:  # the runs come bucket by bucket
+                mine, ids, places = strings.setdefault(b, []), least.setdefault(b, []), {}
             s = body[start : start + n + extra]
-            j = places[b].get(s)
+            j = places.get(s)
             if j is None:
-                j = places[b][s] = len(strings[b])
-                strings[b].append(s)
-                least[b].append(did)
-            elif did < least[b][j]:
-                least[b][j] = did
+                j = places[s] = len(mine)
+                mine.append(s)
+                ids.append(did)
+            elif did < ids[j]:
+                ids[j] = did
             at[i] = j
         return own, strings, bucket, at, least
 
@@ -230,12 +237,12 @@ def _keys(batches: Iterator[pa.RecordBatch], length: int, k: int, buckets: int)
     for batch in batches:
         for row in batch.to_pylist():
             r = Runs(row, length, k, loads=True)
-            order, border = r.by_bucket(buckets)
+            order, present, border = r.by_bucket(buckets)
             lo, hi = np.full(len(r.keys), TOP), np.full(len(r.keys), -TOP)
             np.minimum.at(lo, r.of_key, r.dids[r.doc])
             np.maximum.at(hi, r.of_key, r.dids[r.doc])
             keys, many, loads = r.keys[order], (lo < hi)[order], r.loads[order]
-            out = [(b, row["chunk"], keys[s:e].tobytes(), np.packbits(many[s:e]).tobytes(), loads[s:e].tobytes()) for b, (s, e) in enumerate(zip(border[:-1], border[1:])) if e > s]
+            out = [(b, row["chunk"], keys[s:e].tobytes(), np.packbits(many[s:e]).tobytes(), loads[s:e].tobytes()) for b, s, e in zip(present.tolist(), border[:-1], border[1:])]
             kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 5, kinds)], names=["bucket", "chunk", "keys", "flags", "loads"])
 
@@ -266,10 +273,9 @@ def _send(batches: Iterator[pa.RecordBatch], length: int, k: int, buckets: int)
                 continue
             _, strings, _, _, least = Runs(row, length, k).candidates(row["masks"], buckets)
             out = []
-            for b, own in enumerate(strings):
-                if own:
-                    sizes = np.array([len(s) for s in own], "<i4")
-                    out.append((b, row["chunk"], sizes.tobytes(), packer.compress(b"".join(own)), np.array(least[b], "<i8").tobytes()))
+            for b, own in strings.items():
+                sizes = np.array([len(s) for s in own], "<i4")
+                out.append((b, row["chunk"], sizes.tobytes(), packer.compress(b"".join(own)), np.array(least[b], "<i8").tobytes()))
             kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 5, kinds)], names=["bucket", "chunk", "sizes", "body", "least"])
 
@@ -444,8 +450,8 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int, k: int, buckets: int, p
                     n = np.array([len(s) for s in strings[b]]) - length + 1
                     start = np.cumsum(n) - n
                     bits = np.unpackbits(np.frombuffer(reply["bits"], "u1"), count=int(n.sum())).astype(bool)
-                    mine = np.flatnonzero(bucket == b)
-                    run, string = own[mine], at[mine]
+                    lo, hi = np.searchsorted(bucket, [b, b + 1])
+                    run, string = own[lo:hi], at[lo:hi]
                     c = r.count[run]
                     inner = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
                     # an id above the chunk's smallest for this run has all of it from that one
