@@ -6,10 +6,10 @@ a block scatters its weight times the postings of each of its terms into a dense
 array; partition selection then keeps the k best of the block, and the blocks' results
 are merged by query.
 
-Queries and candidates are packed into blocks of bounded size, one row each. Query blocks
-are dealt once to each of ``lanes`` groups of candidate blocks and meet them by an equi
-join on the lane, so nothing grows with the tables except the number of pairs of blocks,
-which is the exhaustive work itself.
+Queries are dealt in groups of a bounded size. A task has one lane of candidates and one
+group of queries: its queries come first and are held, the candidates stream by in blocks,
+and the best k of each query so far are its state. So no row has more than one vector, and
+what a task holds depends on neither table's size.
 """
 
 from __future__ import annotations
@@ -36,33 +36,10 @@ def sound(vec: Column) -> Column:
     return F.coalesce(F.forall(vec, finite) & (F.size(vec) > 0), F.lit(False))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """Pack (vid, vec) rows into blocks: ids, sizes and components as binary."""
-    ids: list[int] = []
-    vecs: list[list[float]] = []
-
-    def block() -> pa.RecordBatch:
-        sizes = np.array([len(v) for v in vecs], "<i4")
-        flat = np.concatenate([np.asarray(v, "<f8") for v in vecs])
-        columns = [np.array(ids, "<i8").tobytes(), sizes.tobytes(), flat.tobytes()]
-        return pa.record_batch([pa.array([c], pa.binary()) for c in columns], names=["ids", "sizes", "flat"])
-
-    for batch in batches:
-        for vid, vec in zip(batch.column("vid").to_pylist(), batch.column("vec").to_pylist()):
-            ids.append(vid)
-            vecs.append(vec)
-            if len(ids) == rows:
-                yield block()
-                ids.clear()
-                vecs.clear()
-    if ids:
-        yield block()
-
-
-def integers(sizes: bytes, flat: bytes, scale: int) -> np.ndarray:
+def integers(vecs: pa.Array, scale: int) -> np.ndarray:
     """floor(scale * x) as a matrix; shorter vectors are filled with zeros."""
-    n = np.frombuffer(sizes, "<i4")
-    x = np.floor(np.frombuffer(flat, "<f8") * scale)
+    n = np.diff(np.asarray(vecs.offsets))
+    x = np.floor(np.asarray(vecs.flatten()) * scale)
     kind = "i8" if not len(x) or np.abs(x).max() < SMALL else object
     values = x.astype("i8") if kind == "i8" else np.array([int(v) for v in x], object)
     out = np.zeros((len(n), int(n.max())), kind)
@@ -86,32 +63,76 @@ def accumulate(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     return scores if kind == "i8" else np.clip(scores, INT64.min, INT64.max).astype("i8")
 
 
-def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k highest scores, ties to smaller ids, by partition selection."""
-    if len(scores) > k:
-        edge = np.partition(scores, len(scores) - k)[len(scores) - k]
-        places = np.flatnonzero(scores >= edge)
-    else:
-        places = np.arange(len(scores))
-    return places[np.lexsort((ids[places], -scores[places]))[:k]]
-
-
-def _search(batches: Iterator[pa.RecordBatch], k: int, scale: int) -> Iterator[pa.RecordBatch]:
+class Best:
+    """The k best candidates of each query so far, ties to smaller ids."""
+
+    def __init__(self, ids: np.ndarray, values: np.ndarray, k: int):
+        self.ids, self.values, self.k = ids, values, k
+        self.least = np.full(len(ids), INT64.min)  # the k-th score
+        self.found = [(np.zeros(0, "i8"),) * 3]
+
+    def take(self, ids: np.ndarray, values: np.ndarray) -> None:
+        scores = accumulate(self.values, values)
+        other = self.ids[:, None] != ids[None]
+        edge = self.least
+        if len(ids) > self.k:  # partition selection inside the block
+            edge = np.maximum(edge, np.partition(np.where(other, scores, INT64.min), -self.k, axis=1)[:, -self.k])
+        q, i = np.nonzero((scores >= edge[:, None]) & other)
+        self.found.append((q, ids[i], scores[q, i]))
+        if sum(len(f[0]) for f in self.found) > 4 * self.k * len(self.ids):
+            self.merge()
+
+    def merge(self) -> None:
+        q, i, s = (np.concatenate(x) for x in zip(*self.found))
+        order = np.lexsort((i, ~s, q))  # ~s falls as s rises, the smallest score included
+        q, i, s = q[order], i[order], s[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        keep, last = place < self.k, np.flatnonzero(place == self.k - 1)
+        self.found = [(q[keep], i[keep], s[keep])]
+        self.least[q[last]] = s[last]
+
+    def rows(self) -> pa.RecordBatch:
+        self.merge()
+        q, i, s = self.found[0]
+        return pa.record_batch([pa.array(self.ids[q], pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.int64())], names=["query_id", "vec_id", "score"])
+
+
+def _padded(parts: list[np.ndarray]) -> np.ndarray:
+    """Matrices of different widths as one, filled with zeros."""
+    width = max(p.shape[1] for p in parts)
+    return np.concatenate([np.pad(p, ((0, 0), (0, width - p.shape[1]))) for p in parts])
+
+
+def _search(batches: Iterator[pa.RecordBatch], k: int, scale: int, block_rows: int) -> Iterator[pa.RecordBatch]:
+    """Rows by lane and group, the queries of each before its candidates."""
+    key, state, held = None, None, []
     for batch in batches:
-        for row in batch.to_pylist():
-            qids, cids = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["ids"], "<i8")
-            scores = accumulate(integers(row["q_sizes"], row["q_flat"], scale), integers(row["sizes"], row["flat"], scale))
-            out = []
-            for q, line in zip(qids, scores):
-                other = np.flatnonzero(cids != q)
-                at = other[best(line[other], cids[other], k)]
-                out.append((np.full(len(at), q), cids[at], line[at]))
-            yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out)], names=["query_id", "vec_id", "score"])
+        if not batch.num_rows:
+            continue
+        columns = [np.asarray(batch.column(c)).astype("i8") for c in ("lane", "asks", "item")]
+        cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, batch.num_rows]):
+            lane, asks, item = (int(c[lo]) for c in columns)
+            if (lane, asks) != key:
+                if state:
+                    yield state.rows()
+                key, state, held = (lane, asks), None, []
+            part = batch.slice(lo, hi - lo)
+            if not item:
+                held.append((np.asarray(part.column("vid")), integers(part.column("vec"), scale)))
+                continue
+            if held:
+                state, held = Best(np.concatenate([i for i, _ in held]), _padded([v for _, v in held]), k), []
+            for at in range(0, part.num_rows if state else 0, block_rows):
+                block = part.slice(at, block_rows)
+                state.take(np.asarray(block.column("vid")), integers(block.column("vec"), scale))
+    if state:
+        yield state.rows()
 
 
 def top_k(
     vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vec_col: str = "embedding",
-    query_rows: int = 128, block_rows: int = 4096, lanes: int | None = None,
+    query_rows: int = 1024, block_rows: int = 4096, lanes: int | None = None,
 ) -> DataFrame:
     """The ``k`` rows of ``vectors`` with the highest integer inner product for each query.
 
@@ -128,19 +149,20 @@ def top_k(
     spark = vectors.sparkSession
     lanes = lanes or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def packed(df: DataFrame, rows: int) -> DataFrame:
-        return df.mapInArrow(lambda it: _blocks(it, rows), "ids binary, sizes binary, flat binary")
-
     def rows(df: DataFrame) -> DataFrame:
         vec = F.col(vec_col).cast("array<double>")
         return df.select(F.col(id_col).cast("long").alias("vid"), vec.alias("vec")).filter(F.col("vid").isNotNull() & sound(F.col("vec")))
 
+    def all_of(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
     with scratch(spark):
-        asked = staged(packed(rows(queries).groupBy("vid").agg(F.min("vec").alias("vec")), query_rows), "query-blocks")
-        blocks = packed(rows(vectors), block_rows).withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(lanes)))
-        dealt = asked.select(*[F.col(c).alias(f"q_{c}") for c in asked.columns], F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))).alias("lane"))
-        met = blocks.join(dealt, "lane").select("ids", "sizes", "flat", "q_ids", "q_sizes", "q_flat")
-        found = met.mapInArrow(lambda it: _search(it, k, scale), "query_id long, vec_id long, score long")
+        asked = staged(rows(queries).groupBy("vid").agg(F.min("vec").alias("vec")), "queries")
+        groups = max(1, -(-asked.count() // query_rows))
+        asked = asked.select("vid", "vec", F.lit(False).alias("item"), F.pmod(F.xxhash64("vid"), F.lit(groups)).cast("int").alias("asks")).withColumn("lane", all_of(lanes))
+        own = rows(vectors).select("vid", "vec", F.lit(True).alias("item"), F.pmod(F.xxhash64("vid", "vec"), F.lit(lanes)).cast("int").alias("lane")).withColumn("asks", all_of(groups))
+        dealt = own.unionByName(asked).repartition("lane", "asks").sortWithinPartitions("lane", "asks", "item", "vid")
+        found = dealt.mapInArrow(lambda it: _search(it, k, scale, block_rows), "query_id long, vec_id long, score long")
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
         return kept(ranked.select("query_id", "rank", "vec_id", "score"), "top-k")
