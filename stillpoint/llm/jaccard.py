@@ -47,6 +47,8 @@ MIX = np.uint64(0xD6E8FEB86659FD93)
 REMEMBERED = 150_000
 #: Bytes of a symbol of a label. Two values look alike by chance once in 65,536 times.
 SYMBOL = 2
+#: Sets of a block where classes alone are asked for: pivots keep the shuffle small anyway.
+CLASS_BLOCK = 256
 #: Nodes of more classes than this are screened row by row.
 FEW = 16
 
@@ -290,7 +292,7 @@ def _links(classes: DataFrame, rows: DataFrame, width: int, threshold: float, tr
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, trees: int = 32, deepest: int = 10,
-    recall: float = 0.9999, screen: float = 0.65, block: int = 1024,
+    recall: float = 0.9999, screen: float = 0.65, block: int = 512,
 ) -> DataFrame:
     """Class and number of links of every document.
 
@@ -319,7 +321,7 @@ def near_duplicates(
 
 
 def _classified(
-    rows: DataFrame, width: int = 5, threshold: float = 0.8, trees: int = 32, deepest: int = 10, recall: float = 0.9999, screen: float = 0.65, block: int = 1024,
+    rows: DataFrame, width: int = 5, threshold: float = 0.8, trees: int = 32, deepest: int = 10, recall: float = 0.9999, screen: float = 0.65, block: int = 512,
     only: DataFrame | None = None, counts: bool = True,
 ) -> DataFrame:
     """``did``, ``rid``, ``class_id``, ``n_links`` and ``first_rid`` of each of the ``rows``
@@ -358,7 +360,7 @@ def later_rows(rows: DataFrame, only: DataFrame, **options) -> DataFrame:
     """``rid`` of those ``rows`` (``did``, ``rid``, ``txt``) that are not the first of their
     class among the rows that ``only`` (``rid``) names; no two of those share a ``rid``."""
     with scratch(rows.sparkSession):
-        return kept(_classified(rows, only=staged(only, "only"), counts=False, **options).filter("rid <> first_rid").select("rid"), "later-rows")
+        return kept(_classified(rows, only=staged(only, "only"), counts=False, **{"block": CLASS_BLOCK, **options}).filter("rid <> first_rid").select("rid"), "later-rows")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -369,7 +371,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     with scratch(docs.sparkSession):
         rows = kept(docs.select(row, order_id(id_col).alias("did"), F.monotonically_increasing_id().alias("rid")), "rows")
         texts = rows.select("did", F.col("row")[text_col].cast("string").alias("txt"), "rid")
-        gone = kept(_classified(texts, counts=False, **options).filter("rid <> first_rid").select("rid"), "near-duplicates")
+        gone = kept(_classified(texts, counts=False, **{"block": CLASS_BLOCK, **options}).filter("rid <> first_rid").select("rid"), "near-duplicates")
         return rows.join(gone, "rid", "left_anti").select("row.*")
 
 
