@@ -209,7 +209,7 @@ def _pivot_round(members: DataFrame, candidates: DataFrame, threshold: float, ch
     return written(dealt.mapInArrow(lambda it: _to_pivots(it, threshold, chances), SEEN), "pivots")
 
 
-def spanned(sets: DataFrame, threshold: float, chances: Chances | None = None, block: int = 1024) -> DataFrame:
+def spanned(sets: DataFrame, threshold: float, chances: Chances | None = None, block: int = 512) -> DataFrame:
     """As many verified links as tell which sets of a group are connected, as rows of
     ``verified`` without counts: a group of n near copies is shuffled a few times, not
     n / ``block`` times.

@@ -101,7 +101,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.set_column(batch.schema.get_field_index("grams"), "grams", pa.array([np.asarray(g.values, "i8").tobytes() for g in batch.column("grams")], pa.binary()))
 
 
-def duplicate_groups(items: DataFrame, threshold: float = 0.8, width: int = 5, bands: int = 32, rows: int = 6, block: int = 1024) -> DataFrame:
+def duplicate_groups(items: DataFrame, threshold: float = 0.8, width: int = 5, bands: int = 32, rows: int = 6, block: int = 512) -> DataFrame:
     """Group of each item: the smallest item it is linked with, exactly or nearly.
 
     Texts with equal normal form are one. The others meet in MinHash bands; items that
