@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -10,6 +11,10 @@ from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Least seconds between two calls for the driver's collector.
+RELEASE_SECONDS = 15.0
+_released = 0.0
+
 #: Tables of the open ``scratch`` blocks of this thread, innermost last.
 _OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("open scratch blocks", default=())
 
@@ -104,9 +109,21 @@ def _write(df: DataFrame, tag: str, scope: int) -> DataFrame:
     if len(blocks := _OPEN.get()) >= scope:
         blocks[-scope].append(path)
     df.write.parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let executors delete the shuffle files of tables that are written by now. Spark does
+    so once the driver has collected what refers to them, which a driver with memory to
+    spare may put off for half an hour; a job of many tables asks for it, not more often
+    than every few seconds."""
+    global _released
+    if time.monotonic() - _released > RELEASE_SECONDS:
+        _released = time.monotonic()
+        spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage is cut at a table
     that outlives any executor."""
