@@ -212,10 +212,10 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
         for lo in range(0, batch.num_rows, 512):
             part = batch.slice(lo, 512)
             grams = pa.array([shingles(t or "", width).tobytes() for t in part.column("txt").to_pylist()], pa.binary())
-            yield pa.record_batch([*[part.column(c) for c in ("rid", "weight", "n", "sign")], grams], names=["rid", "weight", "n", "sign", "grams"])
+            yield pa.record_batch([*[part.column(c) for c in ("rid", "weight", "n")], grams], names=["rid", "weight", "n", "grams"])
 
 
-def _meetings(nodes: DataFrame, sets: DataFrame, screen: float | None, block: int) -> DataFrame:
+def _meetings(nodes: DataFrame, signs: DataFrame, screen: float | None, block: int) -> DataFrame:
     """(``a``, ``b``) edges between groups with classes in one node of a trie, at least one
     of them active. ``nodes`` has a row for each class of a node.
 
@@ -232,7 +232,7 @@ def _meetings(nodes: DataFrame, sets: DataFrame, screen: float | None, block: in
     blocks = F.col("resting") + F.col("asking")
     own = F.when(F.col("active"), F.col("resting") + F.pmod(F.xxhash64("rid"), F.col("asking"))).otherwise(F.pmod(F.xxhash64("rid"), F.greatest("resting", F.lit(1)))).cast("int")
     met = met.select("rid", "grp", "active", F.xxhash64("tree", "prefix").alias("node"), own.alias("own"), F.when(F.col("active"), 0).otherwise(F.col("resting")).alias("from"), blocks.alias("blocks"))
-    met = met.join(sets.select("rid", "sign"), "rid").withColumn("p", F.explode(F.sequence(F.col("from"), F.col("blocks") - 1)))
+    met = met.join(signs, "rid").withColumn("p", F.explode(F.sequence(F.col("from"), F.col("blocks") - 1)))
     met = met.select("node", F.least("own", "p").alias("i"), F.greatest("own", "p").alias("j"), "own", "grp", "active", "sign")
     dealt = met.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j")
     return dealt.mapInArrow(lambda it: _screen(it, screen), "a long, b long")
@@ -255,10 +255,11 @@ def _links(classes: DataFrame, rows: DataFrame, width: int, threshold: float, tr
     tries = tries.select("tree", F.substring("sign", F.col("tree") * size + 1, F.lit(size)).alias("label"), F.col("rep").alias("rid"))
     ordered = tries.repartitionByRange("tree", "label", "rid").sortWithinPartitions("tree", "label", "rid")
     tries = staged(ordered.mapInArrow(lambda it: _matched(it, levels[-1], deepest), "tree int, label binary, rid long, matched int"), "tries")
-    some = staged(tries.select("rid").distinct(), "met")
-    # the texts meet ids alone, a table that is often small enough for a broadcast join
-    texts = rows.select("rid", "txt").join(some, "rid").join(classes.select(F.col("rep").alias("rid"), "weight", "n", "sign").join(some, "rid"), "rid")
-    sets = staged(texts.mapInArrow(lambda it: _sets(it, width), "rid long, weight long, n long, sign binary, grams binary"), "sets")
+    some = staged(classes.select(F.col("rep").alias("rid"), "weight", "n").join(tries.select("rid").distinct(), "rid"), "met")
+    # the texts meet a few numbers alone, a table that is often small enough for a broadcast join
+    texts = rows.select("rid", "txt").join(some, "rid")
+    sets = staged(texts.mapInArrow(lambda it: _sets(it, width), "rid long, weight long, n long, grams binary"), "sets")
+    signs = classes.select(F.col("rep").alias("rid"), "sign")
 
     def chances(similarity: np.ndarray) -> np.ndarray:
         return np.stack([meeting_chance(similarity, d, trees) for d in levels])
@@ -269,7 +270,7 @@ def _links(classes: DataFrame, rows: DataFrame, width: int, threshold: float, tr
         level = min(turn, len(levels) - 1)
         prefix = F.substring("label", F.lit(1), F.lit(SYMBOL * levels[level])).alias("prefix")
         nodes = tries.filter(F.col("matched") >= levels[level]).select("tree", prefix, "rid").join(state.select("rid", "grp", "active"), "rid")
-        roots = connected_components(_meetings(nodes, sets, screen if turn else None, block))
+        roots = connected_components(_meetings(nodes, signs, screen if turn else None, block))
         state = state.withColumn("level", F.when(F.col("active"), level).otherwise(F.col("level"))).select("rid", "grp", "level")
         if not roots.isEmpty():
             roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "grp")
