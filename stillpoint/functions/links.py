@@ -199,14 +199,50 @@ def _to_pivots(batches: Iterator[pa.RecordBatch], threshold: float, chances: Cha
         yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=["rid", "near", "links", "root", "met", "mass"])
 
 
-def _pivot_round(members: DataFrame, candidates: DataFrame, threshold: float, chances: Chances | None) -> DataFrame:
-    """Rows of ``_to_pivots`` of all ``members`` and pivots drawn from ``candidates`` (rid, grp)."""
+def _pivot_round(members: DataFrame, candidates: DataFrame, threshold: float, chances: Chances | None) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``_to_pivots`` of all ``members`` and pivots drawn from ``candidates`` (rid, grp), and those pivots."""
     drawn = F.row_number().over(Window.partitionBy("grp").orderBy(F.xxhash64("rid"), "rid"))
-    chosen = candidates.select("rid", "grp").withColumn("_n", drawn).filter(F.col("_n") <= PIVOTS).select("rid")
+    chosen = written(candidates.select("rid", "grp").withColumn("_n", drawn).filter(F.col("_n") <= PIVOTS).select("rid"), "chosen")
     pivots = members.join(chosen, "rid").select("rid", "grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"), F.lit(True).alias("pivot"), "grams")
     both = members.select("rid", "grp", "own", F.lit(False).alias("pivot"), "grams").unionByName(pivots)
     dealt = both.repartition("grp", "own").sortWithinPartitions("grp", "own", F.desc("pivot"), "rid")
-    return written(dealt.mapInArrow(lambda it: _to_pivots(it, threshold, chances), SEEN), "pivots")
+    return written(dealt.mapInArrow(lambda it: _to_pivots(it, threshold, chances), SEEN), "pivots"), chosen
+
+
+def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of connected pivots of a group to the smallest pivot that each is connected with."""
+    for batch in batches:
+        pivots, roots = [], []
+        for edges in batch.column("edges").to_pylist():
+            names, at = np.unique([(e["a"], e["b"]) for e in edges], return_inverse=True)
+            at, root = at.reshape(-1, 2), np.arange(len(names))
+            while True:
+                low, last = np.minimum(root[at[:, 0]], root[at[:, 1]]), root.copy()
+                np.minimum.at(root, at[:, 0], low)
+                np.minimum.at(root, at[:, 1], low)
+                if (root == last).all():
+                    break
+            pivots.append(names.tolist())
+            roots.append(names[root].tolist())
+        lists = [pa.array(x, pa.list_(pa.int64())) for x in (pivots, roots)]
+        yield pa.record_batch([batch.column("grp"), batch.column("blocks"), *lists], names=["grp", "blocks", "pivots", "roots"])
+
+
+def _classes(members: DataFrame, links: list[DataFrame], pivots: list[DataFrame]) -> DataFrame:
+    """Members with the class ``cls`` that links with pivots put them in, named by its
+    smallest pivot, and whether they are no pivot and linked with none (``alone``).
+
+    Members meet through pivots only, and a group has ``PIVOTS * ROUNDS`` of them at most:
+    one small row a group tells which of its pivots are connected, and goes to each block."""
+    edges = [x.select("rid", "root") for x in links] + [x.select("rid", F.col("rid").alias("root")) for x in pivots]
+    linked = reduce(DataFrame.unionByName, edges).groupBy("rid").agg(F.array_sort(F.collect_set("root")).alias("linked"))
+    rows = written(members.select("rid", "grp", "blocks", "own", "before").join(linked, "rid", "left"), "linked")
+    pairs = rows.select("grp", "blocks", F.explode(F.transform("linked", lambda p: F.struct(F.col("linked")[0].alias("a"), p.alias("b")))).alias("edge"))
+    groups = pairs.groupBy("grp").agg(F.max("blocks").alias("blocks"), F.collect_set("edge").alias("edges"))
+    roots = groups.mapInArrow(_rooted, "grp long, blocks int, pivots array<long>, roots array<long>")
+    roots = roots.select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"), F.map_from_arrays("pivots", "roots").alias("root"))
+    named = rows.join(roots, ["grp", "own"], "left")
+    return named.select("rid", "grp", "before", F.coalesce(F.col("root")[F.col("linked")[0]], "rid").alias("cls"), F.col("linked").isNull().alias("alone"))
 
 
 def spanned(sets: DataFrame, threshold: float, chances: Chances | None = None, block: int = 512) -> DataFrame:
@@ -215,36 +251,37 @@ def spanned(sets: DataFrame, threshold: float, chances: Chances | None = None, b
     n / ``block`` times.
 
     The members of a group of several blocks first meet a few pivots of it. Those linked
-    with a pivot are settled with it; further pivots come from the others. A group whose
-    members are all connected is done: its other links tell nothing new. In any other group
-    every pair of members that aren't connected yet could still be linked. One minus the
-    Jaccard similarity is a metric, so members that differ by more than one minus the
-    threshold in their distance from any pivot aren't linked, nor are sets of too unlike
-    sizes. Blocks of settled classes and of the rest are compared pair by pair where these
-    bounds leave any room, each pair of blocks exactly.
+    with a pivot are settled with it; further pivots come from the others, as long as each
+    round settles half of them. A group whose members are all connected is done: its other
+    links tell nothing new. In any other group every pair of members that aren't connected
+    yet could still be linked. One minus the Jaccard similarity is a metric, so members that
+    differ by more than one minus the threshold in their distance from any pivot aren't
+    linked, nor are sets of too unlike sizes. Blocks of settled classes and of the rest are
+    compared pair by pair where these bounds leave any room, each pair of blocks exactly.
 
     ``sets`` has the columns of ``candidate_groups``, ``weight``, ``n`` and ``grams``."""
     small = verified(sets.filter("blocks = 1"), threshold, chances)
-    large = written(sets.filter("blocks > 1"), "large")
+    large = written(sets.filter("blocks > 1").withColumn("before", F.lit(None).cast("long")), "large")
     if large.isEmpty():
         return small
-    links, coordinates = [], []
-    candidates = large
+    links, pivots, coordinates = [], [], []
+    asking = candidates = large
     for turn in range(ROUNDS):
-        seen = _pivot_round(large, candidates, threshold, chances)
+        seen, chosen = _pivot_round(asking, candidates, threshold, chances)
         links.append(seen.filter("rid <> root").drop("near"))
+        pivots.append(chosen)
         coordinates.append(seen.filter("rid = root").select("rid", F.col("near").alias(f"near{turn}")))
-        roots = connected_components(reduce(DataFrame.unionByName, links).select(F.col("rid").alias("a"), F.col("root").alias("b")))
-        named = large.select("rid", "grp").join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("rid", "grp", F.coalesce("root", "rid").alias("cls"), F.col("root").isNull().alias("alone"))
-        named = written(named, "named")
-        open_groups = named.groupBy("grp").agg(F.min("cls").alias("least"), F.max("cls").alias("most"), F.count_if("alone").alias("alone"))
-        open_groups = written(open_groups.filter("least <> most").select("grp", F.col("alone").alias("left")), "open")
-        if open_groups.filter(F.col("left") > block).isEmpty():
+        named = written(_classes(large, links, pivots), "named")
+        told = named.groupBy("grp").agg(F.min("cls").alias("least"), F.max("cls").alias("most"), F.count_if("alone").alias("left"), F.coalesce(F.max("before"), F.count(F.lit(1))).alias("before"))
+        open_groups = written(told.filter("least <> most").select("grp", "left", "before"), "open")
+        going = open_groups.filter((F.col("left") > block) & (F.col("left") <= F.col("before") / 2)).select("grp")
+        if turn == ROUNDS - 1 or going.isEmpty():
             break
-        large = written(large.join(open_groups.select("grp"), "grp", "left_semi"), "large")
-        candidates = named.filter("alone").join(open_groups.filter("left > 0"), "grp", "left_semi")
+        large = written(large.drop("before").join(open_groups.select("grp", F.col("left").alias("before")), "grp"), "large")
+        asking = large.join(going, "grp", "left_semi")
+        candidates = named.filter("alone").join(going, "grp", "left_semi")
     if not open_groups.isEmpty():
-        rest = large.join(open_groups.select("grp"), "grp", "left_semi").join(named.select("rid", "cls"), "rid")
+        rest = large.drop("before").join(open_groups.select("grp"), "grp", "left_semi").join(named.select("rid", "cls"), "rid")
         for part in coordinates:
             rest = rest.join(part, "rid", "left")
         links.append(_across(written(rest, "rest"), len(coordinates), threshold, chances, block))
