@@ -104,3 +104,25 @@ def test_pivot_rows_of_one_block():
     rows = [r for b in li._to_pivots(iter([batch]), T, None) for r in b.to_pylist()]
     assert {(r["rid"], r["root"]) for r in rows} == {(1, 1), (2, 2), (3, 3), (1, 0), (2, 0)}
     assert all(len(r["near"]) == li.PIVOTS for r in rows)
+
+
+def test_pivots_are_rooted_by_group():
+    edges = [[{"a": 3, "b": 3}, {"a": 3, "b": 9}, {"a": 5, "b": 9}, {"a": 7, "b": 7}], [{"a": 1, "b": 1}]]
+    batch = pa.record_batch([pa.array([1, 2]), pa.array([4, 2], pa.int32()), pa.array(edges)], names=["grp", "blocks", "edges"])
+    rows = [r for b in li._rooted(iter([batch])) for r in b.to_pylist()]
+    assert [dict(zip(r["pivots"], r["roots"])) for r in rows] == [{3: 3, 5: 3, 7: 7, 9: 3}, {1: 1}]
+
+
+def test_a_group_that_pivots_hardly_settle(spark, monkeypatch):
+    """Pairs of near copies, more of them than pivots: one round of pivots, the rest pair by pair."""
+    rounds, real = [], li._pivot_round
+
+    def counted(*args):
+        rounds.append(1)
+        return real(*args)
+
+    monkeypatch.setattr(li, "_pivot_round", counted)
+    sets = [set(range(100 * (i // 2), 100 * (i // 2) + 40)) | {10**6 + i} for i in range(120)]
+    groups = [1] * len(sets)
+    assert classes(li.spanned(frame(spark, sets, groups, 8), T, block=8), len(sets)) == plain(sets, groups)
+    assert len(rounds) == 1
