@@ -359,9 +359,10 @@ def _classified(
 
 def later_rows(rows: DataFrame, only: DataFrame, **options) -> DataFrame:
     """``rid`` of those ``rows`` (``did``, ``rid``, ``txt``) that are not the first of their
-    class among the rows that ``only`` (``rid``) names; no two of those share a ``rid``."""
+    class among the rows that ``only`` (``rid``) names, and the ``first_rid`` of that class;
+    no two of those rows share a ``rid``."""
     with scratch(rows.sparkSession):
-        return kept(_classified(rows, only=staged(only, "only"), counts=False, **{"block": CLASS_BLOCK, **options}).filter("rid <> first_rid").select("rid"), "later-rows")
+        return kept(_classified(rows, only=staged(only, "only"), counts=False, **{"block": CLASS_BLOCK, **options}).filter("rid <> first_rid").select("rid", "first_rid"), "later-rows")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

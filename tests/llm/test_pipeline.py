@@ -62,6 +62,23 @@ def test_near_copies_are_judged_before_their_lines_went(spark, folder):
     assert 100 in ids and not {101, 102, 103} & set(ids)
 
 
+def test_what_the_line_stage_leaves_is_compared_too(spark, tmp_path):
+    """Two documents whose lines but one are those of others, and that line near copies: by
+    the texts they came with they are unlike."""
+    rng = random.Random(5)
+    one, two = ("\n".join(prose(rng, 12) for _ in range(12)) for _ in range(2))
+    rest = prose(rng, 60)
+    rows = [(1, one), (2, two), (3, f"{one}\n{rest}"), (4, f"{rest} alpha\n{two}"), (5, prose(rng, 60)), (6, f"{two}\n{prose(rng, 60)}")]
+    path = str(tmp_path)
+    spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicate_filter(spark, docs, path).collect()} == {1, 2, 3, 4, 5, 6}
+    left = corpus_pipeline.line_filter(spark, docs, path)
+    assert {r.doc_id: r.text for r in left.collect()}[4] == f"{rest} alpha"
+    kept = {r.doc_id: r.text for r in corpus_pipeline.near_duplicate_filter(spark, left, path).collect()}
+    assert set(kept) == {1, 2, 3, 5, 6} and kept[3] == rest
+
+
 def test_toxic_rows_go_by_their_text(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     model = toxicity.fit_toxicity(docs, spark.read.parquet(f"{folder}/labels.parquet"))
