@@ -2,49 +2,90 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from stillpoint.functions.tables import discard, kept, new_path, scratch
 
+#: Edges of a task that are contracted at a time.
+HELD = 1 << 18
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges to one for each node but the smallest that it is connected with, with that one."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    at, root = at.reshape(2, -1), np.arange(len(names))
+    while True:
+        low, last = np.minimum(root[at[0]], root[at[1]]), root.copy()
+        for side in at:
+            np.minimum.at(root, last[side], low)  # the roots of both ends, so that all that hangs on them follows
+            np.minimum.at(root, side, low)
+        root = root[root]
+        if (root == last).all():
+            break
+    rest = root != np.arange(len(names))
+    return names[rest], names[root[rest]]
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A bounded number of a task's edges at a time becomes a forest of stars."""
+    held: list[pa.RecordBatch] = []
+
+    def out() -> pa.RecordBatch:
+        a, b = forest(*(np.concatenate([np.asarray(x.column(c)) for x in held]) for c in ("a", "b")))
+        return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= HELD:
+            yield out()
+            held = []
+    if held:
+        yield out()
+
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(``a``, ``b``) edges to (``node``, ``root``) rows, the root being the smallest node.
 
-    Every round hangs each node's larger neighbours, then its smaller ones, on the smallest
-    neighbour, until nothing changes, however many rounds that takes (about the logarithm
-    of the longest path). A round costs a few shuffles of the edges, none of them gathers
-    a node's neighbours, and its result is a table in the shared folder; the table before
-    it is deleted. Nodes without an edge to another node don't appear.
+    Each task first contracts its own edges. A round then hangs each node's larger
+    neighbours, and then its smaller ones, on the smallest neighbour, until all are stars,
+    however many rounds that takes (about the logarithm of the longest path, less what
+    tasks have contracted). The smallest neighbours tell whether all are stars, so the last
+    round is one shuffle and no other only finds that nothing changes. No shuffle gathers a
+    node's neighbours, and the result of a round is a table in the shared folder; the tables
+    before it are deleted. Nodes without an edge to another node don't appear.
     """
     spark = edges.sparkSession
+    paths: list[str] = []
 
-    def round_of(df: DataFrame) -> tuple[DataFrame, str, tuple]:
-        """Write a round's edges; count and checksum tell whether it changed them."""
-        seen, path = Observation(), new_path(spark, "edges")
-        df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")).write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path), path, (seen.get["n"], seen.get["sum"])
+    def table(df: DataFrame, tag: str) -> DataFrame:
+        paths.append(new_path(spark, tag))
+        df.write.parquet(paths[-1])
+        return spark.read.schema(df.schema).parquet(paths[-1])
 
-    paths: list[str] = []
     with scratch(spark):
         try:
-            now, path, mark = round_of(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-            paths.append(path)
-            while mark[0]:
-                # larger neighbours of each node go to its smallest neighbour, itself included
-                both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-                least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-                large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+            now = table(edges.filter("a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")), "edges")
+            while True:
+                now = table(now.mapInArrow(_contracted, "a long, b long"), "forest")  # a > b
+                seen = Observation()
+                ends = now.select(F.col("a").alias("node"), "b", F.lit(False).alias("hub")).unionByName(now.select(F.col("b").alias("node"), F.lit(None).cast("long").alias("b"), F.lit(True).alias("hub")))
+                ends = ends.groupBy("node").agg(F.min("b").alias("low"), F.max("b").alias("high"), F.max("hub").alias("hub")).filter("low is not null")
+                low = table(ends.observe(seen, F.count_if(F.expr("low <> high or hub")).alias("open")).select("node", F.col("low").alias("root")), "low")
+                if not seen.get["open"]:
+                    return kept(low, "components")
+                # an edge's larger end goes to the smallest neighbour of the smaller end, itself included
+                large = now.join(low.withColumnRenamed("node", "b"), "b", "left").select("a", F.coalesce("root", "b").alias("b"))
                 # smaller neighbours of each node, and the node, go to the smallest of them
                 least = large.groupBy("a").agg(F.min("b").alias("m"))
                 small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-                now, path, new = round_of(small.filter("a <> b").distinct())
-                paths.append(path)
-                discard(spark, paths.pop(0))
-                if new == mark:
-                    break
-                mark = new
-            return kept(now.select(F.col("a").alias("node"), F.col("b").alias("root")), "components")
+                now = table(small.filter("a <> b").distinct(), "edges")
+                while len(paths) > 1:
+                    discard(spark, paths.pop(0))
         finally:
             for path in paths:
                 discard(spark, path)

@@ -333,7 +333,7 @@ def _classified(
     ``first_rid`` is the row of the class with the smallest id, of several the one with the
     smallest ``rid``. Equal sets are a node, named by such a row of theirs."""
     sketch = rows.mapInArrow(lambda it: _sketch(it, width, trees * deepest), "did long, rid long, n long, h1 long, h2 long, sign binary")
-    sketch = staged(sketch if only is None else sketch.join(only, "rid", "left_semi"), "sketch")
+    sketch = staged(sketch if only is None else sketch.join(only.hint("merge"), "rid", "left_semi"), "sketch")
     some = sketch.filter("n > 0")
     classes = some.groupBy("h1", "h2").agg(F.min_by(F.struct("did", "rid", "n", "sign"), F.struct("did", "rid")).alias("r"), F.count(F.lit(1)).alias("weight"))
     classes = staged(classes.select("h1", "h2", F.col("r.did").alias("least_did"), F.col("r.rid").alias("rep"), F.col("r.n").alias("n"), F.col("r.sign").alias("sign"), "weight"), "classes")

@@ -126,3 +126,20 @@ def test_a_group_that_pivots_hardly_settle(spark, monkeypatch):
     groups = [1] * len(sets)
     assert classes(li.spanned(frame(spark, sets, groups, 8), T, block=8), len(sets)) == plain(sets, groups)
     assert len(rounds) == 1
+
+
+def test_components_of_stars_take_one_round(spark, monkeypatch):
+    """Stars are told from one shuffle; paths across tasks take a few rounds."""
+    from stillpoint.functions import components
+
+    tables = []
+    monkeypatch.setattr(components, "new_path", lambda session, tag, f=components.new_path: tables.append(tag) or f(session, tag))
+    stars = [(10 * k + i, 10 * k) for k in range(50) for i in range(1, 10)]
+    found = {r.node: r.root for r in connected_components(spark.createDataFrame(stars, "a long, b long").repartition(7)).collect()}
+    assert found == dict(stars) and tables.count("low") == 1
+    tables.clear()
+    names = list(range(2000))
+    random.Random(1).shuffle(names)
+    path = spark.createDataFrame(list(zip(names, names[1:])), "a long, b long").repartition(40)
+    rows = connected_components(path).collect()
+    assert {r.node for r in rows} == set(range(1, 2000)) and {r.root for r in rows} == {0} and len(rows) == 1999 and tables.count("low") <= 12
