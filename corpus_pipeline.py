@@ -17,9 +17,8 @@ from stillpoint.functions.tables import kept, scratch
 from stillpoint.llm import jaccard, line_dedup, packing, suffix_dedup, toxicity
 from stillpoint.llm.common import bounded_batches, order_id
 
-#: Ids that tell a row lie within this distance of 0. An id moved by twice as much names the
-#: text that is left of its row; numbers of rows without such an id begin at thrice as much.
-FAR = 1 << 61
+#: Row numbers begin here, far from ids.
+FAR = 1 << 62
 
 
 def _documents(docs: DataFrame, rows: DataFrame, text: Column) -> DataFrame:
@@ -55,28 +54,28 @@ def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Of each class of near duplicates the document with the smallest id stays, of several
     rows with that id one.
 
-    A document is compared by the text that it has here and, if that isn't the one it came
-    with, by that one too, as the later of two near copies has lost the lines that they
-    share. It goes if either text is in a class that begins with another document. An id
-    that several rows share, or none, doesn't tell which text a row came with: such rows are
-    compared by what is left of them. Texts without words are no duplicates."""
+    Documents are compared by the texts that they came with, as the later of two near copies
+    has lost the lines that they share; those that stay are then compared by the texts that
+    they have here. An id that several rows share, or none, doesn't tell which text a row
+    came with: such rows are compared by what is left of them. Texts without words are no
+    duplicates."""
     bounded_batches(spark)
     source = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    own_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
-    single = [df.groupBy(own_id.alias("rid")).agg(F.count(F.lit(1)).alias("n"), F.min(F.xxhash64(text)).alias(h)).filter("n = 1").filter(F.col("rid").between(-FAR, FAR - 1)).drop("n") for df, h in ((docs, "here"), (source, "came"))]
-    ids = kept(single[0].join(single[1], "rid").select("rid", (F.col("here") != F.col("came")).alias("changed")), "ids")
-    # joins of whole rows are shuffled at any size, so that a small table tells what a large one takes
+    own_id = F.col("doc_id").cast("long")
+    single = [df.groupBy(own_id.alias("rid")).count().filter(F.col("count") == 1).filter(F.col("rid").between(-FAR, FAR - 1)).select("rid") for df in (docs, source)]
+    ids = kept(single[0].join(single[1], "rid"), "ids")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select(row, own_id.alias("_id")).join(ids.hint("merge"), F.col("_id") == ids["rid"], "left").filter("rid is null or changed")
-    rid = F.coalesce(F.col("rid") + 2 * FAR, F.monotonically_increasing_id() + 3 * FAR)
-    here = kept(rows.select(F.when(F.col("rid").isNull(), F.col("row")).alias("row"), order_id("_id").alias("did"), rid.alias("rid"), F.col("row.text").cast("string").alias("txt")), "here")
-    texts = source.select(order_id("doc_id").alias("did"), own_id.alias("rid"), text.alias("txt")).unionByName(here.select("did", "rid", "txt"))
-    later = jaccard.later_rows(texts, ids.select("rid").unionByName(here.select("rid")))
-    own, first = (F.when(F.col(c).between(FAR, 3 * FAR - 1), F.col(c) - 2 * FAR).otherwise(F.col(c)) for c in ("rid", "first_rid"))
-    gone = kept(later.filter(own != first).select(own.alias("rid")).distinct(), "gone")
+    odd = docs.select(own_id.alias("odd")).distinct()
+    odd = kept(odd.join(ids, F.col("odd") == ids["rid"], "left_anti"), "odd")  # mostly few: the texts needn't be shuffled
+    others = docs.select(row, own_id.alias("_id")).join(odd, F.col("_id").eqNullSafe(F.col("odd")), "left_semi")
+    others = kept(others.select("row", order_id("_id").alias("did"), (F.monotonically_increasing_id() + FAR).alias("rid")), "others")
+    texts = source.select(order_id("doc_id").alias("did"), own_id.alias("rid"), F.col("text").cast("string").alias("txt"))
+    texts = texts.unionByName(others.select("did", "rid", F.col("row.text").cast("string").alias("txt")))
+    gone = jaccard.later_rows(texts, ids.unionByName(others.select("rid")))
     stay = ids.join(gone, "rid", "left_anti").select(F.col("rid").alias("_id"))
+    # the join of whole rows is shuffled at any size, so that a small table tells what a large one takes
     kept_rows = docs.select(row, own_id.alias("_id")).join(stay.hint("merge"), "_id", "left_semi").select("row")
-    return kept_rows.unionByName(here.filter("row is not null").join(gone, "rid", "left_anti").select("row")).select("row.*")
+    return jaccard.drop_near_duplicates(kept_rows.unionByName(others.join(gone, "rid", "left_anti").select("row")).select("row.*"))
 
 
 def repeat_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
