@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stillpoint.functions.components import connected_components
-from stillpoint.functions.tables import written
+from stillpoint.functions.tables import returning, written
 
 
 def overlaps(sets: list[np.ndarray], first: int, same: bool) -> np.ndarray:
@@ -165,7 +165,7 @@ def verified(sets: DataFrame, threshold: float, chances: Chances | None = None)
 def _checked(pairs: DataFrame, threshold: float, chances: Chances | None) -> DataFrame:
     """Every pair of the sets of block ``i`` with those of block ``j``; a set's ``own`` is one of them."""
     dealt = pairs.select("rid", "weight", "grp", "own", "grams", "i", "j").repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "rid")
-    return dealt.mapInArrow(lambda it: _verify(it, threshold, chances), LINKS)
+    return dealt.mapInArrow(lambda it: returning(_verify(it, threshold, chances)), LINKS)
 
 
 #: Pivots that a group's members are compared with at a time, and how often at most.
@@ -206,7 +206,7 @@ def _pivot_round(members: DataFrame, candidates: DataFrame, threshold: float, ch
     pivots = members.join(chosen, "rid").select("rid", "grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"), F.lit(True).alias("pivot"), "grams")
     both = members.select("rid", "grp", "own", F.lit(False).alias("pivot"), "grams").unionByName(pivots)
     dealt = both.repartition("grp", "own").sortWithinPartitions("grp", "own", F.desc("pivot"), "rid")
-    return written(dealt.mapInArrow(lambda it: _to_pivots(it, threshold, chances), SEEN), "pivots"), chosen
+    return written(dealt.mapInArrow(lambda it: returning(_to_pivots(it, threshold, chances)), SEEN), "pivots"), chosen
 
 
 def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

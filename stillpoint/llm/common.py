@@ -5,20 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stillpoint.functions.tables import discard, new_path
+from stillpoint.functions.tables import discard, new_path, returning
 from stillpoint.functions.tables import written as staged
 
-__all__ = ["bounded_batches", "discard", "held_out", "new_path", "order_id", "packed_rows", "staged"]
+__all__ = ["bounded_batches", "discard", "held_out", "new_path", "order_id", "packed_rows", "returning", "staged"]
 
 HELD_LAST = (1 << 63) - 1
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+def bounded_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 0) -> None:
     """Texts are long: Arrow batches of Spark's default of 10,000 rows of them would fill a
-    Python worker. A smaller size that the session has is kept."""
+    Python worker. A smaller size that the session has is kept. With ``megabytes`` a batch ends
+    at about so many: an executor holds each several times outside its heap."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
+    if megabytes:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m")
 
 
 def order_id(column: str) -> Column:

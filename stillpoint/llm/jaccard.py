@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from stillpoint.functions.components import connected_components
 from stillpoint.functions.links import LINKS, blocked, spanned, verified
 from stillpoint.functions.tables import kept, scratch
-from stillpoint.llm.common import order_id, staged
+from stillpoint.llm.common import order_id, returning, staged
 from stillpoint.llm.wordgrams import WORDS
 
 PRIME = np.uint64(0x100000001B3)
@@ -235,7 +235,7 @@ def _meetings(nodes: DataFrame, signs: DataFrame, screen: float | None, block: i
     met = met.join(signs, "rid").withColumn("p", F.explode(F.sequence(F.col("from"), F.col("blocks") - 1)))
     met = met.select("node", F.least("own", "p").alias("i"), F.greatest("own", "p").alias("j"), "own", "grp", "active", "sign")
     dealt = met.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j")
-    return dealt.mapInArrow(lambda it: _screen(it, screen), "a long, b long")
+    return dealt.mapInArrow(lambda it: returning(_screen(it, screen)), "a long, b long")
 
 
 def _expected(levels: list[int], threshold: float, trees: int) -> Column:
@@ -254,11 +254,11 @@ def _links(classes: DataFrame, rows: DataFrame, width: int, threshold: float, tr
     tries = able.select("rep", "sign", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
     tries = tries.select("tree", F.substring("sign", F.col("tree") * size + 1, F.lit(size)).alias("label"), F.col("rep").alias("rid"))
     ordered = tries.repartitionByRange("tree", "label", "rid").sortWithinPartitions("tree", "label", "rid")
-    tries = staged(ordered.mapInArrow(lambda it: _matched(it, levels[-1], deepest), "tree int, label binary, rid long, matched int"), "tries")
+    tries = staged(ordered.mapInArrow(lambda it: returning(_matched(it, levels[-1], deepest)), "tree int, label binary, rid long, matched int"), "tries")
     some = staged(classes.select(F.col("rep").alias("rid"), "weight", "n").join(tries.select("rid").distinct(), "rid"), "met")
     # the texts meet a few numbers alone, a table that is often small enough for a broadcast join
     texts = rows.select("rid", "txt").join(some, "rid")
-    sets = staged(texts.mapInArrow(lambda it: _sets(it, width), "rid long, weight long, n long, grams binary"), "sets")
+    sets = staged(texts.mapInArrow(lambda it: returning(_sets(it, width)), "rid long, weight long, n long, grams binary"), "sets")
     signs = classes.select(F.col("rep").alias("rid"), "sign")
 
     def chances(similarity: np.ndarray) -> np.ndarray:
@@ -332,7 +332,7 @@ def _classified(
 
     ``first_rid`` is the row of the class with the smallest id, of several the one with the
     smallest ``rid``. Equal sets are a node, named by such a row of theirs."""
-    sketch = rows.mapInArrow(lambda it: _sketch(it, width, trees * deepest), "did long, rid long, n long, h1 long, h2 long, sign binary")
+    sketch = rows.mapInArrow(lambda it: returning(_sketch(it, width, trees * deepest)), "did long, rid long, n long, h1 long, h2 long, sign binary")
     sketch = staged(sketch if only is None else sketch.join(only.hint("merge"), "rid", "left_semi"), "sketch")
     some = sketch.filter("n > 0")
     classes = some.groupBy("h1", "h2").agg(F.min_by(F.struct("did", "rid", "n", "sign"), F.struct("did", "rid")).alias("r"), F.count(F.lit(1)).alias("weight"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stillpoint.llm.common import discard, new_path, packed_rows
+from stillpoint.llm.common import discard, new_path, packed_rows, returning
 
 HASH = ["h1", "h2"]
 #: A row: its id and a hash of its text, so that rows which share an id, or lack one, don't
@@ -150,7 +150,7 @@ def dedup_lines(
     number = sum((F.when(F.col("did") > e, 1).otherwise(0) for e in edges), F.lit(0))
     lines_path, drops_path = new_path(spark, "lines"), new_path(spark, "line-drops")
     (
-        rows.select(*ROW, "txt").mapInArrow(lambda it: _hash_lines(it, min_chars), "did long, th int, h1 long, h2 long")
+        rows.select(*ROW, "txt").mapInArrow(lambda it: returning(_hash_lines(it, min_chars)), "did long, th int, h1 long, h2 long")
         .withColumn("batch", number).write.partitionBy("batch").parquet(lines_path)
     )
     lines = spark.read.schema("did long, th int, h1 long, h2 long, batch int").parquet(lines_path)
@@ -177,7 +177,7 @@ def dedup_lines(
     drops = drops.groupBy(*ROW).agg(F.collect_set(F.struct(*HASH)).alias("drops"))
     joined = rows.join(drops, ROW, "left").select("row", "txt", "drops")
     schema = T.StructType([rows.schema["row"], *T.StructType.fromDDL("kept string, n_lines long, n_dropped long, kept_sha256 string").fields])
-    return joined.mapInArrow(lambda it: _keep_lines(it, min_chars), schema)
+    return joined.mapInArrow(lambda it: returning(_keep_lines(it, min_chars)), schema)
 
 
 ORACLE = {

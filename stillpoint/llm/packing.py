@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stillpoint.functions.tables import kept, scratch
-from stillpoint.llm.common import order_id, staged
+from stillpoint.llm.common import order_id, returning, staged
 
 #: Chunks that a worker remembers; beyond it the memory is emptied.
 REMEMBERED = 300_000
@@ -186,7 +186,7 @@ def pack_documents(
     documents, attention = documents or tokens, attention or tokens * tokens
     rows = docs.select(order_id(id_col).alias("did"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("txt"))
     with scratch(docs.sparkSession):
-        pieces = staged(rows.mapInArrow(lambda it: _pieces(it, tokenizer, tokens, end_id), PIECE_SCHEMA), "pieces")
+        pieces = staged(rows.mapInArrow(lambda it: returning(_pieces(it, tokenizer, tokens, end_id)), PIECE_SCHEMA), "pieces")
         shards = max(1, math.ceil(pieces.count() / shard_pieces))
 
         def one(pdf: pd.DataFrame) -> pd.DataFrame:

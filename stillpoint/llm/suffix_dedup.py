@@ -42,7 +42,7 @@ from pyspark.sql import types as T
 
 from stillpoint.functions.links import runs
 from stillpoint.functions.tables import kept, scratch
-from stillpoint.llm.common import packed_rows, staged
+from stillpoint.llm.common import packed_rows, returning, staged
 
 MIX = np.uint64(0xD6E8FEB86659FD93)
 TOP = np.iinfo("i8").max
@@ -504,33 +504,33 @@ def remove_repeats(
     buckets = max(8, math.ceil(total / bucket_bytes))
     # a chunk has a message for each bucket: chunks grow with the number of buckets
     size = min(max(chunk_bytes, buckets << 10), max(chunk_bytes, chunk_most))
-    chunks = staged(rows.mapInArrow(lambda it: _chunks(it, size), CHUNK_SCHEMA), "chunks")
+    chunks = staged(rows.mapInArrow(lambda it: returning(_chunks(it, size)), CHUNK_SCHEMA), "chunks")
 
     def by_bucket(df: DataFrame) -> DataFrame:
         return df.repartition("bucket").sortWithinPartitions("bucket", "chunk")
 
-    keys = chunks.mapInArrow(lambda it: _keys(it, length, k, buckets), "bucket long, chunk long, keys binary, flags binary, loads binary")
-    masks = staged(by_bucket(keys).mapInArrow(lambda it: _repeated(it, bucket_bytes), "chunk long, bucket long, mask binary, hot binary, hot_bytes long"), "masks")
+    keys = chunks.mapInArrow(lambda it: returning(_keys(it, length, k, buckets)), "bucket long, chunk long, keys binary, flags binary, loads binary")
+    masks = staged(by_bucket(keys).mapInArrow(lambda it: returning(_repeated(it, bucket_bytes)), "chunk long, bucket long, mask binary, hot binary, hot_bytes long"), "masks")
     # a run of hot bytes has at most length - k + 1 strings
     hot_bytes = masks.agg(F.sum("hot_bytes")).first()[0] or 0
     parts = math.ceil(hot_bytes * length * (length - k + 1) / (2 * length - k) / bucket_bytes)
     with_hot = masks.filter("hot_bytes > 0").select("chunk").distinct()
     masks = masks.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "mask", "hot")).alias("masks"))
     sent = chunks.select("chunk", "dids", "sizes", "body").join(masks, "chunk")
-    sent = sent.mapInArrow(lambda it: _send(it, length, k, buckets), "bucket long, chunk long, sizes binary, body binary, least binary")
-    bits = staged(by_bucket(sent).mapInArrow(lambda it: _judge(it, length, shard_bytes), "chunk long, bucket long, bits binary"), "bits")
+    sent = sent.mapInArrow(lambda it: returning(_send(it, length, k, buckets)), "bucket long, chunk long, sizes binary, body binary, least binary")
+    bits = staged(by_bucket(sent).mapInArrow(lambda it: returning(_judge(it, length, shard_bytes)), "chunk long, bucket long, bits binary"), "bits")
     bits = bits.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("bits"))
     replies = masks.join(bits, "chunk", "left")
     if parts:
         hot = chunks.select("chunk", "dids", "sizes", "body").join(masks.join(with_hot, "chunk"), "chunk")
-        hot = hot.mapInArrow(lambda it: _send_hot(it, length, k, buckets, parts), "bucket long, chunk long, strings binary, least binary")
-        hot = staged(by_bucket(hot).mapInArrow(lambda it: _judge_hot(it, length), "chunk long, bucket long, bits binary"), "hot-bits")
+        hot = hot.mapInArrow(lambda it: returning(_send_hot(it, length, k, buckets, parts)), "bucket long, chunk long, strings binary, least binary")
+        hot = staged(by_bucket(hot).mapInArrow(lambda it: returning(_judge_hot(it, length)), "chunk long, bucket long, bits binary"), "hot-bits")
         replies = replies.join(hot.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("hot_bits")), "chunk", "left")
     else:
         replies = replies.withColumn("hot_bits", F.lit(None).cast("array<struct<bucket:bigint,bits:binary>>"))
     told = chunks.select("chunk", "dids", "sizes", "body", "rest").join(replies, "chunk", "left")
     schema = T.StructType([rows.schema["row"], *T.StructType.fromDDL(f"kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").fields])
-    return told.mapInArrow(lambda it: _cut(it, length, k, buckets, parts, as_text), schema)
+    return told.mapInArrow(lambda it: returning(_cut(it, length, k, buckets, parts, as_text)), schema)
 
 
 def op9_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stillpoint.llm.common import held_out, order_id
+from stillpoint.llm.common import held_out, order_id, returning
 from stillpoint.llm.wordgrams import WORDS, WordTable, grams, sums, word_ids
 
 WORD_BITS, GRAM_BITS, LOW, HIGH = 14, 15, 3, 5
@@ -349,7 +349,7 @@ def score_toxicity(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_c
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(order_id(id_col).alias("did"), F.col(text_col).cast("string").alias("txt"), held_out(id_col, modulus, remainder).alias("held_out"))
-    return rows.mapInArrow(lambda it: _score(it, shared, threshold, False), "did long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(lambda it: returning(_score(it, shared, threshold, False)), "did long, held_out boolean, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, model: tuple, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -360,7 +360,7 @@ def drop_toxic(docs: DataFrame, model: tuple, text_col: str = "text", threshold:
     gives an empty result with the same columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return rows.mapInArrow(lambda it: _score(it, shared, threshold, True, text_col), rows.schema).select("row.*")
+    return rows.mapInArrow(lambda it: returning(_score(it, shared, threshold, True, text_col)), rows.schema).select("row.*")
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -1,7 +1,10 @@
 """The stages of the pipeline: odd rows, empty tables, clashing columns, and what they catch."""
 
 import itertools
+import os
 import random
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,3 +121,46 @@ def test_pipeline_on_tables(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 100
     assert {r.total for r in out.groupBy("sequence_id").agg(F.sum("length").alias("total"), F.max(F.col("offset") + F.col("length")).alias("end")).filter("total <> end or total > 2048").collect()} == set()
+
+
+def test_batches_of_long_rows_end_by_bytes(spark, folder):
+    """Rows of 100 kB: a stage leaves a session in which a thousand of them are not one batch."""
+
+    def nbytes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.nbytes])], names=["n"])
+
+    before = spark.conf.get(key := "spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        corpus_pipeline.pack(spark, spark.createDataFrame([], "doc_id long, text string"), folder)
+        sizes = spark.range(100).coalesce(1).select(F.repeat(F.lit("x"), 100_000).alias("t")).mapInArrow(nbytes, "n long").toPandas()["n"]
+        assert sizes.max() <= (corpus_pipeline.BATCH_MB << 20) + 200_000 and sizes.sum() >= 100 * 100_000
+    finally:
+        spark.conf.set(key, before)
+
+
+FREED = """
+import re
+import pyarrow as pa
+from stillpoint.functions.tables import returning
+
+def anonymous():
+    return int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+
+def helper():
+    held = [bytearray(100_000) for _ in range(2000)]
+    last.append(bytearray(100_000))  # what lies above keeps the heap from shrinking by itself
+    yield pa.record_batch([pa.array([len(held)])], names=["n"])
+
+last, before = [], anonymous()
+print(sum(b.column("n")[0].as_py() for b in returning(helper())), anonymous() - before)
+"""
+
+
+def test_a_task_gives_back_what_it_freed():
+    """200 MB in pieces that the allocator would hold on to."""
+    out = subprocess.run([sys.executable, "-c", FREED], capture_output=True, text=True, check=True, env=os.environ | {"PYTHONPATH": os.pathsep.join(sys.path)})
+    rows, left = out.stdout.split()
+    assert int(rows) == 2000 and float(left) < 100
