@@ -4,7 +4,9 @@ Two equal strings of ``length`` bytes contain the same minimiser (the least hash
 k-byte strings, the rightmost on ties), so the strings that share a minimiser can be
 compared apart from all others. The corpus is cut into runs of neighbouring strings with
 one minimiser; runs whose minimiser occurs in one document only can't repeat and stay
-where they are; the others go to the bucket of their minimiser.
+where they are. Nor can runs of which no other document has the minimiser with either of its
+sides: a string has half of its other bytes, or more, on one side of its minimiser. The
+others go to the bucket of their minimiser.
 
 Inside a bucket runs are grouped into shards. Each shard is suffix-sorted by itself, which
 gives its Burrows-Wheeler transform and its last-to-first mapping. The shards' transforms
@@ -12,7 +14,9 @@ are then merged by iterative interleave refinement: starting from shard after sh
 interleave is passed stably through the transform's symbols once for each symbol of
 depth; places where neighbours first differ are the common-prefix borders, and after
 ``length`` rounds the intervals between borders are the repeated strings. The suffixes of
-the shards are never sorted together.
+the shards are never sorted together. Equal runs are merged once, and runs that share
+neither side of their minimiser with a different run needn't be: only their own copies have
+their strings.
 
 A minimiser of more run bytes than a bucket has (a passage's edge in many contexts) is no
 bucket: its strings are dealt one by one, by a hash of the whole string, and compared by
@@ -52,7 +56,7 @@ CHUNK_SCHEMA = "chunk long, dids binary, sizes binary, body binary, rest binary,
 
 
 #: Strings whose minimisers are looked for at a time.
-BLOCK = 1 << 20
+BLOCK = 1 << 17
 #: Bits of a packed minimiser that hold the place inside a block (as complement).
 PLACE_BITS = 24
 
@@ -89,47 +93,105 @@ def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
         yield chunk()
 
 
+def run_hashes(grams: np.ndarray, at: np.ndarray, size: np.ndarray, length: int, k: int) -> np.ndarray:
+    """Hashes of the runs of ``size`` bytes at ``at``, from those of k-byte strings that cover them."""
+    code = size.astype("u8")
+    for j in [*range(0, 2 * length - k, k), 2 * length]:
+        code = (code ^ grams[at + np.minimum(j, size - k)]) * MIX
+        code ^= code >> np.uint64(32)
+    return code
+
+
+def side_hashes(grams: np.ndarray, place: np.ndarray, first: np.ndarray, count: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each run a hash of the bytes on the left of its minimiser at ``place`` and one of
+    those on the right, half of a string's other bytes; 0 if none of the run's strings
+    reaches so far. Every string reaches so far on one of the sides: two runs that share one
+    share the minimiser and the hash of that side."""
+    half = (length - k + 1) // 2
+    one = np.uint64(1 << 48)
+    left = np.where(place - first >= half, np.maximum(grams[np.maximum(place - half, 0)] * MIX, one), np.uint64(0))
+    right = np.where(place - first - count + 1 <= length - k - half, np.maximum(grams[np.minimum(place + half, len(grams) - 1)] * MIX, one), np.uint64(0))
+    return left, right
+
+
+def shared_sides(key: np.ndarray, sides: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Which runs share their key and the hash of a side with another one."""
+    found = np.zeros(len(key), bool)
+    for side in sides:
+        some = np.flatnonzero(side)
+        code = key[some] ^ side[some]
+        order = np.argsort(code)
+        same = code[order[1:]] == code[order[:-1]]
+        found[some[order[1:][same]]] = True
+        found[some[order[:-1][same]]] = True
+    return found
+
+
+def distinct_runs(text: np.ndarray, at: np.ndarray, size: np.ndarray, code: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Number of each run's string among the distinct ones, by hash, and a run of each.
+
+    Runs of one hash are compared. Where two differ, neighbours in the given order do: a
+    string may then have several numbers, but no number several strings."""
+    if not len(at):
+        return np.empty(0, "i8"), np.empty(0, "i8")
+    windows = np.lib.stride_tricks.sliding_window_view(text, length)
+    for kind in (None, "stable"):
+        order = np.argsort(code, kind=kind)
+        new = np.r_[True, code[order[1:]] != code[order[:-1]]]
+        again = np.flatnonzero(~new)
+        for part in np.split(again, range(1 << 16, len(again), 1 << 16)):
+            a, b = order[part - 1], order[part]
+            same = size[a] == size[b]
+            for shift in (0, size[b] - length):  # a run is shorter than two strings
+                same &= (windows[at[a] + np.where(same, shift, 0)] == windows[at[b] + shift]).all(axis=1)
+            new[part] = ~same
+        if new.sum() == len(order) - len(again):
+            break
+    number = np.empty(len(order), "i8")
+    number[order] = np.cumsum(new) - 1
+    return number, order[new]
+
+
 class Runs:
     """The runs of a chunk: for each its first string, its number of strings, its
-    minimiser and its document's place. ``keys`` are the distinct minimisers; with ``loads``
-    those are the bytes of the distinct runs of each."""
+    minimiser, its document's place and hashes of what is left and right of its minimiser.
+    ``of_key`` numbers the distinct runs in the order of ``keys``, hashes of whole runs;
+    ``one`` has a run of each. With ``loads`` the bytes of each are there, too."""
 
     def __init__(self, row: dict, length: int, k: int, loads: bool = False):
         self.dids, self.sizes = np.frombuffer(row["dids"], "<i8"), np.frombuffer(row["sizes"], "<i8")
         self.body = zstandard.ZstdDecompressor().decompress(row["body"], max_output_size=max(1, int(self.sizes.sum())))
         self.length = length
         text, ends = np.frombuffer(self.body, "u1"), np.cumsum(self.sizes)
-        parts = [self._block(text, ends, lo, length, k, loads) for lo in range(0, len(text) - length + 1, BLOCK)]
+        parts = [self._block(text, ends, lo, length, k) for lo in range(0, len(text) - length + 1, BLOCK)]
         empty = np.empty(0, "i8")
-        self.first, self.count, self.doc, self.minimiser, code = (np.concatenate(c) for c in zip(*parts)) if parts else (empty, empty, empty, empty.view("u8"), empty.view("u8"))
-        self.keys, self.of_key = np.unique(self.minimiser, return_inverse=True)
-        self.loads = np.zeros(len(self.keys), "<i4")
-        if loads and len(self.keys):
-            one = np.unique(code, return_index=True)[1]
-            self.loads = np.bincount(self.of_key[one], (self.count + length - 1)[one], len(self.keys)).astype("<i4")
-
-    def _block(self, text: np.ndarray, ends: np.ndarray, lo: int, length: int, k: int, loads: bool) -> tuple[np.ndarray, ...]:
+        self.first, self.count, self.doc, self.minimiser, self.left, self.right, code = (np.concatenate(c) for c in zip(*parts)) if parts else (empty, empty, empty, empty.view("u8"), empty.astype("u2"), empty.astype("u2"), empty.view("u8"))
+        self.of_key, self.one = distinct_runs(text, self.first, self.count + length - 1, code, length)
+        self.keys = code[self.one]
+        if loads:
+            self.loads = self.count[self.one] + length - 1
+
+    def _block(self, text: np.ndarray, ends: np.ndarray, lo: int, length: int, k: int) -> tuple[np.ndarray, ...]:
         """Runs that begin among the BLOCK strings from ``lo``: first string, number of
-        strings, document, minimiser, and with ``loads`` a hash of the run."""
+        strings, document, minimiser, hashes of its left and right side, hash of the run."""
         w, strings = length - k + 1, len(text) - length + 1
         hi = min(lo + BLOCK, strings)
         base, last = max(0, lo - 1), min(hi + w, strings)  # a run has at most w strings
         grams = self._hashes(text[base : last + 2 * length], k)
         low = np.uint64((1 << PLACE_BITS) - 1)
-        packed = grams[: last - base + w - 1]
-        packed = (packed & ~low) | (low - np.arange(len(packed), dtype="u8"))
+        packed = grams[: last - base + w - 1] & ~low
+        packed |= low - np.arange(len(packed), dtype="u8")
         span = 1
         while span * 2 <= w:
             packed = np.minimum(packed[:-span], packed[span:])
             span *= 2
         if span < w:
             packed = np.minimum(packed[: len(packed) - (w - span)], packed[w - span :])
-        place = (low - (packed & low)).astype("i8")
-        new = np.empty(len(place), bool)
+        new = np.empty(len(packed), bool)
         new[0] = lo == 0
-        np.not_equal(place[1:], place[:-1], out=new[1:])
+        np.not_equal(packed[1:], packed[:-1], out=new[1:])
         starts = np.r_[0, ends[:-1]]
-        new[starts[(starts >= lo) & (starts < last)] - base] = True  # no run reaches into the next document
+        new[starts[np.searchsorted(starts, lo) : np.searchsorted(starts, last)] - base] = True  # no run reaches into the next document
         first = np.flatnonzero(new)
         count = np.diff(np.r_[first, last - base])
         first, count = first[first + base < hi], count[first + base < hi]
@@ -138,13 +200,9 @@ class Runs:
         count = np.minimum(count, ends[doc] - length + 1 - (first + base))
         some = count > 0
         first, count, doc = first[some], count[some], doc[some]
-        code = count.astype("u8")
-        if loads:
-            size = count + length - 1
-            for j in [*range(0, 2 * length - k, k), 2 * length]:  # k-byte strings that cover a run
-                code = (code ^ grams[first + np.minimum(j, size - k)]) * MIX
-                code ^= code >> np.uint64(32)
-        return first + base, count, doc, grams[place[first]], code
+        place = (low - (packed[first] & low)).astype("i8")
+        left, right = ((side >> np.uint64(48)).astype("u2") for side in side_hashes(grams, place, first, count, length, k))
+        return first + base, count, doc, grams[place], left, right, run_hashes(grams, first, count + length - 1, length, k)
 
     @staticmethod
     def _hashes(text: np.ndarray, k: int) -> np.ndarray:
@@ -152,27 +210,34 @@ class Runs:
         out, size, power = text.astype("u8") + np.uint64(1), 1, 0x100000001B3
         while size < k:
             step = min(size, k - size)
-            out = out[:-step] * np.uint64(power) + out[step:]
+            more, out = out[step:], out[:-step] * np.uint64(power)
+            out += more
             size, power = size + step, (power * power + 2) % (1 << 64)
         out ^= out >> np.uint64(29)
         out *= MIX
-        return out ^ (out >> np.uint64(32))
+        out ^= out >> np.uint64(32)
+        return out
 
     def by_bucket(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Order of the keys by bucket, the buckets that occur, and their borders in it."""
-        number = (self.keys % np.uint64(buckets)).astype("i8")
+        """Order of the distinct runs by bucket, the buckets that occur, and their borders in it."""
+        number = (self.minimiser[self.one] % np.uint64(buckets)).astype(np.min_scalar_type(buckets))
         order = np.argsort(number, kind="stable")
-        present, start = np.unique(number[order], return_index=True)
-        return order, present, np.r_[start, len(order)]
+        number = number[order]
+        border = np.flatnonzero(np.r_[True, number[1:] != number[:-1], True]) if len(order) else np.zeros(1, "i8")
+        return order, number[border[:-1]].astype("i8"), border
 
     def marked(self, masks: list[dict], which: str, buckets: int) -> np.ndarray:
-        """The keys that the masks mark."""
+        """The distinct runs that the masks mark, in the order of their buckets, and which of
+        the buckets each is in."""
         order, present, border = self.by_bucket(buckets)
-        seen = np.zeros(len(self.keys), bool)
-        for m, at in zip(masks, np.searchsorted(present, [m["bucket"] for m in masks]).tolist()):
-            part = order[border[at] : border[at + 1]]
-            seen[part] = np.unpackbits(np.frombuffer(m[which], "u1"), count=len(part)).astype(bool)
-        return seen
+        at = np.searchsorted(present, [m["bucket"] for m in masks])
+        n = border[at + 1] - border[at]
+        bits, start = unpacked([m[which] for m in masks])
+        bucket = np.repeat(at, n)
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        some = bits[np.repeat(start, n) + inner]
+        place = np.sort((border[bucket] + inner)[some])
+        return order[place], np.searchsorted(border, place, side="right") - 1
 
     def hot(self, masks: list[dict], buckets: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The strings of runs with hot minimisers.
@@ -180,7 +245,9 @@ class Runs:
         Returns the strings' places and for each the number of its distinct string; the
         distinct strings, in order of their parts, with the border of each part, and the
         smallest id of each."""
-        run = np.flatnonzero(self.marked(masks, "hot", buckets)[self.of_key]) if len(self.keys) else np.empty(0, "i8")
+        marked = np.zeros(len(self.keys), bool)
+        marked[self.marked(masks, "hot", buckets)[0]] = True
+        run = np.flatnonzero(marked[self.of_key])
         c = self.count[run]
         at = np.repeat(self.first[run] - np.cumsum(c) + c, c) + np.arange(c.sum())
         if not len(at):
@@ -199,70 +266,81 @@ class Runs:
         np.minimum.at(least, which, np.repeat(self.dids[self.doc[run]], c))
         return at, which, strings[order], np.searchsorted(part[order], np.arange(parts + 1)), least
 
-    def candidates(self, masks: list[dict], buckets: int) -> tuple[np.ndarray, dict[int, list[bytes]], np.ndarray, np.ndarray, dict[int, list[int]]]:
-        """Runs whose minimiser other documents have, and the distinct strings of them.
+    def candidates(self, masks: list[dict], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct runs that may have a string of another document, by bucket.
 
-        Returns the runs by bucket; for each bucket that occurs its distinct strings; by run
-        its bucket and the place of its string there; for each bucket and string the
+        Returns their numbers, the border of each bucket that has some, and for each the
         smallest id."""
-        seen = self.marked(masks, "mask", buckets)
-        own = np.flatnonzero(seen[self.of_key]) if len(self.keys) else np.empty(0, "i8")
-        bucket = (self.minimiser[own] % np.uint64(buckets)).astype("i8")
-        order = np.argsort(bucket, kind="stable")
-        own, bucket = own[order], bucket[order]
-        strings: dict[int, list[bytes]] = {}
-        least: dict[int, list[int]] = {}
-        places: dict[bytes, int] = {}
-        at = np.empty(len(own), "i8")
-        body, extra = self.body, self.length - 1
-        rows = zip(bucket.tolist(), self.first[own].tolist(), self.count[own].tolist(), self.dids[self.doc[own]].tolist())
-        for i, (b, start, n, did) in enumerate(rows):
-            if b not in strings:  # the runs come bucket by bucket
-                mine, ids, places = strings.setdefault(b, []), least.setdefault(b, []), {}
-            s = body[start : start + n + extra]
-            j = places.get(s)
-            if j is None:
-                j = places[s] = len(mine)
-                mine.append(s)
-                ids.append(did)
-            elif did < ids[j]:
-                ids[j] = did
-            at[i] = j
-        return own, strings, bucket, at, least
+        own, bucket = self.marked(masks, "mask", buckets)
+        border = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(own) else np.zeros(1, "i8")
+        return own, border, self.least()[own]
+
+    def least(self) -> np.ndarray:
+        """The smallest id of each distinct run."""
+        least = np.full(len(self.keys), TOP)
+        np.minimum.at(least, self.of_key, self.dids[self.doc])
+        return least
+
+
+def packed(bits: np.ndarray, border: np.ndarray) -> list[bytes]:
+    """A packed mask of the bits between each two borders."""
+    n = np.diff(border)
+    end = np.cumsum((n + 7) // 8)
+    start = end - (n + 7) // 8
+    room = np.zeros(int(end[-1]) * 8 if len(end) else 0, bool)
+    room[np.repeat(start * 8 - border[:-1], n) + np.arange(len(bits))] = bits
+    data = np.packbits(room).tobytes()
+    return [data[s:e] for s, e in zip(start.tolist(), end.tolist())]
+
+
+def unpacked(masks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The bits of all packed masks, one after the other, and where each mask's begin."""
+    size = np.array([len(m) for m in masks], "i8")
+    return np.unpackbits(np.frombuffer(b"".join(masks), "u1")).astype(bool), (np.cumsum(size) - size) * 8
 
 
 def _keys(batches: Iterator[pa.RecordBatch], length: int, k: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """The minimisers of each chunk by bucket; the lowest bit of ``flags`` tells which of
-    them two documents of the chunk have."""
+    """The distinct runs of each chunk by bucket: 32 bits of the minimiser's hash beyond the
+    bucket, the hashes of its two sides; ``flags`` tells which of them two documents of the
+    chunk have."""
     for batch in batches:
         for row in batch.to_pylist():
-            r = Runs(row, length, k, loads=True)
+            r = Runs(row, length, k)
             order, present, border = r.by_bucket(buckets)
-            lo, hi = np.full(len(r.keys), TOP), np.full(len(r.keys), -TOP)
-            np.minimum.at(lo, r.of_key, r.dids[r.doc])
-            np.maximum.at(hi, r.of_key, r.dids[r.doc])
-            keys, many, loads = r.keys[order], (lo < hi)[order], r.loads[order]
-            out = [(b, row["chunk"], keys[s:e].tobytes(), np.packbits(many[s:e]).tobytes(), loads[s:e].tobytes()) for b, s, e in zip(present.tolist(), border[:-1], border[1:])]
+            # a run of several documents is in one that is not the first of its runs'
+            many = np.zeros(len(r.keys), bool)
+            many[r.of_key[r.dids[r.doc] != r.dids[r.doc[r.one]][r.of_key]]] = True
+            run, many = r.one[order], many[order]
+            keys, sides = (r.minimiser[run] // np.uint64(buckets)).astype("<u4"), np.stack([r.left[run], r.right[run]], axis=1).astype("<u2")
+            keys, sides = keys.tobytes(), sides.tobytes()
+            out = [(b, row["chunk"], keys[4 * s : 4 * e], sides[4 * s : 4 * e], m) for b, s, e, m in zip(present.tolist(), border[:-1].tolist(), border[1:].tolist(), packed(many, border))]
             kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 5, kinds)], names=["bucket", "chunk", "keys", "flags", "loads"])
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 5, kinds)], names=["bucket", "chunk", "keys", "sides", "flags"])
 
 
-def _repeated(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """For each chunk and bucket a mask of the minimisers that two documents have, and one
-    of those among them that have more than ``most`` bytes of runs, with their bytes."""
+def _repeated(batches: Iterator[pa.RecordBatch], most: int, run_bytes: int) -> Iterator[pa.RecordBatch]:
+    """For each chunk and bucket a mask of the runs that may have a string of another
+    document, and one of those among them whose minimiser has more than ``most`` bytes of
+    them, with their bytes; a run counts as ``run_bytes``.
+
+    A string that two runs have is at the same distance from their minimiser, and so are the
+    bytes of its longer side: the runs share the hash of that side, too."""
     for table in runs(batches, ["bucket"]):
-        sent = [np.frombuffer(x, "u8") for x in table.column("keys").to_pylist()]
-        flags = [np.unpackbits(np.frombuffer(f, "u1"), count=len(s)) for f, s in zip(table.column("flags").to_pylist(), sent)]
-        keys, where, count = np.unique(np.concatenate(sent), return_inverse=True, return_counts=True)
-        many = (count > 1) | (np.bincount(where, np.concatenate(flags), len(keys)) > 0)
-        loads = np.concatenate([np.frombuffer(x, "<i4") for x in table.column("loads").to_pylist()])
-        large = many & (np.bincount(where, loads, len(keys)) > most)
-        cuts = np.cumsum([len(s) for s in sent])[:-1]
-        hits, hot, loads = np.split((many & ~large)[where], cuts), np.split(large[where], cuts), np.split(loads, cuts)
-        some = [i for i, (h, g) in enumerate(zip(hits, hot)) if h.any() or g.any()]
-        masks = [[np.packbits(h[i]).tobytes() for i in some] for h in (hits, hot)]
-        hot_bytes = [int(loads[i][hot[i]].sum()) for i in some]
-        yield pa.record_batch([table.column(c).combine_chunks().take(pa.array(some, pa.int64())) for c in ("chunk", "bucket")] + [pa.array(m, pa.binary()) for m in masks] + [pa.array(hot_bytes, pa.int64())], names=["chunk", "bucket", "mask", "hot", "hot_bytes"])
+        sent = [np.frombuffer(x, "<u4") for x in table.column("keys").to_pylist()]
+        keys = np.concatenate(sent).astype("u8")
+        sides = np.frombuffer(b"".join(table.column("sides").to_pylist()), "<u2").reshape(-1, 2)
+        many = np.concatenate([np.unpackbits(np.frombuffer(f, "u1"), count=len(s)) for f, s in zip(table.column("flags").to_pylist(), sent)]).astype(bool)
+        many |= shared_sides(keys << np.uint64(16), sides.T.astype("u8"))
+        large = np.zeros(len(many), bool)
+        own = np.flatnonzero(many)
+        if len(own) * run_bytes > most:
+            which, count = np.unique(keys[own], return_inverse=True, return_counts=True)[1:]
+            large[own] = (count * run_bytes > most)[which]
+        border = np.cumsum([0, *[len(s) for s in sent]])
+        some = pa.array(np.flatnonzero(np.logical_or.reduceat(many, border[:-1])))
+        hot_bytes = np.add.reduceat(large, border[:-1], dtype="i8") * run_bytes
+        columns = [*[table.column(c).combine_chunks() for c in ("chunk", "bucket")], *[pa.array(packed(m, border), pa.binary()) for m in (many & ~large, large)], pa.array(hot_bytes)]
+        yield pa.record_batch([c.take(some) for c in columns], names=["chunk", "bucket", "mask", "hot", "hot_bytes"])
 
 
 def _send(batches: Iterator[pa.RecordBatch], length: int, k: int, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -271,11 +349,13 @@ def _send(batches: Iterator[pa.RecordBatch], length: int, k: int, buckets: int)
         for row in batch.to_pylist():
             if not row["masks"]:
                 continue
-            _, strings, _, _, least = Runs(row, length, k).candidates(row["masks"], buckets)
-            out = []
-            for b, own in strings.items():
-                sizes = np.array([len(s) for s in own], "<i4")
-                out.append((b, row["chunk"], sizes.tobytes(), packer.compress(b"".join(own)), np.array(least[b], "<i8").tobytes()))
+            r = Runs(row, length, k)
+            own, border, least = r.candidates(row["masks"], buckets)
+            run = r.one[own]
+            start, size, least = r.first[run], (r.count[run] + length - 1).astype("<i4"), least.astype("<i8")
+            strings = [r.body[s:e] for s, e in zip(start.tolist(), (start + size).tolist())]
+            bucket = (r.minimiser[run[border[:-1]]] % np.uint64(buckets)).tolist()
+            out = [(b, row["chunk"], size[s:e].tobytes(), packer.compress(b"".join(strings[s:e])), least[s:e].tobytes()) for b, s, e in zip(bucket, border[:-1].tolist(), border[1:].tolist())]
             kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 5, kinds)], names=["bucket", "chunk", "sizes", "body", "least"])
 
@@ -395,47 +475,48 @@ def seen_before(strings: list[bytes], least: np.ndarray, length: int, shard: int
     return [smallest[s : s + n] for s, n in zip(starts, counts)]
 
 
-def _judge(batches: Iterator[pa.RecordBatch], length: int, shard: int) -> Iterator[pa.RecordBatch]:
+def _judge(batches: Iterator[pa.RecordBatch], length: int, k: int, shard: int) -> Iterator[pa.RecordBatch]:
     """For each chunk of a bucket one bit for each string of each of its runs: whether a
     smaller id than the chunk's smallest for that run has the string."""
     unpacker = zstandard.ZstdDecompressor()
     for table in runs(batches, ["bucket"]):
-        places: dict[bytes, int] = {}
-        least: list[int] = []
-        sent = []
-        for row in (r for part in table.to_batches(max_chunksize=16) for r in part.to_pylist()):
-            sizes, own = np.frombuffer(row["sizes"], "<i4"), np.frombuffer(row["least"], "<i8").tolist()
-            body = unpacker.decompress(row["body"], max_output_size=int(sizes.sum()))
-            ends = np.cumsum(sizes).tolist()
-            at = []
-            for s, e, did in zip([0, *ends], ends, own):
-                j = places.setdefault(body[s:e], len(least))
-                if j == len(least):
-                    least.append(did)
-                elif did < least[j]:
-                    least[j] = did
-                at.append(j)
-            sent.append((row["chunk"], row["bucket"], at, own))
-        strings = list(places)
-        del places, table
-        smallest = seen_before(strings, np.array(least, "i8"), length, shard)
-        counts = np.array([len(s) for s in smallest])
-        flat, start = np.concatenate(smallest), np.cumsum(counts) - counts
-        out = []
-        for chunk, bucket, at, own in sent:
-            n = counts[at]
-            where = np.repeat(start[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            out.append((chunk, bucket, np.packbits(flat[where] < np.repeat(own, n)).tobytes()))
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()))], names=["chunk", "bucket", "bits"])
+        sent = [np.frombuffer(x, "<i4") for x in table.column("sizes").to_pylist()]
+        size = np.concatenate(sent).astype("i8")
+        body = b"".join(unpacker.decompress(x.as_py(), max_output_size=int(s.sum())) for x, s in zip(table.column("body"), sent))
+        own = np.frombuffer(b"".join(table.column("least").to_pylist()), "<i8")
+        text, start, counts = np.frombuffer(body, "u1"), np.cumsum(size) - size, size - length + 1
+        grams = np.concatenate([Runs._hashes(text[lo : lo + BLOCK + k - 1], k) for lo in range(0, len(text) - k + 1, BLOCK)])
+        which, one = distinct_runs(text, start, size, run_hashes(grams, start, size, length, k), length)
+        least = np.full(len(one), TOP)
+        np.minimum.at(least, which, own)
+        some = np.flatnonzero(_partly_shared(grams, start[one], counts[one], length, k))
+        flat, begin = np.repeat(least, counts[one]), np.cumsum(counts[one]) - counts[one]
+        if len(some):
+            strings = [body[s:e] for s, e in zip(start[one[some]].tolist(), (start + size)[one[some]].tolist())]
+            del body, text, grams
+            n = counts[one[some]]
+            flat[np.repeat(begin[some] - np.cumsum(n) + n, n) + np.arange(n.sum())] = np.concatenate(seen_before(strings, least[some], length, shard))
+        at = np.repeat(begin[which] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        border = np.r_[0, np.cumsum(counts)][np.cumsum([0, *[len(s) for s in sent]])]
+        yield pa.record_batch([*[table.column(c).combine_chunks() for c in ("chunk", "bucket")], pa.array(packed(flat[at] < np.repeat(own, counts), border), pa.binary())], names=["chunk", "bucket", "bits"])
+
+
+def _partly_shared(grams: np.ndarray, first: np.ndarray, count: np.ndarray, length: int, k: int) -> np.ndarray:
+    """Which of distinct runs may share a string with another one: the others have nothing
+    to be merged with."""
+    low, window = np.uint64((1 << PLACE_BITS) - 1), np.arange(length - k + 1)
+    place = np.empty(len(first), "i8")
+    for lo in range(0, len(first), 1 << 13):
+        part = first[lo : lo + (1 << 13)]
+        place[lo : lo + (1 << 13)] = part + np.argmin((grams[part[:, None] + window] & ~low) | (low - window.astype("u8")), axis=1)
+    return shared_sides(grams[place], side_hashes(grams, place, first, count, length, k))
 
 
 def spread(flags: np.ndarray, length: int) -> np.ndarray:
     """Positions covered by a string that starts at a flagged position."""
-    edge = np.zeros(len(flags) + length + 1, "i4")
-    at = np.flatnonzero(flags)
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + length, -1)
-    return np.cumsum(edge)[: len(flags)] > 0
+    covered = np.cumsum(flags, dtype="i4")
+    covered[length:] -= covered[:-length].copy()
+    return covered > 0
 
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int, k: int, buckets: int, parts: int, as_text: bool) -> Iterator[pa.RecordBatch]:
@@ -444,19 +525,19 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int, k: int, buckets: int, p
             r = Runs(row, length, k)
             flags = np.zeros(len(r.body), bool)
             if row["bits"]:
-                own, strings, bucket, at, least = r.candidates(row["masks"], buckets)
-                for reply in row["bits"]:
-                    b = reply["bucket"]
-                    n = np.array([len(s) for s in strings[b]]) - length + 1
-                    start = np.cumsum(n) - n
-                    bits = np.unpackbits(np.frombuffer(reply["bits"], "u1"), count=int(n.sum())).astype(bool)
-                    lo, hi = np.searchsorted(bucket, [b, b + 1])
-                    run, string = own[lo:hi], at[lo:hi]
-                    c = r.count[run]
-                    inner = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-                    # an id above the chunk's smallest for this run has all of it from that one
-                    later = r.dids[r.doc[run]] > np.array(least[b])[string]
-                    flags[np.repeat(r.first[run], c) + inner] = bits[np.repeat(start[string], c) + inner] | np.repeat(later, c)
+                own, border, least = r.candidates(row["masks"], buckets)
+                n = r.count[r.one[own]]
+                bits, start = unpacked([reply["bits"] for reply in sorted(row["bits"], key=lambda x: x["bucket"])])
+                inner = np.cumsum(n) - n
+                start = np.repeat(start - inner[border[:-1]], np.diff(border)) + inner
+                at = np.full(len(r.keys), -1)
+                at[own] = np.arange(len(own))
+                run = np.flatnonzero(at[r.of_key] >= 0)
+                string, c = at[r.of_key[run]], r.count[run]
+                inner = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+                # an id above the chunk's smallest for this run has all of it from that one
+                later = r.dids[r.doc[run]] > least[string]
+                flags[np.repeat(r.first[run], c) + inner] = bits[np.repeat(start[string], c) + inner] | np.repeat(later, c)
             if row["hot_bits"]:
                 at, which, _, border, least = r.hot(row["masks"], buckets, parts)
                 before = np.zeros(len(least), bool)
@@ -467,16 +548,17 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int, k: int, buckets: int, p
                 flags[at] = before[which] | (r.dids[doc] > least[which])
             gone = spread(flags, length)
             ends = np.cumsum(r.sizes)
-            kept, n_removed, n_spans, sha = [], [], [], []
-            text = np.frombuffer(r.body, "u1")
-            for s, e in zip(ends - r.sizes, ends):
-                g = gone[s:e]
-                removed = int(g.sum())
-                out = text[s:e][~g].tobytes() if removed else r.body[s:e]
-                n_removed.append(removed)
-                n_spans.append(int(g[:1].sum() + (g[1:] & ~g[:-1]).sum()) if removed else 0)
-                kept.append(out.decode("utf-8", "ignore") if as_text else out)
-                sha.append(hashlib.sha256(out).hexdigest())
+            starts = ends - r.sizes
+            border = gone.copy()  # where a removed run begins
+            border[1:] &= ~gone[:-1]
+            border[starts[r.sizes > 0]] = gone[starts[r.sizes > 0]]
+            n_removed, n_spans = (np.diff(np.r_[0, np.cumsum(x)][np.r_[0, ends]]) for x in (gone, border))
+            left = np.frombuffer(r.body, "u1")[~gone].tobytes()
+            ends = np.cumsum(r.sizes - n_removed)
+            kept = [left[s:e] for s, e in zip((ends - (r.sizes - n_removed)).tolist(), ends.tolist())]
+            sha = [hashlib.sha256(x).hexdigest() for x in kept]
+            if as_text:
+                kept = [x.decode("utf-8", "ignore") for x in kept]
             rest = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(row["rest"])).read_all().combine_chunks()
             columns = [rest.column("row").combine_chunks(), pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(r.sizes), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha)]
             yield pa.record_batch([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns], names=["row", "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
@@ -506,19 +588,21 @@ def remove_repeats(
     size = min(max(chunk_bytes, buckets << 10), max(chunk_bytes, chunk_most))
     chunks = staged(rows.mapInArrow(lambda it: returning(_chunks(it, size)), CHUNK_SCHEMA), "chunks")
 
+    run_bytes = length + (length - k) // 2
+
     def by_bucket(df: DataFrame) -> DataFrame:
         return df.repartition("bucket").sortWithinPartitions("bucket", "chunk")
 
-    keys = chunks.mapInArrow(lambda it: returning(_keys(it, length, k, buckets)), "bucket long, chunk long, keys binary, flags binary, loads binary")
-    masks = staged(by_bucket(keys).mapInArrow(lambda it: returning(_repeated(it, bucket_bytes)), "chunk long, bucket long, mask binary, hot binary, hot_bytes long"), "masks")
+    keys = chunks.mapInArrow(lambda it: returning(_keys(it, length, k, buckets)), "bucket long, chunk long, keys binary, sides binary, flags binary")
+    masks = staged(by_bucket(keys).mapInArrow(lambda it: returning(_repeated(it, bucket_bytes, run_bytes)), "chunk long, bucket long, mask binary, hot binary, hot_bytes long"), "masks")
     # a run of hot bytes has at most length - k + 1 strings
     hot_bytes = masks.agg(F.sum("hot_bytes")).first()[0] or 0
-    parts = math.ceil(hot_bytes * length * (length - k + 1) / (2 * length - k) / bucket_bytes)
+    parts = math.ceil(hot_bytes * length * (length - k + 1) / run_bytes / bucket_bytes)
     with_hot = masks.filter("hot_bytes > 0").select("chunk").distinct()
     masks = masks.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "mask", "hot")).alias("masks"))
     sent = chunks.select("chunk", "dids", "sizes", "body").join(masks, "chunk")
     sent = sent.mapInArrow(lambda it: returning(_send(it, length, k, buckets)), "bucket long, chunk long, sizes binary, body binary, least binary")
-    bits = staged(by_bucket(sent).mapInArrow(lambda it: returning(_judge(it, length, shard_bytes)), "chunk long, bucket long, bits binary"), "bits")
+    bits = staged(by_bucket(sent).mapInArrow(lambda it: returning(_judge(it, length, k, shard_bytes)), "chunk long, bucket long, bits binary"), "bits")
     bits = bits.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("bits"))
     replies = masks.join(bits, "chunk", "left")
     if parts:

@@ -518,6 +518,75 @@ def test_repeats_with_a_passage_in_every_document(spark):
         assert sorted((LAST if r.row.doc_id is None else r.row.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows) == want
 
 
+def test_repeats_in_texts_of_few_letters(spark):
+    """Many runs share a part of their strings, a side of their minimiser, or all."""
+    rng = random.Random(17)
+    source = "".join(rng.choice("ab") for _ in range(900))
+    pairs = []
+    for i in range(260):
+        parts = []
+        for _ in range(rng.randrange(4)):
+            at, n = rng.randrange(850), rng.choice([20, 34, 35, 49, 50, 51, 64, 65, 66, 80, 81, 200])
+            parts.append(source[at : at + n] + "".join(rng.choice("abc") for _ in range(rng.choice([0, 1, 15, 40]))))
+        pairs.append((rng.randrange(200), "".join(parts)))
+    df = spark.createDataFrame(pairs, "doc_id long, text string").repartition(3)
+    for sizes in ({}, {"chunk_bytes": 2000, "bucket_bytes": 3000, "shard_bytes": 700, "chunk_most": 2000}, {"k": 33}, {"k": 50}, {"k": 7}):
+        rows = suffix_dedup.remove_repeats(df, **sizes).collect()
+        assert sorted((r.row.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows) == brute_repeats(pairs, 50)
+
+
+def test_a_shared_minimiser_alone_is_not_judged(spark):
+    """Texts that share 24 bytes share minimisers, but no side of one."""
+    import glob
+
+    rng = random.Random(23)
+    phrase = "".join(rng.choices("abcdefghij", k=24))
+    pairs = [(i, f"{''.join(rng.choices('klmnop', k=90))}{phrase}{''.join(rng.choices('klmnop', k=90))}") for i in range(200)]
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(glob.glob(f"{folder}/*bits-*"))
+    rows = suffix_dedup.remove_repeats(spark.createDataFrame(pairs, "doc_id long, text string").repartition(3), chunk_bytes=8000, chunk_most=8000).collect()
+    assert sorted((r.row.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows) == brute_repeats(pairs, 50)
+    for path in set(glob.glob(f"{folder}/*bits-*")) - before:
+        assert spark.read.parquet(path).count() == 0  # before, a message of each chunk and bucket
+
+
+def test_only_runs_that_share_a_part_are_merged(monkeypatch):
+    import pyarrow as pa
+    import zstandard
+
+    rng = random.Random(29)
+    gram = "!" * 20  # the minimiser of many strings, with sides of its own in each run
+    runs = [("".join(rng.choices("abcdefghij", k=30)) + gram + "".join(rng.choices("abcdefghij", k=30))).encode() for _ in range(20)]
+    part = runs[0][:66] + b"0123456789ABCD"
+    sent = [(runs[:15], 5), (runs[5:], 3), ([part, runs[9]], 9)]
+    merged = []
+    plain = suffix_dedup.seen_before
+    monkeypatch.setattr(suffix_dedup, "seen_before", lambda strings, *rest: merged.extend(strings) or plain(strings, *rest))
+    batch = pa.record_batch([pa.array([0] * 3), pa.array([0, 1, 2]), *[pa.array(c, pa.binary()) for c in zip(*[(np.array([len(r) for r in own], "<i4").tobytes(), zstandard.compress(b"".join(own)), np.full(len(own), did, "<i8").tobytes()) for own, did in sent])]], names=["bucket", "chunk", "sizes", "body", "least"])
+    got = {r["chunk"]: r["bits"] for b in suffix_dedup._judge(iter([batch]), 50, 20, 1000) for r in b.to_pylist()}
+    first = {}
+    for own, did in sent:
+        for r in own:
+            for i in range(len(r) - 49):
+                first[r[i : i + 50]] = min(first.get(r[i : i + 50], 99), did)
+    for chunk, (own, did) in enumerate(sent):
+        want = [first[r[i : i + 50]] < did for r in own for i in range(len(r) - 49)]
+        assert np.unpackbits(np.frombuffer(got[chunk], "u1"), count=len(want)).astype(bool).tolist() == want
+    assert set(merged) <= {runs[0], part}  # before, all 21
+
+
+def test_runs_of_one_hash_are_told_apart():
+    rng = np.random.default_rng(3)
+    strings = [bytes(rng.integers(97, 99, n).astype("u1")) for n in rng.integers(10, 13, 400)]
+    strings[200:300] = strings[:100]
+    size = np.array([len(s) for s in strings])
+    text = np.frombuffer(b"".join(strings), "u1")
+    for code in (size.astype("u8") % 2, np.zeros(400, "u8"), np.array([hash(s) for s in strings]).astype("u8")):
+        which, one = suffix_dedup.distinct_runs(text, np.cumsum(size) - size, size, code, 10)
+        assert [strings[o] for o in one[which]] == strings
+    assert len(one) == len(set(strings))
+
+
 @pytest.mark.parametrize("length", [50, 51])
 def test_merged_transforms(length):
     rng = np.random.default_rng(1)
