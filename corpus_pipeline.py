@@ -64,20 +64,27 @@ def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     bounded_batches(spark, megabytes=BATCH_MB)
     source = spark.read.parquet(f"{sf_dir}/documents.parquet")
     own_id = F.col("doc_id").cast("long")
-    single = [df.groupBy(own_id.alias("rid")).count().filter(F.col("count") == 1).filter(F.col("rid").between(-FAR, FAR - 1)).select("rid") for df in (docs, source)]
+
+    def near(column: str) -> Column:
+        return F.col(column).cast("long").between(-FAR, FAR - 1)
+
+    single = [df.groupBy(own_id.alias("rid")).count().filter(F.col("count") == 1).filter(near("rid")).select("rid") for df in (docs, source)]
     ids = kept(single[0].join(single[1], "rid"), "ids")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     odd = docs.select(own_id.alias("odd")).distinct()
     odd = kept(odd.join(ids, F.col("odd") == ids["rid"], "left_anti"), "odd")  # mostly few: the texts needn't be shuffled
     others = docs.select(row, own_id.alias("_id")).join(odd, F.col("_id").eqNullSafe(F.col("odd")), "left_semi")
     others = kept(others.select("row", order_id("_id").alias("did"), (F.monotonically_increasing_id() + FAR).alias("rid")), "others")
-    texts = source.select(order_id("doc_id").alias("did"), own_id.alias("rid"), F.col("text").cast("string").alias("txt"))
-    texts = texts.unionByName(others.select("did", "rid", F.col("row.text").cast("string").alias("txt")))
-    gone = jaccard.later_rows(texts, ids.unionByName(others.select("rid")))
-    stay = ids.join(gone, "rid", "left_anti").select(F.col("rid").alias("_id"))
+    rest = others.select("did", "rid", F.col("row.text").cast("string").alias("txt"))
+    stay = ids.unionByName(others.select("rid"))
+    for df in (source, docs):
+        # rows that go by their id have that as their number, so no table of whole rows is written for the search
+        texts = df.filter(near("doc_id")).select(order_id("doc_id").alias("did"), own_id.alias("rid"), F.col("text").cast("string").alias("txt"))
+        stay = stay.join(jaccard.later_rows(texts.unionByName(rest), stay), "rid", "left_anti")
     # the join of whole rows is shuffled at any size, so that a small table tells what a large one takes
-    kept_rows = docs.select(row, own_id.alias("_id")).join(stay.hint("merge"), "_id", "left_semi").select("row")
-    return jaccard.drop_near_duplicates(kept_rows.unionByName(others.join(gone, "rid", "left_anti").select("row")).select("row.*"))
+    whole = docs.select(row, own_id.alias("_id")).filter(near("_id"))
+    whole = whole.join(stay.select(F.col("rid").alias("_id")).hint("merge"), "_id", "left_semi").select("row")
+    return whole.unionByName(others.join(stay, "rid", "left_semi").select("row")).select("row.*")
 
 
 def repeat_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,9 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from stillpoint.functions.tables import discard, kept, new_path, scratch
+from stillpoint.functions.tables import UNMARKED, discard, gathered, kept, new_path, scratch
 
-#: Edges of a task that are contracted at a time.
+#: Edges that a task contracts at a time. What is left of a graph is one task's work once it
+#: has no more; larger graphs take rounds.
 HELD = 1 << 18
 
 
@@ -31,7 +32,7 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names[rest], names[root[rest]]
 
 
-def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _contracted(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """A bounded number of a task's edges at a time becomes a forest of stars."""
     held: list[pa.RecordBatch] = []
 
@@ -41,37 +42,54 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         held.append(batch)
-        if sum(x.num_rows for x in held) >= HELD:
+        if sum(x.num_rows for x in held) >= most:
             yield out()
             held = []
     if held:
         yield out()
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """(``a``, ``b``) edges to (``node``, ``root``) rows, the root being the smallest node.
 
-    Each task first contracts its own edges. A round then hangs each node's larger
-    neighbours, and then its smaller ones, on the smallest neighbour, until all are stars,
-    however many rounds that takes (about the logarithm of the longest path, less what
-    tasks have contracted). The smallest neighbours tell whether all are stars, so the last
-    round is one shuffle and no other only finds that nothing changes. No shuffle gathers a
-    node's neighbours, and the result of a round is a table in the shared folder; the tables
-    before it are deleted. Nodes without an edge to another node don't appear.
+    A graph of at most ``HELD`` edges is contracted by one task, and that is all. Of a larger
+    one each task first contracts its own edges. A round then hangs each node's larger
+    neighbours, and then its smaller ones, on the smallest neighbour, until what is left is
+    one task's work, or until all are stars, however many rounds that takes (about the
+    logarithm of the longest path, less what tasks have contracted). The smallest neighbours
+    tell whether all are stars, so the last round is one shuffle and no other only finds that
+    nothing changes. No shuffle gathers a node's neighbours, and the result of a round is a
+    table in the shared folder; the tables before it are deleted. Nodes without an edge to
+    another node don't appear.
+
+    Each table has a file for each task, so rounds over a small graph cost far more than the
+    graph; with ``rows``, about the number of edges, these are ``gathered`` first.
     """
-    spark = edges.sparkSession
+    spark, held = edges.sparkSession, HELD
     paths: list[str] = []
 
     def table(df: DataFrame, tag: str) -> DataFrame:
         paths.append(new_path(spark, tag))
-        df.write.parquet(paths[-1])
+        df.write.options(**UNMARKED).parquet(paths[-1])
         return spark.read.schema(df.schema).parquet(paths[-1])
 
+    def counted(df: DataFrame, tag: str) -> tuple[DataFrame, int]:
+        seen = Observation()
+        return table(df.observe(seen, F.count(F.lit(1)).alias("n")), tag), seen.get["n"]
+
+    def contracted(df: DataFrame) -> DataFrame:
+        return df.mapInArrow(lambda it: _contracted(it, held), "a long, b long")  # a > b
+
     with scratch(spark):
         try:
-            now = table(edges.filter("a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")), "edges")
+            edges = edges.filter("a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+            now, n = counted(edges if rows is None else gathered(edges, rows), "edges")
             while True:
-                now = table(now.mapInArrow(_contracted, "a long, b long"), "forest")  # a > b
+                if n > held:
+                    now, n = counted(contracted(now), "forest")
+                if n <= held:
+                    low = table(contracted(now.coalesce(1)).select(F.col("a").alias("node"), F.col("b").alias("root")), "low")
+                    return kept(low, "components")
                 seen = Observation()
                 ends = now.select(F.col("a").alias("node"), "b", F.lit(False).alias("hub")).unionByName(now.select(F.col("b").alias("node"), F.lit(None).cast("long").alias("b"), F.lit(True).alias("hub")))
                 ends = ends.groupBy("node").agg(F.min("b").alias("low"), F.max("b").alias("high"), F.max("hub").alias("hub")).filter("low is not null")
@@ -83,7 +101,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
                 # smaller neighbours of each node, and the node, go to the smallest of them
                 least = large.groupBy("a").agg(F.min("b").alias("m"))
                 small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-                now = table(small.filter("a <> b").distinct(), "edges")
+                now, n = counted(small.filter("a <> b").distinct(), "edges")
                 while len(paths) > 1:
                     discard(spark, paths.pop(0))
         finally:

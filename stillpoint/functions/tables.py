@@ -13,6 +13,10 @@ from contextvars import ContextVar
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a narrow table, of a few numbers each, that share a file.
+NARROW = 200_000
+#: Intermediate tables are read by who wrote them, so nobody waits for a file that says they are whole.
+UNMARKED = {"mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
 #: Least seconds between two calls for the driver's collector.
 RELEASE_SECONDS = 15.0
 _released = 0.0
@@ -110,7 +114,7 @@ def _write(df: DataFrame, tag: str, scope: int) -> DataFrame:
     path = new_path(spark, tag)
     if len(blocks := _OPEN.get()) >= scope:
         blocks[-scope].append(path)
-    df.write.parquet(path)
+    df.write.options(**UNMARKED).parquet(path)
     release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -139,6 +143,13 @@ def returning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             trim(0)
 
 
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """A narrow table in as many files as its about ``rows`` rows fill, however many tasks make
+    them. Each file and each task's folder costs its writer calls to the file system; the local
+    one starts a process for each (chmod), which shares the executor's memory until it runs."""
+    return df.repartition(max(1, -(-rows // NARROW)))
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage is cut at a table
     that outlives any executor."""

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from stillpoint.functions.components import connected_components
 from stillpoint.functions.links import LINKS, blocked, spanned, verified
-from stillpoint.functions.tables import kept, scratch
+from stillpoint.functions.tables import gathered, kept, scratch
 from stillpoint.llm.common import order_id, returning, staged
 from stillpoint.llm.wordgrams import WORDS
 
@@ -259,7 +259,7 @@ def _links(classes: DataFrame, rows: DataFrame, width: int, threshold: float, tr
     # the texts meet a few numbers alone, a table that is often small enough for a broadcast join
     texts = rows.select("rid", "txt").join(some, "rid")
     sets = staged(texts.mapInArrow(lambda it: returning(_sets(it, width)), "rid long, weight long, n long, grams binary"), "sets")
-    signs = classes.select(F.col("rep").alias("rid"), "sign")
+    signs, n_met = classes.select(F.col("rep").alias("rid"), "sign"), some.count()
 
     def chances(similarity: np.ndarray) -> np.ndarray:
         return np.stack([meeting_chance(similarity, d, trees) for d in levels])
@@ -270,23 +270,23 @@ def _links(classes: DataFrame, rows: DataFrame, width: int, threshold: float, tr
         level = min(turn, len(levels) - 1)
         prefix = F.substring("label", F.lit(1), F.lit(SYMBOL * levels[level])).alias("prefix")
         nodes = tries.filter(F.col("matched") >= levels[level]).select("tree", prefix, "rid").join(state.select("rid", "grp", "active"), "rid")
-        roots = connected_components(_meetings(nodes, signs, screen if turn else None, block))
+        roots = connected_components(_meetings(nodes, signs, screen if turn else None, block), n_met)
         state = state.withColumn("level", F.when(F.col("active"), level).otherwise(F.col("level"))).select("rid", "grp", "level")
         if not roots.isEmpty():
             roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "grp")
             state = state.join(roots, "grp", "left").select("rid", F.coalesce("root", "grp").alias("grp"), "level", F.col("root").isNotNull().alias("changed"))
-            state = staged(state, "groups")
+            state = staged(gathered(state, n_met), "groups")
             # groups that grew are verified as a whole, the results of the others stay
             changed = state.filter("changed").select("rid", "grp")
-            members = staged(blocked(changed.select(F.col("rid").alias("node"), F.col("grp").alias("root")), sets, block, 4_000_000), "members")
+            members = staged(gathered(blocked(changed.select(F.col("rid").alias("node"), F.col("grp").alias("root")), sets, block, 4_000_000), n_met), "members")
             candidates = sets.select("rid", "weight", "n", "grams").join(members, "rid")
-            new = verified(candidates, threshold, chances) if counts else staged(spanned(candidates, threshold, chances, block), "spanned")
-            found = staged(found.join(changed.select("rid"), "rid", "left_anti").unionByName(new), "found") if turn else new
+            new = verified(candidates, threshold, chances) if counts else staged(gathered(spanned(candidates, threshold, chances, block), n_met), "spanned")
+            found = staged(gathered(found.join(changed.select("rid"), "rid", "left_anti").unionByName(new), n_met), "found") if turn else new
         sums = [F.sum(F.col("mass")[k]).alias(f"m{k}") for k in range(len(levels))]
         tallies = found.groupBy("rid").agg(F.sum("met").alias("met"), *sums)
         state = state.join(tallies, "rid", "left").select("rid", "grp", "level", "met", F.array(*[f"m{k}" for k in range(len(levels))])[F.col("level")].alias("mass"))
         state = state.withColumn("active", (F.col("level") < len(levels) - 1) & (_expected(levels, threshold, trees) < recall))
-        state = staged(state, "state")
+        state = staged(gathered(state, n_met), "state")
         if state.filter("active").isEmpty():
             return found, state
 
@@ -337,10 +337,10 @@ def _classified(
     some = sketch.filter("n > 0")
     classes = some.groupBy("h1", "h2").agg(F.min_by(F.struct("did", "rid", "n", "sign"), F.struct("did", "rid")).alias("r"), F.count(F.lit(1)).alias("weight"))
     classes = staged(classes.select("h1", "h2", F.col("r.did").alias("least_did"), F.col("r.rid").alias("rep"), F.col("r.n").alias("n"), F.col("r.sign").alias("sign"), "weight"), "classes")
-    found, _ = _links(classes, rows, width, threshold, trees, deepest, recall, screen, block, counts)
+    found, state = _links(classes, rows, width, threshold, trees, deepest, recall, screen, block, counts)
 
     links = found.groupBy("rid").agg(F.sum("links").alias("links")).withColumnRenamed("rid", "rep")
-    roots = connected_components(found.select(F.col("rid").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
+    roots = connected_components(found.select(F.col("rid").alias("a"), F.col("root").alias("b")), state.count()).withColumnRenamed("node", "rep")
     reps = classes.select("h1", "h2", "rep", "least_did", "weight").join(links, "rep", "left").join(roots, "rep", "left")
     linked_reps = reps.filter("links is not null").select(F.coalesce("root", "rep").alias("root"), F.struct(F.col("least_did").alias("did"), F.col("rep").alias("rid")).alias("one"))
     firsts = linked_reps.groupBy("root").agg(F.min("one").alias("first"))

@@ -164,3 +164,28 @@ def test_a_task_gives_back_what_it_freed():
     out = subprocess.run([sys.executable, "-c", FREED], capture_output=True, text=True, check=True, env=os.environ | {"PYTHONPATH": os.pathsep.join(sys.path)})
     rows, left = out.stdout.split()
     assert int(rows) == 2000 and float(left) < 100
+
+
+def test_near_duplicates_write_no_whole_rows(spark, folder, monkeypatch):
+    """Only rows that their id doesn't tell are written as a whole for the search, and an id that
+    looks like a row's number is no number."""
+    from stillpoint.functions import tables
+
+    odd = corpus_pipeline.FAR
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    source = docs.unionByName(docs.filter("doc_id in (7, 8)").withColumn("doc_id", F.col("doc_id") - 7 + odd))
+    path = f"{folder}/far"
+    source.write.mode("overwrite").parquet(f"{path}/documents.parquet")
+    source = spark.read.parquet(f"{path}/documents.parquet")
+    wrote, real = {}, tables._write
+
+    def counted(df, tag, scope):
+        out = real(df, tag, scope)
+        if "row" in df.columns:
+            wrote[tag] = out.count()
+        return out
+
+    monkeypatch.setattr(tables, "_write", counted)
+    ids = [r.doc_id for r in corpus_pipeline.near_duplicate_filter(spark, source, path).collect()]
+    assert sum(wrote.values()) <= source.groupBy("doc_id").count().filter(f"count > 1 or doc_id is null or doc_id >= {odd}").agg(F.sum("count")).first()[0]
+    assert {7, 8} <= set(ids) and not {odd, odd + 1} & set(ids) and ids.count(100) == 1 and ids.count(200) == 1

@@ -143,3 +143,35 @@ def test_components_of_stars_take_one_round(spark, monkeypatch):
     path = spark.createDataFrame(list(zip(names, names[1:])), "a long, b long").repartition(40)
     rows = connected_components(path).collect()
     assert {r.node for r in rows} == set(range(1, 2000)) and {r.root for r in rows} == {0} and len(rows) == 1999 and tables.count("low") <= 12
+
+
+def test_components_in_rounds_and_in_one_task_are_the_same(spark, monkeypatch):
+    """A graph of few edges takes no round, whatever its paths; what a task can't hold takes rounds until it can."""
+    from stillpoint.functions import components
+
+    tables = []
+    monkeypatch.setattr(components, "new_path", lambda session, tag, f=components.new_path: tables.append(tag) or f(session, tag))
+    rng, names = random.Random(2), list(range(600))
+    rng.shuffle(names)
+    edges = list(zip(names[:400], names[1:400])) + [(rng.choice(names[400:]), rng.choice(names[400:])) for _ in range(150)] + [(5, 5)]
+    root = {n: n for n in names}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    want = {n: r for n, r in root.items() if n != r}
+    df = spark.createDataFrame(edges, "a long, b long").repartition(40)
+    for rows, most in ((None, 1 << 18), (len(edges), 1 << 18), (None, 100), (None, 0), (None, 300)):
+        tables.clear()
+        monkeypatch.setattr(components, "HELD", most)
+        assert {r.node: r.root for r in connected_components(df, rows).collect()} == want
+        assert (len(tables) == 2) == (most == 1 << 18)
+    assert connected_components(df.filter("false"), 0).count() == 0
+
+
+def test_narrow_tables_are_few_files(spark, tmp_path, monkeypatch):
+    from stillpoint.functions import tables
+
+    monkeypatch.setattr(tables, "NARROW", 400)
+    tables.gathered(spark.range(1000, numPartitions=64), 1000).write.parquet(f"{tmp_path}/t")
+    files = list(tmp_path.glob("t/part-*"))
+    assert len(files) == 3 and spark.read.parquet(f"{tmp_path}/t").count() == 1000
