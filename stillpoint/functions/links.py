@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stillpoint.functions.components import connected_components
-from stillpoint.functions.tables import returning, written
+from stillpoint.functions.tables import returning, together, written
 
 
 def overlaps(sets: list[np.ndarray], first: int, same: bool) -> np.ndarray:
@@ -199,10 +199,10 @@ def _to_pivots(batches: Iterator[pa.RecordBatch], threshold: float, chances: Cha
         yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=["rid", "near", "links", "root", "met", "mass"])
 
 
-def _pivot_round(members: DataFrame, candidates: DataFrame, threshold: float, chances: Chances | None) -> tuple[DataFrame, DataFrame]:
+def _pivot_round(members: DataFrame, candidates: DataFrame, threshold: float, chances: Chances | None, rows: int | None) -> tuple[DataFrame, DataFrame]:
     """Rows of ``_to_pivots`` of all ``members`` and pivots drawn from ``candidates`` (rid, grp), and those pivots."""
     drawn = F.row_number().over(Window.partitionBy("grp").orderBy(F.xxhash64("rid"), "rid"))
-    chosen = written(candidates.select("rid", "grp").withColumn("_n", drawn).filter(F.col("_n") <= PIVOTS).select("rid"), "chosen")
+    chosen = written(together(candidates.select("rid", "grp"), rows).withColumn("_n", drawn).filter(F.col("_n") <= PIVOTS).select("rid"), "chosen")
     pivots = members.join(chosen, "rid").select("rid", "grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"), F.lit(True).alias("pivot"), "grams")
     both = members.select("rid", "grp", "own", F.lit(False).alias("pivot"), "grams").unionByName(pivots)
     dealt = both.repartition("grp", "own").sortWithinPartitions("grp", "own", F.desc("pivot"), "rid")
@@ -228,24 +228,25 @@ def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("grp"), batch.column("blocks"), *lists], names=["grp", "blocks", "pivots", "roots"])
 
 
-def _classes(members: DataFrame, links: list[DataFrame], pivots: list[DataFrame]) -> DataFrame:
+def _classes(members: DataFrame, links: list[DataFrame], pivots: list[DataFrame], rows: int | None) -> DataFrame:
     """Members with the class ``cls`` that links with pivots put them in, named by its
     smallest pivot, and whether they are no pivot and linked with none (``alone``).
 
     Members meet through pivots only, and a group has ``PIVOTS * ROUNDS`` of them at most:
     one small row a group tells which of its pivots are connected, and goes to each block."""
     edges = [x.select("rid", "root") for x in links] + [x.select("rid", F.col("rid").alias("root")) for x in pivots]
-    linked = reduce(DataFrame.unionByName, edges).groupBy("rid").agg(F.array_sort(F.collect_set("root")).alias("linked"))
-    rows = written(members.select("rid", "grp", "blocks", "own", "before").join(linked, "rid", "left"), "linked")
-    pairs = rows.select("grp", "blocks", F.explode(F.transform("linked", lambda p: F.struct(F.col("linked")[0].alias("a"), p.alias("b")))).alias("edge"))
+    linked = together(reduce(DataFrame.unionByName, edges), rows).groupBy("rid").agg(F.array_sort(F.collect_set("root")).alias("linked"))
+    found = written(together(members.select("rid", "grp", "blocks", "own", "before"), rows).join(linked, "rid", "left"), "linked")
+    found = together(found, rows)
+    pairs = found.select("grp", "blocks", F.explode(F.transform("linked", lambda p: F.struct(F.col("linked")[0].alias("a"), p.alias("b")))).alias("edge"))
     groups = pairs.groupBy("grp").agg(F.max("blocks").alias("blocks"), F.collect_set("edge").alias("edges"))
     roots = groups.mapInArrow(_rooted, "grp long, blocks int, pivots array<long>, roots array<long>")
     roots = roots.select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"), F.map_from_arrays("pivots", "roots").alias("root"))
-    named = rows.join(roots, ["grp", "own"], "left")
+    named = found.join(roots, ["grp", "own"], "left")
     return named.select("rid", "grp", "before", F.coalesce(F.col("root")[F.col("linked")[0]], "rid").alias("cls"), F.col("linked").isNull().alias("alone"))
 
 
-def spanned(sets: DataFrame, threshold: float, chances: Chances | None = None, block: int = 512) -> DataFrame:
+def spanned(sets: DataFrame, threshold: float, chances: Chances | None = None, block: int = 512, rows: int | None = None) -> DataFrame:
     """As many verified links as tell which sets of a group are connected, as rows of
     ``verified`` without counts: a group of n near copies is shuffled a few times, not
     n / ``block`` times.
@@ -259,7 +260,8 @@ def spanned(sets: DataFrame, threshold: float, chances: Chances | None = None, b
     linked, nor are sets of too unlike sizes. Blocks of settled classes and of the rest are
     compared pair by pair where these bounds leave any room, each pair of blocks exactly.
 
-    ``sets`` has the columns of ``candidate_groups``, ``weight``, ``n`` and ``grams``."""
+    ``sets`` has the columns of ``candidate_groups``, ``weight``, ``n`` and ``grams``. With
+    ``rows``, about their number or more, tables without grams are read ``together``."""
     small = verified(sets.filter("blocks = 1"), threshold, chances)
     large = written(sets.filter("blocks > 1").withColumn("before", F.lit(None).cast("long")), "large")
     if large.isEmpty():
@@ -267,11 +269,11 @@ def spanned(sets: DataFrame, threshold: float, chances: Chances | None = None, b
     links, pivots, coordinates = [], [], []
     asking = candidates = large
     for turn in range(ROUNDS):
-        seen, chosen = _pivot_round(asking, candidates, threshold, chances)
+        seen, chosen = _pivot_round(asking, candidates, threshold, chances, rows)
         links.append(seen.filter("rid <> root").drop("near"))
         pivots.append(chosen)
         coordinates.append(seen.filter("rid = root").select("rid", F.col("near").alias(f"near{turn}")))
-        named = written(_classes(large, links, pivots), "named")
+        named = together(written(_classes(large, links, pivots, rows), "named"), rows)
         told = named.groupBy("grp").agg(F.min("cls").alias("least"), F.max("cls").alias("most"), F.count_if("alone").alias("left"), F.coalesce(F.max("before"), F.count(F.lit(1))).alias("before"))
         open_groups = written(told.filter("least <> most").select("grp", "left", "before"), "open")
         going = open_groups.filter((F.col("left") > block) & (F.col("left") <= F.col("before") / 2)).select("grp")
@@ -281,26 +283,27 @@ def spanned(sets: DataFrame, threshold: float, chances: Chances | None = None, b
         asking = large.join(going, "grp", "left_semi")
         candidates = named.filter("alone").join(going, "grp", "left_semi")
     if not open_groups.isEmpty():
-        rest = large.drop("before").join(open_groups.select("grp"), "grp", "left_semi").join(named.select("rid", "cls"), "rid")
+        rest = named.select("rid", "grp", "cls").join(together(open_groups.select("grp"), rows), "grp", "left_semi").join(together(large.select("rid", "n"), rows), "rid")
         for part in coordinates:
-            rest = rest.join(part, "rid", "left")
-        links.append(_across(written(rest, "rest"), len(coordinates), threshold, chances, block))
+            rest = rest.join(together(part, rows), "rid", "left")
+        links.append(_across(large, together(written(rest, "rest"), rows), len(coordinates), threshold, chances, block, rows))
     return reduce(DataFrame.unionByName, links, small)
 
 
-def _across(rest: DataFrame, turns: int, threshold: float, chances: Chances | None, block: int) -> DataFrame:
-    """Links between members of different classes ``cls``. Large classes are blocks of their
-    own, the members of small ones share blocks."""
+def _across(sets: DataFrame, rest: DataFrame, turns: int, threshold: float, chances: Chances | None, block: int, rows: int | None) -> DataFrame:
+    """Links between those ``sets`` that ``rest`` puts in different classes ``cls`` of a group.
+    Large classes are blocks of their own, the members of small ones share blocks. The grams
+    come in once it is known which blocks meet."""
     sizes = rest.groupBy("grp", "cls").agg(F.count(F.lit(1)).alias("size"))
     pools = sizes.filter(F.col("size") < block // 2).groupBy("grp").agg(F.sum("size").alias("pool"))
-    rows = rest.join(sizes, ["grp", "cls"]).join(pools, "grp", "left")
+    dealt = rest.join(sizes, ["grp", "cls"]).join(pools, "grp", "left")
     own_class = F.when(F.col("size") >= block // 2, F.col("cls"))
     blocks = F.ceil(F.when(own_class.isNotNull(), F.col("size")).otherwise(F.col("pool")) / block).cast("long")
-    rows = rows.withColumn("one", own_class).withColumn("own", F.xxhash64("grp", F.coalesce("one", F.lit(-1).cast("long")), F.pmod(F.xxhash64("rid"), blocks)))
-    rows = written(rows.drop("size", "pool", "blocks", "i", "j"), "blocks")
+    dealt = dealt.withColumn("one", own_class).withColumn("own", F.xxhash64("grp", F.coalesce("one", F.lit(-1).cast("long")), F.pmod(F.xxhash64("rid"), blocks)))
+    dealt = together(written(dealt.drop("size", "pool"), "blocks"), rows)
     axes = [F.coalesce(F.col(f"near{t}")[k], F.lit(0.0).cast("float")) for t in range(turns) for k in range(PIVOTS)]
     bounds = [f(x).alias(f"{f.__name__}{i}") for i, x in enumerate(axes) for f in (F.min, F.max)]
-    told = rows.groupBy("grp", "own", "one").agg(F.min("n").alias("n_low"), F.max("n").alias("n_high"), *bounds)
+    told = together(written(dealt.groupBy("grp", "own", "one").agg(F.min("n").alias("n_low"), F.max("n").alias("n_high"), *bounds), "told"), rows)
     a, b = told.alias("a"), told.alias("b")
     room = (F.col("a.n_high") >= F.col("b.n_low") * (threshold - 1e-9)) & (F.col("b.n_high") >= F.col("a.n_low") * (threshold - 1e-9))
     for i in range(len(axes)):  # similarities to a pivot: bounds of floats, a little widened
@@ -309,5 +312,6 @@ def _across(rest: DataFrame, turns: int, threshold: float, chances: Chances | No
     one_class = F.coalesce(F.col("a.one") == F.col("b.one"), F.lit(False))
     pairs = a.join(b, "grp").filter((F.col("a.own") <= F.col("b.own")) & ~one_class & room)
     pairs = pairs.select("grp", F.col("a.own").alias("i"), F.col("b.own").alias("j"))
-    sides = pairs.select("grp", F.col("i").alias("own"), "i", "j").unionByName(pairs.filter("i <> j").select("grp", F.col("j").alias("own"), "i", "j"))
-    return written(_checked(rows.join(sides, ["grp", "own"]), threshold, chances), "across")
+    sides = pairs.select("grp", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("own"))
+    whole = sets.select("rid", "weight", "grams").join(dealt.select("rid", "grp", "own"), "rid")
+    return written(_checked(whole.join(sides, ["grp", "own"]), threshold, chances), "across")

@@ -130,6 +130,14 @@ def release(spark: SparkSession) -> None:
         spark.sparkContext._jvm.System.gc()
 
 
+def give_back() -> None:
+    """Give memory that this process has freed, but holds on to, back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
 def returning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches of a task's helper. A Python worker stays for later tasks, and what one task
     freed would stay with it: here the worker gives it back to the system."""
@@ -137,10 +145,7 @@ def returning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from batches
     finally:
         del batches
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
-        if trim:
-            trim(0)
+        give_back()
 
 
 def gathered(df: DataFrame, rows: int) -> DataFrame:
@@ -150,6 +155,13 @@ def gathered(df: DataFrame, rows: int) -> DataFrame:
     return df.repartition(max(1, -(-rows // NARROW)))
 
 
+def together(df: DataFrame, rows: int | None) -> DataFrame:
+    """A narrow stored table of about ``rows`` rows: read by one task if they fill one file at
+    most. Joins and sums of such tables need no shuffle then; of larger ones, and of those with
+    unknown ``rows``, they are shuffled."""
+    return df if rows is None or rows > NARROW else df.coalesce(1)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage is cut at a table
     that outlives any executor."""

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from stillpoint.functions.components import connected_components
 from stillpoint.functions.links import LINKS, blocked, spanned, verified
-from stillpoint.functions.tables import gathered, kept, scratch
+from stillpoint.functions.tables import gathered, kept, scratch, together
 from stillpoint.llm.common import order_id, returning, staged
 from stillpoint.llm.wordgrams import WORDS
 
@@ -273,14 +273,16 @@ def _links(classes: DataFrame, rows: DataFrame, width: int, threshold: float, tr
         roots = connected_components(_meetings(nodes, signs, screen if turn else None, block), n_met)
         state = state.withColumn("level", F.when(F.col("active"), level).otherwise(F.col("level"))).select("rid", "grp", "level")
         if not roots.isEmpty():
-            roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "grp")
-            state = state.join(roots, "grp", "left").select("rid", F.coalesce("root", "grp").alias("grp"), "level", F.col("root").isNotNull().alias("changed"))
+            roots = together(roots, n_met)
+            roots = together(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), n_met).withColumnRenamed("node", "grp")
+            state = together(state, n_met).join(roots, "grp", "left").select("rid", F.coalesce("root", "grp").alias("grp"), "level", F.col("root").isNotNull().alias("changed"))
             state = staged(gathered(state, n_met), "groups")
             # groups that grew are verified as a whole, the results of the others stay
             changed = state.filter("changed").select("rid", "grp")
-            members = staged(gathered(blocked(changed.select(F.col("rid").alias("node"), F.col("grp").alias("root")), sets, block, 4_000_000), n_met), "members")
+            grown = together(changed.select(F.col("rid").alias("node"), F.col("grp").alias("root")), n_met)
+            members = staged(gathered(blocked(grown, together(some, n_met), block, 4_000_000), n_met), "members")
             candidates = sets.select("rid", "weight", "n", "grams").join(members, "rid")
-            new = verified(candidates, threshold, chances) if counts else staged(gathered(spanned(candidates, threshold, chances, block), n_met), "spanned")
+            new = verified(candidates, threshold, chances) if counts else staged(gathered(spanned(candidates, threshold, chances, block, n_met), n_met), "spanned")
             found = staged(gathered(found.join(changed.select("rid"), "rid", "left_anti").unionByName(new), n_met), "found") if turn else new
         sums = [F.sum(F.col("mass")[k]).alias(f"m{k}") for k in range(len(levels))]
         tallies = found.groupBy("rid").agg(F.sum("met").alias("met"), *sums)

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from stillpoint.functions.tables import give_back
 from stillpoint.llm.common import held_out, order_id, returning
 from stillpoint.llm.wordgrams import WORDS, WordTable, grams, sums, word_ids
 
@@ -333,7 +334,10 @@ def fit_toxicity(
     rows = rows.withColumn("r", F.row_number().over(order)).withColumn("chars", F.sum(F.length("txt")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     sample = rows.filter((F.col("r") == 1) | (F.col("chars") <= class_chars)).select("did", "txt", "label").toPandas().sort_values("did")
     prior = sizes.get(1, 0) / max(1, sum(sizes.values()))
-    return train(sample["txt"].tolist(), sample["label"].to_numpy(), prior)
+    model = train(sample["txt"].tolist(), sample["label"].to_numpy(), prior)
+    del sample
+    give_back()  # the driver trains once and stays
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, modulus: int = 4, remainder: int = 2) -> DataFrame:

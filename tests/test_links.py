@@ -175,3 +175,56 @@ def test_narrow_tables_are_few_files(spark, tmp_path, monkeypatch):
     tables.gathered(spark.range(1000, numPartitions=64), 1000).write.parquet(f"{tmp_path}/t")
     files = list(tmp_path.glob("t/part-*"))
     assert len(files) == 3 and spark.read.parquet(f"{tmp_path}/t").count() == 1000
+
+
+def several_groups(seed):
+    rng, fresh = random.Random(seed), iter(range(10**6, 10**9))
+    sets, groups = [], []
+    for g in range(2):
+        for _ in range(4):
+            some = near_copies(rng, [next(fresh) for _ in range(60)], 30, 12, fresh)
+            sets += some
+            groups += [g] * len(some)
+    return sets, groups
+
+
+@pytest.mark.parametrize("most", [10, 200_000])
+def test_classes_with_narrow_tables_read_together(spark, monkeypatch, most):
+    """The same classes whether narrow tables are one task's work or shuffled."""
+    from stillpoint.functions import tables
+
+    monkeypatch.setattr(tables, "NARROW", most)
+    sets, groups = several_groups(11)
+    assert classes(li.spanned(frame(spark, sets, groups, 16), T, block=16, rows=len(sets)), len(sets)) == plain(sets, groups)
+
+
+def test_near_duplicates_take_few_tasks(spark):
+    """A group of several blocks in a session of 40 partitions: only what holds grams, texts or
+    signatures is dealt out to all of them."""
+    from stillpoint.llm import jaccard
+
+    rng, words = random.Random(4), [f"w{k}" for k in range(4000)]
+    base, rows = [rng.choice(words) for _ in range(120)], []
+    for i in range(120):
+        text = list(base)
+        for _ in range(rng.randrange(6)):
+            text[rng.randrange(len(text))] = rng.choice(words)
+        rows.append((i, i, " ".join(text)))
+    df = spark.createDataFrame(rows, "did long, rid long, txt string").repartition(8)
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before, sc = {k: spark.conf.get(k) for k in held}, spark.sparkContext
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("near-duplicates", "tasks")
+        gone = {r.rid for r in jaccard.later_rows(df, df.select("rid"), block=16).collect()}
+        told = sc.statusTracker()
+        stages = {s for j in told.getJobIdsForGroup("near-duplicates") for s in told.getJobInfo(j).stageIds}
+        tasks = sum(i.numCompletedTasks for s in stages if (i := told.getStageInfo(s)))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    sets = [set(jaccard.shingles(t, 5).tolist()) for _, _, t in rows]
+    assert gone == {i for i, root in enumerate(plain(sets, [0] * len(sets))) if i != root}
+    assert 0 < tasks < 2600, tasks
